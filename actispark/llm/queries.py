@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from actispark.llm import secrets
+from actispark.llm import pii, quality, secrets, sharding
 
 QUERIES = {
+    "op1_weak_supervision_pii": pii.op1_weak_supervision_pii,
+    "op2_kd_sharding": sharding.op2_kd_sharding,
+    "op3_line_frequency": quality.op3_line_frequency,
     "op9_secret_scans": secrets.op9_secret_scans,
 }
 ORACLE_SQL: dict[str, str] = {}
