@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from actispark.llm import pii, quality, secrets, sharding
+from actispark.llm import ann, bpe, packing, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_weak_supervision_pii": pii.op1_weak_supervision_pii,
     "op2_kd_sharding": sharding.op2_kd_sharding,
     "op3_line_frequency": quality.op3_line_frequency,
+    "op4_classifier_chain": toxicity.op4_classifier_chain,
+    "op5_vector_best_fit": packing.op5_vector_best_fit,
+    "op6_block_matrix_join": ann.op6_block_matrix_join,
     "op9_secret_scans": secrets.op9_secret_scans,
+    "op10_bpe_rounds": bpe.op10_bpe_rounds,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_block_matrix_join": ann.SQL}
