@@ -144,7 +144,7 @@ def _probabilities(chain: Chain | None, batch: pa.RecordBatch, column: int) -> l
     return [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0)] * len(CHAIN)
 
 
-def score(docs: DataFrame, chain: Chain | None, threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, chain: Chain | None, threshold: float = 0.35) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, p_ of each category, toxic (the last one's at least threshold), kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def score(docs: DataFrame, chain: Chain | None, threshold: float = 0.5) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def drop_toxic(docs: DataFrame, chain: Chain | None, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, chain: Chain | None, threshold: float = 0.35) -> DataFrame:
     """The rows of docs whose text is not toxic, with all their columns."""
     at = docs.columns.index("text")
 
