@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from actispark.llm import ann, bpe, packing, pii, quality, secrets, sharding, toxicity
+from actispark.llm import ann, bpe, langid, neardup, packing, pii, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_weak_supervision_pii": pii.op1_weak_supervision_pii,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_classifier_chain": toxicity.op4_classifier_chain,
     "op5_vector_best_fit": packing.op5_vector_best_fit,
     "op6_block_matrix_join": ann.op6_block_matrix_join,
+    "op7_hyperminhash": neardup.op7_hyperminhash,
+    "op8_crf_language": langid.op8_crf_language,
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_bpe_rounds": bpe.op10_bpe_rounds,
 }
