@@ -1,46 +1,4 @@
-"""The queries over the driver's tables by name, and the SQL of each."""
+"""All queries over the driver's tables: importing their modules registers them."""
 
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under name."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-def samples(spark, sf_dir):
-    """The events table seen as accelerometer samples of five recordings."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        (F.col("user_id") % 5).cast("string").alias("recording_id"), F.col("event_id").alias("line_no"), "ts",
-        (F.col("value") / 100).alias("x"), ((k - 50) / 50).alias("y"), ((F.col("event_id") % 21 - 10) / 10).alias("z"), (20 + k / 10).alias("temp"),
-    )
-
-
-SAMPLES = """samples AS (SELECT CAST(user_id % 5 AS VARCHAR) recording_id, event_id line_no, ts, value / 100 x,
- (CAST(json_extract_string(props, '$.k') AS INT) - 50) / 50 y, (event_id % 21 - 10) / 10 z,
- 20 + CAST(json_extract_string(props, '$.k') AS INT) / 10 temp FROM events)"""
-
-
-@query("noon_day_profile", f"""WITH {SAMPLES}, d AS (SELECT *, date_trunc('day', ts - INTERVAL 12 HOUR) + INTERVAL 12 HOUR noon, sqrt(x*x+y*y+z*z) m FROM samples)
-SELECT recording_id, noon, count(*) n, round(avg(m), 6) mean_magnitude, round(stddev_samp(m), 6) sd_magnitude, round(min(m), 6) min_magnitude, round(max(m), 6) max_magnitude,
- round(quantile_cont(m, 0.9), 6) p90_magnitude FROM d GROUP BY ALL""")
-def noon_day_profile(spark, sf_dir):
-    m = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
-    return (
-        samples(spark, sf_dir)
-        .groupBy("recording_id", F.window("ts", "24 hours", "24 hours", "12 hours")["start"].alias("noon"))
-        .agg(F.count("*").alias("n"), *[F.round(e, 6).alias(f"{k}_magnitude") for k, e in (("mean", F.avg(m)), ("sd", F.stddev_samp(m)), ("min", F.min(m)), ("max", F.max(m)), ("p90", F.percentile(m, F.lit(0.9))))])
-    )
+from actispark.plans import motion, nightly  # noqa: F401
+from actispark.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
