@@ -89,7 +89,7 @@ def score_report(df: DataFrame, threshold: float = 0.5, file: str = "file", labe
     accuracy, specificity, tp, tn, fp, fn, status. Files without a usable row have the status no_valid_rows."""
     good = clean_scored(df, label, score)
     counts = good.rollup(file).agg(F.grouping(file).alias("_all"), F.count("*").alias("n_samples"), *[c.alias(k) for k, c in _confusion(label, F.col(score) >= threshold).items()])
-    auc = roc_auc(good, [file], label, score).withColumn("_all", F.lit(0)).unionByName(roc_auc(good.withColumn(file, F.lit(None).cast("string")), [file], label, score).withColumn("_all", F.lit(1)))
+    auc = roc_auc(good, [file], label, score).withColumn("_all", F.lit(0)).unionByName(roc_auc(good, [], label, score).select(F.lit(None).cast("string").alias(file), "auc", F.lit(1).alias("_all")))
     auc = auc.select(F.col(file).alias("_f"), F.col("_all").alias("_a"), "auc")
     names = df.select(F.col(file).alias("_g"), F.lit(0).alias("_b")).distinct()
     at = names.join(counts, F.col(file).eqNullSafe(F.col("_g")) & (F.col("_all") == F.col("_b")), "full").join(auc, F.col(file).eqNullSafe(F.col("_f")) & (F.col("_all") == F.col("_a")), "left")

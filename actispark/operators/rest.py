@@ -66,18 +66,16 @@ def rest_flags(medians: DataFrame, least: float = 0.1, most: float = 1000.0, min
 
 def _absorb(flags: DataFrame, value: int, limit: int) -> DataFrame:
     """flags with inner runs of value shorter than limit rows turned over."""
-    runs = islands(flags, KEYS, ["ts"], "active")
-    sizes = runs.groupBy(*KEYS, "block").agg(F.count("*").alias("size"), F.first("active").alias("_v"))
-    sizes = sizes.withColumn("_last", F.max("block").over(Window.partitionBy(*KEYS)))
-    turned = sizes.where((F.col("_v") == value) & (F.col("size") < limit) & (F.col("block") > 1) & (F.col("block") < F.col("_last"))).select(*KEYS, "block", F.lit(1).alias("_t"))
-    return runs.join(turned, [*KEYS, "block"], "left").withColumn("active", F.when(F.col("_t") == 1, 1 - value).otherwise(F.col("active"))).drop("_t", "block")
+    runs = islands(flags, KEYS, ["ts"], "active").withColumn("_n", F.count("*").over(Window.partitionBy(*KEYS, "block"))).withColumn("_last", F.max("block").over(Window.partitionBy(*KEYS)))
+    turned = (F.col("active") == value) & (F.col("_n") < limit) & (F.col("block") > 1) & (F.col("block") < F.col("_last"))
+    return runs.withColumn("active", F.when(turned, 1 - value).otherwise(F.col("active"))).drop("_n", "_last", "block")
 
 
 def major_rest_periods(flags: DataFrame, minimum_rest_block: int = 30, allowed_rest_break: int = 60, bins_a_minute: int = 12) -> DataFrame:
     """recording_id, day_no, rest_start, rest_end (null without rest) of the longest rest run, the first of equals, after
     short inner rest runs and then short inner active ones are absorbed; the end is 5 minutes after its last bin."""
     flags = _absorb(_absorb(flags, 0, bins_a_minute * minimum_rest_block), 1, bins_a_minute * allowed_rest_break)
-    runs = islands(flags, KEYS, ["ts"], "active").where(F.col("active") == 0).groupBy(*KEYS, "block").agg(F.count("*").alias("n"), F.min("ts").alias("rest_start"), F.max("ts").alias("_last"))
-    first = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.col("n").desc(), "rest_start"))
-    best = runs.withColumn("_r", first).where(F.col("_r") == 1).select(*KEYS, "rest_start", (F.col("_last") + F.expr("INTERVAL 5 MINUTES")).alias("rest_end"))
-    return flags.select(*KEYS).distinct().join(best, KEYS, "left")
+    runs = islands(flags, KEYS, ["ts"], "active").groupBy(*KEYS, "block").agg(F.count("*").alias("n"), F.first("active").alias("active"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    rest = F.when(F.col("active") == 0, F.struct((-F.col("n")).alias("n"), "a", "b"))  # the least is the longest, then the first
+    best = runs.groupBy(*KEYS).agg(F.min(rest).alias("r"))
+    return best.select(*KEYS, F.col("r.a").alias("rest_start"), (F.col("r.b") + F.expr("INTERVAL 5 MINUTES")).alias("rest_end"))

@@ -35,15 +35,15 @@ def wear_detection(samples: DataFrame, fs: float, sd_limit: float = 0.013, range
 
 
 def _rescore(df: DataFrame, rule) -> DataFrame:
-    """df(recording_id, day_no, ts, wear) with the worn runs that rule picks set to 0; rule sees size, prev and post (rows
-    of the run and of its neighbours, null at the ends) and start."""
+    """df(recording_id, day_no, ts, wear) with the worn runs that rule picks set to 0; rule sees size, prev and post: rows
+    of the run and of its neighbours (null at the ends). Windows only, on one exchange by recording and day."""
     keys = ["recording_id", "day_no"]
-    runs = islands(df, keys, ["ts"], "wear")
-    w = Window.partitionBy(*keys).orderBy("block")
-    blocks = runs.groupBy(*keys, "block").agg(F.count("*").alias("size"), F.first("wear").alias("_w"), F.min("ts").alias("start"))
-    blocks = blocks.withColumn("prev", F.lag("size").over(w)).withColumn("post", F.lead("size").over(w))
-    off = blocks.where((F.col("_w") == 1) & rule).select(*keys, "block", F.lit(1).alias("_off"))
-    return runs.join(off, [*keys, "block"], "left").withColumn("wear", F.when(F.col("_off") == 1, 0).otherwise(F.col("wear"))).drop("_off", "block")
+    day, block = Window.partitionBy(*keys).orderBy("ts"), Window.partitionBy(*keys, "block")
+    runs = islands(df, keys, ["ts"], "wear").withColumn("size", F.count("*").over(block))
+    runs = runs.withColumn("_p", F.lag("size").over(day)).withColumn("_q", F.lead("size").over(day))
+    whole = block.orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    runs = runs.withColumn("prev", F.first("_p").over(whole)).withColumn("post", F.last("_q").over(whole))
+    return runs.withColumn("wear", F.when((F.col("wear") == 1) & rule, 0).otherwise(F.col("wear"))).drop("block", "size", "_p", "_q", "prev", "post")
 
 
 def rescore_wear(df: DataFrame, passes: int = 3, last_day: bool = True) -> DataFrame:
@@ -55,7 +55,5 @@ def rescore_wear(df: DataFrame, passes: int = 3, last_day: bool = True) -> DataF
         df = _rescore(df, F.coalesce(inner, F.lit(False)))
     if not last_day:
         return df
-    ends = df.groupBy("recording_id").agg(F.max("day_no").alias("_d"), F.max("ts").alias("_e"))
-    df = df.join(ends, "recording_id")
-    tail = _rescore(df.where(F.col("day_no") == F.col("_d")).drop("_d"), (hours < 3) & (F.col("prev") * 0.25 >= 1))
-    return df.where(F.col("day_no") != F.col("_d")).drop("_d", "_e").unionByName(tail.drop("_e"))
+    df = df.withColumn("_d", F.max("day_no").over(Window.partitionBy("recording_id")))
+    return _rescore(df, F.coalesce((F.col("day_no") == F.col("_d")) & (hours < 3) & (F.col("prev") * 0.25 >= 1), F.lit(False))).drop("_d")
