@@ -154,8 +154,11 @@ def redact_secrets(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(cut, lambda s: s["end"]))
     starts = F.concat(F.transform(cut, lambda s: s["start"]), F.array(F.char_length(text).cast("long")))
     kept = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda g: F.substring(text, (g["a"] + 1).cast("int"), (g["b"] - g["a"]).cast("int")))
-    new = F.when(cut.isNull(), text).otherwise(F.array_join(kept, mark))
-    out = {"text": new} | ({"n_chars": F.when(cut.isNull(), F.col("n_chars")).otherwise(F.char_length(new).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    # The new text has a name of its own: beside an alias "text", lambdas would read that one.
+    joined = joined.withColumn("_new", F.when(cut.isNull(), text).otherwise(F.array_join(kept, mark)))
+    out = {"text": F.col("_new")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(cut.isNull(), F.col("n_chars")).otherwise(F.char_length("_new").cast(docs.schema["n_chars"].dataType))
     return joined.select(*[out.get(x, F.col(x)).alias(x) for x in docs.columns])
 
 
