@@ -187,6 +187,7 @@ def covariate_correlations(long: DataFrame, method: str = "pearson", digits: int
         return counted.select("feature", F.col("value").cast("double"), F.col("covariate").cast("double")).groupBy("feature").applyInPandas(run, "feature string, n long, r double, p double")
     if method == "spearman":
         pairs = average_rank(average_rank(pairs, ["feature"], "value", "_x"), ["feature"], "covariate", "_y").select("feature", F.col("_x").alias("value"), F.col("_y").alias("covariate"))
-    r = F.corr(F.col("value").cast("double"), F.col("covariate").cast("double"))
+    x, y = F.col("value").cast("double"), F.col("covariate").cast("double")
+    r = safe_div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # null for a constant, where corr fails
     p_value = F.udf(lambda r, n: None if r is None else round(t_test_p(min(1.0, max(-1.0, r)), n), digits), "double")  # on one row a feature
     return pairs.groupBy("feature").agg(F.count("*").alias("n"), r.alias("r")).where(F.col("n") >= 3).select("feature", "n", F.round("r", digits).alias("r"), p_value("r", "n").alias("p"))
