@@ -30,7 +30,7 @@ from actispark.llm.common import broadcast_if_small, documents, materialise
 
 BANDS, ROWS, MANTISSA = 32, 5, 10
 BUCKETS = BANDS * ROWS
-BLOCK = 256
+BLOCK = 512
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)

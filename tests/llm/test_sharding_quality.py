@@ -60,8 +60,8 @@ def test_quality_numbers(spark, sf_dir, texts):
 
 
 def test_frequent_lines_deplete(spark):
-    words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
-    rows = [(i, f"Common line of this host number {10 + i}\n{words(i, 30)}", "a") for i in range(60)]  # digits are equal
+    words = lambda i, n: " ".join(chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + k) for k in range(n))
+    rows = [(i, f"Common line of this host number {10 + i}\n{words(i, 20)}", "a") for i in range(60)]  # digits are equal
     rows += [(100 + i, f"Common line of this host number 77\n{words(i, 4)}", "a") for i in range(5)]
     rows += [(200 + i, "one text that has many exact copies and more words than ten in it", "a") for i in range(50)]
     got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
