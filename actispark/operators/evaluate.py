@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from actispark.functions.scalars import clean_scored, safe_div
 from actispark.operators.nights import wake_interval_times
+from actispark.operators.spans import within
 
 BINS = 4096
 
@@ -18,10 +19,9 @@ BINS = 4096
 def diary_truth(epochs: DataFrame, matched_days: DataFrame, diary: DataFrame, intervals: DataFrame) -> DataFrame:
     """Epochs in bed with truth: 0 (awake) in [t1, t2], in a wake interval or in [t3, t4], else 1. Each epoch counts once."""
     days = matched_days.select("day_id", "recording_id", "t1", "t2", "t3", "t4")
-    at = epochs.join(days, "recording_id").where(F.col("ts").between(F.col("t1"), F.col("t4")))
-    spans = wake_interval_times(diary, intervals).select(F.col("day_id").alias("_day"), "start_ts", "end_ts")
-    inside = (F.col("day_id") == F.col("_day")) & F.col("ts").between(F.col("start_ts"), F.col("end_ts"))
-    hit = at.join(spans, inside, "left_semi").select("day_id", "recording_id", "ts", F.lit(True).alias("_w")).distinct()
+    at = within(epochs, days, "recording_id", "t1", "t4")
+    spans = wake_interval_times(diary, intervals).select("day_id", "start_ts", "end_ts")
+    hit = within(at, spans, "day_id", "start_ts", "end_ts", "left_semi").select("day_id", "recording_id", "ts", F.lit(True).alias("_w")).distinct()
     at = at.join(hit, ["day_id", "recording_id", "ts"], "left")
     awake = F.col("ts").between(F.col("t1"), F.col("t2")) | F.col("ts").between(F.col("t3"), F.col("t4")) | F.coalesce("_w", F.lit(False))
     return at.withColumn("truth", (~awake).cast("int")).drop("_w", "t1", "t2", "t3", "t4")

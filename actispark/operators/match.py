@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from actispark.functions.scalars import with_sleep_ratios
+from actispark.operators.spans import within
 
 
 def algorithmic_nights(rest_periods: DataFrame, endpoints: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -18,13 +19,18 @@ def algorithmic_nights(rest_periods: DataFrame, endpoints: DataFrame, recordings
 
 
 def match_nearest_night(sleeppy: DataFrame, nights: DataFrame) -> DataFrame:
-    """sleeppy with night_id of the nearest onset in the same recording; of two equally near ones the later. A recording
-    has some nights, so an equal join on it is small."""
-    other = nights.select("recording_id", "night_id", F.col("sleep_onset").alias("_onset"))
-    at = sleeppy.withColumn("_row", F.monotonically_increasing_id()) if "sleeppy_id" not in sleeppy.columns else sleeppy.withColumn("_row", F.col("sleeppy_id"))
-    away = F.abs(F.timestamp_diff("MICROSECOND", F.col("_onset"), F.col("sleep_onset")))
-    first = F.row_number().over(Window.partitionBy("_row").orderBy(F.when(F.col("_onset").isNotNull(), away).asc_nulls_last(), F.col("_onset").desc(), F.col("night_id")))
-    return at.join(other, "recording_id", "left").withColumn("_r", first).where(F.col("_r") == 1).drop("_r", "_row", "_onset")
+    """sleeppy with night_id of the nearest onset in the same recording; of two equally near ones the later. Both tables
+    go into one time line a recording, where a window sees the last night before and the first after: no pairs are made."""
+    other = nights.where(F.col("sleep_onset").isNotNull()).groupBy("recording_id", F.col("sleep_onset").alias("_at")).agg(F.min("night_id").alias("night_id"))
+    line = other.select("recording_id", "_at", F.struct("_at", "night_id").alias("_n"), F.lit(None).cast(sleeppy.schema).alias("_s"))
+    line = line.unionByName(sleeppy.select("recording_id", F.col("sleep_onset").alias("_at"), F.lit(None).cast(line.schema["_n"].dataType).alias("_n"), F.struct(*sleeppy.columns).alias("_s")))
+    up = Window.partitionBy("recording_id").orderBy(F.col("_at").asc_nulls_first(), F.col("_n").isNull())
+    down = Window.partitionBy("recording_id").orderBy(F.col("_at").desc_nulls_last(), F.col("_n").isNotNull())
+    before, after = (F.last("_n", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for w in (up, down))  # a growing frame each
+    at = line.withColumn("_b", before).withColumn("_a", after).where(F.col("_s").isNotNull())
+    away = lambda c: F.abs(F.timestamp_diff("MICROSECOND", F.col("_at"), F.col(f"{c}._at")))
+    later = F.col("_a").isNotNull() & (F.col("_b").isNull() | (away("_a") <= away("_b")))
+    return at.select("_s.*", F.when(F.col("_at").isNotNull(), F.when(later, F.col("_a.night_id")).otherwise(F.col("_b.night_id"))).alias("night_id"))
 
 
 def dedupe_night_match(matched: DataFrame, minimum_first_hours: float = 12.0) -> DataFrame:
@@ -38,8 +44,7 @@ def dedupe_night_match(matched: DataFrame, minimum_first_hours: float = 12.0) ->
 def night_activity(ai: DataFrame, nights: DataFrame) -> DataFrame:
     """Activity-index rows in a night's [onset, end], both included; a recording's day gets its first matching night only.
     day_index is day_no + 1."""
-    n = nights.select(F.col("recording_id").alias("_rec"), "night_id", "sleep_onset", "sleep_end")
-    at = ai.join(n, (F.col("recording_id") == F.col("_rec")) & F.col("ts").between(F.col("sleep_onset"), F.col("sleep_end"))).drop("_rec")
+    at = within(ai, nights.select("recording_id", "night_id", "sleep_onset", "sleep_end"), "recording_id", "sleep_onset", "sleep_end")
     rank = F.dense_rank().over(Window.partitionBy("recording_id", "day_no").orderBy("sleep_onset", "night_id"))
     return at.withColumn("_r", rank).where(F.col("_r") == 1).drop("_r").withColumn("day_index", F.col("day_no") + 1)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actispark.functions.scalars import binarize_scores, norm_awk5plus, norm_se, norm_sol, norm_waso, with_sleep_ratios
+from actispark.operators.spans import within
 
 DAY = 86_400
 
@@ -61,8 +62,8 @@ def match_days_to_recordings(diary: DataFrame, recordings: DataFrame, epochs: Da
     owned = recordings.select("recording_id", "subject").withColumn("_n", F.count("*").over(Window.partitionBy("subject")))
     days = diary_timeline(diary).join(owned, "subject")
     several = days.where(F.col("_n") > 1)
-    inside = (F.col("e.recording_id") == F.col("d.recording_id")) & F.col("e.ts").between(F.col("d.t1"), F.col("d.t4"))
-    seen = several.alias("d").join(epochs.select("recording_id", "ts").alias("e"), inside, "left_semi")
+    hits = within(epochs.select("recording_id", "ts"), several.select("recording_id", "day_id", "t1", "t4"), "recording_id", "t1", "t4").select("recording_id", "day_id").distinct()
+    seen = several.join(hits, ["recording_id", "day_id"], "left_semi")
     first = F.row_number().over(Window.partitionBy("day_id").orderBy("recording_id"))
     return days.where(F.col("_n") == 1).unionByName(seen).withColumn("_r", first).where(F.col("_r") == 1).drop("_r", "_n")
 
@@ -85,7 +86,7 @@ def night_metrics(epochs: DataFrame, matched_days: DataFrame, epoch_s: int = 30,
     seconds, wake bouts (falls from sleep to wake, less one) and awk5plus."""
     keys = ["day_id"]
     days = matched_days.select("day_id", "recording_id", "subject", "date", "t1", "t4")
-    at = epochs.select("recording_id", "ts", "score").join(days, "recording_id").where(F.col("ts").between(F.col("t1"), F.col("t4")))
+    at = within(epochs.select("recording_id", "ts", "score"), days, "recording_id", "t1", "t4")
     at = binarize_scores(at, keys, "score", threshold)
     w = Window.partitionBy(*keys)
     asleep = F.when(F.col("score") == 1, F.col("ts"))
