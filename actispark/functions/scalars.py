@@ -65,7 +65,7 @@ def norm_awk5plus(age: str | Column, count: str | Column) -> Column:
 
 
 def norm_waso(age: str | Column, value: str | Column, unit_divisor: float = 1.0) -> Column:
-    """Wake after sleep onset. The limits are minutes, yet the reference applies them to seconds: so does divisor 1."""
+    """Wake after sleep onset. The limits read as minutes but are held against the raw value (seconds) unless a divisor is given."""
     age, v = _col(age), _col(value) / unit_divisor
     old, young = age >= OLDER_ADULT, (age < SCHOOL_AGE) | (age >= TEENAGER) & (age < YOUNG_ADULT)
     return _bands(v, (v <= F.when(old, 30).otherwise(20), 1), (old | (v <= F.when(young, 50).otherwise(40)), 0))
