@@ -14,7 +14,7 @@ from actispark.plans.base import CLINICAL, FEATURES, SCORES, SUBJECTS, clinical,
 ROC_BINS = "ROWS UNBOUNDED PRECEDING"
 
 
-@query("p14_prepare_clinical", """SELECT CAST(c_custkey AS VARCHAR) AS "#Subject", CASE upper(trim(g)) WHEN 'F' THEN 1.0 WHEN 'M' THEN 2.0 END AS "#Gender", TRY_CAST(v AS DOUBLE) AS value
+@query("p14_prepare_clinical", """SELECT CAST(c_custkey AS VARCHAR) AS "#Subject", CAST(CASE upper(trim(g)) WHEN 'F' THEN 1 WHEN 'M' THEN 2 END AS DOUBLE) AS "#Gender", TRY_CAST(v AS DOUBLE) AS value
  FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN ' f' WHEN c_custkey % 3 = 1 THEN 'M ' ELSE 'x' END g, CASE WHEN c_custkey % 5 = 0 THEN 'n/a' ELSE CAST(c_acctbal AS VARCHAR) END v FROM customer)""")
 def prepare_clinical(spark, sf_dir):
     k = F.col("c_custkey")

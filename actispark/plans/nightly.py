@@ -19,8 +19,8 @@ NORMS = f"""CASE WHEN sol / 60 <= 30 THEN 1 WHEN sol / 60 <= CASE WHEN {OLD} THE
  CASE WHEN se >= 85 THEN 1 WHEN se >= CASE WHEN age >= 18 AND age < 26 THEN 65 ELSE 75 END THEN 0 ELSE -1 END se_norm"""
 RATIOS = "tib - (sol + waso + wasf) tst, CASE WHEN tib <> 0 THEN 100 * (tib - (sol + waso + wasf)) / tib::DOUBLE END se, CASE WHEN tib - (sol + waso + wasf) <> 0 THEN wb / ((tib - (sol + waso + wasf)) / 3600::DOUBLE) END sf"
 NIGHT_ROWS = f"{NIGHTS}, {SUBJECTS}, n1 AS (SELECT n.*, {RATIOS}, age, pPD, pMCI, HC, SA FROM nights n JOIN subjects s ON n.subject = s.code), night_rows AS (SELECT *, {NORMS} FROM n1)"
-DIARY_ROWS = f"""{DIARY}, {INTERVALS}, agg AS (SELECT day_id, sum(duration) waso, count(*) wb, count(*) FILTER (duration >= 300) awk5plus, sum(epoch(end_ts - start_ts) % 86400) span FROM wakes GROUP BY 1),
-d1 AS (SELECT t.day_id, t.subject, t.date, CAST(epoch(t4 - t1) AS BIGINT) % 86400 tib, CAST(epoch(t2 - t1) AS BIGINT) % 86400 sol, coalesce(waso, 0) waso, CAST(epoch(t4 - t3) AS BIGINT) % 86400 wasf, coalesce(wb, 0) wb, coalesce(awk5plus, 0) awk5plus,
+DIARY_ROWS = f"""{DIARY}, {INTERVALS}, agg AS (SELECT day_id, CAST(sum(duration) AS BIGINT) waso, count(*) wb, count(*) FILTER (duration >= 300) awk5plus, CAST(sum(epoch(end_ts - start_ts) % 86400) AS BIGINT) span FROM wakes GROUP BY 1),
+d1 AS (SELECT t.day_id, t.subject, t.date, CAST(CAST(epoch(t4 - t1) AS BIGINT) % 86400 AS INT) tib, CAST(CAST(epoch(t2 - t1) AS BIGINT) % 86400 AS INT) sol, coalesce(waso, 0) waso, CAST(CAST(epoch(t4 - t3) AS BIGINT) % 86400 AS INT) wasf, coalesce(wb, 0) wb, coalesce(awk5plus, 0) awk5plus,
  CAST(epoch(t3 - t2) AS BIGINT) % 86400 - coalesce(span, 0) dtst FROM timeline t LEFT JOIN agg USING (day_id)),
 d2 AS (SELECT d.*, {RATIOS}, age, pPD, pMCI, HC, SA FROM d1 d JOIN subjects s ON d.subject = s.code), diary_rows AS (SELECT *, {NORMS} FROM d2)"""
 R = lambda *cols: ", ".join(f"round({c}, 6) {c.split('.')[-1]}" if c.split(".")[-1].split("_")[-1] in ("se", "sf") and not c.endswith("norm") else c for c in cols)
