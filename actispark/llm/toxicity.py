@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another; each linear model sees the words of the text and the probabilities of the
+Categories are predicted one after another; each linear model sees the words of the text (and their beginnings) and the probabilities of the
 categories before it. In training these are out-of-fold predictions, so a later model learns from what earlier ones say
 about texts they haven't seen. The labels know toxic or not; a category's label is a toxic document with a word of the
 category's list (``severe``: with three or more of any list), and the last category is the label itself.
@@ -32,20 +32,34 @@ CHAIN = ("insult", "degrading", "severe", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> set[str]:
+def plain_words(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
+def words_of(text: str | None) -> set[str]:
+    """The words of a text and, marked by ^, their first four, five and seven letters: inflected words share these."""
+    words = plain_words(text)
+    return words.union(["^" + w[:n] for n in (4, 5, 7) for w in words if len(w) >= n])
+
+
+def known_words(text: str | None, known: dict[str, int]) -> set[str]:
+    """Those of words_of(text) that are known, without keeping the others."""
+    words = plain_words(text)
+    return (known.keys() & words).union([p for n in (4, 5, 7) for w in words if len(w) >= n and (p := "^" + w[:n]) in known])
+
+
 def _category(words: set[str], toxic: int) -> list[int]:
     hits = len(words & INSULT) + len(words & DEGRADING)
     return [int(toxic and bool(words & INSULT)), int(toxic and bool(words & DEGRADING)), int(toxic and hits >= 3), toxic]
 
 
 def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        words = [words_of(t) for t in b.column(2).to_pylist()]
-        y = [_category(w, t) for w, t in zip(words, b.column(1).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(y, pa.list_(pa.int32())), pa.array([sorted(w) for w in words], pa.list_(pa.string()))], ["doc_id", "y", "words"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 100):  # a text's words take more room than the text
+            b = whole.slice(at, 100)
+            words = [words_of(t) for t in b.column(2).to_pylist()]
+            y = [_category(w, t) for w, t in zip(words, b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(y, pa.list_(pa.int32())), pa.array([sorted(w) for w in words], pa.list_(pa.string()))], ["doc_id", "y", "words"])
 
 
 class Linear:
@@ -81,6 +95,7 @@ class Chain:
     def __init__(self, vocabulary: list[str]):
         self.place = {w: i for i, w in enumerate(vocabulary)}
         self.models: list[Linear] = []
+        self.clean = 0.0  # what out-of-fold probabilities of clean texts stay below, but for one in a thousand
 
     def features(self, texts: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
         known = self.place.keys()
@@ -105,6 +120,7 @@ class Chain:
                 out[own] = model.probability((np.cumsum(own) - 1)[rows[~train]], cols[~train], dense[own])
             self.models.append(Linear().fit(rows, cols, dense, y[:, k], size))
             before.append(out)
+        self.clean = float(np.quantile(before[-1][y[:, -1] == 0], 0.999))
         return self
 
     def probabilities(self, texts: list[set[str]]) -> list[np.ndarray]:
@@ -137,33 +153,39 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, vocabulary:
     return Chain(words).fit([set(r["words"]) for r in kept], np.array([r["y"] for r in kept], float), folds_of)
 
 
+def _limit(chain: Chain | None, threshold: float) -> float:
+    """What a probability must exceed: threshold, or more where that would take clean texts."""
+    return max(threshold, chain.clean) if chain else 1.0
+
+
 def _probabilities(chain: Chain | None, batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
     if chain is None:
         return [np.zeros(batch.num_rows)] * len(CHAIN)
-    parts = [chain.probabilities([words_of(t) for t in batch.slice(i, 500).column(column).to_pylist()]) for i in range(0, batch.num_rows, 500)]
+    parts = [chain.probabilities([known_words(t, chain.place) for t in batch.slice(i, 200).column(column).to_pylist()]) for i in range(0, batch.num_rows, 200)]
     return [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0)] * len(CHAIN)
 
 
-def score(docs: DataFrame, chain: Chain | None, threshold: float = 0.35) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, p_ of each category, toxic (the last one's at least threshold), kept."""
+def score(docs: DataFrame, chain: Chain | None, threshold: float = 0.25) -> DataFrame:
+    """One row per row of docs(doc_id, text): doc_id, p_ of each category, toxic (the last one is above threshold and above
+    what clean labelled texts reach out of fold), kept."""
+    limit = _limit(chain, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = _probabilities(chain, b, 1)
-            bad = pa.array(p[-1] >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, p), bad, pa.array(p[-1] < threshold)], ["doc_id", *(f"p_{c}" for c in CHAIN), "toxic", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, p), pa.array(p[-1] > limit), pa.array(p[-1] <= limit)], ["doc_id", *(f"p_{c}" for c in CHAIN), "toxic", "kept"])
 
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in CHAIN) + ", toxic boolean, kept boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def drop_toxic(docs: DataFrame, chain: Chain | None, threshold: float = 0.35) -> DataFrame:
+def drop_toxic(docs: DataFrame, chain: Chain | None, threshold: float = 0.25) -> DataFrame:
     """The rows of docs whose text is not toxic, with all their columns."""
-    at = docs.columns.index("text")
+    at, limit = docs.columns.index("text"), _limit(chain, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(_probabilities(chain, b, at)[-1] < threshold))
+            yield b.filter(pa.array(_probabilities(chain, b, at)[-1] <= limit))
 
     return docs.mapInArrow(run, docs.schema)
 
