@@ -47,7 +47,7 @@ def byte_characters() -> list[str]:
 class Encoder:
     """ids and decoded texts as the tokenizer file gives them; keeps at most cache words (twice, in two generations)."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab: dict[str, int] = spec["model"]["vocab"]
@@ -104,6 +104,10 @@ class Encoder:
         out, cuts = sym.astype("<u4").tobytes(), cuts.tolist()
         return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def forget(self) -> None:
+        """Empties the cache; a worker that goes on to other tasks then holds the vocabulary only."""
+        self.young, self.old, self.decoded = {}, {}, {}
+
     def learn(self, words: list[str]) -> None:
         """Puts the ids of words into the cache."""
         if len(self.young) + len(words) > self.limit:
@@ -201,6 +205,7 @@ def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
                     text_sha.append(hashlib.sha256(e.decode_words(words)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

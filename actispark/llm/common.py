@@ -12,7 +12,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+#: Rows that go to Python at once. Texts are long and a few are very long, so the default of 10,000 takes much memory.
+ARROW_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -29,6 +38,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder as Parquet and read back: lineage is cut, the rows are fixed,
     and a lost executor costs only the tasks it ran."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/actispark/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

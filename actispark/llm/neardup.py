@@ -210,9 +210,10 @@ def _forest(threshold: float):
             shared = count[local] > 1
             place = (np.cumsum(count > 1) - 1)[local[shared]]
             owner, common = owner[shared], np.zeros((len(sizes), len(sizes)), np.float32)
-            for s in range(0, int((count > 1).sum()), 8192):
-                own = (place >= s) & (place < s + 8192)
-                m = np.zeros((len(sizes), 8192), np.float32)
+            step = 2048
+            for s in range(0, int((count > 1).sum()), step):
+                own = (place >= s) & (place < s + step)
+                m = np.zeros((len(sizes), step), np.float32)
                 m[owner[own], place[own] - s] = 1
                 common += m @ m.T
             x, y = np.nonzero(open_)

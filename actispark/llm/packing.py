@@ -85,6 +85,7 @@ def pieces_of(docs: DataFrame, most: int, path: str | None = None) -> DataFrame:
                         crc.append(zlib.crc32(part))
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "row_id", "piece", "start", "length", "ids_crc32"])
+        e.forget()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), "text")
     return rows.mapInArrow(run, "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long")
