@@ -180,7 +180,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def batches_of(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def batches_of(batch: pa.RecordBatch, column: int, most: int = 1_500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of some MB of text each, with their texts."""
     part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // most
     edges = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows])).tolist()
