@@ -48,3 +48,30 @@ def test_odd(spark, sf_dir, odd_documents):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
     assert docs.columns == odd_documents.columns and [r["doc_id"] for r in docs.collect()] == [8]
+
+
+def test_near_duplicates_from_four_fifths(spark, sf_dir):
+    """Pairs of 0.8 and more go: those under op7's 0.85 too, and the pair at exactly 0.8, but none below."""
+    words = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    rows = []
+    for k, changed in enumerate((20, 22, 24, 26, 30, 40)):  # the last words differ, so J = (196 - changed) / (196 + changed)
+        a = words(f"w{k}x", 200)
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[: 200 - changed] + words(f"v{k}x", changed)))]
+    short = words("s", 13)  # 9 shingles each, 8 shared, 10 in all
+    rows += [(100, " ".join(short)), (101, " ".join(short[:12] + ["other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()}
+    of = dict(rows)
+    assert brute_components(of, 80) != brute_components(of, 85)
+    assert kept == {d for d, (_, c) in brute_components(of, 80).items() if c == d}
+    assert 101 not in kept and 5 in kept
+
+
+def test_near_stage_on_driver_documents(outputs, texts):
+    ids = [[r["doc_id"] for r in o.select("doc_id").collect()] for o in outputs]
+    at = brute_components({d: texts[d] for d in ids[2]}, 80)
+    assert set(ids[3]) == {d for d, (_, c) in at.items() if c == d}
+    for r in outputs[4].collect():
+        assert (r["text"] == texts[r["doc_id"]]) == (plain_secrets(texts[r["doc_id"]]) == "")
+        assert plain_secrets(r["text"]) == ""
+    assert sorted(ids[3]) == sorted(ids[4]) and set(ids[5]) == set(ids[4])
