@@ -36,8 +36,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_DOTS = "dot|punkt|point|punto"
+_DOT = re.compile("(?i)" + _DOTS)  # what e-mails in words can't do without, by the case rules of their pattern
 _WEAK = {
-    "email_words": re.compile(r"(?i)(?<![\w.%+-])[a-z0-9._%+-]{2,64} ?[(\[{]? ?(?:at|arroba) ?[)\]}]? [a-z0-9-]{2,63} ?[(\[{]? ?(?:dot|punkt|point|punto) ?[)\]}]? [a-z]{2,10}(?![\w])"),
+    "email_words": re.compile(r"(?i)(?<![\w.%+-])[a-z0-9._%+-]{2,64} ?[(\[{]? ?(?:at|arroba) ?[)\]}]? [a-z0-9-]{2,63} ?[(\[{]? ?(?:" + _DOTS + r") ?[)\]}]? [a-z]{2,10}(?![\w])"),
     "phone_local": re.compile(r"(?<![\w.+(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])"),
     "ssn": re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)"),
@@ -121,7 +123,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     spans = [(BASE[k], a, b) for k, a, b in base]
     digits = bool(_DIGIT.search(text))
     for kind, r in _WEAK.items():
-        if kind in ("phone_local", "ssn", "iban") and not digits or kind == "name" and not any(t in text for t in _TITLES) and not any(g in text for g in GIVEN) or kind == "email_words" and not any(w in text for w in (" dot", "(dot", "[dot", "{dot", " DOT", " punkt", " punto", " point")):
+        if kind in ("phone_local", "ssn", "iban") and not digits or kind == "name" and not any(t in text for t in _TITLES) and not any(g in text for g in GIVEN) or kind == "email_words" and not _DOT.search(text):
             continue
         spans += [(kind, *m.span()) for m in r.finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in base) and (kind != "name" or m[0].startswith(_TITLES) or GIVEN & set(m[0].split()))]
     out = []

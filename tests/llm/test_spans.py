@@ -104,3 +104,18 @@ def test_odd_documents(run, odd_documents, no_documents):
     got = run(odd_documents).collect()
     assert len(got) == 10 and sum(r["spans"] == "" for r in got) >= 8
     assert run(no_documents).count() == 0
+
+
+@pytest.mark.parametrize("form", ["john.doe [AT] example [DOT] com", "john (at) example (Dot) com", "hans at beispiel Punkt de", "juan arroba ejemplo PUNTO es", "jean at exemple (Poınt) fr", "ann at example{dot} org"])
+def test_gate_passes_what_the_pattern_accepts(form):
+    assert pii._WEAK["email_words"].search(form)
+    found = pii.candidates(f"Write to {form}, please.", [])
+    assert pii.CODE["email_words"] in {c["kind"] for c in found}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.tuples(*[st.sampled_from(x) for x in (["", "a ", "to ab."], ["", " "], ["at ", "(AT) ", "[at] ", "aRRoba "], ["ab", "a-b", "adot"], ["", " ", "  "], ["", "(", "[", "{ "], ["dot", "Dot", "DOT", "dOt", "PUNKT", "pun\u212at", "Punto", "Point", "po\u0131nt"], ["", ")", "] "], [" com", " d", ""])]))
+def test_gate_never_refuses_a_match(parts):
+    text = "me" + "".join(parts)
+    spans = [m.span() for m in pii._WEAK["email_words"].finditer(text)]
+    assert [(c["start"], c["end"]) for c in pii.candidates(text, []) if c["kind"] == pii.CODE["email_words"]] == spans
