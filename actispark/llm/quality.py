@@ -1,8 +1,8 @@
 """Quality rules: cross-document line frequency.
 
 Lines are normalised and hashed; for each host the distinct documents (distinct texts: exact copies count once) that hold
-a line are counted. Lines above the host's limit are boilerplate, and a document that keeps too few words without them is
-rejected. Documents are scanned once into a table of counts and line hashes; texts are never shuffled.
+a line are counted. Lines above the host's limit are boilerplate: they are cut out of the texts, and a document that keeps
+too few words without them is rejected. Documents are scanned once into a table of counts and line hashes; keep_good looks up rejected and cut texts by a key.
 
 A common line of a large host is one key for a third of all rows: its documents are made distinct by (host, line, text)
 first, then counted by partial sums. The lines above limits are broadcast if their counted number is small, else joined by
@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from actispark.llm.common import broadcast_if_small, documents, materialise, text_key
 
@@ -55,6 +56,11 @@ def repeated_words(words: list[bytes], size: int = 5) -> int:
     return int((np.cumsum(covered)[:-1] > 0).sum())
 
 
+def line_hash(parts: list[bytes]) -> int:
+    """The hash of a normalised line of these words."""
+    return xxhash.xxh3_64_intdigest(b" ".join(parts)) - 2**63
+
+
 def measures(text: str) -> tuple[tuple[int, ...], dict[int, int]]:
     """The numbers of a text, and the words of each of its normalised lines by the line's hash."""
     data = text.encode(errors="surrogatepass")
@@ -62,7 +68,7 @@ def measures(text: str) -> tuple[tuple[int, ...], dict[int, int]]:
     rows = [r for r in data.split(b"\n") if r.strip()]  # bytes know the six ASCII blanks only
     for r in rows:
         parts = r.translate(_DIGITS).split()
-        h = xxhash.xxh3_64_intdigest(b" ".join(parts)) - 2**63
+        h = line_hash(parts)
         lines[h] = lines.get(h, 0) + len(parts)
     full = len(text) - sum(map(text.count, SPACE))
     return (len(words), full, sum(map(text.count, SYMBOLS)), len(rows) - len(set(rows)), repeated_words(words)), lines
@@ -94,17 +100,15 @@ def frequent_lines(scanned: DataFrame, share: float, least: int) -> DataFrame:
     return of_line.join(of_host, of_line["host"].eqNullSafe(of_host["host"])).where(F.col("texts") > share * F.col("host_texts")).select(of_line["host"].alias("f_host"), F.col("line").alias("f_line"))
 
 
-def judge(docs: DataFrame, share: float = 0.1, least: int = 20, keep_share: float = 0.3, keep_words: int = 10) -> DataFrame:
-    """One row per row of docs(doc_id, text, source): its numbers, base_failed, n_removed_words, kept, and the keys host,
-    text_hash and text_crc. Depleted, and so rejected, is what has fewer than keep_words words, or less than keep_share of
-    its words, outside of frequent lines."""
+def _judged(docs: DataFrame, share: float = 0.1, least: int = 20, keep_share: float = 0.3, keep_words: int = 10) -> DataFrame:
+    """judge's rows, and as cut the hashes of the frequent lines in the text (null: none)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), *text_key(), F.monotonically_increasing_id().alias("row_id"), text.alias("text"))
     scanned = materialise(inner.mapInArrow(_scan, _SCHEMA), "quality")
     frequent = materialise(frequent_lines(scanned, share, least), "frequent-lines")
     lines = scanned.select("row_id", "host", F.inline("lines"))
     hit = lines.join(broadcast_if_small(frequent, frequent.count()), (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
-    removed = hit.groupBy("row_id").agg(F.sum("words").alias("n_removed_words"))
+    removed = hit.groupBy("row_id").agg(F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("cut"))
     rest = F.col("n_words") - F.col("n_removed_words")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (
@@ -115,13 +119,41 @@ def judge(docs: DataFrame, share: float = 0.1, least: int = 20, keep_share: floa
     )
 
 
+def judge(docs: DataFrame, **limits) -> DataFrame:
+    """One row per row of docs(doc_id, text, source): its numbers, base_failed, n_removed_words, kept, and the keys host,
+    text_hash and text_crc. Depleted, and so rejected, is what has fewer than keep_words words, or less than keep_share of
+    its words, outside of frequent lines."""
+    return _judged(docs, **limits).drop("cut")
+
+
+def without_lines(text: str, cut: set[int]) -> str:
+    """text without the lines, line breaks included, whose hash is in cut; the others as they are and in their order."""
+    rows = text.encode(errors="surrogatepass").split(b"\n")
+    return b"\n".join(r for r in rows if not r.strip() or line_hash(r.translate(_DIGITS).split()) not in cut).decode(errors="surrogatepass")
+
+
+@F.arrow_udf(StringType())
+def _without_lines(text: pa.Array, cut: pa.Array) -> pa.Array:
+    return pa.array([None if c is None else without_lines(t.as_py(), set(c)) for t, c in zip(text, cut.to_pylist(), strict=True)], pa.string())
+
+
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that judge keeps. A verdict depends on host and text only, so rejected ones are told by these."""
-    judged = judge(docs, **limits).where(~F.col("kept")).select(F.col("host").alias("_s"), F.col("text_hash").alias("_h"), F.col("text_crc").alias("_c")).distinct()
-    rejected = materialise(judged, "rejected")
+    """The rows of docs that judge keeps, without the frequent lines in text, and n_chars renewed where it exists. Verdict
+    and lines depend on host and text only, so rejected and cut texts are told by these."""
+    keys = [F.col("host").alias("_s"), F.col("text_hash").alias("_h"), F.col("text_crc").alias("_c")]
+    judged = _judged(docs, **limits).where(~F.col("kept") | F.col("cut").isNotNull())
+    changed = judged.groupBy(*keys).agg(F.first("kept").alias("_kept"), F.first(F.when(F.col("kept"), F.col("cut"))).alias("_cut"))
+    changed = materialise(changed, "rejected-and-cut")
     h, c = text_key()
     on = (h == F.col("_h")) & (c == F.col("_c")) & F.col("source").cast("string").eqNullSafe(F.col("_s"))
-    return docs.join(broadcast_if_small(rejected, rejected.count()), on, "left_anti")
+    joined = docs.join(broadcast_if_small(changed, changed.count(), 100_000), on, "left").where(F.coalesce("_kept", F.lit(True)))
+    whole = F.col("_cut").isNull()
+    # Texts that stay whole don't go to Python.
+    joined = joined.withColumn("_new", _without_lines(F.when(~whole, F.col("text")), F.col("_cut")))
+    out = {"text": F.when(whole, F.col("text")).otherwise(F.col("_new"))}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.char_length("_new").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[out.get(x, F.col(x)).alias(x) for x in docs.columns])
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

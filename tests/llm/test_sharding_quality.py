@@ -79,3 +79,31 @@ def test_stage_keeps_what_judge_keeps(documents):
 def test_odd_quality(odd_documents, no_documents):
     assert sum(r["kept"] for r in quality.judge(odd_documents).collect()) == 2  # the two texts of thirteen words
     assert quality.judge(no_documents).count() == 0 == quality.keep_good(no_documents).count()
+
+
+def own(i, n=12):
+    return " ".join(chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676) + chr(97 + k) for k in range(n))
+
+
+def test_frequent_lines_are_cut(spark):
+    """Whole texts come back without these lines, however written, and with all others in their order."""
+    rows = []
+    for i in range(60):
+        rows.append((i, f"All rights reserved by Host {i}\n\n{own(i)}\n  \tAll Rights reserved by  host 7 \nend of {own(i, 3)}\n", "a"))
+    rows += [(100 + i, rows[0][1], "a") for i in range(3)]  # exact copies
+    rows += [(200, rows[0][1], "b"), (201, "é " + own(201) + "\nall rights reserved by host 1", "a"), (202, own(202) + "\r\nlast", "a")]
+    schema = "doc_id long, text string, source string, n_chars int, extra string"
+    docs = spark.createDataFrame([(d, t, s, len(t), f"x{d}") for d, t, s in rows], schema)
+    out = quality.keep_good(docs)
+    assert out.schema == docs.schema
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert set(got) == {d for d, _, _ in rows}
+    want = {d: t for d, t, _ in rows}
+    for i in [*range(60), 100, 101, 102]:
+        k = 0 if i >= 100 else i
+        want[i] = f"\n{own(k)}\nend of {own(k, 3)}\n"
+    want[201] = "é " + own(201)
+    for d, r in got.items():
+        assert (r["text"], r["n_chars"], r["extra"]) == (want[d], len(want[d]), f"x{d}")
+    judged = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert all(len(r["text"].split()) == judged[d]["n_words"] - judged[d]["n_removed_words"] for d, r in got.items())
