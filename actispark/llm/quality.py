@@ -1,8 +1,9 @@
 """Quality rules: cross-document line frequency.
 
 Lines are normalised and hashed; for each host the distinct documents (distinct texts: exact copies count once) that hold
-a line are counted. Lines above the host's limit are boilerplate: they are cut out of the texts, and a document that keeps
-too few words without them is rejected. Documents are scanned once into a table of counts and line hashes; keep_good looks up rejected and cut texts by a key.
+a line are counted. Lines above the limit are boilerplate: they are cut out of the texts, and a document that keeps too
+few words without them is rejected. A count is limit enough, so a large host doesn't raise it; small hosts have a share.
+Documents are scanned once into a table of counts and line hashes; keep_good looks up rejected and cut texts by a key.
 
 A common line of a large host is one key for a third of all rows: its documents are made distinct by (host, line, text)
 first, then counted by partial sums. The lines above limits are broadcast if their counted number is small, else joined by
@@ -92,20 +93,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), *(pa.array(c) for c in cols), listed], names)
 
 
-def frequent_lines(scanned: DataFrame, share: float, least: int) -> DataFrame:
-    """(host, line) in more distinct texts of the host than least and than share of the host's distinct texts."""
-    of_host = scanned.groupBy("host").agg(F.count_distinct("text_hash").alias("host_texts"))
+def frequent_lines(scanned: DataFrame, share: float, least: int, floor: int) -> DataFrame:
+    """(host, line) in more distinct texts of the host than least, or in floor and more than share of the host's distinct texts."""
+    of_host = materialise(scanned.groupBy(F.col("host").alias("of_host")).agg(F.count_distinct("text_hash").alias("host_texts")), "host-texts")
     of_line = scanned.select("host", "text_hash", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.count_distinct("text_hash").alias("texts"))
-    of_line = of_line.where(F.col("texts") > least)
-    return of_line.join(of_host, of_line["host"].eqNullSafe(of_host["host"])).where(F.col("texts") > share * F.col("host_texts")).select(of_line["host"].alias("f_host"), F.col("line").alias("f_line"))
+    of_line = of_line.where((F.col("texts") > least) | (F.col("texts") >= floor))
+    of_line = of_line.join(broadcast_if_small(of_host, of_host.count()), F.col("host").eqNullSafe(F.col("of_host")))
+    return of_line.where((F.col("texts") > least) | (F.col("texts") > share * F.col("host_texts"))).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
 
 
-def _judged(docs: DataFrame, share: float = 0.1, least: int = 20, keep_share: float = 0.3, keep_words: int = 10) -> DataFrame:
+def _judged(docs: DataFrame, share: float = 0.1, least: int = 20, floor: int = 5, keep_share: float = 0.3, keep_words: int = 10) -> DataFrame:
     """judge's rows, and as cut the hashes of the frequent lines in the text (null: none)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), *text_key(), F.monotonically_increasing_id().alias("row_id"), text.alias("text"))
     scanned = materialise(inner.mapInArrow(_scan, _SCHEMA), "quality")
-    frequent = materialise(frequent_lines(scanned, share, least), "frequent-lines")
+    frequent = materialise(frequent_lines(scanned, share, least, floor), "frequent-lines")
     lines = scanned.select("row_id", "host", F.inline("lines"))
     hit = lines.join(broadcast_if_small(frequent, frequent.count()), (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
     removed = hit.groupBy("row_id").agg(F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("cut"))

@@ -107,3 +107,13 @@ def test_frequent_lines_are_cut(spark):
         assert (r["text"], r["n_chars"], r["extra"]) == (want[d], len(want[d]), f"x{d}")
     judged = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert all(len(r["text"].split()) == judged[d]["n_words"] - judged[d]["n_removed_words"] for d, r in got.items())
+
+
+def test_large_and_small_hosts_have_boilerplate(spark):
+    """A line on 1 % of a large host's texts, and one on each page of a small host; not what is on a few pages."""
+    hot = [(i, own(i) + ("\nfooter of the large host" if i % 100 == 0 else "\nnow and then" if i % 100 == 1 and i < 2000 else ""), "hot") for i in range(3000)]
+    small = [(5000 + i, own(i) + "\nheader of a small host" + ("\nfour times" if i < 4 else ""), "small") for i in range(10)]
+    docs = spark.createDataFrame([*hot, *small, *[(6000 + i, own(i) + "\nfour texts", "tiny") for i in range(4)]], "doc_id long, text string, source string")
+    cut = {r["doc_id"]: r["n_removed_words"] for r in quality.judge(docs).collect()}
+    assert {d for d, n in cut.items() if n} == {*range(0, 3000, 100), *range(5000, 5010)}
+    assert {cut[d] for d in range(5000, 5010)} == {5}
