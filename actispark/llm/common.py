@@ -1,22 +1,24 @@
-"""What the training-data operators share: table access, scratch tables, size-checked broadcasts."""
+"""What the training-data operators share: table access, scratch tables, joins that take hot keys, checked broadcasts."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a few fixed-width columns that may be broadcast (some tens of MB); beyond it Spark shuffles both sides.
 BROADCAST_ROWS = 500_000
 
-
 #: Rows that go to Python at once. Texts are long and a few are very long, so the default of 10,000 takes much memory.
 ARROW_ROWS = 2_000
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Jobs run after their functions have returned, so this stays set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -26,10 +28,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session (as in tests)
+    gets a folder of its own; a cluster has to name one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='actispark-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -41,7 +46,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     small_batches(spark)
     path = f"{shared_dir(spark)}/actispark/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._scratch = path  # what forget() deletes
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that materialise gave, once nothing that is still to run reads them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -49,7 +63,37 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
-def text_key() -> list:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner", hot: int = 20_000, limit: int = 50_000) -> DataFrame:
+    """left joined with right, which has a row a key. counts(*keys, n) tells how many rows of left a key has: keys with more
+    than hot of them are few (rows / hot at most), so their rows of right are broadcast if they are within limit and no
+    task gets all of a key; the others are shuffled."""
+    top = counts.where(F.col("n") > hot).select(*keys)
+    n = top.limit(limit + 1).count()
+    if not 0 < n <= limit:
+        return left.join(right, keys, how)
+    top = F.broadcast(top)
+    own = F.broadcast(right.join(top, keys, "left_semi"))
+    return left.join(top, keys, "left_semi").join(own, keys, how).unionByName(left.join(top, keys, "left_anti").join(right, keys, how))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_key() -> list[Column]:
     """96 bits that stand for a text (null: the empty one)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return [F.xxhash64(text).alias("text_hash"), F.crc32(text.cast("binary")).alias("text_crc")]
+
+
+def give_back() -> None:
+    """Returns a worker's freed memory to the system, as the executor's next stage may need it."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)

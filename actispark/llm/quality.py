@@ -1,16 +1,22 @@
 """Quality rules: cross-document line frequency.
 
-Lines are normalised and hashed; for each host the distinct documents (distinct texts: exact copies count once) that hold
-a line are counted. Lines above the limit are boilerplate: they are cut out of the texts, and a document that keeps too
-few words without them is rejected. A count is limit enough, so a large host doesn't raise it; small hosts have a share.
-Documents are scanned once into a table of counts and line hashes; keep_good looks up rejected and cut texts by a key.
+Lines are normalised and hashed; for each host the distinct documents that hold a line are counted. Lines above the limit
+are boilerplate: they are cut out of the texts, and a document that keeps too few words without them is rejected. Exact
+copies of a text are one document: if each counted, every line of a text copied often enough would be boilerplate, and all
+copies would be rejected before near-duplicate removal could keep one.
+
+The limit is one law for hosts of all sizes: a line is boilerplate in more than ``base + per_doubling * log2(1 + n)`` of a
+host's n documents. It grows by a constant with each doubling, as the greatest count of chance repeats does, so a host of
+ten documents reaches it and a host of millions doesn't dilute it.
 
+Documents are scanned once into a table of counts and line hashes; keep_good looks up rejected and cut texts by a key.
 A common line of a large host is one key for a third of all rows: its documents are made distinct by (host, line, text)
 first, then counted by partial sums. The lines above limits are broadcast if their counted number is small, else joined by
 a shuffle that Spark splits where it is skewed.
 
-Defined results: null text has no words and fails the base; null source is a host of its own; repeated rows each give a
-row; a null doc_id stays null; further columns are ignored; an empty table gives an empty result.
+Defined results: null text has no words and fails the base; an empty or blank line is no line; null source is a host of
+its own; repeated rows each give a row; a null doc_id stays null; very long texts are one row like others; further columns
+are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from actispark.llm.common import broadcast_if_small, documents, materialise, text_key
+from actispark.llm.common import broadcast_if_small, documents, fresh, give_back, materialise, text_key
 
 #: Fixed values.
 SPACE = " \t\n\x0b\x0c\r"
@@ -91,23 +97,24 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cols = np.array(numbers, np.int64).reshape(-1, len(_NUMBERS)).T
             listed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(line, pa.int64()), pa.array(n, pa.int32())], fields=list(kind.value_type)))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), *(pa.array(c) for c in cols), listed], names)
+    give_back()
 
 
-def frequent_lines(scanned: DataFrame, share: float, least: int, floor: int) -> DataFrame:
-    """(host, line) in more distinct texts of the host than least, or in floor and more than share of the host's distinct texts."""
-    of_host = materialise(scanned.groupBy(F.col("host").alias("of_host")).agg(F.count_distinct("text_hash").alias("host_texts")), "host-texts")
-    of_line = scanned.select("host", "text_hash", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.count_distinct("text_hash").alias("texts"))
-    of_line = of_line.where((F.col("texts") > least) | (F.col("texts") >= floor))
+def frequent_lines(scanned: DataFrame, base: float, per_doubling: float) -> DataFrame:
+    """(f_host, f_line) of lines in more documents of their host than its limit."""
+    n = F.count_distinct("text_hash")
+    of_host = materialise(scanned.groupBy(F.col("host").alias("of_host")).agg((base + per_doubling * F.log2(1 + n)).alias("limit")), "host-limits")
+    of_line = scanned.select("host", "text_hash", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(n.alias("texts")).where(F.col("texts") > base)
     of_line = of_line.join(broadcast_if_small(of_host, of_host.count()), F.col("host").eqNullSafe(F.col("of_host")))
-    return of_line.where((F.col("texts") > least) | (F.col("texts") > share * F.col("host_texts"))).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
+    return of_line.where(F.col("texts") > F.col("limit")).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
 
 
-def _judged(docs: DataFrame, share: float = 0.1, least: int = 20, floor: int = 5, keep_share: float = 0.3, keep_words: int = 10) -> DataFrame:
+def _judged(docs: DataFrame, base: float = 1.0, per_doubling: float = 1.0, keep_share: float = 0.3, keep_words: int = 10) -> DataFrame:
     """judge's rows, and as cut the hashes of the frequent lines in the text (null: none)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), *text_key(), F.monotonically_increasing_id().alias("row_id"), text.alias("text"))
     scanned = materialise(inner.mapInArrow(_scan, _SCHEMA), "quality")
-    frequent = materialise(frequent_lines(scanned, share, least, floor), "frequent-lines")
+    frequent = materialise(frequent_lines(scanned, base, per_doubling), "frequent-lines")
     lines = scanned.select("row_id", "host", F.inline("lines"))
     hit = lines.join(broadcast_if_small(frequent, frequent.count()), (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
     removed = hit.groupBy("row_id").agg(F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("cut"))
@@ -142,21 +149,42 @@ def _without_lines(text: pa.Array, cut: pa.Array) -> pa.Array:
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of docs that judge keeps, without the frequent lines in text, and n_chars renewed where it exists. Verdict
     and lines depend on host and text only, so rejected and cut texts are told by these."""
-    keys = [F.col("host").alias("_s"), F.col("text_hash").alias("_h"), F.col("text_crc").alias("_c")]
+    host, hash_, crc, kept, cut, new = fresh(docs, "host", "text_hash", "text_crc", "kept", "cut", "new")
     judged = _judged(docs, **limits).where(~F.col("kept") | F.col("cut").isNotNull())
-    changed = judged.groupBy(*keys).agg(F.first("kept").alias("_kept"), F.first(F.when(F.col("kept"), F.col("cut"))).alias("_cut"))
-    changed = materialise(changed, "rejected-and-cut")
+    changed = judged.groupBy("host", "text_hash", "text_crc").agg(F.first("kept").alias("kept"), F.first(F.when(F.col("kept"), F.col("cut"))).alias("cut"))
+    changed = materialise(changed.toDF(host, hash_, crc, kept, cut), "rejected-and-cut")
     h, c = text_key()
-    on = (h == F.col("_h")) & (c == F.col("_c")) & F.col("source").cast("string").eqNullSafe(F.col("_s"))
-    joined = docs.join(broadcast_if_small(changed, changed.count(), 100_000), on, "left").where(F.coalesce("_kept", F.lit(True)))
-    whole = F.col("_cut").isNull()
+    on = (h == F.col(hash_)) & (c == F.col(crc)) & F.col("source").cast("string").eqNullSafe(F.col(host))
+    held = changed.agg(F.count("*") + F.coalesce(F.sum(F.size(F.coalesce(cut, F.array()))), F.lit(0))).first()[0]  # rows and what their lists hold
+    joined = docs.join(broadcast_if_small(changed, held, 100_000), on, "left").where(F.coalesce(kept, F.lit(True)))
+    whole = F.col(cut).isNull()
     # Texts that stay whole don't go to Python.
-    joined = joined.withColumn("_new", _without_lines(F.when(~whole, F.col("text")), F.col("_cut")))
-    out = {"text": F.when(whole, F.col("text")).otherwise(F.col("_new"))}
+    joined = joined.withColumn(new, _without_lines(F.when(~whole, F.col("text")), F.col(cut)))
+    out = {"text": F.when(whole, F.col("text")).otherwise(F.col(new))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.char_length("_new").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[out.get(x, F.col(x)).alias(x) for x in docs.columns])
+        out["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.char_length(new).cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[out.get(x, F.col(f"`{x}`")).alias(x) for x in docs.columns])
 
 
 def op3_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).select("doc_id", *_NUMBERS, "base_failed", "kept", "n_removed_words")
+
+
+_NORMAL = "array_to_string(regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^\\x20\\x09-\\x0D]+'), ' ')"
+SQL = rf"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT id, regexp_extract_all(text, '[^ 	-
+]+') AS w, text FROM d),
+five AS (SELECT id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+again AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, g) AS n FROM five) WHERE n > 1),
+repeated AS (SELECT id, count(DISTINCT i + k) AS n FROM again, range(0, 5) AS r(k) GROUP BY id),
+lines AS (SELECT id, l, {_NORMAL} AS line FROM (SELECT id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ 	-
+]')),
+dup AS (SELECT id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY id),
+hosts AS (SELECT host, 1 + log2(1 + count(DISTINCT text)) AS most FROM d GROUP BY host),
+per_line AS (SELECT host, line, count(DISTINCT text) AS n FROM lines JOIN d USING (id) GROUP BY host, line),
+frequent AS (SELECT p.host, p.line FROM per_line p JOIN hosts h ON p.host IS NOT DISTINCT FROM h.host WHERE p.n > h.most),
+cut AS (SELECT l.id, sum(len(string_split(l.line, ' '))) AS n FROM lines l JOIN d USING (id) JOIN frequent f ON f.line = l.line AND f.host IS NOT DISTINCT FROM d.host GROUP BY l.id),
+m AS (SELECT d.doc_id, len(w.w) AS n_words, length(array_to_string(w.w, '')) AS word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, CAST(coalesce(cut.n, 0) AS BIGINT) AS n_removed_words
+ FROM d JOIN w USING (id) LEFT JOIN dup USING (id) LEFT JOIN repeated USING (id) LEFT JOIN cut USING (id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - n_removed_words >= 10 AND n_words - n_removed_words >= 0.3 * n_words AS kept, n_removed_words FROM b"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_secret_scans": secrets.op9_secret_scans,
     "op10_bpe_rounds": bpe.op10_bpe_rounds,
 }
-ORACLE_SQL: dict[str, str] = {"op6_block_matrix_join": ann.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_frequency": quality.SQL, "op6_block_matrix_join": ann.SQL, "op9_secret_scans": secrets.SQL}

@@ -1,7 +1,10 @@
 import collections
+import math
 import re
 import zlib
 
+from compare import assert_same
+
 from actispark.llm import quality, sharding
 
 
@@ -111,9 +114,28 @@ def test_frequent_lines_are_cut(spark):
 
 def test_large_and_small_hosts_have_boilerplate(spark):
     """A line on 1 % of a large host's texts, and one on each page of a small host; not what is on a few pages."""
-    hot = [(i, own(i) + ("\nfooter of the large host" if i % 100 == 0 else "\nnow and then" if i % 100 == 1 and i < 2000 else ""), "hot") for i in range(3000)]
+    hot = [(i, own(i) + ("\nfooter of the large host" if i % 100 == 0 else "\nnow and then" if i % 100 == 1 and i < 1200 else ""), "hot") for i in range(3000)]
     small = [(5000 + i, own(i) + "\nheader of a small host" + ("\nfour times" if i < 4 else ""), "small") for i in range(10)]
-    docs = spark.createDataFrame([*hot, *small, *[(6000 + i, own(i) + "\nfour texts", "tiny") for i in range(4)]], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([*hot, *small, *[(6000 + i, own(i) + "\nthree texts", "tiny") for i in range(3)]], "doc_id long, text string, source string")
     cut = {r["doc_id"]: r["n_removed_words"] for r in quality.judge(docs).collect()}
     assert {d for d, n in cut.items() if n} == {*range(0, 3000, 100), *range(5000, 5010)}
     assert {cut[d] for d in range(5000, 5010)} == {5}
+
+
+def test_sql_of_line_frequency(spark, sf_dir):
+    assert_same(quality.op3_line_frequency(spark, sf_dir), quality.SQL, sf_dir)
+
+
+def test_limit_depends_on_host_size_alone(spark):
+    """The same host doubled by other texts: its limit moves by one document, and no line by a switch."""
+    for n in (8, 16, 32, 64):
+        most = int(1 + math.log2(1 + n))
+        rows = [(i, own(i) + ("\nabove the limit" if i <= most else "") + ("\nat the limit" if i < most else ""), "a") for i in range(n)]
+        cut = {r["doc_id"]: r["n_removed_words"] for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+        assert cut == {i: 3 * (i <= most) for i in range(n)}
+
+
+def test_huge_texts(huge_documents):
+    got = {r["doc_id"]: r for r in quality.judge(huge_documents).collect()}
+    assert len(got) == 9 and all(tuple(got[i][c] for c in quality._NUMBERS) == plain(r["text"]) for i, r in {r["doc_id"]: r for r in huge_documents.collect()}.items())
+    assert quality.keep_good(huge_documents).count() == sum(r["kept"] for r in got.values())
