@@ -1,27 +1,40 @@
 """Nearest neighbours by a block matrix join.
 
-Vectors are dealt into blocks by a hash; every block of queries meets every block of candidates in one tile, by an equal
-join on the tile's number. In a tile the vectors are int8 codes with a scale each, their products come from one matrix
-product (exact: the sums of int8 products stay below 2^24 a slab of dimensions), and each distance gets bounds from the
-two quantisation errors. Pairs whose lower bound is within the k-th least upper bound are computed again from the original
-vectors in double precision, and heaps keep the k best. Tiles' lists meet in a window that keeps k rows a query on either
-side of the shuffle. Nothing is approximate in the result: bounds only leave out what cannot be among the k nearest.
+Vectors are quantised once: int8 codes, a scale, and the norm of what the codes miss. Codes are dealt into blocks by a hash,
+and every block of queries meets every block of candidates in one tile, by an equal join on the tile's number; so what is
+repeated for each tile is a byte a component. A tile's products come from one matrix product (exact: the sums of int8
+products stay below 2^24 a slab of dimensions), and each distance gets bounds from the two quantisation errors. A pair
+survives its tile if its lower bound is within the tile's k-th least upper bound of the query, and then all tiles' if it is
+within the k-th least of all. Only survivors meet their original vectors: their distances are computed again in double
+precision, and a heap a query keeps the k nearest. Nothing is approximate in the result: bounds only leave out what cannot
+be among the k nearest.
+
+Equal vectors are told by a 128-bit digest, and of each group of them only the 2k rows with the smallest ids are candidates:
+ties go to the smaller id, so no others can be among anybody's k nearest. So a vector that a third of all rows share makes
+no more survivors than 2k others.
 
 Defined results: null ids, and null, empty or zero vectors or ones with null or non-finite components take no part; only
-vectors of equal length are compared; ties go to the smaller id; rows that repeat an id are candidates each but one query;
-further columns are ignored; an empty table gives an empty result.
+vectors of equal length are compared; ties go to the smaller id; rows that repeat an id are one item: the one with the
+smallest digest asks, none of them is a neighbour of that id, and each is a candidate of others; further columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_TILE = "query_id long, vec_id long, score double"
+from actispark.llm.common import give_back, materialise
+
+_CODED = "vec_id long, embedding array<double>, digest string, dim int, codes binary, scale double, miss double, norm double"
+_PAIR = {"query_id": "int64", "vec_id": "int64", "digest": "object", "lower": "float64", "upper": "float64"}
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,53 +62,100 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def tile(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, rows: int = 256) -> list[tuple[int, int, float]]:
-    """The k nearest candidates of each query (but itself)."""
-    out = []
-    c_codes, c_scale, c_miss = quantise(c)
-    c_norm = (c_codes.astype(float) ** 2).sum(1) * c_scale**2
+def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            b = whole.slice(at, 1000)
+            rows = [np.array(v.as_py()) for v in b.column(1)]
+            out: list[list] = [[] for _ in range(6)]
+            for x in rows:
+                codes, scale, miss = quantise(x[None])
+                norm = float((codes.astype(float) ** 2).sum() * scale[0] ** 2)
+                for col, v in zip(out, (hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest(), len(x), codes.tobytes(), float(scale[0]), float(miss[0]), norm), strict=True):
+                    col.append(v)
+            kinds = (pa.string(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [c.split()[0] for c in _CODED.split(", ")])
+    give_back()
+
+
+def tile(q: pd.DataFrame, c: pd.DataFrame, k: int, rows: int = 256) -> Iterator[pd.DataFrame]:
+    """Pairs of a block of queries and one of candidates that may be among a query's k nearest, with bounds of their distance."""
+    matrix = lambda d: np.frombuffer(b"".join(d["codes"]), np.int8).reshape(len(d), -1)
+    column = lambda d, name: d[name].to_numpy(float)
+    c_codes, c_scale, c_miss, c_norm, c_ids = matrix(c), column(c, "scale"), column(c, "miss"), column(c, "norm"), c["vec_id"].to_numpy()
     for at in range(0, len(q), rows):
-        part, ids = q[at : at + rows], q_ids[at : at + rows]
-        codes, scale, miss = quantise(part)
-        norm = (codes.astype(float) ** 2).sum(1) * scale**2
-        d = np.sqrt(np.maximum(norm[:, None] + c_norm - 2 * products(codes, c_codes) * scale[:, None] * c_scale, 0))
-        off = (miss[:, None] + c_miss) * (1 + 1e-9) + 1e-6 * np.sqrt(norm[:, None] + c_norm)
-        own = ids[:, None] == c_ids
+        part = q.iloc[at : at + rows]
+        norm, scale, miss = (column(part, x)[:, None] for x in ("norm", "scale", "miss"))
+        d = np.sqrt(np.maximum(norm + c_norm - 2 * products(matrix(part), c_codes) * scale * c_scale, 0))
+        off = (miss + c_miss) * (1 + 1e-9) + 1e-6 * np.sqrt(norm + c_norm)
+        own = part["vec_id"].to_numpy()[:, None] == c_ids
         upper = np.where(own, np.inf, d + off)
-        limit = np.partition(upper, k - 1, axis=1)[:, k - 1] if len(c) > k else np.full(len(part), np.inf)
+        limit = np.partition(upper, k - 1, axis=1)[:, k - 1] if len(c) >= k else np.full(len(part), np.inf)
         i, j = np.nonzero((d - off <= limit[:, None]) & ~own)
-        for a in range(0, len(i), 200_000):  # ties can leave many; a query's list may come in two parts
-            ii, jj = i[a : a + 200_000], j[a : a + 200_000]
-            score = exact(part[ii], c[jj])
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(ii)) + 1, [len(ii)])).tolist()
-            for x, y in zip(edges, edges[1:], strict=False):
-                out += [(int(ids[ii[x]]), v, s) for s, v in heapq.nsmallest(k, zip(score[x:y].tolist(), c_ids[jj[x:y]].tolist(), strict=True))]
-    return out
+        yield pd.DataFrame({"query_id": part["vec_id"].to_numpy()[i], "vec_id": c_ids[j], "digest": c["digest"].to_numpy()[j], "lower": (d - off)[i, j], "upper": upper[i, j]})
+
+
+def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances of rows, summed in the order of the components."""
+    total = np.zeros(len(q))
+    for i in range(q.shape[1]):
+        d = q[:, i] - c[:, i]
+        total += d * d
+    return np.sqrt(total)
+
+
+def _merged(k: int):
+    """For the queries of a group, the k nearest of the candidates they are given with: a heap a query, worst on top."""
+
+    def run(key: tuple, pairs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        vectors = dict(zip(queries["asks"], queries["vector"], strict=True))
+        heaps: dict[int, list[tuple[float, int]]] = {}
+        for at in range(0, len(pairs), 5_000):
+            part = pairs.iloc[at : at + 5_000]
+            for dim in part["dim"].unique():
+                own = part[part["dim"] == dim]
+                scores = exact(np.stack([vectors[i] for i in own["query_id"]]), np.stack(own["embedding"].to_list()))
+                for i, s, v in zip(own["query_id"].tolist(), scores.tolist(), own["vec_id"].tolist(), strict=True):
+                    heap = heaps.setdefault(i, [])
+                    (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (-s, -v))
+        out = [(i, r, -v, -s) for i, heap in heaps.items() for r, (s, v) in enumerate(sorted(heap, reverse=True), 1)]
+        return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"]).astype({"query_id": "int64", "rank": "int32", "vec_id": "int64", "score": "float64"})
+
+    return run
 
 
-def nearest(vectors: DataFrame, queries_where, k: int = 10, candidate_block: int = 1024, query_block: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest of vectors(vec_id, embedding) for the rows where queries_where holds."""
+def nearest(vectors: DataFrame, queries_where: Column, k: int = 10, candidate_block: int = 1024, query_block: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest of vectors(vec_id, embedding) for the rows where queries_where (a
+    condition on vec_id) holds."""
     x = F.col("embedding")
     fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
-    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & fine).withColumn("dim", F.size("embedding"))
-    queries = usable.where(queries_where).dropDuplicates(["vec_id"])
-    n, n_queries = usable.count(), usable.where(queries_where).count()
-    c_blocks, q_blocks = max(1, -(-n // candidate_block)), max(1, -(-n_queries // query_block))
+    usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & fine)
+    coded = materialise(usable.mapInArrow(_quantised, _CODED), "codes")
+    place = lambda name, keys, order, most, df: df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= most).drop(name)
+    # Rows that repeat id and vector are candidates each, but k of them fill an answer; so k of other ids and k of the own one.
+    candidates = place("n", ["digest"], ["vec_id"], 2 * k, place("n", ["digest", "vec_id"], ["scale"], k, coded.drop("embedding")))
+    candidates = materialise(candidates, "candidates")
+    queries = materialise(place("n", ["vec_id"], ["digest"], 1, coded.where(queries_where).drop("embedding")), "queries")
+    c_blocks, q_blocks = max(1, -(-candidates.count() // candidate_block)), max(1, -(-queries.count() // query_block))
     of = lambda blocks, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    c = usable.select("dim", of(c_blocks, 0).alias("c_block"), each(q_blocks).alias("q_block"), "vec_id", "embedding")
-    q = queries.select("dim", each(c_blocks).alias("c_block"), of(q_blocks, 1).alias("q_block"), "vec_id", "embedding")
+    c = candidates.select("*", of(c_blocks, 0).alias("c_block"), each(q_blocks).alias("q_block"))
+    q = queries.select("*", each(c_blocks).alias("c_block"), of(q_blocks, 1).alias("q_block"))
 
     def run(key: tuple, cand: pd.DataFrame, quer: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(cand) and len(quer):
-            found = tile(quer["vec_id"].to_numpy(), np.stack(quer["embedding"].to_list()), cand["vec_id"].to_numpy(), np.stack(cand["embedding"].to_list()), k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        found = list(tile(quer, cand, k)) if len(cand) and len(quer) else []
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({n: pd.Series(dtype=t) for n, t in _PAIR.items()})
 
     keys = ["dim", "c_block", "q_block"]
-    found = c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(run, _TILE)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    tiles = materialise(c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, digest string, lower double, upper double"), "tiles")
+    kth = tiles.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("upper"))).where(F.col("n") == k).select("query_id", F.col("upper").alias("most"))
+    pairs = tiles.join(kth, "query_id", "left").where(F.col("most").isNull() | (F.col("lower") <= F.col("most"))).select("query_id", "vec_id", "digest")
+    # Survivors meet the vectors: the candidates' by id and digest (equal rows once), then the queries' in groups.
+    named = coded.select("vec_id", "digest", "dim", "embedding").dropDuplicates(["vec_id", "digest"])
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, -(-queries.count() // 256)))).cast("int")
+    asked = queries.select("vec_id", "digest").join(named, ["vec_id", "digest"]).select(F.col("vec_id").alias("asks"), F.col("embedding").alias("vector"), part("vec_id").alias("group"))
+    met = pairs.join(named, ["vec_id", "digest"]).select("query_id", "vec_id", "dim", "embedding", part("query_id").alias("part"))
+    return met.groupBy("part").cogroup(asked.groupBy("group")).applyInPandas(_merged(k), "query_id long, rank int, vec_id long, score double")
 
 
 def op6_block_matrix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

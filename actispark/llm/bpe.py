@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actispark.llm.common import documents
+from actispark.llm.common import documents, give_back
 
 #: Fixed values of the file's pre-tokenizer: its pattern; blanks for it are those of Unicode without the four separators.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -206,6 +206,7 @@ def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
                     text_sha.append(hashlib.sha256(e.decode_words(words)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         e.forget()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -1,16 +1,21 @@
 """Language by a linear-chain conditional random field over the words of code-switched text.
 
-Words get emission scores from hashed features - prefixes, suffixes, character bigrams and trigrams, and membership in each
-language's lexicon - and transitions between languages are learned with them. Training sequences are stitched from pieces
-of documents of several languages, so switches occur; gradients come from forward-backward. A text is labelled in windows
-of ``WINDOW`` words by forward-backward, and its languages are weighed by the words' posteriors.
+Words get emission scores from hashed features - prefixes, suffixes, character bigrams and trigrams, and membership in the
+languages' lexicons - and transitions between languages are learned with them. Training sequences are stitched from pieces
+of documents of several languages, so switches occur; gradients come from forward-backward. A text is one chain, however
+long: its words are computed in windows of ``WINDOW``, and the windows' transfer matrices carry the messages over their
+borders, so the posteriors are those of the whole text. Its languages are weighed by the words' posteriors.
 
-The field is fitted on about ``sample`` documents a language (a documented bound, drawn by a hash of the id). All texts are
-then labelled whole, in one pass without a shuffle; a word's scores are computed once and kept in a cache of bounded size.
+A word is a run of letters. Longer ones than ``LETTERS`` (scripts without blanks) are cut into consecutive pieces with a
+mark at the cuts, so every letter's n-grams count and affixes come from the outer pieces.
+
+The field is fitted on at most ``sample`` documents and ``sample_bytes`` of text a language (a documented bound; documents
+in the order of a hash, whole ones only). All texts are then labelled whole, in one pass without a shuffle; a word's scores
+are computed once and kept in a cache of bounded size.
 
 Defined results: null texts and texts without letters are ``und`` with score 0; without any labelled text to learn from
 so is everything; a null doc_id counts as an empty one for the fold; repeated rows each give a row; further columns are
-ignored; an empty table gives an empty result.
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,27 +25,46 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from actispark.llm.common import documents
+from actispark.llm.common import documents, give_back
 
 WINDOW = 64
-SIZE = 1 << 14
-LETTERS = 24  # of a longer word, its first ones and (for suffixes) its last
+SIZE = 1 << 14  # places of hashed features; a place for each set of languages that share a lexicon word follows, then zeros
+LETTERS = 24
+CUT = "-"  # stands where a long run of letters is cut
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+def _pieces(run: str) -> list[str]:
+    """A run of letters, cut into pieces of at most LETTERS characters with a mark on each side of a cut."""
+    if len(run) <= LETTERS:
+        return [run]
+    inner = LETTERS - 2
+    parts = [run[i : i + inner] for i in range(0, len(run), inner)]
+    return [(CUT if i else "") + p + (CUT if i < len(parts) - 1 else "") for i, p in enumerate(parts)]
 
 
-def features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
-    """Places of each word's features in the weights, padded with SIZE (a row of zeros); the lexicon's bits pick places."""
+def words_of(text: str | None) -> list[str]:
+    """Lower-case runs of letters (and of letters only: the pattern passes numerals such as \u2167 and \u00bd)."""
+    out: list[str] = []
+    for w in _WORD.findall(text.lower()) if text else ():
+        if w.isalpha():
+            out += (w,) if len(w) <= LETTERS else _pieces(w)
+        else:
+            for run in "".join(c if c.isalpha() else " " for c in w).split():
+                out += _pieces(run)
+    return out
+
+
+def features(words: list[str], lexicon: dict[str, int], zero: int) -> np.ndarray:
+    """Places of each word's features in the weights, padded with zero (a row of zeros). lexicon gives the place of the set
+    of languages in whose lexicons a word is."""
     width = LETTERS + 2
     c = np.zeros((len(words), width), np.uint64)
-    n = np.fromiter((min(len(w), LETTERS) for w in words), np.int64, len(words))
-    c[:, 1 : LETTERS + 1] = np.array([w[:LETTERS] for w in words], f"U{LETTERS}").view(np.uint32).reshape(len(words), LETTERS)
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    c[:, 1 : LETTERS + 1] = np.array(words, f"U{LETTERS}").view(np.uint32).reshape(len(words), LETTERS)
     c[:, 0] = 1
     c[np.arange(len(words)), n + 1] = 2
     tail = np.array([w[-3:][::-1] for w in words], "U3").view(np.uint32).reshape(len(words), 3).astype(np.uint64)
@@ -51,24 +75,26 @@ def features(words: list[str], lexicon: dict[str, int]) -> np.ndarray:
         for p in parts:
             h = (h ^ p) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        return (h % np.uint64(SIZE - 1024)).astype(np.int64)
-
-    bi = np.where(at[None, :-1] <= n[:, None], hashed([c[:, :-1], c[:, 1:]], 1), SIZE)
-    tri = np.where(at[None, :-2] < n[:, None], hashed([c[:, :-2], c[:, 1:-1], c[:, 2:]], 2), SIZE)
-    affix = [np.where(n >= k, hashed([c[:, i] for i in range(1, k + 1)], 2 + k), SIZE) for k in (1, 2, 3)]
-    affix += [np.where(n >= k, hashed([tail[:, i] for i in range(k)], 5 + k), SIZE) for k in (1, 2, 3)]
-    bits = np.fromiter((lexicon.get(w, 0) for w in words), np.int64, len(words))
-    known = np.where(bits > 0, SIZE - 1024 + bits % 1024, SIZE)
+        return (h % np.uint64(SIZE)).astype(np.int64)
+
+    bi = np.where(at[None, :-1] <= n[:, None], hashed([c[:, :-1], c[:, 1:]], 1), zero)
+    tri = np.where(at[None, :-2] < n[:, None], hashed([c[:, :-2], c[:, 1:-1], c[:, 2:]], 2), zero)
+    affix = [np.where(n >= k, hashed([c[:, i] for i in range(1, k + 1)], 2 + k), zero) for k in (1, 2, 3)]
+    affix += [np.where(n >= k, hashed([tail[:, i] for i in range(k)], 5 + k), zero) for k in (1, 2, 3)]
+    known = np.fromiter((lexicon.get(w, zero) for w in words), np.int64, len(words))
     return np.hstack([bi, tri, np.stack([*affix, known], 1)])
 
 
-def forward_backward(e: np.ndarray, mask: np.ndarray, a: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def forward_backward(e: np.ndarray, mask: np.ndarray, a: np.ndarray, start: np.ndarray, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors (sequence, place, label), expected transitions summed over all, and log likelihoods' normalisers.
-    Sequences end where their mask does; products are scaled to sum to one at each place."""
+    Sequences end where their mask does; products are scaled to sum to one at each place. start is one vector or one a
+    sequence; tail is what the sequence's last place hears from behind it (nothing: ones)."""
     b, t, k = e.shape
     shift = e.max(2, keepdims=True)
     x, trans = np.exp(e - shift), np.exp(a)
     alpha, beta, scale = np.empty_like(x), np.ones_like(x), np.ones((b, t))
+    if tail is not None:
+        beta[:] = tail[:, None, :]
     alpha[:, 0] = np.exp(start) * x[:, 0]
     for i in range(t):
         if i:
@@ -82,14 +108,60 @@ def forward_backward(e: np.ndarray, mask: np.ndarray, a: np.ndarray, start: np.n
         counts += (alpha[:, i].T @ right) * trans
         beta[:, i] = np.where(m, right @ trans.T, beta[:, i + 1])
     z = np.where(mask, np.log(scale) + shift[:, :, 0], 0).sum(1)
-    return alpha * beta * mask[:, :, None], counts, z
+    post = alpha * beta * mask[:, :, None]
+    return post if tail is None else post / np.maximum(post.sum(2, keepdims=True), 1e-300), counts, z
+
+
+def transfers(e: np.ndarray, mask: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """What each window does to the message that enters it, up to a factor: (window, label before it, label at its end)."""
+    x, trans = np.exp(e - e.max(2, keepdims=True)), np.exp(a)
+    out = np.broadcast_to(np.eye(e.shape[2]), (len(e), e.shape[2], e.shape[2])).copy()
+    for i in range(e.shape[1]):
+        new = (out @ trans) * x[:, i, None, :]
+        new /= new.max((1, 2), keepdims=True)
+        out = np.where(mask[:, i, None, None], new, out)
+    return out
+
+
+def chained(e: np.ndarray, mask: np.ndarray, first: np.ndarray, windows: np.ndarray, a: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Posteriors of windows of which text t has windows[t] from first[t] on, each text being one chain."""
+    k = e.shape[2]
+    begin, tail = np.broadcast_to(start, (len(e), k)).copy(), np.ones((len(e), k))
+    many = np.flatnonzero(windows > 1)
+    if len(many):
+        own = np.concatenate([np.arange(f, f + n) for f, n in zip(first[many], windows[many], strict=True)])
+        place = np.full(len(e), -1)
+        place[own] = np.arange(len(own))
+        step = transfers(e[own], mask[own], a)
+        trans, most = np.exp(a), int(windows[many].max())
+        # A first window's own message: its transfer without the transition that enters it, which is undone by start.
+        heads = first[many]
+        x0 = np.exp(e[heads, 0] - e[heads, 0].max(1, keepdims=True)) * np.exp(start)
+        rest = mask[heads].copy()
+        rest[:, 0] = False
+        message = np.einsum("bk,bkl->bl", x0, transfers(e[heads], rest, a))
+        for j in range(1, most):  # forth over the windows' borders, all texts at once
+            on = windows[many] > j
+            message = message / message.sum(1, keepdims=True)
+            at = heads[on] + j
+            begin[at] = np.log(np.maximum(message[on] @ trans, 1e-300))
+            message[on] = np.einsum("bk,bkl->bl", message[on], step[place[at]])
+        back = np.ones((len(many), k))
+        for j in range(most - 1, 0, -1):  # and back
+            on = windows[many] > j
+            at = heads[on] + j
+            back[on] = np.einsum("bkl,bl->bk", step[place[at]], back[on])
+            back[on] /= back[on].sum(1, keepdims=True)
+            tail[at - 1] = back[on]
+    return forward_backward(e, mask, a, begin, tail)[0]
 
 
 class Field:
     def __init__(self, langs: list[str], lexicon: dict[str, int], cache: int = 200_000):
         self.langs, self.lexicon, self.cache = langs, lexicon, cache
         k = len(langs)
-        self.w, self.a, self.start = np.zeros((SIZE + 1, k), np.float32), np.zeros((k, k)), np.zeros(k)
+        self.zero = max([SIZE - 1, *lexicon.values()]) + 1
+        self.w, self.a, self.start = np.zeros((self.zero + 1, k), np.float32), np.zeros((k, k)), np.zeros(k)
         self.known: dict[str, int] = {}
 
     def __getstate__(self):
@@ -97,7 +169,7 @@ class Field:
 
     def fit(self, words: list[str], seq: np.ndarray, y: np.ndarray, epochs: int = 4, batch: int = 64, rate: float = 0.3, l2: float = 1e-5, seed: int = 0) -> Field:
         """seq: places in words of each sequence's words; y: their labels. Adagrad on the log likelihood."""
-        f, k = features(words, self.lexicon), len(self.langs)
+        f, k = features(words, self.lexicon, self.zero), len(self.langs)
         g_w, g_a, g_s = np.full_like(self.w, 1e-2), np.full_like(self.a, 1e-2), np.full_like(self.start, 1e-2)
         rng, eye = np.random.default_rng(seed), np.eye(k)
         for _ in range(epochs):
@@ -108,10 +180,10 @@ class Field:
                 d = ((true - post) / len(at)).reshape(-1, k)
                 flat = places.reshape(len(d), -1)
                 for j in range(k):
-                    g = np.bincount(flat.ravel(), np.repeat(d[:, j], flat.shape[1]), minlength=SIZE + 1) - l2 * self.w[:, j]
+                    g = np.bincount(flat.ravel(), np.repeat(d[:, j], flat.shape[1]), minlength=self.zero + 1) - l2 * self.w[:, j]
                     g_w[:, j] += g * g
                     self.w[:, j] += rate * g / np.sqrt(g_w[:, j])
-                self.w[SIZE] = 0
+                self.w[self.zero] = 0
                 g = (np.einsum("btk,btl->kl", true[:, :-1], true[:, 1:]) - counts) / len(at)
                 g_a += g * g
                 self.a += rate * g / np.sqrt(g_a)
@@ -128,7 +200,7 @@ class Field:
             self.known, self.scores = {}, None
             new = list(set(words))
         if new or getattr(self, "scores", None) is None:
-            rows = [self.w[features(new[i : i + 5000], self.lexicon)].sum(1) for i in range(0, len(new), 5000)]
+            rows = [self.w[features(new[i : i + 5000], self.lexicon, self.zero)].sum(1) for i in range(0, len(new), 5000)]
             old = getattr(self, "scores", None)
             self.scores = np.concatenate([*([old] if old is not None else []), *rows]) if rows or old is not None else np.zeros((0, len(self.langs)), np.float32)
             for w in new:
@@ -147,26 +219,28 @@ class Field:
         start = first[of] + WINDOW * (np.arange(len(of)) - (np.cumsum(windows) - windows)[of])
         size = np.minimum(WINDOW, (first + n)[of] - start)
         grid = np.minimum(start[:, None] + np.arange(WINDOW), len(places) - 1)
-        post, _, _ = forward_backward(self.scores[places[grid]].astype(float), np.arange(WINDOW) < size[:, None], self.a, self.start)
+        post = chained(self.scores[places[grid]].astype(float), np.arange(WINDOW) < size[:, None], np.cumsum(windows) - windows, windows, self.a, self.start)
         np.add.at(out, of, post.sum(1))
         return out
 
 
-def train(docs: DataFrame, sample: int = 400, sequences: int = 4_000, length: int = 32, lexicon: int = 300, seed: int = 0) -> Field | None:
-    """The field fitted on about sample documents a language of docs(doc_id, text, lang); None where there are none."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+def train(docs: DataFrame, sample: int = 400, sample_bytes: int = 4_000_000, sequences: int = 4_000, length: int = 32, lexicon: int = 300, seed: int = 0) -> Field | None:
+    """The field fitted on at most sample documents and sample_bytes of text a language of docs(doc_id, text, lang); None
+    where there are none."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return None
-    rate = F.element_at(F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample / n)))]), F.col("lang"))
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / (1 << 20) < rate
-    texts = sorted((r["lang"], words_of(r["text"])) for r in rows.where(drawn).select("lang", "text").collect())
+    order = Window.partitionBy("lang").orderBy("h")
+    drawn = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample)  # limited before and after the shuffle
+    drawn = drawn.withColumn("sum", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= sample_bytes)
+    texts = sorted((r["lang"], words_of(r["text"])) for r in drawn.select("lang", "text").collect())
     texts = [t for t in texts if t[1]]
     langs = sorted(counts)
     if not texts:
         return None
     rng = np.random.default_rng(seed)
-    frequent: dict[str, int] = {}
+    shared: dict[str, list[int]] = {}
     by = {lang: [w for k, w in texts if k == lang] for lang in langs}
     for i, lang in enumerate(langs):
         n: dict[str, int] = {}
@@ -174,7 +248,9 @@ def train(docs: DataFrame, sample: int = 400, sequences: int = 4_000, length: in
             for w in t:
                 n[w] = n.get(w, 0) + 1
         for w in sorted(n, key=lambda w: (-n[w], w))[:lexicon]:
-            frequent[w] = frequent.get(w, 0) | 1 << i
+            shared.setdefault(w, []).append(i)
+    sets = {s: SIZE + i for i, s in enumerate(sorted(set(map(tuple, shared.values()))))}
+    frequent = {w: sets[tuple(s)] for w, s in shared.items()}
     # Sequences of pieces of 4 to 16 words; each piece is of the last one's language or, as often, of any.
     place: dict[str, int] = {}
     seq, y = np.zeros((sequences, length), np.int64), np.zeros((sequences, length), np.int64)
@@ -213,6 +289,7 @@ def identify(docs: DataFrame, field: Field | None) -> DataFrame:
                     lang = [field.langs[i] if t else "und" for i, t in zip(best, texts, strict=True)]
                     share = [min(1.0, float(s[i]) / len(t)) if t else 0.0 for s, i, t in zip(sums, best, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang), pa.array(share, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 2).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 

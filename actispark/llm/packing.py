@@ -3,13 +3,19 @@
 Every piece is a vector (tokens, one document, attention cost = length squared); a sequence has a capacity for each. Pieces
 are taken longest first, and each goes to the open sequence that can hold it in every dimension and scores best: the least
 weighted norm of what is left, or the greatest weighted dot product of the piece and what is left. Pieces are dealt by a
-hash into groups of bounded size, each packed by itself; a group leaves about one sequence open, so with thousands of
-pieces a group the loss is far below a percent, and it doesn't grow with the table.
+hash into groups of bounded size, each packed by itself; the sequences that a group leaves open are emptied, and their
+pieces packed again in groups of their own, so the loss is a few sequences in a group of groups.
+
+With capacities (t tokens, t documents, t^2 attention) only the tokens bind: each of at most t tokens' pieces has one token
+or more, and the sum of squares is at most the square of the sum. That is what op5's contract asks for, whose only limit is
+4096 tokens; the other dimensions then only choose among sequences that fit. Smaller capacities bind (most_documents for
+the loss mask, most_attention for the cost of long documents) and are kept in every sequence, at the price of more of them.
 
 Texts are tokenised once; what is packed is a table of lengths.
 
-Defined results: null text is empty; an empty text is one piece of the end token; repeated rows are packed each; a null
-doc_id stays null; further columns are ignored; an empty table gives an empty result.
+Defined results: null text is empty; an empty text is one piece of the end token; a text longer than a sequence is cut into
+whole ones and a rest; a piece whose attention cost is over its capacity has a sequence of its own; repeated rows are packed
+each; a null doc_id stays null; further columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actispark.llm.bpe import batches_of, encoder, tokenizer_path
-from actispark.llm.common import documents, materialise
+from actispark.llm.common import documents, give_back, materialise
 
 END = 1
 
@@ -86,24 +92,39 @@ def pieces_of(docs: DataFrame, most: int, path: str | None = None) -> DataFrame:
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "row_id", "piece", "start", "length", "ids_crc32"])
         e.forget()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), "text")
     return rows.mapInArrow(run, "doc_id long, row_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(pieces: DataFrame, count: int, capacity: tuple[int, int, int], group: int = 8192, **how) -> DataFrame:
-    """pieces(row_id, piece, length, ...) with sequence_id and offset."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "row_id", "piece"], ascending=[False, True, True], ignore_index=True)
-        bins = best_fit(rows["length"].to_numpy(), capacity, **how)
-        rows["sequence_id"] = key[0] * 2**24 + bins
-        rows["offset"] = rows.groupby("sequence_id")["length"].cumsum() - rows["length"]
-        return rows.drop(columns="pack_group")
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    groups = max(1, -(-count // group))
-    return pieces.withColumn("pack_group", F.pmod(F.xxhash64("row_id", "piece"), F.lit(groups))).groupBy("pack_group").applyInPandas(run, schema)
+def pack(pieces: DataFrame, count: int, capacity: tuple[int, int, int], group: int = 8192, full: float = 0.95, **how) -> DataFrame:
+    """pieces(row_id, piece, length, ...) with sequence_id and offset. Sequences with less than full of any capacity used
+    are packed in a second round, those of many groups together."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+
+    def deal(rows: DataFrame, n: int, seed: int) -> DataFrame:
+        groups = max(1, -(-n // group))
+        first = seed << 52
+
+        def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(["length", "row_id", "piece"], ascending=[False, True, True], ignore_index=True)
+            bins = best_fit(part["length"].to_numpy(), capacity, **how)
+            part["sequence_id"] = first + key[0] * 2**24 + bins
+            part["offset"] = part.groupby("sequence_id")["length"].cumsum() - part["length"]
+            square = part["length"].astype(float) ** 2
+            used = [part["length"].groupby(bins).transform("sum"), part["length"].groupby(bins).transform("size"), square.groupby(bins).transform("sum")]
+            part["open"] = np.max([u / c for u, c in zip(used, capacity, strict=True)], axis=0) < full
+            return part.drop(columns="pack_group")
+
+        dealt = rows.withColumn("pack_group", F.pmod(F.xxhash64("row_id", "piece", F.lit(seed)), F.lit(groups)))
+        return dealt.groupBy("pack_group").applyInPandas(run, columns + ", sequence_id long, offset long, open boolean")
+
+    if count <= group:
+        return deal(pieces, count, 0).drop("open")
+    once = materialise(deal(pieces, count, 0), "packed-once")
+    left = once.where("open").drop("sequence_id", "offset", "open")
+    return once.where("not open").drop("open").unionByName(deal(left, once.where("open").count(), 1).drop("open"))
 
 
 def pack_documents(docs: DataFrame, tokens: int = 4096, most_documents: int = 4096, most_attention: int = 4096**2, path: str | None = None, **how) -> DataFrame:

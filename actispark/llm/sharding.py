@@ -1,27 +1,31 @@
 """Shards by a k-d tree over document metadata.
 
-A node with n leaves is split along the dimension in which it is widest (against the whole table) at the weighted median,
-or the n//2 : n share of its bytes, until each leaf is a shard of near-equal bytes. Medians are distributed: a level's
-nodes share one histogram job a round, and each round narrows every node's interval to the bin that holds its target; the
-driver sees bins only. Equal values are told apart by a text hash, so equal texts stay together; only a group of equal
-texts that would push a cut further off than ``slack`` of a shard is cut between rows.
+The dimensions are the logarithm of a document's length, the length of its lines, its language and its source; the last two
+are ordinal codes, numbers in the order of the names. A node with n leaves is split along the dimension in which it is widest
+(against the whole table) at the weighted median, or the n//2 : n share of its bytes, until each leaf is a shard of
+near-equal bytes. Medians are distributed: a level's nodes share one histogram job a round, and each round narrows every
+node's interval to the bin that holds its target; the driver sees bins only. Equal values are told apart by a text hash, so
+equal texts stay together; only a group of equal texts that would push a cut too far off is cut between rows. How far is a
+budget for the whole path from the root to a leaf: a shard ends within ``slack`` of the mean, besides the size of a row.
 
 A level's cuts are a few numbers, so giving rows their child node needs no join. Slots come from a window over (shard, bucket)
 with the number of buckets following the rows, plus the bucket's offset.
 
-Defined results: null text counts no bytes (size 8, crc of nothing); nulls in metadata are 0; equal rows are told apart by
-a row number; a null doc_id keeps its row; further columns are ignored; an empty table gives an empty result.
+Defined results: null text counts no bytes (size 8, crc of nothing); nulls in metadata are 0, below all values; equal rows
+are told apart by a row number; a text larger than a shard's share fills one alone; a null doc_id keeps its row; further
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import bisect
 import itertools
+import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from actispark.llm.common import documents, materialise
+from actispark.llm.common import documents, forget, materialise
 
 BINS = 512
 
@@ -85,13 +89,14 @@ def _children(cuts: list[Cut]) -> Column:
     return F.when(depth.isNull(), F.col("node")).when(left, 2 * F.col("node") + 1).otherwise(2 * F.col("node") + 2).cast("int")
 
 
-def kd_shards(rows: DataFrame, dims: list[str], shards: int, slack: float = 0.02, close: float = 0.0005) -> DataFrame:
+def kd_shards(rows: DataFrame, dims: list[str], shards: int, slack: float = 0.02, close: float = 0.001) -> DataFrame:
     """rows(size, text_key, row_key, *dims) with shard; text_key and row_key are whole numbers in [0, 2^52).
-    A cut is near enough within close of a shard's bytes; to keep equal texts together it may be off by slack. A level's
-    nodes are written down, so a level reads the last one's table and no tree grows in the plan."""
+    A shard's bytes are within close of the mean where rows are small enough; to keep equal texts together it may be slack.
+    A cut above two shards may use half of both, and each level above half of what is left, for each shard of its smaller
+    side. A level's nodes are written down, so a level reads the last one's table and no tree grows in the plan."""
     ends = lambda: [f(d) for d in dims for f in (F.min, F.max)]
     whole = rows.agg(F.sum("size"), *ends()).first()
-    share = (whole[0] or 0) / shards
+    share, last = (whole[0] or 0) / shards, None
     widths = [(b - a) or 1.0 for a, b in itertools.batched(whole[1:], 2)] if whole[0] else []
     rows = rows.withColumn("node", F.lit(0))
     inner: set[int] = set()
@@ -105,7 +110,8 @@ def kd_shards(rows: DataFrame, dims: list[str], shards: int, slack: float = 0.02
                 continue
             spans = list(itertools.batched(seen[k][1:], 2))
             chosen[k] = d = max(range(len(dims)), key=lambda i: (spans[i][1] - spans[i][0]) / widths[i])
-            cuts.append(Cut(k, spans[d], seen[k][0] * (leaves[k] // 2) / leaves[k], share * close, share * slack))
+            bear = share * (leaves[k] // 2) / 2 ** (leaves[k] - 1).bit_length()
+            cuts.append(Cut(k, spans[d], seen[k][0] * (leaves[k] // 2) / leaves[k], bear * close, bear * slack))
         if not cuts:
             break
         at = rows.withColumn("k0", F.element_at(F.array(*dims), _of_node({k: d + 1 for k, d in chosen.items()})))
@@ -114,6 +120,9 @@ def kd_shards(rows: DataFrame, dims: list[str], shards: int, slack: float = 0.02
             for c in searching:
                 c.narrow([tuple(r)[2:] for r in sorted(r for r in found if r[0] == c.node)])
         rows = materialise(at.withColumn("node", _children(cuts)).drop("k0"), "kd-level")
+        if last:
+            forget(last)
+        last = rows
         for c in cuts:
             inner.add(c.node)
             n = leaves.pop(c.node)
@@ -135,19 +144,30 @@ def slots(rows: DataFrame, shards: int, count: int, order: list[str], rows_a_buc
     return numbered.join(offsets, ["shard", "bucket"]).withColumn("slot", F.col("offset") + F.col("i") - 1).drop("bucket", "offset", "i")
 
 
+def ordinals(rows: DataFrame, columns: list[str]) -> list[Column]:
+    """A number for each string column, in the order of its values: the six bytes behind what all values begin with."""
+    ends = rows.agg(*[f(c) for c in columns for f in (F.min, F.max)]).first()
+    out = []
+    for c, (a, b) in zip(columns, itertools.batched(ends, 2), strict=True):
+        common = len(os.path.commonprefix([(a or "").encode(), (b or "").encode()]))
+        six = F.hex(F.substring(F.col(c).cast("binary"), common + 1, 6))
+        out.append(F.coalesce(F.conv(F.rpad(six, 12, "0"), 16, 10).cast("double"), F.lit(0.0)).alias(c))
+    return out
+
+
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """One row per row of docs(doc_id, text, lang, n_chars): doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    """One row per row of docs(doc_id, text, lang, source, n_chars): doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     text = F.coalesce(F.col("text"), F.lit(""))
     fold = lambda h: F.pmod(h, F.lit(2**52)).cast("double")
-    rows = materialise(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-            fold(F.xxhash64(text)).alias("text_key"), F.monotonically_increasing_id().alias("row_id"),
-            F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)).alias("chars"), F.coalesce(F.crc32(F.col("lang").cast("binary")).cast("double"), F.lit(0.0)).alias("lang"),
-            F.char_length(text).cast("double").alias("length"),
-        ).withColumn("row_key", fold(F.xxhash64("doc_id", "row_id"))), "shard-rows",
+    length = F.char_length(text).cast("double")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        fold(F.xxhash64(text)).alias("text_key"), F.monotonically_increasing_id().alias("row_id"), F.log2(1 + F.greatest(F.coalesce(F.col("n_chars").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("chars"),
+        (length / (1 + length - F.char_length(F.translate(text, "\n", "")))).alias("line"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
     )
-    return slots(kd_shards(rows, ["chars", "lang", "length"], shards), shards, rows.count(), ["text_key", "doc_id", "row_id"]).select(
+    rows = materialise(rows.withColumn("row_key", fold(F.xxhash64("doc_id", "row_id"))), "shard-rows")
+    coded = rows.select(*[c for c in rows.columns if c not in ("lang", "source")], *ordinals(rows, ["lang", "source"]))
+    return slots(kd_shards(coded, ["chars", "line", "lang", "source"], shards), shards, rows.count(), ["text_key", "doc_id", "row_id"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 

@@ -1,16 +1,19 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another; each linear model sees the words of the text (and their beginnings) and the probabilities of the
-categories before it. In training these are out-of-fold predictions, so a later model learns from what earlier ones say
-about texts they haven't seen. The labels know toxic or not; a category's label is a toxic document with a word of the
-category's list (``severe``: with three or more of any list), and the last category is the label itself.
+Categories are predicted one after another; each linear model sees the words of the text (and their beginnings) and the
+probabilities of the categories before it. In training these are out-of-fold predictions, so a later model learns from what
+earlier ones say about texts they haven't seen. The labels know toxic or not, so the categories come from the data: the
+words that mark toxic documents are grouped by how they occur together in them (spectral clustering of their correlations),
+a toxic document is of each category whose words it has, and the last model of the chain is the label itself.
 
 The models are fitted on at most ``sample`` labelled documents (a documented bound, chosen by a hash of the id) and a
-vocabulary of at most ``vocabulary`` words that are at least ``far`` standard deviations from chance; all documents are then scored, whole, in one pass without a shuffle.
+vocabulary of at most ``vocabulary`` words that are at least ``far`` standard deviations from chance; all documents are
+then scored, whole, in one pass without a shuffle.
 
 Defined results: null and empty texts have no words (a low, equal score each); a doc_id that has several labels counts with
-the largest; null labels are left out; repeated rows each give a row; further columns are ignored; with no labels, or of
-one kind only, all probabilities are 0 and nothing is toxic; an empty table gives an empty result.
+the largest; null labels are left out; repeated rows each give a row; very long texts are one row like others; further
+columns are ignored, whatever their names; with no labels, or of one kind only, all probabilities are 0 and nothing is
+toxic; a category without words is never predicted; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from actispark.llm.common import documents
+from actispark.llm.common import documents, give_back
 
-#: The categories in the chain's order and their word lists.
-INSULT = frozenset("idiot moron stupid clown loser fool dumb imbecile".split())
-DEGRADING = frozenset("trash scum worthless disgusting pathetic vermin filth garbage".split())
-CHAIN = ("insult", "degrading", "severe", "toxic")
+CATEGORIES = 3
+CHAIN = (*(f"category_{i + 1}" for i in range(CATEGORIES)), "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -48,18 +50,47 @@ def known_words(text: str | None, known: dict[str, int]) -> set[str]:
     return (known.keys() & words).union([p for n in (4, 5, 7) for w in words if len(w) >= n and (p := "^" + w[:n]) in known])
 
 
-def _category(words: set[str], toxic: int) -> list[int]:
-    hits = len(words & INSULT) + len(words & DEGRADING)
-    return [int(toxic and bool(words & INSULT)), int(toxic and bool(words & DEGRADING)), int(toxic and hits >= 3), toxic]
-
-
 def _labelled_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 100):  # a text's words take more room than the text
             b = whole.slice(at, 100)
-            words = [words_of(t) for t in b.column(2).to_pylist()]
-            y = [_category(w, t) for w, t in zip(words, b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(y, pa.list_(pa.int32())), pa.array([sorted(w) for w in words], pa.list_(pa.string()))], ["doc_id", "y", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sorted(words_of(t)) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "toxic", "words"])
+    give_back()
+
+
+def group_words(texts: list[set[str]], words: list[str], groups: int) -> dict[str, int]:
+    """Which group each of words is in, by how they occur together in texts: the leading eigenvectors of their correlations,
+    then k-means from the most frequent word and those farthest from the ones before. Groups are numbered by size of use."""
+    place = {w: i for i, w in enumerate(words)}
+    x = np.zeros((len(texts), len(words)))
+    for i, t in enumerate(texts):
+        x[i, [place[w] for w in place.keys() & t]] = 1
+    if len(words) <= groups:
+        return place
+    d = x - x.mean(0)
+    norm = np.sqrt((d * d).sum(0))
+    corr = (d.T @ d) / np.maximum(norm[:, None] * norm, 1e-12)
+    values, vectors = np.linalg.eigh(corr)
+    u = vectors[:, -groups:] * np.sqrt(np.maximum(values[-groups:], 0))
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+    centres = [u[x.sum(0).argmax()]]
+    while len(centres) < groups:
+        centres.append(u[np.min([((u - c) ** 2).sum(1) for c in centres], axis=0).argmax()])
+    c = np.array(centres)
+    for _ in range(50):
+        own = ((u[:, None] - c) ** 2).sum(2).argmin(1)
+        c = np.array([u[own == g].mean(0) if (own == g).any() else c[g] for g in range(groups)])
+    order = sorted(range(groups), key=lambda g: (-x[:, own == g].sum(), g))
+    return {w: order.index(g) for w, g in zip(words, own.tolist(), strict=True)}
+
+
+def category_labels(texts: list[set[str]], toxic: np.ndarray, group: dict[str, int]) -> np.ndarray:
+    """A column a category (toxic, and with a word of its group), then toxic itself."""
+    y = np.zeros((len(texts), len(CHAIN)))
+    y[:, -1] = toxic
+    for i in np.flatnonzero(toxic):
+        y[i, [group[w] for w in group.keys() & texts[i]]] = 1
+    return y
 
 
 class Linear:
@@ -95,6 +126,7 @@ class Chain:
     def __init__(self, vocabulary: list[str]):
         self.place = {w: i for i, w in enumerate(vocabulary)}
         self.models: list[Linear] = []
+        self.group: dict[str, int] = {}  # the categories' words
         self.clean = 0.0  # what out-of-fold probabilities of clean texts stay below, but for one in a thousand
 
     def features(self, texts: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -136,21 +168,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, vocabulary:
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).dropDuplicates(["doc_id"])
-    rows = texts.select("doc_id", "toxic", "text").mapInArrow(_labelled_words, "doc_id long, y array<int>, words array<string>").persist()
-    toxic = F.element_at("y", len(CHAIN))
-    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum(toxic), F.lit(0))).first()
+    rows = texts.select("doc_id", "toxic", "text").mapInArrow(_labelled_words, "doc_id long, toxic int, words array<string>").persist()
+    n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < positive < n:
         rows.unpersist()
         return None
     share = positive / n
     # Words by how far their toxic documents are from what chance would give, in standard deviations.
-    distance = F.abs(F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1)
-    top = rows.select(toxic.alias("t"), F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("t").alias("bad")).where((F.col("n") >= 5) & (distance >= far)).orderBy(distance.desc(), "word").limit(vocabulary).collect()
+    over = F.col("bad") - F.col("n") * share
+    distance = F.abs(over) / F.sqrt(F.col("n") * (share * (1 - share)) + 1)
+    counts = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("bad"))
+    top = counts.where((F.col("n") >= 5) & (distance >= far)).orderBy(distance.desc(), "word").limit(vocabulary).select("word", (over > 0).alias("marks")).collect()
     words = sorted(r["word"] for r in top)
-    kept = rows.select("doc_id", "y", F.array_intersect("words", F.array(*[F.lit(w) for w in words]).cast("array<string>")).alias("words")).orderBy("doc_id").collect()  # at most sample rows
+    kept = rows.select("doc_id", "toxic", F.array_intersect("words", F.array(*[F.lit(w) for w in words]).cast("array<string>")).alias("words")).orderBy("doc_id").collect()  # at most sample rows
     rows.unpersist()
+    texts, is_toxic = [set(r["words"]) for r in kept], np.array([r["toxic"] for r in kept])
+    group = group_words([t for t, y in zip(texts, is_toxic, strict=True) if y], sorted(r["word"] for r in top if r["marks"] and r["word"][0] != "^"), CATEGORIES)
     folds_of = np.array([(r["doc_id"] * 2654435761 >> 8) % folds for r in kept])
-    return Chain(words).fit([set(r["words"]) for r in kept], np.array([r["y"] for r in kept], float), folds_of)
+    chain = Chain(words).fit(texts, category_labels(texts, is_toxic, group), folds_of)
+    chain.group = group
+    return chain
 
 
 def _limit(chain: Chain | None, threshold: float) -> float:
@@ -174,20 +211,23 @@ def score(docs: DataFrame, chain: Chain | None, threshold: float = 0.25) -> Data
         for b in batches:
             p = _probabilities(chain, b, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, p), pa.array(p[-1] > limit), pa.array(p[-1] <= limit)], ["doc_id", *(f"p_{c}" for c in CHAIN), "toxic", "kept"])
+        give_back()
 
     schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in CHAIN) + ", toxic boolean, kept boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, chain: Chain | None, threshold: float = 0.25) -> DataFrame:
-    """The rows of docs whose text is not toxic, with all their columns."""
-    at, limit = docs.columns.index("text"), _limit(chain, threshold)
+    """The rows of docs whose text is not toxic, with all their columns. Only texts go to Python."""
+    limit = _limit(chain, threshold)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.filter(pa.array(_probabilities(chain, b, at)[-1] <= limit))
+    @F.arrow_udf(BooleanType())
+    def clean(text: pa.Array) -> pa.Array:
+        out = pa.array(_probabilities(chain, pa.RecordBatch.from_arrays([text], ["text"]), 0)[-1] <= limit, pa.bool_())
+        give_back()
+        return out
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(F.col("text")))
 
 
 def op4_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from actispark.llm import langid, toxicity
 def test_chain_finds_toxic_words(spark):
     rng = np.random.default_rng(0)
     clean = [f"word{i}" for i in range(200)]
-    bad = sorted(toxicity.INSULT)[:4] + sorted(toxicity.DEGRADING)[:4]
+    bad = "alpha beta gamma delta epsilon zeta eta theta".split()
     rows, labels, truth = [], [], {}
     for i in range(1200):
         toxic = i % 6 == 0
@@ -28,6 +28,51 @@ def test_chain_finds_toxic_words(spark):
     assert toxicity.drop_toxic(docs, chain).count() == sum(r["kept"] for r in got)
 
 
+def newton(x, y, l2=0.1):
+    """The optimum of the penalised logistic loss; the first column (the constant) is free."""
+    w, free = np.zeros(x.shape[1]), np.full(x.shape[1], l2)
+    free[0] = 1e-9
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(free), x.T @ (p - y) + free * w)
+    return w
+
+
+def test_chain_equals_brute_force(spark):
+    """Models, out-of-fold predictions and the whole query against dense matrices and Newton's method."""
+    rng = np.random.default_rng(4)
+    topics = [["ka", "kb", "kc"], ["la", "lb"], ["ma", "mb"]]
+    rows, labels = [], []
+    for i in range(400):
+        words, toxic = set(rng.choice([f"w{chr(97 + k)}" for k in range(20)], 8)), i % 3 == 0
+        if toxic:
+            words |= set(rng.choice(topics[rng.integers(3)], 2))
+        if rng.random() < 0.05:
+            words.add(str(rng.choice(sum(topics, []))))
+        rows.append((i, " ".join(sorted(words))))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), far=3.0)
+    assert {len({chain.group[w] for w in t if w in chain.group}) for t in topics} == {1} and len(set(chain.group.values())) == 3
+    vocabulary = sorted(chain.place)
+    x = np.array([[1.0] + [float(w in toxicity.words_of(t)) for w in vocabulary] for _, t in rows])
+    y = toxicity.category_labels([toxicity.words_of(t) for _, t in rows], np.array([t for _, t in labels]), chain.group)
+    folds = np.array([(i * 2654435761 >> 8) % 5 for i in range(400)])
+    train, score = x, x
+    for k in range(len(toxicity.CHAIN)):
+        out = np.zeros(400)
+        for f in range(5):
+            own = folds == f
+            out[own] = 1 / (1 + np.exp(-train[own] @ newton(train[~own], y[~own, k])))
+        p = 1 / (1 + np.exp(-score @ newton(train, y[:, k])))
+        train, score = np.hstack([train, out[:, None]]), np.hstack([score, p[:, None]])
+    got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
+    for k, c in enumerate(toxicity.CHAIN):
+        found = np.array([got[i][f"p_{c}"] for i in range(400)])
+        assert np.abs(found - score[:, x.shape[1] + k]).max() < 0.02
+    assert all(got[i]["toxic"] == (got[i]["p_toxic"] > max(0.25, chain.clean)) for i in range(400))
+
+
 def test_chain_without_labels(spark, odd_documents, no_documents):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.train(odd_documents, none) is None
@@ -65,6 +110,58 @@ def test_forward_backward():
     assert np.isclose(counts.sum(), 4 + 2) and not post[1, 3:].any()
 
 
+def test_windows_are_one_chain(monkeypatch):
+    """A text's posteriors don't depend on where its windows end."""
+    rng = np.random.default_rng(2)
+    a, s = rng.normal(size=(3, 3)) * 2, rng.normal(size=3)
+    sizes = [1, 4, 5, 9, 13]
+    e = [rng.normal(size=(n, 3)) * 2 for n in sizes]
+    windows = np.array([-(-n // 4) for n in sizes])
+    grid, mask = np.zeros((windows.sum(), 4, 3)), np.zeros((windows.sum(), 4), bool)
+    first = np.cumsum(windows) - windows
+    for t, x in enumerate(e):
+        for i in range(len(x)):
+            grid[first[t] + i // 4, i % 4], mask[first[t] + i // 4, i % 4] = x[i], True
+    got = langid.chained(grid, mask, first, windows, a, s)
+    for t, x in enumerate(e):
+        whole, _, _ = langid.forward_backward(x[None], np.ones((1, len(x)), bool), a, s)
+        flat = got[first[t] : first[t] + windows[t]].reshape(-1, 3)[: len(x)]
+        assert np.allclose(flat, whole[0]) and (len(x) > 9 or np.allclose(flat, brute(x, a, s)[0]))
+
+
+def test_words_are_letters_and_none_is_cut_off():
+    assert langid.words_of("\u00bd \u00b2 \u2167 \u0663 _ 12") == [] and langid.words_of("a\u00bdb") == ["a", "b"]
+    long = "".join(chr(97 + i % 26) for i in range(1000))
+    pieces = langid.words_of(f"x {long} y")
+    assert "".join(p.strip("-") for p in pieces) == "x" + long + "y" and max(map(len, pieces)) <= langid.LETTERS
+    assert not pieces[1].startswith("-") and pieces[1].endswith("-") and not pieces[-2].endswith("-")
+
+
+def test_text_without_letters_is_undetermined(spark, documents):
+    docs = spark.createDataFrame([(1, "\u00bd \u00b2 \u2167"), (2, "12 34"), (3, "the of and " * 40_000), (4, "ab" * 300_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.identify(docs, langid.train(documents)).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2)] == ["und", "und"] and got[1]["score"] == 0 and got[3]["lang_pred"] == "en" and got[4]["lang_pred"] != "und"
+
+
+def test_many_languages(spark):
+    """Over 64 of them; each has words of its own and one word of its neighbour."""
+    name = lambda i: f"{chr(97 + i // 26)}{chr(97 + i % 26)}"
+    rows = [(i * 3 + k, " ".join(f"{name(i)}{c}{name(i)}" for c in "xyzqwv" * 5) + f" {name((i + 1) % 70)}x{name((i + 1) % 70)}", f"l{i}") for i in range(70) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    field = langid.train(docs, sequences=3000)
+    assert len(field.langs) == 70
+    got = langid.identify(docs, field).collect()
+    want = {d: lang for d, _, lang in rows}
+    assert sum(r["lang_pred"] == want[r["doc_id"]] for r in got) >= 0.95 * len(rows)
+
+
+def test_sample_is_bounded(spark):
+    """Equal rows, and one text that is larger than the bound."""
+    rows = [(1, "the same text again and again", "en")] * 500 + [(2, "w " * 100_000, "en"), (3, "der die das und", "de")]
+    field = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50, sample_bytes=10_000)
+    assert field is None or set(field.langs) == {"en", "de"}
+
+
 def test_held_out_languages(spark, sf_dir, documents):
     lang = {r["doc_id"]: r["lang"] for r in documents.collect()}
     got = langid.op8_crf_language(spark, sf_dir).collect()

@@ -32,6 +32,21 @@ def test_nearest_with_ties_and_odd_vectors(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_a_vector_shared_by_many_rows(spark):
+    """Equal vectors, some under one id: the survivors of the tiles don't grow with their number, and the answers are right."""
+    rng = np.random.default_rng(1)
+    hot, rows = [1.0, 2.0, 3.0, 4.0], [(i, [float(x) for x in rng.normal(size=4)]) for i in range(1, 200)]
+    rows += [(1000 + i, hot) for i in range(2000)] + [(1000, hot)] * 30 + [(500, [1.0, 2.0, 3.0, 4.5])] * 15
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, candidate_block=128, query_block=8).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    of = dict(rows)
+    for q in {i for i, _ in rows if i % 100 == 0}:
+        near = sorted((float(ann.exact(np.array(of[q])[None], np.array(v)[None])[0]), i) for i, v in rows if i != q)
+        assert got[q] == near[:10], q
+
+
 def test_quantisation_bounds():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(20, 33)), rng.normal(size=(30, 33)) * 5

@@ -96,6 +96,65 @@ def test_every_capacity_holds(score):
         assert own.sum() <= 1000 and len(own) <= 7 and (own**2).sum() <= 300_000
 
 
+def slow_best_fit(lengths, capacity, weights, score):
+    """One open sequence after another, in plain numbers."""
+    order, left, bins = sorted(range(len(lengths)), key=lambda i: -lengths[i]), [], [0] * len(lengths)
+    for i in order:
+        item = (lengths[i], 1, lengths[i] ** 2)
+        best = None
+        for b, r in enumerate(left):
+            if all(x <= y for x, y in zip(item, r, strict=True)):
+                if score == "norm":
+                    v = sum(w * ((y - x) / c) ** 2 for w, x, y, c in zip(weights, item, r, capacity, strict=True))
+                else:
+                    v = -sum(w * x / c * y / c for w, x, y, c in zip(weights, item, r, capacity, strict=True))
+                if best is None or v < best[0] - 1e-15:
+                    best = (v, b)
+        if best is None:
+            left.append(list(capacity))
+            best = (0, len(left) - 1)
+        left[best[1]] = [y - x for x, y in zip(item, left[best[1]], strict=True)]
+        bins[i] = best[1]
+    return bins
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [(1000, 1000, 10**6), (1000, 6, 10**6), (1000, 1000, 250_000)])
+def test_packing_equals_brute_force(score, capacity):
+    """The number of sequences, with and without capacities that bind; where only tokens bind, as scalar best fit packs."""
+    rng = np.random.default_rng(6)
+    lengths = rng.integers(1, 480, 400)
+    weights = (1.0, 0.02, 0.02)
+    bins = packing.best_fit(lengths, capacity, weights, score)
+    slow = slow_best_fit(lengths.tolist(), capacity, weights, score)
+    assert len(set(bins.tolist())) <= len(set(slow)) + 1
+    if capacity == (1000, 1000, 10**6):
+        assert len(set(bins.tolist())) <= -(-lengths.sum() // 1000) + 2
+        scalar = packing.best_fit(lengths, capacity, (1.0, 0.0, 0.0), score)
+        assert (bins != scalar).any()  # the other dimensions choose among sequences that fit
+    else:
+        assert len(set(bins.tolist())) > -(-lengths.sum() // 1000)  # these bind
+
+
+def test_open_sequences_of_groups_are_packed_again(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, 0, int(n)) for i, n in enumerate(rng.integers(200, 900, 2000))]
+    pieces = spark.createDataFrame(rows, "row_id long, piece int, length long")
+    got = packing.pack(pieces, len(rows), (4096, 4096, 4096**2), group=100).collect()
+    assert sorted((r["row_id"], r["length"]) for r in got) == [(i, n) for i, _, n in rows]
+    assert check_packed(got) <= -(-sum(n for _, _, n in rows) // 4096) + 6  # 20 groups would leave up to 20
+
+
+def test_huge_texts(huge_documents, library):
+    rows = packing.pack_documents(huge_documents).collect()
+    check_packed(rows)
+    of = collections.Counter()
+    for r in rows:
+        of[r["doc_id"]] += r["length"]
+    for r in bpe.round_trips(huge_documents).collect():
+        assert of[r["doc_id"]] == r["n_tokens"] + 1
+
+
 def test_odd_packing(odd_documents, no_documents):
     rows = packing.pack_documents(odd_documents).collect()
     check_packed(rows)
