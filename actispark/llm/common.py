@@ -63,17 +63,19 @@ def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if rows <= limit else df
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner", hot: int = 20_000, limit: int = 50_000) -> DataFrame:
-    """left joined with right, which has a row a key. counts(*keys, n) tells how many rows of left a key has: keys with more
-    than hot of them are few (rows / hot at most), so their rows of right are broadcast if they are within limit and no
-    task gets all of a key; the others are shuffled."""
-    top = counts.where(F.col("n") > hot).select(*keys)
-    n = top.limit(limit + 1).count()
-    if not 0 < n <= limit:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame, salt: list[str], how: str = "inner", rows: int = 2_000) -> DataFrame:
+    """left joined with right, which has a row a key. counts(*keys, n) tells how many rows of left a key has: a key with more
+    than rows of them is dealt over several by a hash of left's columns in salt, and its row of right is repeated for each,
+    so no task gets all of a key and no table is broadcast but the numbers of the keys that are dealt (their count is checked)."""
+    hot = counts.where(F.col("n") > rows).select(*keys, F.ceil(F.col("n") / rows).cast("int").alias("deals"))
+    n = hot.count()
+    if not n:
         return left.join(right, keys, how)
-    top = F.broadcast(top)
-    own = F.broadcast(right.join(top, keys, "left_semi"))
-    return left.join(top, keys, "left_semi").join(own, keys, how).unionByName(left.join(top, keys, "left_anti").join(right, keys, how))
+    hot = broadcast_if_small(hot, n)
+    deals = F.coalesce("deals", F.lit(1))
+    dealt = left.join(hot, keys, "left").withColumn("deal", F.pmod(F.xxhash64(*salt), deals).cast("int")).drop("deals")
+    each = right.join(hot, keys, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("deals")
+    return dealt.join(each, [*keys, "deal"], how).drop("deal")
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -7,14 +7,20 @@ estimated from equal registers less the collisions that compression makes, and w
 full sets. At the threshold of 0.85 a pair misses all 32 bands of 5 with a probability of 7e-9.
 
 Equal sets are one class first (exact copies cost one row). Links are found in two steps, so that no group makes all its
-pairs: (1) each class against the first class of each of its bands; links become components; (2) bands that still hold
-several components are compared in full, in blocks of bounded size, and a block reports a spanning forest of its links
-only. So no link between different texts is lost to a cap, and rows grow with the documents, not with a group's pairs.
-Components come from alternating large and small stars, each step written to the shared folder.
-
-Defined results: null and empty texts have no shingles and are linked with nothing; fewer than five words are one shingle;
-rows that repeat a doc_id are one document; a null doc_id has no component and is kept; further columns are ignored; an
-empty table gives an empty result.
+pairs: (1) each class against two pivots of each of its bands, its first class and one by a hash, the same for all bands
+they are in; links become components; (2) bands that still hold several components are compared in full, in blocks of
+bounded size in rows and shingles, and a block reports a spanning forest of its links only. A large band whose members
+differ otherwise is first split by a further band: its members then meet only where they share both (a pair at 0.85 shares
+fewer than two of the 32 bands with a probability of 2e-7), and rows stay in proportion to members. Which way makes fewer
+rows is counted for each large band. A large band of near copies that are not all linked is compared in full: its rows grow
+with its size times its number of blocks, and no link is lost to a cap.
+
+Components come from alternating large and small stars, each step written to the shared folder. Keys that many rows share
+(a band, a pivot, a class of copies) are dealt over several tasks in every join; rows without shingles are kept apart.
+
+Defined results: null, empty and blank texts have no shingles and are linked with nothing; fewer than five words are one
+shingle; very long texts are one set like others; rows that repeat a doc_id are one document; a null doc_id has no
+component and is kept; further columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actispark.llm.common import broadcast_if_small, documents, materialise
+from actispark.llm.common import broadcast_if_small, documents, forget, fresh, give_back, materialise, salted_join
 
 BANDS, ROWS, MANTISSA = 32, 5, 10
 BUCKETS = BANDS * ROWS
-BLOCK = 512
+BLOCK = 512  # rows of a band that are compared in one piece, and shingles that they hold together
+BLOCK_SHINGLES = 1_000_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -115,6 +122,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h2.append(_mix(x + _P).sum(dtype=_U))
                 r.append(registers(x).tobytes() if len(x) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(h, _U).view(np.int64)) for h in (h1, h2)), pa.array(r, pa.binary())], names)
+    give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +132,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = [shingles(t.as_py()).view(np.int64) for t in b.column(1)]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in x]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))], ["cid", "set"])
+    give_back()
 
 
 def _rows_of(column: pa.Array) -> np.ndarray:
@@ -238,6 +247,7 @@ def _forest(threshold: float):
                     out.append((int(cid[x[k]]), int(cid[y[k]])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+        give_back()
 
     return run
 
@@ -250,55 +260,102 @@ def components(edges: DataFrame) -> DataFrame:
     while last[0]:
         # Large star: what is greater than a node goes to the node's least neighbour.
         both = pairs.unionByName(pairs.select(F.col("m").alias("v"), F.col("v").alias("m")))
-        least = both.groupBy(F.col("v").alias("u")).agg(F.least(F.min("m"), F.first("v")).alias("to"))
-        large = both.join(least, F.col("v") == F.col("u")).where(F.col("m") > F.col("v")).select(F.col("m").alias("v"), F.col("to").alias("m")).distinct()
-        large = materialise(large, "large-star")
+        least = both.groupBy(F.col("v").alias("u")).agg(F.least(F.min("m"), F.first("v")).alias("to"), F.count("*").alias("n"))
+        least = materialise(least, "least")
+        large = salted_join(both.withColumnRenamed("v", "u"), least.drop("n"), ["u"], least.select("u", "n"), ["m"])
+        large = materialise(large.where(F.col("m") > F.col("u")).select(F.col("m").alias("v"), F.col("to").alias("m")).distinct(), "large-star")
         # Small star: a node and what is less than it go to the least of these.
-        least = large.groupBy(F.col("v").alias("u")).agg(F.min("m").alias("to"))
-        small = large.join(least, F.col("v") == F.col("u")).where(F.col("m") != F.col("to")).select(F.col("m").alias("v"), F.col("to").alias("m"))
+        small = large.groupBy(F.col("v").alias("u")).agg(F.min("m").alias("to"), F.count("*").alias("n"))
+        old = pairs, least
+        least = materialise(small, "least")
+        small = salted_join(large.withColumnRenamed("v", "u"), least.drop("n"), ["u"], least.select("u", "n"), ["m"])
+        small = small.where(F.col("m") != F.col("to")).select(F.col("m").alias("v"), F.col("to").alias("m"))
         pairs = materialise(small.unionByName(least.select(F.col("u").alias("v"), F.col("to").alias("m"))).distinct(), "small-star")
         now = mark(pairs)
+        forget(*old, least, large)
         if now == last:
             break
         last = now
     return pairs
 
 
+def split_bands(rows: DataFrame, keys_of: DataFrame, block: int, least: int) -> DataFrame:
+    """rows(key, cid, n, comp) with those of bands of more than least rows split by a further band, where that makes fewer
+    rows for the blocks. keys_of(cid, keys) has all bands' keys. What splitting would make is estimated from two of the
+    further bands; a split band's key is that of both bands, whichever came first."""
+    large = rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > least)
+    large = materialise(large, "large-bands")
+    count = large.count()
+    if not count:
+        return rows
+    large = broadcast_if_small(large, count)
+    of = rows.join(large, "key").join(keys_of, "cid")
+    others = F.array_remove("keys", F.col("key"))
+    both = lambda other: F.col("key").bitwiseXOR(other).alias("both")
+    two = of.select("key", "rows", F.explode(F.slice(others, 1, 2)).alias("other")).groupBy("key", "rows", both(F.col("other"))).agg(F.count("*").alias("s"))
+    made = F.sum(F.col("s") * F.ceil(F.col("s") / block)) / 2 * (BANDS - 1)
+    split = two.groupBy("key", "rows").agg(made.alias("made")).where(F.col("made") < F.col("rows") * F.ceil(F.col("rows") / block)).select("key")
+    split = materialise(split, "split-bands")
+    if not split.count():
+        return rows
+    split = broadcast_if_small(split, count)
+    parts = rows.join(split, "key", "left_semi").join(keys_of, "cid").select("cid", "n", "comp", "key", F.explode(others).alias("other"))
+    return rows.join(split, "key", "left_anti").unionByName(parts.select(both(F.col("other")).alias("key"), "cid", "n", "comp").distinct())
+
+
+def open_bands(rows: DataFrame) -> DataFrame:
+    """key, rows, shingles of the bands of rows(key, cid, n, comp) that hold several components."""
+    per = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    return per.where(F.col("lo") != F.col("hi")).select("key", "rows", "shingles")
+
+
+def blocked(rows: DataFrame, block: int, shingles_a_block: int) -> DataFrame:
+    """rows(key, cid, n, comp) of open bands, each once for every block of its band that it is to meet: key, i, j, block, ..."""
+    per = materialise(open_bands(rows), "open-bands")
+    rows = salted_join(rows, per, ["key"], per.select("key", F.col("rows").alias("n")), ["cid"])
+    blocks = F.ceil(F.greatest(F.col("rows") / block, F.col("shingles") / shingles_a_block)).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return rows.select(*_KEYS, "block", "cid", "n", "comp")
+
+
 def group_documents(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
     least = threshold - 5 * (threshold * (1 - threshold) / BUCKETS) ** 0.5  # five standard deviations of the estimate
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(docs.mapInArrow(_sign, "doc_id long, n_shingles long, h1 long, h2 long, registers binary"), "signatures")
     classes = materialise(
-        signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("cid"), F.first("registers").alias("registers")), "classes"
+        signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("cid"), F.first("registers").alias("registers"), F.count("*").alias("copies")), "classes"
     )
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("registers", 1 + width * b, width)) for b in range(BANDS)])
+    keys_of = classes.select("cid", keys.alias("keys"))
     banded = classes.select("cid", "n", F.explode(keys).alias("key"))
-    tops = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("cid").alias("top")).where(F.col("size") > 1)
-    shared = materialise(banded.join(tops, "key"), "shared-bands")
+    pivot = F.array_distinct(F.array(F.min("cid"), F.min_by("cid", F.xxhash64("cid", F.lit(11)))))
+    tops = materialise(banded.groupBy("key").agg(F.count("*").alias("size"), pivot.alias("pivots")).where(F.col("size") > 1), "bands")
+    shared = materialise(salted_join(banded, tops, ["key"], tops.select("key", F.col("size").alias("n")), ["cid"]), "shared-bands")
 
-    # Step 1: each class against the first of its bands.
+    # Step 1: each class against the pivots of its bands.
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
-    pairs = shared.where(F.col("cid") != F.col("top")).select(F.col("cid").alias("a"), F.col("top").alias("b")).distinct()
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
-    likely = materialise(pairs.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely(least), "a long, b long"), "likely")
+    pairs = shared.select(F.col("cid").alias("a"), F.explode("pivots").alias("b")).where(F.col("a") != F.col("b"))
+    pairs = materialise(pairs.distinct(), "pairs")
+    hubs = lambda p: p.groupBy("b").agg(F.count("*").alias("n"))
+    met = salted_join(pairs.join(side("a"), "a"), side("b"), ["b"], hubs(pairs), ["a"]).where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
+    likely = materialise(met.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely(least), "a long, b long"), "likely")
     wanted = materialise(shared.select("cid").distinct(), "wanted")
     sets = docs.join(broadcast_if_small(wanted, wanted.count()), F.col("doc_id") == F.col("cid")).select("doc_id", "text").mapInArrow(_sets, "cid long, set array<long>")
     sets = materialise(sets, "sets")
     set_of = lambda x: sets.select(F.col("cid").alias(x), F.col("set").alias(f"s_{x}"))
     common = F.size(F.array_intersect("s_a", "s_b"))
-    verified = likely.join(set_of("a"), "a").join(set_of("b"), "b").where(100 * common >= round(100 * threshold) * (F.size("s_a") + F.size("s_b") - common)).select("a", "b")
-    first = components(verified)
+    verified = salted_join(likely.join(set_of("a"), "a"), set_of("b"), ["b"], hubs(likely), ["a"], rows=500)
+    first = components(verified.where(100 * common >= round(100 * threshold) * (F.size("s_a") + F.size("s_b") - common)).select("a", "b"))
 
     # Step 2: bands that hold several components, in blocks.
-    rows = shared.select("key", "cid", "n", "size").join(first.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("m", "cid")).drop("m")
+    rows = shared.select("key", "cid", "n").join(first.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("m", "cid")).drop("m")
     rows = materialise(rows, "labelled-bands")
-    open_ = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = rows.join(open_, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(7)), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.select(*_KEYS, "block", "cid", "n", "comp")
+    still = materialise(open_bands(rows), "still-open")
+    rows = materialise(salted_join(rows, still.select("key"), ["key"], still.select("key", F.col("rows").alias("n")), ["cid"]), "open-rows")
+    rows = blocked(materialise(split_bands(rows, keys_of, BLOCK, 4 * BLOCK), "band-rows"), BLOCK, BLOCK_SHINGLES)
     dealt = lambda d: d.repartition(*map(F.col, _KEYS)).sortWithinPartitions(*_KEYS, "cid")
     near = dealt(rows.join(classes.select("cid", "registers"), "cid")).mapInArrow(_with_partner(threshold, least), "key long, i int, j int, block int, cid long, n long, comp long")
     near = materialise(near, "near")
@@ -306,19 +363,22 @@ def group_documents(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     links = materialise(more.distinct(), "links")
     final = components(first.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(links)) if links.count() else first
 
-    of_class = classes.select("h1", "h2", F.col("n").alias("n_shingles"), "cid").join(final.withColumnRenamed("v", "cid"), "cid", "left").select("h1", "h2", "n_shingles", F.coalesce("m", "cid").alias("c"))
+    names = ["h1", "h2", "n_shingles"]
+    of_class = classes.select("h1", "h2", F.col("n").alias("n_shingles"), "cid").join(final.withColumnRenamed("v", "cid"), "cid", "left").select(*names, F.coalesce("m", "cid").alias("c"))
+    copies = classes.select("h1", "h2", F.col("n").alias("n_shingles"), F.col("copies").alias("n"))
+    some = signed.where(F.col("n_shingles") > 0).select("doc_id", *names)
+    some = salted_join(some, of_class, names, copies, ["doc_id"], "left").select("doc_id", "n_shingles", "c")
+    none = signed.where(F.col("n_shingles") == 0).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("c"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
-    return (
-        signed.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2", "n_shingles"], "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    rows = some.unionByName(none).select("doc_id", "n_shingles", component.alias("component_id"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_first(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """The rows of docs but those that belong to the component of a smaller doc_id."""
-    gone = materialise(group_documents(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = materialise(group_documents(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(broadcast_if_small(gone, gone.count()), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from compare import assert_same
 from pyspark.sql import functions as F
 
 from actispark.llm import ann, neardup
+from actispark.llm.common import salted_join
 
 
 def test_nearest_equals_sql(spark, sf_dir):
@@ -120,6 +121,53 @@ def test_blocks_find_the_same(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in brute_components(texts).items()}
 
 
+def test_split_bands_find_the_same(spark, monkeypatch):
+    """Many texts with one long passage in common, which share bands and are not similar, and near copies among them."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(120)]
+    texts = {}
+    for i in range(90):
+        own = [f"o{i}x{k}" for k in range(80)]
+        texts[i] = " ".join(passage + own)
+        if i % 9 == 0:
+            own[rng.randrange(80)] = "changed"
+            texts[1000 + i] = " ".join(passage + own)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.group_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(texts).items()} and sum(i != c for i, c in got.items()) == 10
+
+
+def test_rows_of_a_large_band_grow_in_proportion(spark):
+    """One band with ever more distinct members that share further bands with some fifty others each."""
+
+    def rows_made(n):
+        ids = spark.range(n).select(F.col("id").alias("cid"))
+        rows = ids.select(F.lit(1).cast("long").alias("key"), "cid", F.lit(100).cast("long").alias("n"), F.col("cid").alias("comp"))
+        keys = F.concat(F.array(F.lit(1).cast("long")), F.transform(F.sequence(F.lit(1), F.lit(neardup.BANDS - 1)), lambda b: F.xxhash64(b, F.pmod(F.xxhash64(b, "cid"), F.lit(n // 50)))))
+        return neardup.blocked(neardup.split_bands(rows, ids.select("cid", keys.alias("keys")), 64, 256), 64, 10**6).count()
+
+    small, large = rows_made(4_000), rows_made(16_000)
+    assert large < 4.5 * small and large < 16_000 * 16_000 / 64
+
+
+def test_hot_keys_are_dealt_and_joins_stay_whole(spark):
+    left = spark.range(5_000).select(F.when(F.col("id") < 4_000, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = spark.range(4_990).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got = salted_join(left, right, ["k"], counts, ["v"], how, rows=100)
+        assert got.count() == left.join(right, ["k"], how).count() and got.exceptAll(left.join(right, ["k"], how)).count() == 0
+
+
+def test_huge_texts_and_copies(spark, huge_documents):
+    got = {r["doc_id"]: r for r in neardup.group_documents(huge_documents).collect()}
+    expected = brute_components({r["doc_id"]: r["text"] for r in huge_documents.collect()})
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == expected
+    copies = spark.range(6_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3_000, "one text of six equal words").when(F.col("id") < 5_000, "").otherwise(F.concat_ws(" ", *[F.concat(F.lit(c), "id") for c in "abcdef"])).alias("text"))
+    rows = neardup.group_documents(copies).collect()
+    assert all(r["component_id"] == (0 if r["doc_id"] < 3_000 else r["doc_id"]) for r in rows) and len(rows) == 6_000
+
+
 def test_estimate_is_corrected():
     rng = np.random.default_rng(0)
     for share in (0.0, 0.5, 0.85):
