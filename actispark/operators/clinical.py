@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actispark.functions.scalars import DIAGNOSES, safe_div
@@ -44,14 +46,22 @@ def diagnosis_summary(subjects: DataFrame, sheet: DataFrame) -> DataFrame:
     return counts.crossJoin(per)  # one row each
 
 
+def quantile(ordered: Column, q: float) -> Column:
+    """The q quantile of a sorted array, between its neighbours by distance."""
+    place = (F.size(ordered) - 1) * q
+    low = F.floor(place).cast("int")
+    at = lambda i: F.get(ordered, i)
+    return at(low) + (at(F.least(low + 1, F.size(ordered) - 1)) - at(low)) * (place - low)
+
+
 def day_statistics(long: DataFrame, keys: tuple[str, ...] = ("subject", "feature")) -> DataFrame:
-    """Across a subject's days, of long(subject, feature, value): sd (population), mad, range, iqr and cv (null for mean 0)."""
-    v = F.col("value")
-    once = long.groupBy(*keys).agg(
-        F.stddev_pop(v).alias("sd"), F.percentile(v, F.lit(0.5)).alias("_m"), (F.max(v) - F.min(v)).alias("range"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.avg(v).alias("_a")
-    )
-    mad = long.join(once.select(*keys, "_m"), list(keys)).groupBy(*keys).agg(F.percentile(F.abs(v - F.col("_m")), F.lit(0.5)).alias("mad"))
-    return once.join(mad, list(keys)).select(*keys, "sd", "mad", "range", (F.col("_q")[1] - F.col("_q")[0]).alias("iqr"), safe_div("sd", "_a").alias("cv"))
+    """Across a subject's days, of long(subject, feature, value): sd (population), mad, range, iqr and cv (null for mean 0).
+    One aggregation; a subject's days are few, so the order statistics come from its sorted values."""
+    v = F.col("value").cast("double")
+    once = long.groupBy(*keys).agg(F.stddev_pop(v).alias("sd"), F.avg(v).alias("_a"), F.array_sort(F.collect_list(v)).alias("_s"))
+    once = once.withColumn("_d", F.array_sort(F.transform("_s", lambda x: F.abs(x - quantile(F.col("_s"), 0.5)))))
+    s = F.col("_s")
+    return once.select(*keys, "sd", quantile(F.col("_d"), 0.5).alias("mad"), (F.element_at(s, -1) - F.element_at(s, 1)).alias("range"), (quantile(s, 0.75) - quantile(s, 0.25)).alias("iqr"), safe_div("sd", "_a").alias("cv"))
 
 
 def inconsistent_identity(df: DataFrame, identity: list[str], subject: str = "subject") -> DataFrame:
@@ -85,12 +95,13 @@ def feature_coverage(long: DataFrame, threshold: float = 0.9, keys: tuple[str, .
 # --- covariates -------------------------------------------------------------------------------------------------------
 
 
-def control_covariates(df: DataFrame, key: str, features: list[str], covariates: tuple[str, str] = ("gender", "age")) -> DataFrame:
-    """key, feature, residual: what least squares on the covariates leaves of each feature, nulls counted as 0. One
+def control_covariates(df: DataFrame, key: str | list[str], features: list[str], covariates: tuple[str, str] = ("gender", "age")) -> DataFrame:
+    """key (or keys), feature, residual: what least squares on the covariates leaves of each feature, nulls counted as 0. One
     aggregation of centred products, then three equations a feature; where the covariates are constant or bound to each
     other, the solution of least norm, on the features' few sums."""
-    zero = df.select(key, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in (*covariates, *features)])
-    long = zero.unpivot([key, *covariates], features, "feature", "value")
+    keys = [key] if isinstance(key, str) else key
+    zero = df.select(*keys, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in (*covariates, *features)])
+    long = zero.unpivot([*keys, *covariates], features, "feature", "value")
     g, a = covariates
     means = long.groupBy("feature").agg(F.avg(g).alias("_g"), F.avg(a).alias("_a"), F.avg("value").alias("_v"))
     at = long.join(F.broadcast(means), "feature")  # a row for each of the given features
@@ -101,13 +112,28 @@ def control_covariates(df: DataFrame, key: str, features: list[str], covariates:
     total = F.col("gg") + F.col("aa")  # least norm: along the only direction that varies
     b_g = F.when(full, (F.col("gv") * F.col("aa") - F.col("av") * F.col("ga")) / det).when(total > 0, F.col("gv") / total).otherwise(0.0)
     b_a = F.when(full, (F.col("av") * F.col("gg") - F.col("gv") * F.col("ga")) / det).when(total > 0, F.col("av") / total).otherwise(0.0)
-    return at.join(F.broadcast(sums.select("feature", b_g.alias("_bg"), b_a.alias("_ba"))), "feature").select(key, "feature", (dv - F.col("_bg") * dg - F.col("_ba") * da).alias("residual"))
+    return at.join(F.broadcast(sums.select("feature", b_g.alias("_bg"), b_a.alias("_ba"))), "feature").select(*keys, "feature", (dv - F.col("_bg") * dg - F.col("_ba") * da).alias("residual"))
+
+
+RANK_BINS = 256
+
+
+def _binned(counts: DataFrame, col: str, out: str) -> DataFrame:
+    """counts(feature, ...) with out: which of RANK_BINS ranges of col, cut at quantiles of the feature's rows here."""
+    edges = counts.groupBy("feature").agg(F.percentile_approx(col, F.array(*[F.lit(i / RANK_BINS) for i in range(1, RANK_BINS)]), 2000).alias("_e"))
+    edges = edges.select("feature", F.array_distinct("_e").alias("_e"))  # a row a feature
+    return counts.join(edges, "feature").withColumn(out, F.size(F.filter("_e", lambda e: e < F.col(col)))).drop("_e")
 
 
-def average_rank(df: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """df with the mean rank of col among equals within keys."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(out, F.rank().over(w.orderBy(col)) + (F.count("*").over(Window.partitionBy(*keys, col)) - 1) / 2.0)
+def average_ranks(counts: DataFrame, col: str, out: str) -> DataFrame:
+    """feature, col, out: the mean rank of each distinct value of col among all pairs of its feature, from
+    counts(feature, col, c). Running sums go within bins of the value, then over the bins."""
+    per = _binned(counts.groupBy("feature", col).agg(F.sum("c").alias("c")), col, "_b")
+    bins = per.groupBy("feature", "_b").agg(F.sum("c").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("feature").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum("c").over(Window.partitionBy("feature", "_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = per.withColumn("_i", inner).join(bins.withColumn("_p", before).drop("_n"), ["feature", "_b"])
+    return at.select("feature", col, (F.col("_p") + F.col("_i") + (F.col("c") + 1) / 2.0).alias(out))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -136,58 +162,122 @@ def t_test_p(r: float, n: int) -> float:
     return incomplete_beta((n - 2) / 2, 0.5, max(0.0, 1 - r * r))
 
 
-def kendall(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """tau-b and its p value: exact without ties for up to 33 pairs, else by the normal approximation."""
-    n = len(x)
-    order = np.lexsort((y, x))
-    x, y = x[order], np.unique(y[order], return_inverse=True)[1]
-    ties = lambda c: (c * (c - 1) // 2).sum()
-    cx, cy = np.unique(x, return_counts=True)[1], np.bincount(y)
-    cxy = np.unique(np.stack([x, y]), axis=1, return_counts=True)[1]
-    tree, swaps = np.zeros(len(cy) + 1, np.int64), 0
-    for seen, v in enumerate(y.tolist()):  # discordant pairs: earlier ones that are greater
-        i, less = v + 1, 0
-        while i > 0:
-            less += tree[i]
-            i &= i - 1
-        swaps += seen - int(less)
-        i = v + 1
-        while i <= len(cy):
-            tree[i] += 1
-            i += i & -i
-    total = n * (n - 1) // 2
-    tx, ty, txy = ties(cx), ties(cy), ties(cxy)
-    if total in (tx, ty):
+def crossings(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> float:
+    """How many pairs of entries, weighted by their counts c, have the smaller x with the greater y. Two x differ first in
+    one of the bits of their ranks; for each bit, entries without it are sorted by y within those that agree above it, and
+    entries with it look up how many of them are greater."""
+    x, y = (np.unique(a, return_inverse=True)[1].astype(np.int64) for a in (x, y))
+    c, width, total = c.astype(float), int(y.max(initial=0)) + 1, 0.0
+    for bit in range(int(x.max(initial=0)).bit_length()):
+        above, upper = x >> (bit + 1), (x >> bit & 1).astype(bool)
+        key = above * width + y
+        low = np.argsort(key[~upper], kind="stable")
+        sums = np.concatenate(([0.0], np.cumsum(c[~upper][low])))
+        ordered = key[~upper][low]
+        total += (c[upper] * (sums[np.searchsorted(ordered, (above[upper] + 1) * width)] - sums[np.searchsorted(ordered, key[upper], "right")])).sum()
+    return total
+
+
+def inversions_up_to(n: int, k: int) -> int:
+    """How many orders of n things have at most k inversions: the coefficients of the product of 1 + q + ... + q^(i-1)."""
+    ways = np.ones(1, dtype=object)
+    for i in range(2, n + 1):
+        ways = np.convolve(ways, np.ones(i, dtype=object))
+    return int(ways[: k + 1].sum())
+
+
+def tau_b(n: int, crossed: float, tied: tuple[float, float, float], sums: tuple[float, float, float, float] | None = None) -> tuple[float, float]:
+    """Kendall's tau-b and its two-sided p value from the number of pairs n, the crossed ones, those tied in x, in y, and in
+    both, and for the p value with ties the sums of t(t-1)(t-2) and t(t-1)(2t+5) over the groups of equal x, then y.
+    Without ties and for up to 33 things p is exact; else S is taken as normal with the variance of Kendall (Rank
+    Correlation Methods, 1970): (n(n-1)(2n+5) - Sx2 - Sy2) / 18 + Sx1 Sy1 / (9n(n-1)(n-2)) + 2 Tx Ty / (n(n-1))."""
+    pairs, (in_x, in_y, in_both) = n * (n - 1) / 2, tied
+    if pairs in (in_x, in_y):
         return math.nan, math.nan
-    s = total - tx - ty + txy - 2 * swaps
-    tau = min(1.0, max(-1.0, s / math.sqrt(total - tx) / math.sqrt(total - ty)))
-    if not tx and not ty and n <= 33:
-        k, counts = min(swaps, total - swaps), [1]
-        for j in range(2, n + 1):
-            sums = np.cumsum([*counts, *[0] * (j - 1)], dtype=object)
-            counts = [sums[i] - (sums[i - j] if i >= j else 0) for i in range(len(sums))]
-        return tau, min(1.0, 2 * float(sum(counts[: k + 1])) / math.factorial(n)) if 2 * k < total else 1.0
-    m = n * (n - 1.0)
-    x0, y0 = (cx * (cx - 1) * (cx - 2)).sum(), (cy * (cy - 1) * (cy - 2)).sum()
-    x1, y1 = (cx * (cx - 1) * (2 * cx + 5)).sum(), (cy * (cy - 1) * (2 * cy + 5)).sum()
-    var = (m * (2 * n + 5) - x1 - y1) / 18 + 2.0 * tx * ty / m + (x0 * y0 / (9 * m * (n - 2)) if n > 2 else 0)
-    return tau, math.erfc(abs(s) / math.sqrt(var) / math.sqrt(2))
+    s = pairs - in_x - in_y + in_both - 2 * crossed
+    tau = min(1.0, max(-1.0, s / math.sqrt((pairs - in_x) * (pairs - in_y))))
+    if not in_x and not in_y and n <= 33:
+        k = int(min(crossed, pairs - crossed))
+        return tau, 1.0 if 2 * k >= pairs else min(1.0, 2 * inversions_up_to(n, k) / math.factorial(n))
+    x1, x2, y1, y2 = sums
+    variance = (n * (n - 1) * (2 * n + 5) - x2 - y2) / 18 + 2 * in_x * in_y / (n * (n - 1)) + (x1 * y1 / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0)
+    return tau, math.erfc(abs(s) / math.sqrt(2 * variance))
+
+
+def kendall(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """tau_b of two short columns."""
+    (tx, t_x, s_x), (ty, t_y, s_y) = ((t, (t * (t - 1) / 2).sum(), ((t * (t - 1) * (t - 2)).sum(), (t * (t - 1) * (2 * t + 5)).sum())) for t in (np.unique(a, return_counts=True)[1].astype(float) for a in (x, y)))
+    both = np.unique(np.stack([x, y]), axis=1, return_counts=True)[1].astype(float)
+    return tau_b(len(x), crossings(x, y, np.ones(len(x))), (t_x, t_y, (both * (both - 1) / 2).sum()), (*s_x, *s_y))
+
+
+def _crossed(counts: DataFrame) -> DataFrame:
+    """feature, crossed: the crossed pairs of counts(feature, x, y, c). Values are dealt into bins; pairs of different bins in
+    both come from the bins' counts, others from within one bin of x, or of y, each a bounded group."""
+    at = _binned(_binned(counts, "x", "bx"), "y", "by")
+    schema = "feature string, crossed double"
+
+    def inside(first: str, second: str):
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"feature": [key[0]], "crossed": [crossings(rows[first].to_numpy(), rows[second].to_numpy(), rows["c"].to_numpy())]})
+
+        return run
+
+    def between(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((RANK_BINS, RANK_BINS))
+        m[rows["bx"], rows["by"]] = rows["c"]
+        behind = np.zeros_like(m)  # what lies in later bins of x and earlier ones of y
+        behind[:-1, 1:] = np.cumsum(np.cumsum(m[::-1], 0)[::-1], 1)[1:, :-1]
+        return pd.DataFrame({"feature": [key[0]], "crossed": [(m * behind).sum()]})
+
+    cells = at.groupBy("feature", "bx", "by").agg(F.sum("c").alias("c"))
+    parts = [
+        at.groupBy("feature", "bx").applyInPandas(inside("x", "y"), schema),
+        at.groupBy("feature", "by", "bx", "y").agg(F.sum("c").alias("c")).groupBy("feature", "by").applyInPandas(inside("bx", "y"), schema), cells.groupBy("feature").applyInPandas(between, schema),
+    ]
+    return reduce(DataFrame.unionByName, parts).groupBy("feature").agg(F.sum("crossed").alias("crossed"))
+
+
+def _kendall(pairs: DataFrame, digits: int) -> DataFrame:
+    counts = pairs.groupBy("feature", F.col("value").cast("double").alias("x"), F.col("covariate").cast("double").alias("y")).agg(F.count("*").alias("c"))
+    t = F.col("t").cast("double")
+
+    def ties(col: str) -> DataFrame:
+        per = counts.groupBy("feature", col).agg(F.sum("c").alias("t"))
+        return per.groupBy("feature").agg(F.sum(t * (t - 1) / 2).alias(f"t{col}"), F.sum(t * (t - 1) * (t - 2)).alias(f"{col}1"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"{col}2"))
+
+    c = F.col("c").cast("double")
+    both = counts.groupBy("feature").agg(F.sum("c").alias("n"), F.sum(c * (c - 1) / 2).alias("txy")).where(F.col("n") >= 3)
+    rows = both.join(ties("x"), "feature").join(ties("y"), "feature").join(_crossed(counts), "feature")  # a row a feature
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [tau_b(int(r.n), r.crossed, (r.tx, r.ty, r.txy), (r.x1, r.x2, r.y1, r.y2)) for r in b.itertuples()]
+            clean = lambda v: None if math.isnan(v) else round(v, digits)
+            yield pd.DataFrame({"feature": b["feature"], "n": b["n"], "r": [clean(r) for r, _ in found], "p": [clean(p) for _, p in found]})
+
+    return rows.mapInPandas(run, "feature string, n long, r double, p double")
 
 
 def covariate_correlations(long: DataFrame, method: str = "pearson", digits: int = 4) -> DataFrame:
-    """feature, n, r, p (rounded) of long(feature, value, covariate) over pairs without nulls, of three pairs or more."""
+    """feature, n, r, p (rounded) of long(feature, value, covariate) over pairs without nulls, of three pairs or more. Ranks
+    and crossed pairs come from counts of distinct pairs and bins of values, so no task holds a feature."""
     pairs = long.where(F.col("value").isNotNull() & F.col("covariate").isNotNull())
     if method == "kendall":
-
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            tau, p = kendall(rows["value"].to_numpy(), rows["covariate"].to_numpy())
-            return pd.DataFrame({"feature": rows["feature"].iloc[:1], "n": [len(rows)], "r": [None if math.isnan(tau) else round(tau, digits)], "p": [None if math.isnan(p) else round(p, digits)]})
-
-        counted = pairs.withColumn("_n", F.count("*").over(Window.partitionBy("feature"))).where(F.col("_n") >= 3).drop("_n")
-        return counted.select("feature", F.col("value").cast("double"), F.col("covariate").cast("double")).groupBy("feature").applyInPandas(run, "feature string, n long, r double, p double")
+        return _kendall(pairs, digits)
+    x, y, c = F.col("value").cast("double"), F.col("covariate").cast("double"), F.lit(1)
     if method == "spearman":
-        pairs = average_rank(average_rank(pairs, ["feature"], "value", "_x"), ["feature"], "covariate", "_y").select("feature", F.col("_x").alias("value"), F.col("_y").alias("covariate"))
-    x, y = F.col("value").cast("double"), F.col("covariate").cast("double")
-    r = safe_div(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))  # null for a constant, where corr fails
-    p_value = F.udf(lambda r, n: None if r is None else round(t_test_p(min(1.0, max(-1.0, r)), n), digits), "double")  # on one row a feature
-    return pairs.groupBy("feature").agg(F.count("*").alias("n"), r.alias("r")).where(F.col("n") >= 3).select("feature", "n", F.round("r", digits).alias("r"), p_value("r", "n").alias("p"))
+        counts = pairs.groupBy("feature", "value", "covariate").agg(F.count("*").alias("c"))
+        pairs = counts.join(average_ranks(counts, "value", "_x"), ["feature", "value"]).join(average_ranks(counts, "covariate", "_y"), ["feature", "covariate"])
+        x, y, c = F.col("_x"), F.col("_y"), F.col("c")
+    means = pairs.groupBy("feature").agg((F.sum(x * c) / F.sum(c)).alias("_mx"), (F.sum(y * c) / F.sum(c)).alias("_my"))
+    dx, dy = x - F.col("_mx"), y - F.col("_my")
+    sums = pairs.join(F.broadcast(means), "feature").groupBy("feature").agg(F.sum(c).alias("n"), F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"), F.sum(c * dy * dy).alias("yy"))
+    r = safe_div("xy", F.sqrt(F.col("xx") * F.col("yy")))  # null for a constant
+
+    def p_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # on a row a feature
+        for b in batches:
+            p = [None if pd.isna(r) else round(t_test_p(min(1.0, max(-1.0, r)), int(n)), digits) for r, n in zip(b["r"], b["n"], strict=True)]
+            yield b.assign(p=[None if v is None or math.isnan(v) else v for v in p], r=b["r"].round(digits))
+
+    return sums.where(F.col("n") >= 3).select("feature", "n", r.alias("r")).mapInPandas(p_values, "feature string, n long, r double, p double")

@@ -45,11 +45,11 @@ def first_features(features: DataFrame, key: str = "night_id", order: str = "day
     return features.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_r") == 1).drop("_r")
 
 
-def night_sleeppy_dataset(dataset: DataFrame, sleeppy: DataFrame, features: DataFrame) -> DataFrame:
+def night_algorithmic_dataset(dataset: DataFrame, algorithmic: DataFrame, features: DataFrame) -> DataFrame:
     """dataset with its algorithmic nights and the first feature row of each; those without features are dropped."""
-    cols = [c for c in ("sol", "waso", "tst", "wb", "awk5plus", "se", "sf") if c in sleeppy.columns]
-    alg = sleeppy.select("sleeppy_id", "night_id", *[F.col(c).alias(f"sleeppy_{c}") for c in cols])
-    return dataset.join(alg, "night_id").join(first_features(features, "sleeppy_id"), "sleeppy_id")
+    cols = [c for c in ("sol", "waso", "tst", "wb", "awk5plus", "se", "sf") if c in algorithmic.columns]
+    alg = algorithmic.select("algorithmic_id", "night_id", *[F.col(c).alias(f"algorithmic_{c}") for c in cols])
+    return dataset.join(alg, "night_id").join(first_features(features, "algorithmic_id"), "algorithmic_id")
 
 
 def subject_averages(df: DataFrame, key: str = "subject") -> DataFrame:
@@ -82,18 +82,20 @@ FIELDS = ("date", "1a", "1b", "2a", "2b", "3a", "3b", "4", "5", "6", "7", "8", "
 
 
 def diary_from_wide(df: DataFrame, days: int = 7) -> DataFrame:
-    """A row per day of a wide sheet of texts; days whose date doesn't parse are skipped. Falling asleep is bed time plus
-    minutes, getting up is wake time plus minutes, both modulo a day."""
+    """A row per day of wide sheets of texts; days whose date doesn't parse are skipped. Falling asleep is bed time plus
+    minutes, getting up is wake time plus minutes, both modulo a day. day goes on from sheet to sheet of a subject, where
+    the sheets have numbers."""
+    sheet = F.col("sheet").cast("int") * days if "sheet" in df.columns else F.lit(0)
     cell = lambda i, f: F.col(f"`day{i}-{f}`").cast("string")
     wide = F.array(*[F.struct(F.lit(i).alias("day"), *[cell(i, f).alias(f"f{f}") for f in FIELDS]) for i in range(1, days + 1)])
-    rows = df.select(F.col("`#personalID`").cast("string").alias("subject"), F.inline(wide))
+    rows = df.select(F.col("`#personalID`").cast("string").alias("subject"), sheet.alias("_s"), F.inline(wide))
     date = F.coalesce(*[F.try_to_timestamp("fdate", F.lit(p)) for p in ("yyyy-MM-dd", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss")]).cast("date")
     whole = lambda f: F.col(f"f{f}").try_cast("double").cast("int")
     minutes = lambda f: F.coalesce(F.col(f"f{f}").try_cast("double"), F.lit(0.0)) * 60
     later = lambda clock, f: F.pmod(seconds_of(f"f{clock}") + minutes(f), F.lit(86_400)).cast("int")
     code = lambda f, codes: F.element_at(F.create_map(*[F.lit(x) for kv in codes.items() for x in kv]), F.lower(F.trim(f"f{f}")))
     return rows.where(date.isNotNull() & F.col("subject").isNotNull()).select(
-        "subject", "day", date.alias("date"), whole("1a").alias("day_sleep_count"), seconds_of("f1b").alias("day_sleep_time"), whole("2a").alias("alcohol_count"), seconds_of("f2b").alias("alcohol_time"),
+        "subject", (F.col("_s") + F.col("day")).alias("day"), date.alias("date"), whole("1a").alias("day_sleep_count"), seconds_of("f1b").alias("day_sleep_time"), whole("2a").alias("alcohol_count"), seconds_of("f2b").alias("alcohol_time"),
         whole("3a").alias("caffeine_count"), seconds_of("f3b").alias("caffeine_time"), F.col("f4").isin("1", "true", "True", "1.0").alias("sleeping_pill"), seconds_of("f5").alias("sleep_time"), later("5", "6").alias("sleep_duration"),
         F.col("f7").alias("wakes"), seconds_of("f8").alias("wake_time"), later("8", "9").alias("get_up_time"), code("10", SLEEP_QUALITY).alias("sleep_quality"), code("11", REST_QUALITY).alias("rest_quality"), F.col("f12").alias("note"),
     )
@@ -122,10 +124,12 @@ def clock(seconds: str | Column) -> Column:
 
 
 def diary_to_wide(diary: DataFrame, intervals: DataFrame, days: int = 7) -> DataFrame:
-    """A wide row per subject: the days by date as day1 to day7, with the string of wakes put together again."""
+    """Wide rows of each subject: its days by date, days of them a sheet (day1 to day7), with the string of wakes put together
+    again. A subject with more days than a sheet holds has further sheets, numbered 0, 1 ... in sheet."""
     spans = intervals.groupBy("day_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_w"))
     spans = spans.select("day_id", F.array_join(F.transform("_w", lambda w: F.concat(F.lit("; "), clock(w["start"]), F.lit("-"), clock(w["end"]))), "").alias("_wakes"))
-    at = diary_timeline(diary).join(spans, "day_id", "left").withColumn("day", F.row_number().over(Window.partitionBy("subject").orderBy("date", "day_id")))
+    at = diary_timeline(diary).join(spans, "day_id", "left").withColumn("day", F.row_number().over(Window.partitionBy("subject").orderBy("date", "day_id")) - 1)
+    at = at.withColumn("sheet", F.floor(F.col("day") / days).cast("int")).withColumn("day", F.col("day") % days + 1)
     text = lambda c: F.col(c).cast("string")
     gap = lambda a, b: (F.pmod(F.timestamp_diff("SECOND", F.col(a), F.col(b)), F.lit(86_400)) / 60).cast("string")
     cells = {
@@ -133,9 +137,9 @@ def diary_to_wide(diary: DataFrame, intervals: DataFrame, days: int = 7) -> Data
         "4": F.col("sleeping_pill").cast("int").cast("string"), "5": clock("sleep_time"), "6": gap("t1", "t2"), "7": F.concat(text("wake_count"), F.coalesce("_wakes", F.lit(""))), "8": clock("wake_time"), "9": gap("t3", "t4"),
         "10": text("sleep_quality"), "11": text("rest_quality"), "12": F.col("note"),
     }
-    long = at.select("subject", "day", F.struct(*[c.alias(f) for f, c in cells.items()]).alias("cells"))
-    wide = long.groupBy("subject").pivot("day", list(range(1, days + 1))).agg(F.first("cells"))
-    return wide.select(F.col("subject").alias("#personalID"), *[F.col(f"`{i}`")[f].alias(f"day{i}-{f}") for i in range(1, days + 1) for f in FIELDS])
+    long = at.select("subject", "sheet", "day", F.struct(*[c.alias(f) for f, c in cells.items()]).alias("cells"))
+    wide = long.groupBy("subject", "sheet").pivot("day", list(range(1, days + 1))).agg(F.first("cells"))
+    return wide.select(F.col("subject").alias("#personalID"), "sheet", *[F.col(f"`{i}`")[f].alias(f"day{i}-{f}") for i in range(1, days + 1) for f in FIELDS])
 
 
 # --- subject matrix ---------------------------------------------------------------------------------------------------
@@ -151,12 +155,17 @@ def unpivot_features(df: DataFrame, keys: list[str], features: list[str]) -> Dat
     return df.unpivot(keys, features, "feature", "value")
 
 
-def subject_matrix(df: DataFrame, features: list[str], identity: list[str], days: int, subject: str = "subject", date: str = "date", row: str = "row") -> DataFrame:
-    """A row per subject: the first row's identity columns and dayN.feature for N up to days."""
+def subject_matrix(df: DataFrame, features: list[str], identity: list[str], days: int | None = None, subject: str = "subject", date: str = "date", row: str = "row") -> DataFrame:
+    """A row per subject: the first row's identity columns and dayN.feature for every day; days is the greatest number of days
+    that a subject may have (else it raises), and is found out if it isn't given."""
     missing = {subject, date, *features, *identity} - set(df.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
     numbered = number_days(df, subject, date, row)
+    most = numbered.agg(F.max("day_no")).first()[0] or 1
+    if days is not None and most > days:
+        raise ValueError(f"a subject has {most} days, more than {days}")
+    days = days or most
     first = numbered.where(F.col("day_no") == 1).select(subject, *identity)
     wide = numbered.groupBy(subject).pivot("day_no", list(range(1, days + 1))).agg(F.struct(*[F.first(f).alias(f) for f in features]).alias("v"))
     wide = wide.select(subject, *[F.col(f"`{i}`")[f].alias(f"day{i}.{f}") for i in range(1, days + 1) for f in features])

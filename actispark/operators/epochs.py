@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from actispark.functions.scalars import magnitude, safe_div, z_angle
+from actispark.functions.scalars import magnitude, z_angle
 
 ORDER = ("ts", "line_no")
 
 
-def filter_in_bed(samples: DataFrame, nights: DataFrame, most_nights: int = 1_000_000) -> DataFrame:
+def filter_in_bed(samples: DataFrame, nights: DataFrame, most_nights: int = 200_000) -> DataFrame:
     """Samples strictly inside any window of nights(subject, lo, hi). Nights are broadcast if they are at most
-    most_nights (a row is three numbers); else both sides are joined by subject and day."""
+    most_nights (a row is a name and two times: some MB); else both sides are joined by subject and day."""
     windows = nights.select(F.col("subject").alias("_s"), "lo", "hi")
     inside = (F.col("ts") > F.col("lo")) & (F.col("ts") < F.col("hi"))
     if windows.count() <= most_nights:
@@ -84,94 +90,106 @@ def majority_label(df: DataFrame, keys: list[str], flag: str = "sleep") -> DataF
 
 #: The percentiles that are reported.
 PERCENTILES = (1, 5, 10, 20, 25, 30, 40, 60, 70, 75, 80, 90, 95, 99)
+NIGHT_PERCENTILES = (1, 5, 10, 20, 80, 90, 95, 99)
 _ALL = (*PERCENTILES, 50)
 TRIMS = (10, 20, 30, 40)
 
 
-def _vector_aggregates(value: Column, order: list[Column]) -> list[Column]:
-    return [
-        F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean"), F.var_samp(value).alias("var"), F.stddev_samp(value).alias("sd"),
-        F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt"), F.percentile(value, F.array(*[F.lit(p / 100) for p in _ALL])).alias("q"),
-        F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], value.alias("v"))))).alias("rows"),
-    ]
-
-
-def _mode(v: Column) -> Column:
-    """The most frequent value, the first seen of several: runs of the sorted (value, place) pairs are counted."""
-    pairs = F.array_sort(F.transform(v, lambda x, i: F.struct(x.alias("v"), i.alias("i"))))
-    zero = F.struct(F.lit(None).cast("double").alias("v"), F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(None).cast("double").alias("best"), F.lit(0).alias("most"), F.lit(0).alias("at"))
-
-    def step(s: Column, p: Column) -> Column:
-        same = s["v"].eqNullSafe(p["v"])
-        n, i = F.when(same, s["n"] + 1).otherwise(1), F.when(same, s["i"]).otherwise(p["i"])
-        better = (n > s["most"]) | (n == s["most"]) & (i < s["at"])
-        return F.struct(
-            p["v"].alias("v"), n.alias("n"), i.alias("i"), F.when(better, p["v"]).otherwise(s["best"]).alias("best"), F.when(better, n).otherwise(s["most"]).alias("most"), F.when(better, i).otherwise(s["at"]).alias("at")
-        )
-
-    return F.aggregate(pairs, zero, step, lambda s: s["best"])
-
-
-def _median(v: Column) -> Column:
-    s = F.array_sort(v)
-    n = F.size(v)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
-
-
-def _sum(v: Column) -> Column:
-    return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
-
-
-def vector_statistics(c: Column, night: bool = False) -> dict[str, Column]:
-    """Name -> column of each statistic of c, a struct of the aggregates; with night those of a night's activity index.
-    Vectors of length 1 or less have none."""
-    v, s = c["values"], c["sorted"]
-    n, lo, hi, mean, sd, var = c["n"], c["lo"], c["hi"], c["mean"], c["sd"], c["var"]
-    q = {p: c["q"][i] for i, p in enumerate(_ALL)}
-    span, mode, median = F.abs(hi - lo), c["mode"], q[50]
-    place = lambda x: safe_div(F.array_position(v, x) - 1, n)
-
-    def trimmed(p: int) -> Column:
-        k = F.floor(n * (p / 100)).cast("int")
-        return safe_div(_sum(F.slice(s, k + 1, F.greatest(n - 2 * k, F.lit(0)).cast("int"))), n - 2 * k)
-
-    out = {
-        "MAX": hi, "MIN": lo, "RELATIVE POSITION OF MAX": place(hi), "RELATIVE POSITION OF MIN": place(lo), "RANGE": span, "RELATIVE RANGE": safe_div(span, hi), "RELATIVE VARIATION RANGE": safe_div(span, mean),
-        "INTERQUARTILE RANGE": q[75] - q[25], "RELATIVE INTERQUARTILE RANGE": safe_div(q[75] - q[25], hi), "INTERDECILE RANGE": q[90] - q[10], "RELATIVE INTERDECILE RANGE": safe_div(q[90] - q[10], hi),
-        "INTERPERCENTILE RANGE": q[99] - q[1], "RELATIVE INTERPERCENTILE RANGE": safe_div(q[99] - q[1], hi), "STUDENTIZED RANGE": safe_div(span, var), "MEAN": mean,
-    }
+def statistic_names(night: bool = False) -> list[str]:
+    """The statistics of a vector in their order: those of an epoch's signal, or of a night's activity index."""
+    kinds = ["", "INTERQUARTILE ", "INTERDECILE ", "INTERPERCENTILE "]
+    names = ["MAX", "MIN", "RELATIVE POSITION OF MAX", "RELATIVE POSITION OF MIN", "RANGE", "RELATIVE RANGE", "RELATIVE VARIATION RANGE"]
+    names += [f"{r}{k}RANGE" for k in kinds[1:] for r in ("", "RELATIVE ")] + ["STUDENTIZED RANGE", "MEAN"] + ["HARMONIC MEAN"] * night
+    names += [f"MEAN EXCLUDING OUTLIERS ({p})" for p in TRIMS] + ["MEDIAN", "MODE", "VARIANCE", "STANDARD DEVIATION", "MEDIAN ABSOLUTE DEVIATION", "RELATIVE STANDARD DEVIATION", "INDEX OF DISPERSION", "KURTOSIS", "SKEWNESS", "PEARSONS 1ST", "PEARSONS 2ND"]
+    return names + [f"PERCENTILE {p}" for p in (NIGHT_PERCENTILES if night else PERCENTILES)] + ["ENTROPY", "MODULATION"] * night
+
+
+def _ratio(a: float, b: float) -> float | None:
+    return a / b if b else None
+
+
+def vector_statistics(v: np.ndarray, night: bool = False) -> list[float | None]:
+    """The statistics of v, in the order of statistic_names; vectors of length 1 or less have none."""
+    n = len(v)
+    if n <= 1:
+        return [None] * len(statistic_names(night))
+    s = np.sort(v)
+    lo, hi, mean = float(s[0]), float(s[-1]), float(v.mean())
+    d = v - mean if hi > lo else np.zeros(n)  # the mean of equal values may be off by rounding
+    m2 = float((d * d).mean())
+    var = m2 * n / (n - 1)
+    sd, span = var**0.5, abs(hi - lo)
+    q = dict(zip(_ALL, np.percentile(s, _ALL).tolist(), strict=True))
+    values, first, count = np.unique(v, return_index=True, return_counts=True)
+    often = count == count.max()
+    mode = float(values[often][first[often].argmin()])
+    out = [hi, lo, int(v.argmax()) / n, int(v.argmin()) / n, span, _ratio(span, hi), _ratio(span, mean)]
+    for a, b in ((75, 25), (90, 10), (99, 1)):
+        out += [q[a] - q[b], _ratio(q[a] - q[b], hi)]
+    out += [_ratio(span, var), mean]
     if night:
-        zero, negative = F.exists(v, lambda x: x == 0), F.exists(v, lambda x: x < 0)
-        out["HARMONIC MEAN"] = F.when(negative, F.lit(None).cast("double")).when(zero, 0.0).otherwise(safe_div(n, _sum(F.transform(v, lambda x: 1 / x))))
-    out |= {f"MEAN EXCLUDING OUTLIERS ({p})": trimmed(p) for p in TRIMS}
-    out |= {
-        "MEDIAN": median, "MODE": mode, "VARIANCE": var, "STANDARD DEVIATION": sd, "MEDIAN ABSOLUTE DEVIATION": _median(F.transform(s, lambda x: F.abs(x - median))), "RELATIVE STANDARD DEVIATION": safe_div(sd, mean),
-        "INDEX OF DISPERSION": safe_div(var, mean), "KURTOSIS": c["kurt"], "SKEWNESS": c["skew"], "PEARSONS 1ST": safe_div(3 * (mean - mode), sd), "PEARSONS 2ND": safe_div(3 * (mean - median), sd),
-    }
-    kept = (1, 5, 10, 20, 80, 90, 95, 99) if night else PERCENTILES
-    out |= {f"PERCENTILE {p}": q[p] for p in kept}
+        out.append(None if lo < 0 else 0.0 if lo == 0 else n / float((1 / v).sum()))
+    for p in TRIMS:
+        k = math.floor(n * (p / 100))
+        out.append(float(s[k : n - k].mean()) if n > 2 * k else None)
+    out += [q[50], mode, var, sd, float(np.median(np.abs(s - q[50]))), _ratio(sd, mean), _ratio(var, mean)]
+    out += [float((d**4).mean()) / m2**2 - 3, float((d**3).mean()) / m2**1.5] if m2 else [None, None]
+    out += [_ratio(3 * (mean - mode), sd), _ratio(3 * (mean - q[50]), sd)] + [q[p] for p in (NIGHT_PERCENTILES if night else PERCENTILES)]
     if night:
-        total = _sum(v)
-        p = F.transform(v, lambda x: safe_div(x, total))
-        out["ENTROPY"] = F.aggregate(p, F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.ln(x)).otherwise(0.0))
-        out["MODULATION"] = safe_div(span, hi + lo)
-    return {k: F.when(n > 1, x) for k, x in out.items()}
+        total = float(v.sum())
+        share = v / total if total else np.zeros(n)
+        share = share[share > 0]
+        out += [-float((share * np.log(share)).sum()), _ratio(span, hi + lo)]
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, which the rows are sorted by."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        if held:
+            t = pa.concat_tables([held.pop(), t])
+        changed = np.zeros(t.num_rows - 1, bool)
+        for k in keys:
+            a, b = t[k].slice(0, t.num_rows - 1), t[k].slice(1)
+            differ = pc.or_kleene(pc.fill_null(pc.not_equal(a, b), False), pc.xor(pc.is_null(a), pc.is_null(b)))
+            changed |= differ.to_numpy(zero_copy_only=False).astype(bool)
+        edges = [0, *(np.flatnonzero(changed) + 1).tolist(), t.num_rows]
+        for x, y in zip(edges[:-2], edges[1:-1], strict=True):
+            yield t.slice(x, y - x)
+        held.append(t.slice(edges[-2]))
+    yield from held
 
 
 def vector_features(df: DataFrame, keys: list[str], signals: dict[str, str], order: tuple[str, ...] = ORDER, night: bool = False) -> DataFrame:
-    """One row per group of keys with the statistics of each signal (name -> column), one aggregation for all of them.
-    Groups are bounded: an epoch's or a night's rows."""
-    grouped = df.groupBy(*keys).agg(*[F.struct(*_vector_aggregates_named(c, order)).alias(f"_{name}") for name, c in signals.items()])
-    for name in signals:
-        c = F.col(f"_{name}")
-        values = F.transform(c["rows"], lambda r: r["v"])
-        grouped = grouped.withColumn(f"_{name}", F.struct(*[c[x].alias(x) for x in ("n", "lo", "hi", "mean", "var", "sd", "skew", "kurt", "q")], values.alias("values"), F.array_sort(values).alias("sorted"), _mode(values).alias("mode")))
-    columns = [x.alias(f"{name} | {stat}") for name in signals for stat, x in vector_statistics(F.col(f"_{name}"), night).items()]
-    return grouped.select(*keys, *columns)
-
-
-def _vector_aggregates_named(c: str, order: tuple[str, ...]) -> list[Column]:
-    return _vector_aggregates(F.col(c).cast("double"), [F.col(o) for o in order])
+    """One row per group of keys with the statistics of each signal (name -> column). Rows are dealt by the keys and sorted
+    once; a task goes through its groups, an epoch's or a night's rows each, and holds one of them at a time."""
+    columns = [f"{name} | {stat}" for name in signals for stat in statistic_names(night)]
+    schema = StructType([*(df.schema[k] for k in keys), *(StructField(c, DoubleType()) for c in columns)])
+    rows = df.select(*keys, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(signals.values())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, found = [], []
+
+        def batch() -> pa.RecordBatch:
+            own = pa.concat_tables(first).combine_chunks()
+            stats = [pa.array(c, pa.float64()) for c in zip(*found, strict=True)]
+            return pa.RecordBatch.from_arrays([*(own[k].chunk(0) for k in keys), *stats], [*keys, *columns])
+
+        for t in _groups(batches, keys):
+            first.append(t.select(keys).slice(0, 1))
+            vectors = [t[f"_v{i}"].drop_null().to_numpy() for i in range(len(signals))]
+            found.append([x for v in vectors for x in vector_statistics(v, night)])
+            if len(first) == 1000:
+                yield batch()
+                first, found = [], []
+        if first:
+            yield batch()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *[f"_o{i}" for i in range(len(order))]).drop(*[f"_o{i}" for i in range(len(order))]).mapInArrow(run, schema)
 
 
 def epoch_features(epochs: DataFrame, keys: list[str], signals: tuple[str, ...] = ("magnitude", "z_angle", "temperature")) -> DataFrame:

@@ -18,12 +18,12 @@ def algorithmic_nights(rest_periods: DataFrame, endpoints: DataFrame, recordings
     )
 
 
-def match_nearest_night(sleeppy: DataFrame, nights: DataFrame) -> DataFrame:
-    """sleeppy with night_id of the nearest onset in the same recording; of two equally near ones the later. Both tables
+def match_nearest_night(algorithmic: DataFrame, nights: DataFrame) -> DataFrame:
+    """algorithmic with night_id of the nearest onset in the same recording; of two equally near ones the later. Both tables
     go into one time line a recording, where a window sees the last night before and the first after: no pairs are made."""
     other = nights.where(F.col("sleep_onset").isNotNull()).groupBy("recording_id", F.col("sleep_onset").alias("_at")).agg(F.min("night_id").alias("night_id"))
-    line = other.select("recording_id", "_at", F.struct("_at", "night_id").alias("_n"), F.lit(None).cast(sleeppy.schema).alias("_s"))
-    line = line.unionByName(sleeppy.select("recording_id", F.col("sleep_onset").alias("_at"), F.lit(None).cast(line.schema["_n"].dataType).alias("_n"), F.struct(*sleeppy.columns).alias("_s")))
+    line = other.select("recording_id", "_at", F.struct("_at", "night_id").alias("_n"), F.lit(None).cast(algorithmic.schema).alias("_s"))
+    line = line.unionByName(algorithmic.select("recording_id", F.col("sleep_onset").alias("_at"), F.lit(None).cast(line.schema["_n"].dataType).alias("_n"), F.struct(*algorithmic.columns).alias("_s")))
     up = Window.partitionBy("recording_id").orderBy(F.col("_at").asc_nulls_first(), F.col("_n").isNull())
     down = Window.partitionBy("recording_id").orderBy(F.col("_at").desc_nulls_last(), F.col("_n").isNotNull())
     before, after = (F.last("_n", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for w in (up, down))  # a growing frame each
@@ -49,14 +49,14 @@ def night_activity(ai: DataFrame, nights: DataFrame) -> DataFrame:
     return at.withColumn("_r", rank).where(F.col("_r") == 1).drop("_r").withColumn("day_index", F.col("day_no") + 1)
 
 
-def match_report(nights: DataFrame, sleeppy: DataFrame) -> DataFrame:
+def match_report(nights: DataFrame, algorithmic: DataFrame) -> DataFrame:
     """issue, night_id, n: nights with several algorithmic nights, or none; algorithmic nights without one; efficiency of
     100 %."""
-    per = sleeppy.where(F.col("night_id").isNotNull()).groupBy("night_id").count()
+    per = algorithmic.where(F.col("night_id").isNotNull()).groupBy("night_id").count()
     several = per.where(F.col("count") > 1).select(F.lit("several").alias("issue"), "night_id", F.col("count").alias("n"))
     none = nights.join(per, "night_id", "left_anti").select(F.lit("none").alias("issue"), "night_id", F.lit(0).cast("long").alias("n"))
-    loose = sleeppy.join(nights.select("night_id"), "night_id", "left_anti").groupBy().agg(F.count("*").alias("n")).where(F.col("n") > 0).select(F.lit("unmatched").alias("issue"), F.lit(None).cast("long").alias("night_id"), "n")
-    full = sleeppy.where(F.col("se") == 100).groupBy("night_id").agg(F.count("*").alias("n")).select(F.lit("se_100").alias("issue"), "night_id", "n")
+    loose = algorithmic.join(nights.select("night_id"), "night_id", "left_anti").groupBy().agg(F.count("*").alias("n")).where(F.col("n") > 0).select(F.lit("unmatched").alias("issue"), F.lit(None).cast("long").alias("night_id"), "n")
+    full = algorithmic.where(F.col("se") == 100).groupBy("night_id").agg(F.count("*").alias("n")).select(F.lit("se_100").alias("issue"), "night_id", "n")
     return several.unionByName(none).unionByName(loose).unionByName(full)
 
 
@@ -66,6 +66,6 @@ def training_subjects(subjects: DataFrame, recordings: DataFrame) -> DataFrame:
     return subjects.join(own, F.col("code") == F.col("_s"), "left_semi")
 
 
-def with_algorithmic_ratios(sleeppy: DataFrame) -> DataFrame:
+def with_algorithmic_ratios(algorithmic: DataFrame) -> DataFrame:
     """sf of algorithmic nights, whose sleep time is in minutes."""
-    return with_sleep_ratios(sleeppy, "minutes")
+    return with_sleep_ratios(algorithmic, "minutes")

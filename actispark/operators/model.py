@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import random
 from functools import reduce
@@ -10,8 +11,9 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from actispark.operators.evaluate import binary_metrics, class_weight
 
@@ -21,33 +23,64 @@ def training_dataset(frames: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("group", F.lit(k)) for k, f in frames.items()])
 
 
-def group_split(df: DataFrame, key: str, test_share: float = 0.4, seed: int = 17) -> DataFrame:
-    """df with test: test_share of the groups, drawn by a hash of the key."""
-    groups = df.select(key).distinct().withColumn("_h", F.xxhash64(key, F.lit(seed)))
-    rank = groups.withColumn("test", F.percent_rank().over(Window.partitionBy(F.lit(1)).orderBy("_h", key)) < test_share)  # a row a group
-    return df.join(rank.select(key, "test"), key)
-
+def _draw(key: str, seed: int) -> Column:
+    """A number in [0, 1) for each value of key."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2**32
 
-def group_folds(df: DataFrame, key: str, k: int = 10) -> DataFrame:
-    """df with fold 0 to k - 1: whole groups, largest first, each into the fold with the fewest rows. The groups' counts
-    (a row a group) are all that is looked at together."""
-    sizes = df.groupBy(key).agg(F.count("*").alias("n"))
-    zero = F.array_repeat(F.lit(0).cast("long"), k)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(key).alias("g"))))
-    state = F.struct(zero.alias("load"), F.array().cast(f"array<struct<g:{sizes.schema[key].dataType.simpleString()},fold:int>>").alias("out"))
 
-    def step(s, r):
-        fold = F.array_position(s["load"], F.array_min(s["load"])).cast("int") - 1
-        return F.struct(F.transform(s["load"], lambda x, i: F.when(i == fold, x - r["m"]).otherwise(x)).alias("load"), F.concat(s["out"], F.array(F.struct(r["g"].alias("g"), fold.alias("fold")))).alias("out"))
-
-    folds = sizes.agg(F.aggregate(ordered, state, step, lambda s: s["out"]).alias("o")).select(F.inline("o")).withColumnRenamed("g", "_g")
-    return df.join(folds, F.col(key) == F.col("_g")).drop("_g")
+def group_split(df: DataFrame, key: str, test_share: float = 0.4, seed: int = 17) -> DataFrame:
+    """df with test: whole groups, each with the chance test_share, drawn by a hash of the key; rows need no exchange."""
+    return df.withColumn("test", _draw(key, seed) < test_share)
+
+
+def group_folds(df: DataFrame, key: str, k: int = 10, most: int = 10_000, seed: int = 17) -> DataFrame:
+    """df with fold 0 to k - 1: whole groups, largest first, each into the fold with the fewest rows. That is done for the
+    most largest groups, whose counts are all that is looked at together; beyond them, folds are drawn by a hash."""
+    sizes = df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(most).collect()
+    heap = [(0, i) for i in range(k)]
+    folds = []
+    for group, n in sizes:
+        load, i = heapq.heappop(heap)
+        heapq.heappush(heap, (load + n, i))
+        folds.append((group, i))
+    table = df.sparkSession.createDataFrame(folds, StructType([StructField("_g", df.schema[key].dataType), StructField("fold", IntegerType())]))
+    if len(sizes) < most:
+        return df.join(F.broadcast(table), F.col(key).eqNullSafe(F.col("_g"))).drop("_g")
+    drawn = F.least(F.floor(_draw(key, seed) * k), F.lit(k - 1)).cast("int")
+    return df.join(F.broadcast(table), F.col(key).eqNullSafe(F.col("_g")), "left").withColumn("fold", F.coalesce("fold", drawn)).drop("_g")
+
+
+def medians(df: DataFrame, cols: list[str], bins: int = 4096) -> dict[str, float | None]:
+    """The exact median of each column: rounds of histograms narrow the range that holds the middle values until it is one
+    value, all columns in one job a round; the driver sees bins."""
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(cols)])).alias("s")).select("s.i", "s.v").where(F.col("v").isNotNull() & ~F.isnan("v"))
+    ends = {r["i"]: r for r in values.groupBy("i").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    search = [[i, rank, r["lo"], r["hi"], 0, None] for i, r in ends.items() for rank in {(r["n"] - 1) // 2, r["n"] // 2}]  # column, rank, range, rows before it, value
+    while open_ := [t for t in search if t[5] is None]:
+        targets = df.sparkSession.createDataFrame([(k, t[0], float(t[2]), float(t[3])) for k, t in enumerate(open_)], "k int, i int, lo double, hi double")
+        at = values.join(F.broadcast(targets), "i").where(F.col("v").between(F.col("lo"), F.col("hi")))
+        width = (F.col("hi") - F.col("lo")) / bins
+        bin_ = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
+        found = at.groupBy("k", bin_.alias("b")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).orderBy("k", "b").collect()
+        for k, t in enumerate(open_):
+            for r in (r for r in found if r["k"] == k):
+                if t[4] + r["n"] > t[1]:
+                    t[2], t[3] = r["lo"], r["hi"]
+                    break
+                t[4] += r["n"]
+            if t[2] == t[3]:
+                t[5] = t[2]
+    out: dict[str, float | None] = {c: None for c in cols}
+    for i in ends:
+        own = [t[5] for t in search if t[0] == i]
+        out[cols[i]] = sum(own) / len(own)
+    return out
 
 
 def fit_imputer(train: DataFrame, cols: list[str]) -> dict[str, float]:
-    """The exact median of each column of train (0 where it has no value), for DataFrame.fillna."""
-    row = train.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), F.lit(0.5)).alias(f"c{i}") for i, c in enumerate(cols)]).first()
-    return {c: row[i] if row[i] is not None else 0.0 for i, c in enumerate(cols)}
+    """The exact median of each column of train (0 where it has no value), for impute."""
+    return {c: m if m is not None else 0.0 for c, m in medians(train, cols).items()}
 
 
 def impute(df: DataFrame, medians: dict[str, float]) -> DataFrame:
@@ -95,10 +128,15 @@ def score_epochs(model: SleepModel, df: DataFrame) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, features: list[str], key: str = "group", k: int = 10, label: str = "SLEEP", threshold: float = 0.5, **params) -> DataFrame:
-    """fold, ACC, SEN, SPE, MCC, F1 of models fitted on the other folds."""
-    folded = group_folds(df.where(F.col(label).isin(0, 1)), key, k)
-    scored = [train_sleep_model(folded.where(F.col("fold") != i), features, label, **params).transform(folded.where(F.col("fold") == i)).select("fold", F.col(label).alias("y_true"), (F.col("SLEEP_PREDICTION") >= threshold).cast("int").alias("y_pred")) for i in range(k)]
-    return binary_metrics(reduce(DataFrame.unionByName, scored), ["fold"]).select("fold", "ACC", "SEN", "SPE", "MCC", "F1")
+    """fold, ACC, SEN, SPE, MCC, F1 of models fitted on the other folds. The folds' rows are kept while the k models are
+    fitted and scored; what is returned is a row a fold."""
+    folded = group_folds(df.where(F.col(label).isin(0, 1)), key, k).persist()
+    try:
+        scored = [train_sleep_model(folded.where(F.col("fold") != i), features, label, **params).transform(folded.where(F.col("fold") == i)).select("fold", F.col(label).alias("y_true"), (F.col("SLEEP_PREDICTION") >= threshold).cast("int").alias("y_pred")) for i in range(k)]
+        metrics = binary_metrics(reduce(DataFrame.unionByName, scored), ["fold"]).select("fold", "ACC", "SEN", "SPE", "MCC", "F1")
+        return df.sparkSession.createDataFrame(metrics.collect(), metrics.schema)
+    finally:
+        folded.unpersist()
 
 
 def random_search(df: DataFrame, features: list[str], grid: dict[str, list], n: int, key: str = "group", k: int = 3, seed: int = 17, metric: str = "MCC") -> list[tuple[dict, float]]:

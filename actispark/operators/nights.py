@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from actispark.functions.scalars import binarize_scores, norm_awk5plus, norm_se, norm_sol, norm_waso, with_sleep_ratios
 from actispark.operators.spans import within
+from actispark.operators.wear import islands
 
 DAY = 86_400
 
@@ -69,16 +70,15 @@ def match_days_to_recordings(diary: DataFrame, recordings: DataFrame, epochs: Da
 
 
 def awk5plus(df: DataFrame, keys: list[str], epochs: int = 10, flag: str = "score") -> DataFrame:
-    """keys, awk5plus: wake runs that reach epochs rows after epochs rows or more of sleep since the last one counted."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("wake"), F.lit(0).alias("sleep"))
-
-    def step(s: Column, v: Column) -> Column:
-        wake = F.when(v == 0, s["wake"] + 1).otherwise(0)
-        hit = (v == 0) & (wake == epochs) & (s["sleep"] >= epochs)
-        return F.struct((s["n"] + hit.cast("int")).alias("n"), wake.alias("wake"), F.when(hit, 0).otherwise(s["sleep"] + (v != 0).cast("int")).alias("sleep"))
-
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", flag))), lambda r: r[flag])
-    return df.groupBy(*keys).agg(F.aggregate(ordered, zero, step, lambda s: s["n"]).alias("awk5plus"))
+    """keys, awk5plus: wake runs of epochs rows or more, after epochs rows or more of sleep since the last one counted. Runs
+    are made and slept rows summed up by windows; what is left to go through in order is the sums at a night's long wakes."""
+    runs = islands(df.withColumn("_w", F.col(flag) == 0), keys, ["ts"], "_w").groupBy(*keys, "block").agg(F.count("*").alias("n"), F.first("_w").alias("awake"))
+    slept = F.sum(F.when(F.col("awake"), 0).otherwise(F.col("n"))).over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    long = F.when(F.col("awake") & (F.col("n") >= epochs), slept)
+    sums = runs.withColumn("_s", long).groupBy(*keys).agg(F.array_sort(F.collect_list("_s")).alias("_s"))
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("at"))
+    counts = lambda s, x: F.struct((s["n"] + (x - s["at"] >= epochs).cast("int")).alias("n"), F.when(x - s["at"] >= epochs, x).otherwise(s["at"]).alias("at"))
+    return sums.select(*keys, F.aggregate("_s", none, counts, lambda s: s["n"]).alias("awk5plus"))
 
 
 def night_metrics(epochs: DataFrame, matched_days: DataFrame, epoch_s: int = 30, threshold: float = 0.5) -> DataFrame:

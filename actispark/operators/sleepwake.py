@@ -24,26 +24,37 @@ def cole_kripke(ai: DataFrame, keys: list[str] = KEYS, value: str = "activity_in
     return ai.withColumn("score", scale * score).withColumn("wake", (F.col("score") >= 0.5).cast("int"))
 
 
+#: After so many minutes of wake, so many minutes of sleep count as wake (rules a to c); and rule d's sleep of
+#: at most SHORT minutes between AROUND minutes of wake or more.
+AFTER, EXTENDED = (4, 10, 15), (0, 1, 3, 4)
+SHORT, AROUND = 6, 10
+
+
+def _sleep_runs(wake: np.ndarray) -> list[tuple[int, int]]:
+    """(first, behind the last) of each run of sleep."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([1], wake, [1]))))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
 def webster(wake: np.ndarray) -> np.ndarray:
-    """Webster's rules on one day's minutes, in their order: a to c lengthen wake, d drops short sleep between wake."""
+    """Webster's rules on one day's minutes, run by run. Minutes that rules a to c have turned count as wake for the next
+    run, but the first of them doesn't: there the count began anew."""
     out = wake.copy()
-    run = 0
-    for t in range(len(out)):
-        if out[t] == 1:
-            run += 1
-            continue
-        longer = 4 if run > 14 else 3 if run > 9 else 1 if run > 3 else 0
-        out[t : t + longer] = 1
-        run = 0
-    asleep, start = 0, 0
-    for t in range(10, len(out) - 10):
-        if out[t] == 0:
-            start = t if asleep == 0 else start
-            asleep += 1
-            continue
-        if 0 < asleep <= 6 and out[start - 10 : start].all() and out[t : t + 10].all():
-            out[start:t] = 1
-        asleep = 0
+    counted_from, turned_to = 0, 0  # wake is counted from here; minutes before the other are turned
+    for first, end in _sleep_runs(wake):
+        at = max(first, turned_to)
+        if at < end:
+            turned_to = at + EXTENDED[int(np.searchsorted(AFTER, at - counted_from, "right"))]
+            out[at:turned_to] = 1
+            counted_from = end if turned_to < end else at + 1
+    runs = _sleep_runs(out)
+    before = 0  # the end of the last sleep that stays
+    for i, (first, end) in enumerate(runs):
+        behind = runs[i + 1][0] if i + 1 < len(runs) else len(out)
+        if end - first <= SHORT and first - before >= AROUND and behind - end >= AROUND and end + AROUND < len(out):
+            out[first:end] = 1
+        else:
+            before = end
     return out
 
 

@@ -9,7 +9,7 @@ from actispark.operators import clinical as C
 from actispark.operators import datasets as D
 from actispark.operators import evaluate as V
 from actispark.operators import model as M
-from actispark.plans.base import CLINICAL, FEATURES, SCORES, SUBJECTS, clinical, clinical_long, query, rounded, scores, subjects, table
+from actispark.plans.base import CLINICAL, FEATURES, NIGHTS, SCORES, SUBJECTS, clinical, clinical_long, nights, query, rounded, scores, subjects, table
 
 ROC_BINS = "ROWS UNBOUNDED PRECEDING"
 
@@ -138,9 +138,14 @@ def spearman(spark, sf_dir):
     return C.covariate_correlations(clinical_long(spark, sf_dir).withColumn("covariate", F.col("age")), "spearman").select("feature", "n", "r")
 
 
-@query("a26_kendall")
+@query("a26_kendall", f"""WITH {CLINICAL}, c AS (SELECT feature, value x, age y, count(*) c FROM long GROUP BY ALL), xs AS (SELECT DISTINCT feature, x FROM c), ys AS (SELECT DISTINCT feature, y FROM c),
+grid AS (SELECT feature, x, y, coalesce(c, 0) c FROM xs JOIN ys USING (feature) LEFT JOIN c USING (feature, x, y)),
+under AS (SELECT *, sum(c) OVER (PARTITION BY feature, y ORDER BY x) - c AS less FROM grid), over AS (SELECT feature, c, sum(less) OVER (PARTITION BY feature, x ORDER BY y DESC) - less AS crossed FROM under),
+d AS (SELECT feature, sum(c) n, sum(c * crossed)::DOUBLE crossed, (sum(c * (c - 1)) / 2)::DOUBLE b FROM over GROUP BY 1),
+tx AS (SELECT feature, (sum(t * (t - 1)) / 2)::DOUBLE tx FROM (SELECT feature, x, sum(c) t FROM c GROUP BY ALL) GROUP BY 1), ty AS (SELECT feature, (sum(t * (t - 1)) / 2)::DOUBLE ty FROM (SELECT feature, y, sum(c) t FROM c GROUP BY ALL) GROUP BY 1)
+SELECT feature, CAST(n AS BIGINT) n, round((n * (n - 1) / 2 - tx - ty + b - 2 * crossed) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 4) r FROM d JOIN tx USING (feature) JOIN ty USING (feature)""")
 def kendall(spark, sf_dir):
-    return C.covariate_correlations(clinical_long(spark, sf_dir).withColumn("covariate", F.col("age")), "kendall")
+    return C.covariate_correlations(clinical_long(spark, sf_dir).withColumn("covariate", F.col("age")), "kendall").select("feature", "n", "r")
 
 
 @query("w16_number_days", f'WITH {CLINICAL} SELECT "row", subject, CAST(row_number() OVER (PARTITION BY subject ORDER BY date, "row") AS INT) day_no FROM clinical')
@@ -148,10 +153,13 @@ def number_days(spark, sf_dir):
     return D.number_days(clinical(spark, sf_dir)).select("row", "subject", "day_no")
 
 
-@query("r4_subject_matrix", f"""WITH {CLINICAL}, n AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY date, "row") d FROM clinical) SELECT subject, max(CASE WHEN d = 1 THEN gender END) gender, max(CASE WHEN d = 1 THEN age END) age,
- {", ".join(f'max(CASE WHEN d = {i} THEN {f} END) AS "day{i}.{f}"' for i in range(1, 8) for f in FEATURES)} FROM n GROUP BY subject""")
+_NIGHTLY = ("tib", "sol", "waso", "wasf")
+
+
+@query("r4_subject_matrix", f"""SELECT * FROM (PIVOT (WITH {NIGHTS}, n AS (SELECT *, row_number() OVER w d, first_value(recording_id) OVER w r FROM nights WINDOW w AS (PARTITION BY subject ORDER BY date, night_id)),
+long AS ({" UNION ALL ".join(f"SELECT subject, r, d, '{f}' f, {f} v FROM n" for f in _NIGHTLY)}) SELECT subject, r AS recording_id, 'day' || d || '.' || f AS k, v FROM long) ON k USING first(v) GROUP BY subject, recording_id)""")
 def subject_matrix(spark, sf_dir):
-    return D.subject_matrix(clinical(spark, sf_dir), list(FEATURES), ["gender", "age"], 7)
+    return D.subject_matrix(nights(spark, sf_dir), list(_NIGHTLY), ["recording_id"], row="night_id")
 
 
 AUC = """cnt AS (SELECT file, {s} s, sum(SLEEP) p, sum(1 - SLEEP) n FROM scores GROUP BY 1, 2), run AS (SELECT *, sum(n) OVER (PARTITION BY file ORDER BY s) - n b FROM cnt),
@@ -186,9 +194,13 @@ def tune_threshold(spark, sf_dir):
     return rounded(V.tune_threshold(_subject_scores(spark, sf_dir), ["file"]))
 
 
-@query("a17_fold_thresholds")
+@query("a17_fold_thresholds", f"""WITH {SCORES}, o AS (SELECT f.fold, SLEEP, SLEEP_PREDICTION FROM scores, range(0, 5) f(fold) WHERE CAST(file AS INT) % 5 <> f.fold),
+b AS (SELECT fold, CAST(floor(SLEEP_PREDICTION * 10000 + 1e-9) AS INT) k, sum(SLEEP) p, sum(1 - SLEEP) n FROM o GROUP BY 1, 2), g AS (SELECT f.fold, t.i, coalesce(p, 0) p, coalesce(n, 0) n FROM range(0, 5) f(fold) CROSS JOIN range(0, 10000) t(i) LEFT JOIN b ON b.fold = f.fold AND b.k = t.i),
+c AS (SELECT fold, i, sum(p) OVER d::DOUBLE tp, sum(n) OVER d::DOUBLE fp, sum(p) OVER (PARTITION BY fold) - sum(p) OVER d::DOUBLE fn, sum(n) OVER (PARTITION BY fold) - sum(n) OVER d::DOUBLE tn FROM g WINDOW d AS (PARTITION BY fold ORDER BY i DESC)),
+m AS (SELECT fold, i, round({MCC}, 12) mcc FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY mcc DESC, i) k FROM m), t AS (SELECT CAST(fold AS INT) fold, i / 10000 threshold FROM r WHERE k = 1)
+SELECT fold, round(threshold, 6) threshold, round(avg(threshold) OVER (), 6) mean_threshold, round(median(threshold) OVER (), 6) median_threshold FROM t""")
 def fold_thresholds(spark, sf_dir):
-    return V.fold_thresholds(_subject_scores(spark, sf_dir).withColumn("fold", F.col("file").cast("int") % 5), 5)
+    return rounded(V.fold_thresholds(_subject_scores(spark, sf_dir).withColumn("fold", F.col("file").cast("int") % 5), 5))
 
 
 @query("a18_binary_metrics", f"""WITH {SCORES}, c AS (SELECT file, count(*) FILTER (SLEEP = 1 AND SLEEP_PREDICTION >= 0.5)::DOUBLE tp, count(*) FILTER (SLEEP = 0 AND SLEEP_PREDICTION >= 0.5)::DOUBLE fp, count(*) FILTER (SLEEP = 0 AND SLEEP_PREDICTION < 0.5)::DOUBLE tn, count(*) FILTER (SLEEP = 1 AND SLEEP_PREDICTION < 0.5)::DOUBLE fn FROM scores GROUP BY 1)
@@ -245,10 +257,11 @@ def top_features(spark, sf_dir):
     return V.top_features(table(spark, sf_dir, "part").select(F.col("p_name").alias("feature"), F.col("p_retailprice").alias("importance")))
 
 
-@query("u1_training_dataset", """SELECT 'a' AS "group", l_orderkey, l_quantity, NULL l_tax FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT 'b', l_orderkey, NULL, l_tax FROM lineitem WHERE l_linenumber = 2""")
+@query("u1_training_dataset", """SELECT 'a' AS "group", l_orderkey, l_linenumber, l_quantity, NULL l_tax FROM lineitem WHERE l_linenumber % 2 = 1 UNION ALL SELECT 'b', l_orderkey, l_linenumber, NULL, l_tax FROM lineitem WHERE l_linenumber % 2 = 0""")
 def training_dataset(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    return M.training_dataset({"a": li.where(F.col("l_linenumber") == 1).select("l_orderkey", "l_quantity"), "b": li.where(F.col("l_linenumber") == 2).select("l_orderkey", "l_tax")})
+    odd = F.col("l_linenumber") % 2 == 1  # the two frames together hold all lines
+    return M.training_dataset({"a": li.where(odd).select("l_orderkey", "l_linenumber", "l_quantity"), "b": li.where(~odd).select("l_orderkey", "l_linenumber", "l_tax")})
 
 
 @query("m1_m2_impute_scale", """WITH f AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END q FROM lineitem), m AS (SELECT median(q) d FROM f), i AS (SELECT l_orderkey, l_linenumber, coalesce(q, d) q FROM f, m), s AS (SELECT min(q) a, max(q) b FROM i) SELECT l_orderkey, l_linenumber, round((q - a) / (b - a), 6) q FROM i, s""")
@@ -259,18 +272,21 @@ def impute_scale(spark, sf_dir):
 
 
 def _epochs(spark, sf_dir):
-    """Lineitems as labelled epochs of eight groups; the label follows two features."""
+    """Lineitems as labelled epochs of some eighty groups; the label follows two features."""
     q, d = F.col("l_quantity"), F.col("l_discount")
     label = ((q + 200 * d) > 35).cast("int")
-    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).cast("string").alias("group"), "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", label.alias("SLEEP"))
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 83).cast("string").alias("group"), "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", label.alias("SLEEP"))
 
 
-@query("w17_group_folds")
+@query("w17_group_folds", """WITH RECURSIVE g AS (SELECT CAST(l_suppkey % 83 AS VARCHAR) g, count(*) n FROM lineitem GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, g) i FROM g),
+r AS (SELECT CAST(0 AS BIGINT) i, [CAST(0 AS BIGINT), 0, 0, 0] load, CAST(NULL AS BIGINT) fold UNION ALL
+ SELECT o.i, list_transform(load, lambda x, j: CASE WHEN j = list_position(load, list_min(load)) THEN x + o.n ELSE x END), list_position(load, list_min(load)) - 1 FROM r JOIN o ON o.i = r.i + 1)
+SELECT CAST(fold AS INT) fold, CAST(sum(n) AS BIGINT) n, count(*) AS groups FROM r JOIN o USING (i) GROUP BY 1""")
 def group_folds(spark, sf_dir):
     return M.group_folds(_epochs(spark, sf_dir), "group", 4).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("group").alias("groups"))
 
 
-@query("w17_group_split")
+@query("w17_group_split", """WITH e AS (SELECT CAST(l_suppkey % 83 AS VARCHAR) g FROM lineitem) SELECT CAST('0x' || md5('17:' || g)[1:8] AS BIGINT) / 4294967296 < 0.4 AS test, count(*) n, count(DISTINCT g) AS groups FROM e GROUP BY 1""")
 def group_split(spark, sf_dir):
     return M.group_split(_epochs(spark, sf_dir), "group").groupBy("test").agg(F.count("*").alias("n"), F.count_distinct("group").alias("groups"))
 

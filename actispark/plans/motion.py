@@ -64,10 +64,10 @@ def noon_days(spark, sf_dir):
 
 
 @query("w4_sample_windows", f"""WITH {DAYS}, r AS (SELECT *, row_number() OVER (PARTITION BY recording_id, day_no ORDER BY ts, line_no) - 1 i, count(*) OVER (PARTITION BY recording_id, day_no) c FROM rows)
-SELECT recording_id, day_no, CAST(i // 8 AS INT) window_no, count(*) n, round(avg(x), 6) mean_x FROM r WHERE i // 8 * 8 < c - 8 GROUP BY ALL""")
+SELECT recording_id, day_no, CAST(i // 8 AS INT) window_no, count(*) n, round(avg(x), 9) mean_x FROM r WHERE i // 8 * 8 < c - 8 GROUP BY ALL""")
 def sample_windows(spark, sf_dir):
     at = E.sample_windows(days(spark, sf_dir), 8)
-    return rounded(at.groupBy("recording_id", "day_no", "window_no").agg(F.count("*").alias("n"), F.avg("x").alias("mean_x")))
+    return rounded(at.groupBy("recording_id", "day_no", "window_no").agg(F.count("*").alias("n"), F.avg("x").alias("mean_x")), 9)  # means of eight values with four digits end before the ninth
 
 
 @query("a3_majority_label", f"""WITH {SAMPLES} SELECT recording_id, {NOON} noon, CAST(sum(CAST(temp > 25 AS INT)) > count(*) - sum(CAST(temp > 25 AS INT)) AS INT) AS label FROM samples GROUP BY ALL""")
@@ -76,7 +76,7 @@ def majority_label(spark, sf_dir):
     return E.majority_label(at, ["recording_id", "noon"])
 
 
-def _statistics_sql(names: tuple[int, ...], night: bool) -> str:
+def _statistics_sql(names: tuple[int, ...], night: bool, prefix: str) -> str:
     """The SQL of a vector's statistics, over v (in order) and s (sorted) and plain aggregates."""
     d = lambda a, b: f"CASE WHEN {b} = 0 THEN NULL ELSE CAST({a} AS DOUBLE) / {b} END"
     q = lambda p: f"q[{(*E.PERCENTILES, 50).index(p) + 1}]"
@@ -95,40 +95,49 @@ def _statistics_sql(names: tuple[int, ...], night: bool) -> str:
     }
     out |= {f"PERCENTILE {p}": q(p) for p in names}
     if night:
-        out["ENTROPY"] = "-list_sum(list_transform(v, lambda x: CASE WHEN x > 0 THEN x / list_sum(v) * ln(x / list_sum(v)) ELSE 0 END))"
+        out["ENTROPY"] = "-list_sum(list_transform(v, lambda x: CASE WHEN x / list_sum(v) > 0 THEN x / list_sum(v) * ln(x / list_sum(v)) ELSE 0 END))"
         out["MODULATION"] = d(span, "(hi + lo)")
-    return ",\n ".join(f'round(CASE WHEN n > 1 THEN {x} END, 6) AS "V | {k}"' for k, x in out.items())
+    return ",\n ".join(f'round(CASE WHEN n > 1 THEN {x} END, 6) AS "{prefix} | {k}"' for k, x in out.items())
 
 
-def _vector_sql(value: str, night: bool, names: tuple[int, ...]) -> str:
-    return f"""WITH {SAMPLES}, a AS (SELECT recording_id, {NOON} noon, ts, line_no, {value} v FROM samples),
-ranked AS (SELECT *, count(*) OVER (PARTITION BY recording_id, noon, v) c, min(row_number) OVER (PARTITION BY recording_id, noon, v) f FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, noon ORDER BY ts, line_no) AS row_number FROM a)),
-g AS (SELECT recording_id, noon, count(v) n, min(v) lo, max(v) hi, avg(v) mean, var_samp(v) var, stddev_samp(v) sd, kurtosis_pop(v) kurt, mad(v) mad, list(v ORDER BY ts, line_no) v, list_sort(list(v)) s, arg_min(v, c * -1000000 + f) md,
- quantile_cont(v, [{", ".join(str(p / 100) for p in (*E.PERCENTILES, 50))}]) q FROM ranked GROUP BY recording_id, noon),
-h AS (SELECT *, list_avg(list_transform(v, lambda x: (x - mean) ** 3)) / (list_avg(list_transform(v, lambda x: (x - mean) ** 2)) ** 1.5) skew FROM g)
-SELECT recording_id, noon, {_statistics_sql(names, night)} FROM h"""
+def _vector_ctes(value: str, night: bool, prefix: str = "V", t: str = "") -> str:
+    """CTEs over samples that end in h{t}: the statistics of value by recording and noon-to-noon day."""
+    names = E.NIGHT_PERCENTILES if night else E.PERCENTILES
+    return f"""a{t} AS (SELECT recording_id, {NOON} noon, ts, line_no, {value} v FROM samples),
+ranked{t} AS (SELECT *, count(*) OVER (PARTITION BY recording_id, noon, v) c, min(row_number) OVER (PARTITION BY recording_id, noon, v) f FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, noon ORDER BY ts, line_no) AS row_number FROM a{t})),
+g{t} AS (SELECT recording_id, noon, count(v) n, min(v) lo, max(v) hi, avg(v) mean, var_samp(v) var, stddev_samp(v) sd, kurtosis_pop(v) kurt, mad(v) mad, list(v ORDER BY ts, line_no) v, list_sort(list(v)) s, arg_min(v, c * -1000000 + f) md,
+ quantile_cont(v, [{", ".join(str(p / 100) for p in (*E.PERCENTILES, 50))}]) q FROM ranked{t} GROUP BY recording_id, noon),
+m{t} AS (SELECT *, list_avg(list_transform(v, lambda x: (x - mean) ** 3)) / (list_avg(list_transform(v, lambda x: (x - mean) ** 2)) ** 1.5) skew FROM g{t}),
+h{t} AS (SELECT recording_id, noon, {_statistics_sql(names, night, prefix)} FROM m{t})"""
 
 
-@query("a1_epoch_features", _vector_sql("sqrt(x*x+y*y+z*z)", False, E.PERCENTILES))
+ANGLE = "CASE WHEN sqrt(x*x+y*y) = 0 THEN 0 ELSE degrees(atan(z / sqrt(x*x+y*y))) END"
+
+
+@query("a1_epoch_features", f"WITH {SAMPLES}, {_vector_ctes('sqrt(x*x+y*y+z*z)', False)} SELECT * FROM h")
 def epoch_features(spark, sf_dir):
     at = E.with_noon(samples(spark, sf_dir)).withColumn("m", S.magnitude())
     return rounded(E.vector_features(at, ["recording_id", "noon"], {"V": "m"}))
 
 
-@query("a1_epoch_features_all")
+@query("a1_epoch_features_all", f"""WITH {SAMPLES}, {_vector_ctes("sqrt(x*x+y*y+z*z)", False, "MAGNITUDE", "1")}, {_vector_ctes(ANGLE, False, "Z_ANGLE", "2")}, {_vector_ctes("sqrt(temp)", False, "TEMPERATURE", "3")}
+SELECT * FROM h1 JOIN h2 USING (recording_id, noon) JOIN h3 USING (recording_id, noon)""")
 def epoch_features_all(spark, sf_dir):
-    return E.epoch_features(E.with_noon(samples(spark, sf_dir)), ["recording_id", "noon"])
+    at = E.with_noon(samples(spark, sf_dir)).withColumn("temp", F.sqrt("temp"))  # means of decimals would end in halves where they are rounded
+    return rounded(E.epoch_features(at, ["recording_id", "noon"]))
 
 
-@query("a2_night_signal_features", _vector_sql("x + 1.5", True, (1, 5, 10, 20, 80, 90, 95, 99)))
+@query("a2_night_signal_features", f"WITH {SAMPLES}, {_vector_ctes('sqrt(x*x+y*y+z*z)', True)} SELECT * FROM h")
 def night_features(spark, sf_dir):
-    at = E.with_noon(samples(spark, sf_dir)).withColumn("a", F.col("x") + 1.5)
+    at = E.with_noon(samples(spark, sf_dir)).withColumn("a", S.magnitude())
     return rounded(E.vector_features(at, ["recording_id", "noon"], {"V": "a"}, night=True))
 
 
-@query("a2_night_features_with_energy")
+@query("a2_night_features_with_energy", f"""WITH {SAMPLES}, {_vector_ctes("sqrt(x*x+y*y+z*z)", True, "ACTIVITY")}, tk AS (SELECT recording_id, {NOON} noon, coalesce(v*v - abs(lead(v) OVER w * lag(v) OVER w), 0) t FROM (SELECT *, sqrt(x*x+y*y+z*z) v FROM samples) WINDOW w AS (PARTITION BY recording_id, {NOON} ORDER BY ts, line_no)),
+e AS (SELECT recording_id, noon, round(CASE WHEN count(*) > 1 THEN max(t) END, 6) AS "ACTIVITY | TKEO MAX", round(CASE WHEN count(*) > 1 THEN min(t) END, 6) AS "ACTIVITY | TKEO MIN" FROM tk GROUP BY 1, 2) SELECT * FROM h JOIN e USING (recording_id, noon)""")
 def night_features_energy(spark, sf_dir):
-    return signal.night_signal_features(E.with_noon(samples(spark, sf_dir)), ["recording_id", "noon"], "x", ("ts", "line_no"))
+    at = E.with_noon(samples(spark, sf_dir)).withColumn("v", S.magnitude())
+    return rounded(signal.night_signal_features(at, ["recording_id", "noon"], "v", ("ts", "line_no")))
 
 
 @query("a4_activity_index")
@@ -136,11 +145,14 @@ def activity_index(spark, sf_dir):
     return signal.activity_index(days(spark, sf_dir), 25.0, 0.6)
 
 
-@query("w5_wear_detection", f"""WITH {DAYS}, r AS (SELECT *, row_number() OVER (PARTITION BY recording_id, day_no ORDER BY ts, line_no) - 1 i, count(*) OVER (PARTITION BY recording_id, day_no) c FROM rows),
+WEAR = f"""{DAYS}, r AS (SELECT *, row_number() OVER (PARTITION BY recording_id, day_no ORDER BY ts, line_no) - 1 i, count(*) OVER (PARTITION BY recording_id, day_no) c FROM rows),
 p AS (SELECT *, i // 4 k FROM r), st AS (SELECT DISTINCT recording_id, day_no, k, c FROM p WHERE k * 4 < c - 4), t AS (SELECT recording_id, day_no, k, min(ts) ts FROM p GROUP BY ALL),
 h AS (SELECT st.recording_id, st.day_no, st.k, CAST(stddev_samp(x) >= 0.013 AS INT) + CAST(stddev_samp(y) >= 0.013 AS INT) + CAST(stddev_samp(z) >= 0.013 AS INT) sd, CAST(max(x) - min(x) >= 0.15 AS INT) + CAST(max(y) - min(y) >= 0.15 AS INT) + CAST(max(z) - min(z) >= 0.15 AS INT) ra
- FROM st JOIN p ON p.recording_id = st.recording_id AND p.day_no = st.day_no AND p.k BETWEEN st.k AND st.k + 3 GROUP BY ALL)
-SELECT recording_id, day_no, ts, CAST(sd >= 2 AND ra >= 2 AS INT) wear FROM h JOIN t USING (recording_id, day_no, k)""")
+ FROM st JOIN p ON p.recording_id = st.recording_id AND p.day_no = st.day_no AND p.k BETWEEN st.k AND st.k + 3 GROUP BY ALL),
+worn AS (SELECT recording_id, day_no, ts, CAST(sd >= 2 AND ra >= 2 AS INT) wear FROM h JOIN t USING (recording_id, day_no, k))"""
+
+
+@query("w5_wear_detection", f"WITH {WEAR} SELECT * FROM worn")
 def wear_detection(spark, sf_dir):
     return wear.wear_detection(days(spark, sf_dir), 4 / 900)
 
@@ -160,19 +172,24 @@ def islands(spark, sf_dir):
 
 
 _RUNS = """SELECT *, sum(ch) OVER (PARTITION BY recording_id, day_no ORDER BY ts ROWS UNBOUNDED PRECEDING) b FROM (SELECT *, CASE WHEN lag(wear) OVER (PARTITION BY recording_id, day_no ORDER BY ts) IS DISTINCT FROM wear THEN 1 ELSE 0 END ch FROM {})"""
+INNER, LAST = "(n * 0.25 < 3 AND n / (p + q) < 0.8) OR (n * 0.25 < 6 AND n / (p + q) < 0.3)", "day_no = last_day AND n * 0.25 < 3 AND p * 0.25 >= 1"
+
 
+def _rescored_sql(source: str, out: str, rule: str = INNER) -> str:
+    """CTEs that give out: source with the worn runs that rule picks set to 0."""
+    return f"""{out}_r AS ({_RUNS.format(source)}), {out}_k AS (SELECT recording_id, day_no, b, count(*) n, any_value(wear) v FROM {out}_r GROUP BY ALL),
+{out}_o AS (SELECT *, lag(n) OVER w p, lead(n) OVER w q, max(day_no) OVER (PARTITION BY recording_id) last_day FROM {out}_k WINDOW w AS (PARTITION BY recording_id, day_no ORDER BY b)),
+{out} AS (SELECT r.recording_id, r.day_no, r.ts, CASE WHEN v = 1 AND ({rule}) THEN 0 ELSE wear END wear FROM {out}_r r JOIN {out}_o USING (recording_id, day_no, b))"""
 
-@query("w7_rescore_wear", f"""WITH {FLAGGED}, r AS ({_RUNS.format("flagged")}),
-k AS (SELECT recording_id, day_no, b, count(*) n, any_value(wear) v FROM r GROUP BY ALL),
-o AS (SELECT *, lag(n) OVER w p, lead(n) OVER w q FROM k WINDOW w AS (PARTITION BY recording_id, day_no ORDER BY b))
-SELECT r.recording_id, r.day_no, r.ts, CASE WHEN v = 1 AND ((n * 0.25 < 3 AND n / (p + q) < 0.8) OR (n * 0.25 < 6 AND n / (p + q) < 0.3)) THEN 0 ELSE wear END wear FROM r JOIN o USING (recording_id, day_no, b)""")
+
+@query("w7_rescore_wear", f"WITH {FLAGGED}, {_rescored_sql('flagged', 'w1')} SELECT * FROM w1")
 def rescore_wear(spark, sf_dir):
     return wear.rescore_wear(_flagged(spark, sf_dir).drop("line_no"), passes=1, last_day=False).select("recording_id", "day_no", "ts", "wear")
 
 
-@query("w7_rescore_wear_last_day")
+@query("w7_rescore_wear_last_day", f"WITH {FLAGGED}, {_rescored_sql('flagged', 'w1')}, {_rescored_sql('w1', 'w2')}, {_rescored_sql('w2', 'w3')}, {_rescored_sql('w3', 'w4', LAST)} SELECT * FROM w4")
 def rescore_wear_full(spark, sf_dir):
-    return wear.rescore_wear(wear.wear_detection(days(spark, sf_dir), 4 / 900))
+    return wear.rescore_wear(_flagged(spark, sf_dir).drop("line_no")).select("recording_id", "day_no", "ts", "wear")
 
 
 def _bins(spark, sf_dir):
@@ -217,9 +234,14 @@ def major_rest(spark, sf_dir):
     return rest.major_rest_periods(flags, minimum_rest_block=2, allowed_rest_break=3, bins_a_minute=1)
 
 
-@query("w8_arm_angle_bins")
+_FIVE = ", ".join(f"CASE WHEN count({c}) OVER t = 5 THEN quantile_cont({c}, 0.5) OVER t END {c}" for c in ("x", "y", "z", "temp"))
+
+
+@query("w8_arm_angle_bins", f"""WITH {DAYS}, five AS (SELECT recording_id, day_no, ts, {_FIVE} FROM rows WINDOW t AS (PARTITION BY recording_id, day_no ORDER BY ts, line_no ROWS 4 PRECEDING)),
+b AS (SELECT recording_id, day_no, date_trunc('minute', ts) ts, avg(CASE WHEN x*x+y*y > 0 THEN degrees(atan(z / sqrt(x*x+y*y))) WHEN z <> 0 THEN 90 * sign(z) END) angle, avg(temp) temp FROM five GROUP BY ALL),
+grid AS (SELECT recording_id, day_no, unnest(generate_series(min(ts), max(ts), INTERVAL 1 MINUTE)) ts FROM b GROUP BY 1, 2) SELECT recording_id, day_no, ts, round(coalesce(angle, 0), 6) angle, round(coalesce(temp, 0), 6) temp FROM grid LEFT JOIN b USING (recording_id, day_no, ts)""")
 def arm_angle_bins(spark, sf_dir):
-    return rest.arm_angle_bins(days(spark, sf_dir), 1.0, 60)
+    return rounded(rest.arm_angle_bins(days(spark, sf_dir), 1.0, 60))
 
 
 def _minutes(spark, sf_dir):
@@ -236,9 +258,22 @@ def cole_kripke(spark, sf_dir):
     return rounded(sleepwake.cole_kripke(_minutes(spark, sf_dir)).select("recording_id", "day_no", "ts", "score", "wake"))
 
 
-@query("w13_webster_rescore")
+#: Rules a to c minute by minute (from: where the count of wake began; turned: up to where minutes are turned), then rule d
+#: run by run (kept: the end of the last sleep that stays).
+WEBSTER = f"""{COLE}, v AS (SELECT recording_id, day_no, ts, row_number() OVER (PARTITION BY recording_id, day_no ORDER BY ts) - 1 i, CAST(score >= 0.5 AS INT) w FROM ck),
+abc AS (SELECT recording_id, day_no, CAST(-1 AS BIGINT) i, CAST(0 AS BIGINT) began, CAST(0 AS BIGINT) turned, 1 w FROM (SELECT DISTINCT recording_id, day_no FROM v) UNION ALL
+ SELECT recording_id, day_no, v.i, CASE WHEN v.w = 0 AND v.i >= turned THEN v.i + 1 ELSE began END, CASE WHEN v.w = 0 AND v.i >= turned THEN v.i + CASE WHEN v.i - began >= 15 THEN 4 WHEN v.i - began >= 10 THEN 3 WHEN v.i - began >= 4 THEN 1 ELSE 0 END ELSE turned END,
+  CASE WHEN v.w = 1 OR v.i < turned OR v.i - began >= 4 THEN 1 ELSE 0 END FROM abc JOIN v USING (recording_id, day_no) WHERE v.i = abc.i + 1),
+s AS (SELECT recording_id, day_no, min(i) a, max(i) + 1 z, row_number() OVER (PARTITION BY recording_id, day_no ORDER BY min(i)) k FROM (SELECT *, i - row_number() OVER (PARTITION BY recording_id, day_no ORDER BY i) g FROM abc WHERE w = 0) GROUP BY recording_id, day_no, g),
+sn AS (SELECT s.*, coalesce(lead(a) OVER (PARTITION BY recording_id, day_no ORDER BY a), n) nxt, n FROM s JOIN (SELECT recording_id, day_no, count(*) n FROM v GROUP BY 1, 2) USING (recording_id, day_no)),
+d AS (SELECT recording_id, day_no, CAST(0 AS BIGINT) k, CAST(0 AS BIGINT) kept, CAST(NULL AS BIGINT) a, CAST(NULL AS BIGINT) z FROM (SELECT DISTINCT recording_id, day_no FROM v) UNION ALL
+ SELECT recording_id, day_no, sn.k, CASE WHEN sn.z - sn.a <= 6 AND sn.a - kept >= 10 AND nxt - sn.z >= 10 AND sn.z + 10 < n THEN kept ELSE sn.z END, CASE WHEN sn.z - sn.a <= 6 AND sn.a - kept >= 10 AND nxt - sn.z >= 10 AND sn.z + 10 < n THEN sn.a END, sn.z FROM d JOIN sn USING (recording_id, day_no) WHERE sn.k = d.k + 1),
+webster AS (SELECT v.recording_id, v.day_no, v.ts, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.recording_id = v.recording_id AND d.day_no = v.day_no AND v.i >= d.a AND v.i < d.z) THEN 1 ELSE abc.w END wake FROM v JOIN abc USING (recording_id, day_no, i))"""
+
+
+@query("w13_webster_rescore", f"WITH RECURSIVE {WEBSTER} SELECT * FROM webster")
 def webster(spark, sf_dir):
-    return sleepwake.webster_rescore(sleepwake.cole_kripke(_minutes(spark, sf_dir)))
+    return sleepwake.webster_rescore(sleepwake.cole_kripke(_minutes(spark, sf_dir))).select("recording_id", "day_no", "ts", "wake")
 
 
 @query("a5_sleep_endpoints", f"""WITH {COLE}, w AS (SELECT recording_id, day_no, ts, CAST(score >= 0.5 AS INT) wake FROM ck),

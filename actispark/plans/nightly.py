@@ -105,11 +105,11 @@ def filter_in_bed(spark, sf_dir):
     return E.filter_in_bed(at, N.night_bounds(_days(spark, sf_dir))).select("recording_id", "line_no")
 
 
-@query("j2_psg_epochs", f"""WITH {SAMPLES}, p AS (SELECT recording_id, ts, CAST(line_no % 2 AS INT) sleep FROM samples WHERE line_no % 3 = 0)
+@query("j2_psg_epochs", f"""WITH {SAMPLES}, p AS (SELECT recording_id, ts, CAST(line_no % 2 AS INT) sleep FROM samples)
 SELECT s.recording_id, s.line_no, p.ts epoch, p.sleep FROM samples s JOIN p ON s.recording_id = p.recording_id AND s.ts >= p.ts AND s.ts < p.ts + INTERVAL 900 SECOND""")
 def psg_epochs(spark, sf_dir):
     at = samples(spark, sf_dir)
-    psg = at.where(F.col("line_no") % 3 == 0).select("recording_id", "ts", (F.col("line_no") % 2).cast("int").alias("sleep"))
+    psg = at.select("recording_id", "ts", (F.col("line_no") % 2).cast("int").alias("sleep"))
     return E.psg_epochs(at, psg, 900).select("recording_id", "line_no", "epoch", "sleep")
 
 
@@ -197,21 +197,21 @@ def training_subjects(spark, sf_dir):
 
 
 def _algorithmic(spark, sf_dir):
-    """A night of the algorithm for each fourth order, some hours off."""
-    n = nights(spark, sf_dir).where(F.col("night_id") % 4 == 0)
+    """A night of the algorithm for each order, some hours off, so some nights get several of them and some none."""
+    n = nights(spark, sf_dir)
     k = F.col("night_id")
     shift = F.make_dt_interval(secs=(k * 977 % 200_000 - 100_000).cast("decimal(18,6)"))
-    return n.select(k.alias("sleeppy_id"), "recording_id", "subject", (F.col("sleep_onset") + shift).alias("sleep_onset"), (1 + k % 7).cast("int").alias("day_no"), (k % 24).cast("double").alias("available_hours"), (80 + k % 21).cast("int").alias("se"))
+    return n.select(k.alias("algorithmic_id"), "recording_id", "subject", (F.col("sleep_onset") + shift).alias("sleep_onset"), (1 + k % 7).cast("int").alias("day_no"), (k % 24).cast("double").alias("available_hours"), (80 + k % 21).cast("int").alias("se"))
 
 
-ALGORITHMIC = f"{NIGHTS}, alg AS (SELECT night_id sleeppy_id, recording_id, subject, sleep_onset + to_seconds(night_id * 977 % 200000 - 100000) sleep_onset, CAST(1 + night_id % 7 AS INT) day_no, CAST(night_id % 24 AS DOUBLE) available_hours, CAST(80 + night_id % 21 AS INT) se FROM nights WHERE night_id % 4 = 0)"
-MATCHED = f"""{ALGORITHMIC}, near AS (SELECT a.*, n.night_id, row_number() OVER (PARTITION BY sleeppy_id ORDER BY abs(epoch_us(n.sleep_onset) - epoch_us(a.sleep_onset)), n.sleep_onset DESC, n.night_id) i FROM alg a JOIN nights n ON a.recording_id = n.recording_id),
+ALGORITHMIC = f"{NIGHTS}, alg AS (SELECT night_id algorithmic_id, recording_id, subject, sleep_onset + to_seconds(night_id * 977 % 200000 - 100000) sleep_onset, CAST(1 + night_id % 7 AS INT) day_no, CAST(night_id % 24 AS DOUBLE) available_hours, CAST(80 + night_id % 21 AS INT) se FROM nights)"
+MATCHED = f"""{ALGORITHMIC}, near AS (SELECT a.*, n.night_id, row_number() OVER (PARTITION BY algorithmic_id ORDER BY abs(epoch_us(n.sleep_onset) - epoch_us(a.sleep_onset)), n.sleep_onset DESC, n.night_id) i FROM alg a JOIN nights n ON a.recording_id = n.recording_id),
 matched AS (SELECT * EXCLUDE (i) FROM near WHERE i = 1)"""
 
 
-@query("j4_nearest_night", f"WITH {MATCHED} SELECT sleeppy_id, night_id FROM matched")
+@query("j4_nearest_night", f"WITH {MATCHED} SELECT algorithmic_id, night_id FROM matched")
 def nearest_night(spark, sf_dir):
-    return M.match_nearest_night(_algorithmic(spark, sf_dir), nights(spark, sf_dir)).select("sleeppy_id", "night_id")
+    return M.match_nearest_night(_algorithmic(spark, sf_dir), nights(spark, sf_dir)).select("algorithmic_id", "night_id")
 
 
 @query("j5_dedupe_match", f"WITH {MATCHED}, d AS (SELECT *, row_number() OVER (PARTITION BY night_id ORDER BY sleep_onset, day_no) i FROM matched WHERE NOT (day_no = 1 AND available_hours < 12)) SELECT night_id, sleep_onset FROM d WHERE i = 1")
@@ -264,11 +264,11 @@ def activity_dataset(spark, sf_dir):
     return rounded(D.night_activity_dataset(base, _features(spark, sf_dir, "night_id")).select("night_id", "tst", "day_index", "mean"))
 
 
-@query("j8_night_sleeppy_dataset", f"WITH {MATCHED} SELECT sleeppy_id, night_id, se sleeppy_se, 1 day_index, round(sleeppy_id * 31 % 1000 / 10 + 1, 6) mean FROM matched WHERE night_id IN (SELECT l_orderkey FROM lineitem UNION SELECT o_orderkey FROM orders) AND subject IS NOT NULL")
-def sleeppy_dataset(spark, sf_dir):
+@query("j8_night_algorithmic_dataset", f"WITH {MATCHED} SELECT algorithmic_id, night_id, se algorithmic_se, 1 day_index, round(algorithmic_id * 31 % 1000 / 10 + 1, 6) mean FROM matched WHERE night_id IN (SELECT l_orderkey FROM lineitem UNION SELECT o_orderkey FROM orders) AND subject IS NOT NULL")
+def algorithmic_dataset(spark, sf_dir):
     base = D.night_dataset(nights(spark, sf_dir), diary(spark, sf_dir), intervals(spark, sf_dir), subjects(spark, sf_dir))
     alg = M.match_nearest_night(_algorithmic(spark, sf_dir), nights(spark, sf_dir))
-    return rounded(D.night_sleeppy_dataset(base, alg, _features(spark, sf_dir, "sleeppy_id")).select("sleeppy_id", "night_id", "sleeppy_se", "day_index", "mean"))
+    return rounded(D.night_algorithmic_dataset(base, alg, _features(spark, sf_dir, "algorithmic_id")).select("algorithmic_id", "night_id", "algorithmic_se", "day_index", "mean"))
 
 
 TRUTH = f"""{BED}, {EPOCHS}, w AS (SELECT day_id, t2 + INTERVAL 2 HOUR a, t2 + INTERVAL 3 HOUR z FROM bed WHERE day_id % 2 = 0),
@@ -298,7 +298,7 @@ def threshold_sweep(spark, sf_dir):
 
 
 def _wide(spark, sf_dir):
-    """Each customer's first days as the wide sheet of texts."""
+    """Each customer's days as wide sheets of texts."""
     d = diary(spark, sf_dir).withColumns({c: (F.col("day_id") % m).cast("int") for c, m in (("day_sleep_count", 3), ("alcohol_count", 4), ("caffeine_count", 5), ("sleep_quality", 5), ("rest_quality", 5), ("wake_count", 6))})
     clocks = {c: F.col("sleep_time") for c in ("day_sleep_time", "alcohol_time", "caffeine_time")}
     return d.withColumns(clocks | {"sleeping_pill": F.col("day_id") % 2 == 0, "note": F.lit("n")})
@@ -307,15 +307,15 @@ def _wide(spark, sf_dir):
 @query("r3_diary_to_wide", f"""WITH {DIARY}, i AS (SELECT l_orderkey day_id, CAST(l_partkey * 53 % 14400 AS INT) a, CAST((l_partkey * 53 % 14400 + l_linenumber * 200 - 100 + 86400) % 86400 AS INT) b FROM lineitem),
 s AS (SELECT day_id, string_agg('; ' || printf('%02d:%02d', a // 3600, a // 60 % 60) || '-' || printf('%02d:%02d', b // 3600, b // 60 % 60), '' ORDER BY a, b) w FROM i GROUP BY 1),
 n AS (SELECT t.*, w, row_number() OVER (PARTITION BY subject ORDER BY date, day_id) i FROM timeline t LEFT JOIN s USING (day_id))
-SELECT subject AS "#personalID", {", ".join(f'''max(CASE WHEN i = {k} THEN CAST(date AS VARCHAR) END) AS "day{k}-date", max(CASE WHEN i = {k} THEN printf('%02d:%02d', sleep_time // 3600, sleep_time // 60 % 60) END) AS "day{k}-5", max(CASE WHEN i = {k} THEN CAST(day_id % 6 AS VARCHAR) || coalesce(w, '') END) AS "day{k}-7"''' for k in range(1, 8))} FROM n GROUP BY subject""")
+SELECT subject AS "#personalID", CAST((i - 1) // 7 AS INT) AS sheet, {", ".join(f'''max(CASE WHEN (i - 1) % 7 = {k - 1} THEN CAST(date AS VARCHAR) END) AS "day{k}-date", max(CASE WHEN (i - 1) % 7 = {k - 1} THEN printf('%02d:%02d', sleep_time // 3600, sleep_time // 60 % 60) END) AS "day{k}-5", max(CASE WHEN (i - 1) % 7 = {k - 1} THEN CAST(day_id % 6 AS VARCHAR) || coalesce(w, '') END) AS "day{k}-7"''' for k in range(1, 8))} FROM n GROUP BY subject, (i - 1) // 7""")
 def diary_to_wide(spark, sf_dir):
     wide = D.diary_to_wide(_wide(spark, sf_dir), intervals(spark, sf_dir))
-    return wide.select(F.col("`#personalID`"), *[F.col(f"`day{i}-{f}`") for i in range(1, 8) for f in ("date", "5", "7")])
+    return wide.select(F.col("`#personalID`"), "sheet", *[F.col(f"`day{i}-{f}`") for i in range(1, 8) for f in ("date", "5", "7")])
 
 
 @query("r1_diary_from_wide", f"""WITH {DIARY}, n AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY date, day_id) i FROM timeline)
 SELECT subject, CAST(i AS INT) AS day, date, CAST(day_id % 3 AS INT) day_sleep_count, CAST(sleep_time // 60 * 60 AS INT) sleep_time, CAST((sleep_time // 60 * 60 + epoch(t2 - t1) % 86400 + 86400) % 86400 AS INT) sleep_duration, CAST(wake_time // 60 * 60 AS INT) wake_time,
- CAST((wake_time // 60 * 60 + epoch(t4 - t3) % 86400) % 86400 AS INT) get_up_time FROM n WHERE i <= 7""")
+ CAST((wake_time // 60 * 60 + epoch(t4 - t3) % 86400) % 86400 AS INT) get_up_time FROM n""")
 def diary_from_wide(spark, sf_dir):
     wide = D.diary_to_wide(_wide(spark, sf_dir), intervals(spark, sf_dir))
     return D.diary_from_wide(wide).select("subject", "day", "date", "day_sleep_count", "sleep_time", "sleep_duration", "wake_time", "get_up_time")

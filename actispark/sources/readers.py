@@ -100,45 +100,53 @@ def read_psg_txt(spark: SparkSession, path: str) -> DataFrame:
     return parse_psg(scrub_nul(spark.read.text(path, wholetext=True).select(recording_of().alias("recording_id"), "value")))
 
 
-def decode_pages(content: bytes) -> pd.DataFrame:
-    """Samples of a binary recording: pages of hexadecimal samples of 12 characters each."""
-    head: dict[str, float] = {}
-    rate, pages, stamp, temp = 0.0, [], None, 0.0
-    for raw in content.decode("latin-1").splitlines():
-        line = raw.strip()
-        key, _, value = line.partition(":")
-        if key in ("x gain", "x offset", "y gain", "y offset", "z gain", "z offset", "Volts", "Lux"):
-            head[key] = float(value)
-        elif key == "Measurement Frequency" and value:
-            rate = rate or float(value.split()[0])
-        elif key == "Page Time":
-            stamp = datetime.strptime(value, "%Y-%m-%d %H:%M:%S:%f")
-        elif key == "Temperature":
-            temp = float(value)
-        elif stamp is not None and len(line) >= 12 and not line.strip("0123456789abcdefABCDEF"):
-            n = len(line) // 12
-            nibble = np.frombuffer(bytes.fromhex("".join("0" + c for c in line[: 12 * n])), np.uint8).astype(np.int64).reshape(n, 12)
-            word = lambda a: (nibble[:, a] << 8) + (nibble[:, a + 1] << 4) + nibble[:, a + 2]  # noqa: B023, E731
-            signed = lambda a: word(a) - 4096 * (word(a) > 2047)  # noqa: B023, E731
-            tail = word(9)
-            axes = {c: np.round((signed(3 * i) * 100.0 - head[f"{c} offset"]) / head[f"{c} gain"], 4) for i, c in enumerate("xyz")}
-            at = np.datetime64(stamp, "us") + (np.arange(n) * 1e6 / rate).astype("timedelta64[us]")
-            pages.append(pd.DataFrame({"ts": at, **axes, "lux": (tail >> 2) * head["Lux"] / head["Volts"], "temp": temp, "button": (tail >> 1 & 1).astype(bool)}))
-    return pd.concat(pages, ignore_index=True) if pages else pd.DataFrame({c: [] for c in ("ts", "x", "y", "z", "lux", "temp", "button")})
+#: What a binary recording calls the constants of its preamble.
+CONSTANTS = ("x gain", "x offset", "y gain", "y offset", "z gain", "z offset", "Volts", "Lux", "Measurement Frequency")
+PAGE = "Page Time:"
 
 
-def read_geneactiv_bin(spark: SparkSession, path: str, start_buffer: timedelta | None = None, stop_buffer: timedelta | None = None) -> DataFrame:
-    """Samples of binary recordings, one file a task; buffers are cut from a recording's ends."""
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """recording_id, line_no, value: a row for each page of binary recordings (text from its time on), and one for what comes
+    before the first. Files are split between pages."""
+    line_no = F.col("_metadata.file_block_start") * 1024 + F.monotonically_increasing_id() % (1 << 33)
+    return scrub_nul(spark.read.text(path, lineSep=PAGE).select(recording_of().alias("recording_id"), line_no.alias("line_no"), "value"))
+
+
+def page_constants(pages: DataFrame) -> DataFrame:
+    """A row per recording with the constants of its preamble, the only part with gains."""
+    found = {c: F.regexp_extract("value", rf"(?m)^\s*{c}:\s*([-+0-9.eE]+)", 1).try_cast("double") for c in CONSTANTS}
+    return pages.where(F.col("value").contains("x gain:")).groupBy("recording_id").agg(*[F.max(v).alias(c) for c, v in found.items()])
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def decode_pages(pages: DataFrame) -> DataFrame:
+    """Samples of pages(recording_id, line_no, value): hexadecimal samples of 12 characters - three axes of 12 bits with sign,
+    ten bits of light, the button - after the page's time and temperature."""
+    time = F.try_to_timestamp(F.regexp_extract("value", r"^\s*([0-9: -]+[0-9])", 1), F.lit("yyyy-MM-dd HH:mm:ss:SSS")).cast("timestamp_ntz")
+    data = F.regexp_extract("value", r"(?m)^\s*((?:[0-9A-Fa-f]{12})+)\s*$", 1)
+    rows = pages.select("recording_id", "line_no", time.alias("stamp"), F.regexp_extract("value", r"(?m)^\s*Temperature:\s*([-0-9.]+)", 1).try_cast("double").alias("temp"), data.alias("data"))
+    rows = rows.where(F.col("stamp").isNotNull() & (F.col("data") != "")).join(page_constants(pages), "recording_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["recording_id"], batch["content"], strict=True):
-                out = decode_pages(content)
-                if len(out):
-                    yield out.assign(recording_id=name, line_no=np.arange(len(out)))[["recording_id", "line_no", "ts", "x", "y", "z", "lux", "temp", "button"]]
+            for at in range(0, len(batch), 200):
+                b = batch.iloc[at : at + 200]
+                digits = np.frombuffer("".join(b["data"]).encode(), np.uint8).astype(np.int64)
+                nibble = np.where(digits >= 97, digits - 87, np.where(digits >= 65, digits - 55, digits - 48)).reshape(-1, 4, 3)
+                word = (nibble[:, :, 0] << 8) + (nibble[:, :, 1] << 4) + nibble[:, :, 2]
+                n = b["data"].str.len().to_numpy() // 12
+                of, i = np.repeat(np.arange(len(b)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                one = lambda c: b[c].to_numpy(float)[of]  # noqa: B023, E731
+                signed = word - 4096 * (word > 2047)
+                ts = b["stamp"].to_numpy("datetime64[us]")[of] + (i * 1e6 / one("Measurement Frequency")).astype("timedelta64[us]")
+                axes = {c: np.round((signed[:, k] * 100.0 - one(f"{c} offset")) / one(f"{c} gain"), 4) for k, c in enumerate("xyz")}
+                yield pd.DataFrame({"recording_id": b["recording_id"].to_numpy()[of], "line_no": b["line_no"].to_numpy()[of] * 512 + i, "ts": ts, **axes, "lux": (word[:, 3] >> 2) * one("Lux") / one("Volts"), "temp": one("temp"), "button": (word[:, 3] >> 1 & 1).astype(bool)})
+
+    return rows.mapInPandas(run, "recording_id string, line_no long, ts timestamp_ntz, x double, y double, z double, lux double, temp double, button boolean")
 
-    files = spark.read.format("binaryFile").load(path).select(recording_of("path").alias("recording_id"), "content")
-    samples = files.mapInPandas(decode, "recording_id string, line_no long, ts timestamp_ntz, x double, y double, z double, lux double, temp double, button boolean")
+
+def read_geneactiv_bin(spark: SparkSession, path: str, start_buffer: timedelta | None = None, stop_buffer: timedelta | None = None) -> DataFrame:
+    """Samples of binary recordings; line_no grows with time in a recording; buffers are cut from a recording's ends."""
+    samples = decode_pages(read_pages(spark, path))
     if not start_buffer and not stop_buffer:
         return samples
     ends = samples.groupBy("recording_id").agg((F.min("ts") + F.lit(start_buffer or timedelta())).alias("_a"), (F.max("ts") - F.lit(stop_buffer or timedelta())).alias("_b"))
@@ -148,9 +156,10 @@ def read_geneactiv_bin(spark: SparkSession, path: str, start_buffer: timedelta |
 def convert_dreamt(df: DataFrame, epoch0: datetime = datetime(2025, 3, 13, 19)) -> DataFrame:
     """Raw 64 Hz rows as processed ones: stamps from epoch0 on, axes in g, stages as 0 (W, P), 1 (N1, N2, N3, R) or null."""
     stage = F.col("Sleep_Stage")
+    keep = [c for c in ("recording_id",) if c in df.columns]
     ts = F.timestamp_micros((F.unix_micros(F.lit(epoch0).cast("timestamp")) + F.round(F.col("TIMESTAMP") * 1e6)).cast("long")).cast("timestamp_ntz")
     return df.select(
-        ts.alias("processed_time"), *[(F.col(f"ACC_{a}") / 64).alias(f"ACC_{a}_g") for a in "XYZ"], "TEMP",
+        *keep, ts.alias("processed_time"), *[(F.col(f"ACC_{a}") / 64).alias(f"ACC_{a}_g") for a in "XYZ"], "TEMP",
         F.when(stage.isin("W", "P"), 0.0).when(stage.isin("N1", "N2", "N3", "R"), 1.0).alias("sleep_binary"),
     )
 

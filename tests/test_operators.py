@@ -105,24 +105,27 @@ def test_activity_index(spark):
     assert got == pytest.approx([math.sqrt(0.5 / 3), 0.0], abs=0.01)
 
 
-def plain_webster(pred):
-    out, run = list(pred), 0
-    for t in range(len(out)):
-        if out[t] == 1:
-            run += 1
-        else:
-            for limit, size in ((14, 4), (9, 3), (3, 1)):
-                if run > limit:
-                    out[t : t + size] = [1] * len(out[t : t + size])
-                    break
-            run = 0
-    return out
-
-
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 1), min_size=1, max_size=18))
-def test_webster_rules_a_to_c(v):
-    assert list(sleepwake.webster(np.array(v))) == plain_webster(v)
+def defined_wake(v):
+    """Rules a to c by their definition: each minute from those before it, looking back over the streak of wake."""
+    asked, turned = [], {}  # minutes of sleep where a rule was asked, and what it turned
+
+    def awake(t):
+        return v[t] == 1 or t in turned
+
+    for t in range(len(v)):
+        if not awake(t):
+            streak = t - 1 - max(asked, default=-1)
+            asked.append(t)
+            for k in range(4 if streak >= 15 else 3 if streak >= 10 else 1 if streak >= 4 else 0):
+                turned[t + k] = True
+    return [int(awake(t)) for t in range(len(v))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(1, 17)), min_size=1, max_size=8))
+def test_webster_rules_a_to_c(runs):
+    v = [x for x, n in runs for _ in range(n)][:20]  # too short for rule d
+    assert list(sleepwake.webster(np.array(v))) == defined_wake(v)
 
 
 def test_webster_rule_d():
@@ -238,6 +241,117 @@ def test_correlation_p_values():
     assert clinical.kendall(np.array([12, 2, 1, 12, 2]), np.array([1, 4, 7, 1, 0])) == pytest.approx((-0.47140452079103173, 0.2827454599327748))
 
 
+def brute_tau(x, y):
+    """tau-b by all pairs."""
+    pairs = [(a, b) for i, a in enumerate(zip(x, y, strict=True)) for b in list(zip(x, y, strict=True))[:i]]
+    sign = lambda p, q: int(p > q) - int(p < q)
+    s = sum(sign(a[0], b[0]) * sign(a[1], b[1]) for a, b in pairs)
+    return s / math.sqrt(sum(a[0] != b[0] for a, b in pairs) * sum(a[1] != b[1] for a, b in pairs))
+
+
+def test_kendall_and_spearman_equal_all_pairs(spark):
+    """Many values and few, with ties, over more values than there are bins."""
+    rng = np.random.default_rng(9)
+    columns = {"fine": rng.normal(size=700), "coarse": rng.integers(0, 9, 700).astype(float), "skewed": np.exp(rng.normal(size=700) * 4)}
+    y = rng.integers(0, 40, 700) + np.round(columns["fine"] * 5)
+    long = spark.createDataFrame([(f, float(v), float(c)) for f, col in columns.items() for v, c in zip(col, y, strict=True)], "feature string, value double, covariate double")
+    got = {r["feature"]: r for r in clinical.covariate_correlations(long, "kendall").collect()}
+    rank = lambda a: np.array([(a < v).sum() + ((a == v).sum() + 1) / 2 for v in a])
+    spearman = {r["feature"]: r for r in clinical.covariate_correlations(long, "spearman").collect()}
+    for f, col in columns.items():
+        assert got[f]["r"] == pytest.approx(brute_tau(col, y), abs=6e-5) and got[f]["n"] == 700
+        assert (got[f]["r"], got[f]["p"]) == pytest.approx(clinical.kendall(col, y), abs=6e-5)
+        assert spearman[f]["r"] == pytest.approx(np.corrcoef(rank(col), rank(y))[0, 1], abs=6e-5)
+
+
+@pytest.mark.parametrize(
+    ("method", "x", "y", "r", "p"),
+    [
+        ("pearson", [1, 2, 3, 4, 5], [10, 9, 2.5, 6, 4], -0.7426106572325057, 0.1505558088534455), ("spearman", [1, 2, 3, 4, 5], [5, 6, 7, 8, 7], 0.8207826816681233, 0.08858700531354381),
+        ("kendall", [12, 2, 1, 12, 2], [1, 4, 7, 1, 0], -0.47140452079103173, 0.2827454599327748), ("kendall", [1, 2, 3, 4, 5], [2, 1, 4, 3, 5], 0.6, 0.23333333333333334),
+    ],
+)
+def test_p_values_of_correlations(spark, method, x, y, r, p):
+    """Fixed values, as statistics packages give them."""
+    long = spark.createDataFrame([("f", float(a), float(b)) for a, b in zip(x, y, strict=True)], "feature string, value double, covariate double")
+    assert tuple(clinical.covariate_correlations(long, method, digits=9).first()) == ("f", 5, pytest.approx(r, abs=1e-8), pytest.approx(p, abs=1e-8))
+
+
+def test_medians_are_exact(spark):
+    rng = np.random.default_rng(2)
+    cols = {"a": rng.normal(size=501), "b": np.round(rng.normal(size=501) * 3), "c": np.exp(rng.normal(size=501) * 9)}
+    df = spark.createDataFrame([(*map(float, r), None) for r in zip(*cols.values(), strict=True)], "a double, b double, c double, d double")
+    assert model.medians(df, ["a", "b", "c", "d"]) == {**{k: float(np.median(v)) for k, v in cols.items()}, "d": None}
+    even = df.limit(0).unionByName(spark.createDataFrame([(1.0, 1.0, 5.0, None), (4.0, 1.0, 7.0, None)], df.schema))
+    assert model.medians(even, ["a", "b", "c"]) == {"a": 2.5, "b": 1.0, "c": 6.0} and model.fit_imputer(df, ["d"]) == {"d": 0.0}
+
+
+def test_folds_beyond_the_largest_groups(spark):
+    df = spark.range(400).select((F.col("id") % 40).cast("string").alias("g"), "id")
+    some = model.group_folds(df, "g", 4, most=10)
+    assert some.count() == 400 and some.select("g", "fold").distinct().count() == 40 and {r["fold"] for r in some.select("fold").distinct().collect()} == {0, 1, 2, 3}
+    split = model.group_split(df, "g")
+    assert split.select("g", "test").distinct().count() == 40 and 40 < split.where("test").count() < 300
+
+
+def test_sheets_hold_all_days(spark):
+    d = date(2024, 1, 1)
+    diary = spark.createDataFrame([(i, "s", d + timedelta(days=i), 79_200, 81_000, 25_200, 28_800, 2, "x") for i in range(16)], f"{DIARY}, wake_count int, note string")
+    for c in ("day_sleep_count", "day_sleep_time", "alcohol_count", "alcohol_time", "caffeine_count", "caffeine_time", "sleep_quality", "rest_quality"):
+        diary = diary.withColumn(c, F.lit(0))
+    wide = datasets.diary_to_wide(diary.withColumn("sleeping_pill", F.lit(True)), spark.createDataFrame([(1, 3600, 3900)], "day_id long, start int, end int"))
+    assert sorted(r["sheet"] for r in wide.collect()) == [0, 1, 2]
+    assert sorted((r["day"], r["date"]) for r in datasets.diary_from_wide(wide).collect()) == [(i + 1, d + timedelta(days=i)) for i in range(16)]
+
+
+def test_activity_index_equals_plain_filter(spark, sf_dir):
+    """The registered query against the difference equation of the filter, window by window, in plain numbers."""
+    from actispark.plans import motion
+
+    def both_ways(x):
+        b, a = signal.bandpass(25.0)
+        n = len(a) - 1
+        steady = np.linalg.solve(np.eye(n) - np.vstack([-a[1:], np.eye(n - 1, n)]).T, b[1:] - a[1:] * b[0])
+        x = np.concatenate([2 * x[0] - x[10:0:-1], x, 2 * x[-1] - x[-2:-12:-1]])
+        for _ in range(2):
+            z, out = steady * x[0], []
+            for v in x:
+                y = b[0] * v + z[0]
+                z = np.append(z[1:], 0.0) + b[1:] * v - a[1:] * y
+                out.append(y)
+            x = np.array(out)[::-1]
+        return x[10:-10]
+
+    rows = motion.days(spark, sf_dir).select("recording_id", "day_no", "ts", "line_no", "x", "y", "z").toPandas()
+    want = {}
+    for (rec, day), g in rows.groupby(["recording_id", "day_no"]):
+        g = g.sort_values(["ts", "line_no"])
+        for k in range(0, len(g) - 15, 15):
+            w = g.iloc[k : k + 15]
+            want[rec, day, w["ts"].iloc[0]] = math.sqrt(np.mean([both_ways(w[c].to_numpy()).var() for c in "xyz"]))
+    got = {(r["recording_id"], r["day_no"], r["ts"]): r["activity_index"] for r in motion.activity_index(spark, sf_dir).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v, rel=1e-9) for k, v in want.items())
+
+
+def test_recording_to_nights(spark):
+    """Two hours of 25 Hz samples, half an hour of movement and of stillness in turn; and the statistics of the night's index."""
+    from actispark.operators import jobs
+
+    n = 25 * 60 * 60 * 2
+    i = F.col("id")
+    moving = (F.floor(i / (25 * 1800)) % 2 == 0).cast("double")
+    samples = spark.range(n).select(F.lit("r").alias("recording_id"), i.alias("line_no"), (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(secs=(i / 25).cast("decimal(18,6)"))).alias("ts"), (moving * F.sin(i * 2.1)).alias("x"), F.lit(0.2).alias("y"), (1 - moving * F.cos(i / 300.0)).alias("z"), F.lit(30.0).alias("temp"))
+    days = epochs.noon_days(samples, 25.0, 1.0)
+    index, bins = signal.activity_index(days, 25.0), rest.arm_angle_bins(days, 25.0)
+    recordings = spark.createDataFrame([("r", "s")], "recording_id string, subject string")
+    got = jobs.nights_of_days(days, index, bins, recordings, 25.0, medians=12, blocks={"minimum_rest_block": 2, "allowed_rest_break": 2}).collect()
+    assert len(got) == 1 and got[0]["subject"] == "s" and got[0]["available_hours"] == 2.0
+    assert timedelta(minutes=25) < got[0]["sleep_end"] - got[0]["sleep_onset"] < timedelta(minutes=40) and got[0]["se"] > 50
+    night = spark.createDataFrame([(7, "r", T0, T0 + timedelta(hours=2))], "night_id long, recording_id string, sleep_onset timestamp_ntz, sleep_end timestamp_ntz")
+    row = jobs.night_features(index, night).first()
+    assert row["night_id"] == 7 and row["ACTIVITY | MAX"] > row["ACTIVITY | MEAN"] > row["ACTIVITY | MIN"] >= 0
+
+
 def test_correlations_need_three_pairs(spark):
     long = spark.createDataFrame([("a", 1.0, 1.0), ("a", 2.0, 2.0), ("b", 1.0, 3.0), ("b", 2.0, 1.0), ("b", 3.0, 2.0), ("c", 1.0, 1.0), ("c", 1.0, 2.0), ("c", 1.0, 3.0)], "feature string, value double, covariate double")
     for method in ("pearson", "spearman", "kendall"):
@@ -294,8 +408,10 @@ def test_wide_diary_round_trip(spark):
 def test_subject_matrix_checks_columns(spark):
     df = spark.createDataFrame([("s", None, 2, 5.0), ("s", date(2024, 1, 1), 1, 4.0), (None, None, 3, 1.0)], "subject string, date date, row int, f double")
     assert datasets.subject_matrix(df, ["f"], [], 2).first().asDict() == {"subject": "s", "day1.f": 4.0, "day2.f": 5.0}
-    with pytest.raises(ValueError):
-        datasets.subject_matrix(df, ["g"], [], 2)
+    assert datasets.subject_matrix(df, ["f"], []).columns == ["subject", "day1.f", "day2.f"]
+    for f, most in (("g", 2), ("f", 1)):  # a column that isn't there, and more days than there may be
+        with pytest.raises(ValueError):
+            datasets.subject_matrix(df, [f], [], most)
 
 
 def test_folds_and_model(spark):

@@ -42,10 +42,23 @@ def test_binary(spark, tmp_path):
     head = "x gain:100\nx offset:0\ny gain:100\ny offset:0\nz gain:100\nz offset:0\nVolts:2\nLux:4\nMeasurement Frequency:50.0\n"
     (tmp_path / "r.bin").write_text(head + "Page Time:2024-01-01 00:00:00:000\nTemperature:21.5\nMeasurement Frequency:50.0\n" + sample * 3 + "\n")
     rows = R.read_geneactiv_bin(spark, str(tmp_path)).orderBy("line_no").collect()
-    assert [tuple(r) for r in rows[:1]] == [("r", 0, datetime(2024, 1, 1), 1.0, -1.0, 2047.0, 10.0, 21.5, True)]
+    assert [(r[0], *r[2:]) for r in rows[:1]] == [("r", datetime(2024, 1, 1), 1.0, -1.0, 2047.0, 10.0, 21.5, True)] and len(rows) == 3
     assert rows[2]["ts"] == datetime(2024, 1, 1, 0, 0, 0, 40_000)
 
 
+def test_binary_pages_over_splits(spark, tmp_path):
+    head = "x gain:100\nx offset:0\ny gain:100\ny offset:0\nz gain:100\nz offset:0\nVolts:2\nLux:4\nMeasurement Frequency:50.0 Hz\n"
+    page = lambda i: f"Recorded Data\nPage Time:2024-01-01 {i // 3600:02}:{i // 60 % 60:02}:{i % 60:02}:000\nTemperature:{20 + i % 5}.5\nMeasurement Frequency:50.0\n" + f"{i % 2048:03X}0000000000"[:12].ljust(12, "0") * 20 + "\n"
+    (tmp_path / "r.bin").write_text(head + "".join(map(page, range(300))))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = R.read_geneactiv_bin(spark, str(tmp_path)).orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["ts"], r["x"], r["temp"]) for r in rows] == [(datetime(2024, 1, 1) + timedelta(seconds=i, milliseconds=20 * k), float(i), 20.5 + i % 5) for i in range(300) for k in range(20)]
+
+
 def test_dreamt(spark, tmp_path):
     raw = spark.createDataFrame([(0.0, 64.0, 32.0, -64.0, 30.0, "N1"), (1.5, 0.0, 0.0, 0.0, 30.0, "W"), (2.0, 0.0, 0.0, 0.0, 30.0, "Missing")], "TIMESTAMP double, ACC_X double, ACC_Y double, ACC_Z double, TEMP double, Sleep_Stage string")
     out = R.convert_dreamt(raw)
