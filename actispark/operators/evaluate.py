@@ -28,7 +28,7 @@ def diary_truth(epochs: DataFrame, matched_days: DataFrame, diary: DataFrame, in
 
 
 def diary_threshold_sweep(truth: DataFrame, thresholds: tuple[float, ...] = tuple(i / 10 for i in range(1, 11))) -> DataFrame:
-    """threshold, tp, fp, tn, fn, acc, sen, spe (in %), nights and best (the highest acc, the first of equals). Rows are
+    """threshold, tp, fp, tn, fn, acc, sen, spe (in %), nights and best (the highest acc, the first of equals), in the thresholds' order. Rows are
     counted by truth and the number of thresholds they reach, so the thresholds meet a few counts only."""
     reached = sum((F.coalesce((F.col("score") >= t).cast("int"), F.lit(0)) for t in thresholds), F.lit(0))
     counts = truth.groupBy("truth", reached.alias("reached")).count()
@@ -41,7 +41,7 @@ def diary_threshold_sweep(truth: DataFrame, thresholds: tuple[float, ...] = tupl
         "acc": 100 * safe_div(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), "sen": 100 * safe_div("tp", F.col("tp") + F.col("fn")), "spe": 100 * safe_div("tn", F.col("tn") + F.col("fp")),
     })
     first = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.col("acc").desc_nulls_last(), "threshold")) == 1  # a row a threshold
-    return rates.crossJoin(nights).withColumn("best", first)  # nights is one row
+    return rates.crossJoin(nights).withColumn("best", first).orderBy("threshold")  # nights is one row
 
 
 def _score_counts(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:

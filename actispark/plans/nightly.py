@@ -242,14 +242,14 @@ def night_activity(spark, sf_dir):
 
 
 @query("j13_algorithmic_nights", f"""WITH {NIGHTS}, r AS (SELECT recording_id, CAST(1 + night_id % 7 AS INT) day_no, min(night_id) k, min(sleep_onset) rest_start, min(sleep_end) rest_end FROM nights GROUP BY ALL)
-SELECT recording_id, recording_id subject, day_no, rest_start sleep_onset, rest_end sleep_end, CAST(k % 60 AS INT) sol, CAST(k % 90 AS INT) waso, CAST(k % 400 AS INT) tst, CAST(k % 100 AS INT) se FROM r""")
+SELECT recording_id, recording_id subject, day_no, rest_start sleep_onset, rest_end sleep_end, CAST(k % 60 AS INT) sol, CAST(k % 90 AS INT) waso, CAST(k % 400 AS INT) tst, CAST(k % 9 AS INT) wb, CAST(k % 5 AS INT) awk5plus, CAST(k % 100 AS INT) se FROM r""")
 def algorithmic_nights(spark, sf_dir):
     n = nights(spark, sf_dir)
     rest = n.groupBy("recording_id", (1 + F.col("night_id") % 7).cast("int").alias("day_no")).agg(F.min("night_id").alias("k"), F.min("sleep_onset").alias("rest_start"), F.min("sleep_end").alias("rest_end")).withColumn("available_hours", F.lit(24.0))
     part = lambda m: (F.col("k") % m).cast("int")
     ends = rest.select("recording_id", "day_no", part(60).alias("sleep_onset_latency"), part(90).alias("waso"), part(400).alias("total_sleep_time"), part(9).alias("number_wake_bouts"), part(5).alias("number_wake_bouts_5min"), part(100).alias("percent_time_asleep"))
     own = n.select("recording_id", F.col("recording_id").alias("subject")).distinct()
-    return M.algorithmic_nights(rest.drop("k"), ends, own).select("recording_id", "subject", "day_no", "sleep_onset", "sleep_end", "sol", "waso", "tst", "se")
+    return M.algorithmic_nights(rest.drop("k"), ends, own).select("recording_id", "subject", "day_no", "sleep_onset", "sleep_end", "sol", "waso", "tst", "wb", "awk5plus", "se")
 
 
 def _features(spark, sf_dir, key):

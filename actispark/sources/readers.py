@@ -186,8 +186,9 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).format(fmt).save(path)
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", order: list[str] | None = None) -> None:
+    """df as a table of files, sorted by order from file to file if it is given."""
+    (df.orderBy(*order) if order else df).write.mode(mode).option("header", True).format(fmt).save(path)
 
 
 def write_dataset(df: DataFrame, path: str, group: str = "group", label: str = "SLEEP") -> None:

@@ -74,6 +74,9 @@ def test_tables(spark, tmp_path):
     assert [r["group"] for r in R.read_dataset(spark, str(tmp_path / "d")).collect()] == ["a"]
     R.write_table(df, str(tmp_path / "t.csv"), "csv")
     assert R.read_table(spark, str(tmp_path / "t.csv")).count() == 2
+    R.write_table(df.repartition(2, "x"), str(tmp_path / "o.csv"), "csv", order=["x"])
+    lines = [p.read_text().splitlines()[1:] for p in sorted((tmp_path / "o.csv").glob("part-*.csv"))]
+    assert [line.split(",")[1] for part in lines for line in part] == ["1", "2"]
 
 
 def test_starts(spark):
