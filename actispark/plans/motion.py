@@ -34,10 +34,10 @@ def motion(spark, sf_dir):
     return rounded(samples(spark, sf_dir).select("recording_id", "line_no", S.magnitude().alias("magnitude"), S.z_angle().alias("angle")))
 
 
-@query("p18_tkeo", f"""WITH {SAMPLES} SELECT recording_id, line_no, round(coalesce(x*x - abs(lead(x) OVER w * lag(x) OVER w), 0), 6) tkeo FROM samples WINDOW w AS (PARTITION BY recording_id, {NOON} ORDER BY ts, line_no)""")
+@query("p18_tkeo", f"""WITH {SAMPLES} SELECT recording_id, line_no, round(coalesce(x*x - abs(lead(x) OVER w * lag(x) OVER w), 0), 9) tkeo FROM samples WINDOW w AS (PARTITION BY recording_id, {NOON} ORDER BY ts, line_no)""")
 def tkeo(spark, sf_dir):
     at = S.tkeo(E.with_noon(samples(spark, sf_dir)), ["recording_id", "noon"], ["ts", "line_no"], "x")
-    return rounded(at.select("recording_id", "line_no", "tkeo"))
+    return rounded(at.select("recording_id", "line_no", "tkeo"), 9)
 
 
 @query("s4_recording_start", f"WITH {SAMPLES} SELECT recording_id, min(ts) AS \"start\" FROM samples GROUP BY 1")
