@@ -350,17 +350,21 @@ def group_documents(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     verified = salted_join(likely.join(set_of("a"), "a"), set_of("b"), ["b"], hubs(likely), ["a"], rows=500)
     first = components(verified.where(100 * common >= round(100 * threshold) * (F.size("s_a") + F.size("s_b") - common)).select("a", "b"))
 
+    forget(pairs, likely, tops, wanted)
+
     # Step 2: bands that hold several components, in blocks.
-    rows = shared.select("key", "cid", "n").join(first.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("m", "cid")).drop("m")
-    rows = materialise(rows, "labelled-bands")
-    still = materialise(open_bands(rows), "still-open")
-    rows = materialise(salted_join(rows, still.select("key"), ["key"], still.select("key", F.col("rows").alias("n")), ["cid"]), "open-rows")
-    rows = blocked(materialise(split_bands(rows, keys_of, BLOCK, 4 * BLOCK), "band-rows"), BLOCK, BLOCK_SHINGLES)
+    labelled = shared.select("key", "cid", "n").join(first.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("m", "cid")).drop("m")
+    labelled = materialise(labelled, "labelled-bands")
+    still = materialise(open_bands(labelled), "still-open")
+    opened = materialise(salted_join(labelled, still.select("key"), ["key"], still.select("key", F.col("rows").alias("n")), ["cid"]), "open-rows")
+    parted = materialise(split_bands(opened, keys_of, BLOCK, 4 * BLOCK), "band-rows")
+    rows = blocked(parted, BLOCK, BLOCK_SHINGLES)
     dealt = lambda d: d.repartition(*map(F.col, _KEYS)).sortWithinPartitions(*_KEYS, "cid")
     near = dealt(rows.join(classes.select("cid", "registers"), "cid")).mapInArrow(_with_partner(threshold, least), "key long, i int, j int, block int, cid long, n long, comp long")
     near = materialise(near, "near")
     more = dealt(near.join(sets, "cid").select(*_KEYS, "block", "cid", "n", "comp", "set")).mapInArrow(_forest(threshold), "a long, b long")
     links = materialise(more.distinct(), "links")
+    forget(shared, labelled, still, opened, parted, near, sets)
     final = components(first.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(links)) if links.count() else first
 
     names = ["h1", "h2", "n_shingles"]

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from actispark.llm.common import broadcast_if_small, documents, fresh, materialise, text_key
+from actispark.llm.common import broadcast_if_small, documents, forget, fresh, materialise, text_key
 
 #: The patterns of the base kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -175,6 +175,7 @@ def redact_secrets(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]")
     )
     hash_, crc, cuts, new = fresh(docs, "text_hash", "text_crc", "cut", "new")
     found = materialise(islands.join(texts.select("text_id", "text_hash", "text_crc"), "text_id").select("text_hash", "text_crc", "cut").toDF(hash_, crc, cuts), "secret-cuts")
+    forget(texts)
     held = found.agg(F.count("*") + F.coalesce(F.sum(F.size(cuts)), F.lit(0))).first()[0]  # rows and what their lists hold
     h, c = text_key()
     joined = docs.join(broadcast_if_small(found, held, 200_000), (h == F.col(hash_)) & (c == F.col(crc)), "left")
