@@ -95,10 +95,11 @@ def recording_rates(spark, sf_dir):
     return R.recording_rates(table(spark, sf_dir, "events").select((F.col("user_id") % 6).cast("string").alias("recording_id"), F.concat(F.lit("Measurement Frequency,"), rate, F.lit(" Hz")).alias("value")))
 
 
-@query("s4_training_start", """WITH s AS (SELECT CAST(user_id % 5 AS VARCHAR) recording_id, min(ts) a, min(ts) FILTER (event_id % 4 = 0) p FROM events GROUP BY 1) SELECT recording_id, greatest(p - INTERVAL 15 SECOND, a) AS "start" FROM s WHERE p IS NOT NULL""")
+@query("s4_training_start", """SELECT CAST(user_id % 5 AS VARCHAR) recording_id, greatest(min(ts + to_seconds(event_id % 60)) - INTERVAL 15 SECOND, min(ts)) AS "start" FROM events GROUP BY 1""")
 def training_start(spark, sf_dir):
     at = samples(spark, sf_dir)
-    return R.training_start(at, at.where(F.col("line_no") % 4 == 0))
+    shift = F.make_dt_interval(secs=(F.col("line_no") % 60).cast("decimal(18,6)"))
+    return R.training_start(at, at.select("recording_id", (F.col("ts") + shift).alias("ts")))
 
 
 @query("s5_psg_text", """WITH p AS (SELECT CAST(user_id AS VARCHAR) recording_id, event_id, strftime(ts, '%H:%M:%S') clock, ['W', 'N1', 'N2', 'N3', 'R'][CAST(event_id % 5 AS INT) + 1] stage, row_number() OVER (PARTITION BY user_id ORDER BY event_id) i FROM events),

@@ -271,14 +271,14 @@ def algorithmic_dataset(spark, sf_dir):
     return rounded(D.night_algorithmic_dataset(base, alg, _features(spark, sf_dir, "algorithmic_id")).select("algorithmic_id", "night_id", "algorithmic_se", "day_index", "mean"))
 
 
-TRUTH = f"""{BED}, {EPOCHS}, w AS (SELECT day_id, t2 + INTERVAL 2 HOUR a, t2 + INTERVAL 3 HOUR z FROM bed WHERE day_id % 2 = 0),
+TRUTH = f"""{BED}, {EPOCHS}, w AS (SELECT day_id, t2 + INTERVAL 2 HOUR a, t2 + INTERVAL 3 HOUR z FROM bed),
 truth AS (SELECT b.day_id, e.line_no, e.score, CASE WHEN e.ts BETWEEN t1 AND t2 OR e.ts BETWEEN t3 AND t4 OR (w.day_id IS NOT NULL AND e.ts BETWEEN a AND z) THEN 0 ELSE 1 END truth FROM epochs e JOIN bed b ON e.recording_id = b.recording_id AND e.ts BETWEEN t1 AND t4 LEFT JOIN w ON w.day_id = b.day_id)"""
 
 
 def _truth(spark, sf_dir):
     days = _days(spark, sf_dir)
     matched = N.match_days_to_recordings(days, _recordings(spark, sf_dir), scored_epochs(spark, sf_dir))
-    wakes = days.where(F.col("day_id") % 2 == 0).select("day_id", F.lit(1800).alias("start"), F.lit(5400).alias("end"))
+    wakes = days.select("day_id", F.lit(1800).alias("start"), F.lit(5400).alias("end"))
     return V.diary_truth(scored_epochs(spark, sf_dir), matched, days, wakes)
 
 
