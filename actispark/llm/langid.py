@@ -231,8 +231,11 @@ def train(docs: DataFrame, sample: int = 400, sample_bytes: int = 4_000_000, seq
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return None
+    # Of a language's rows those with the least hashes; all but some four times as many are left out before the shuffle.
+    near = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * sample / n))]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy("h")
-    drawn = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample)  # limited before and after the shuffle
+    drawn = rows.where((F.col("h") / 2.0**64 + 0.5) <= near)
+    drawn = drawn.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample)
     drawn = drawn.withColumn("sum", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= sample_bytes)
     texts = sorted((r["lang"], words_of(r["text"])) for r in drawn.select("lang", "text").collect())
     texts = [t for t in texts if t[1]]
