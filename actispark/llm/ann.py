@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from actispark.llm.common import give_back, materialise
+from actispark.llm.common import broadcast_if_small, forget, give_back, materialise
 
 _CODED = "vec_id long, embedding array<double>, digest string, dim int, codes binary, scale double, miss double, norm double"
-_PAIR = {"query_id": "int64", "vec_id": "int64", "digest": "object", "lower": "float64", "upper": "float64"}
+_PAIR = {"query_id": "int64", "vec_id": "int64", "mark": "int64", "lower": "float64", "upper": "float64"}
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,7 +78,7 @@ def _quantised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def tile(q: pd.DataFrame, c: pd.DataFrame, k: int, rows: int = 256) -> Iterator[pd.DataFrame]:
+def tile(q: pd.DataFrame, c: pd.DataFrame, k: int, rows: int = 128) -> Iterator[pd.DataFrame]:
     """Pairs of a block of queries and one of candidates that may be among a query's k nearest, with bounds of their distance."""
     matrix = lambda d: np.frombuffer(b"".join(d["codes"]), np.int8).reshape(len(d), -1)
     column = lambda d, name: d[name].to_numpy(float)
@@ -92,7 +92,7 @@ def tile(q: pd.DataFrame, c: pd.DataFrame, k: int, rows: int = 256) -> Iterator[
         upper = np.where(own, np.inf, d + off)
         limit = np.partition(upper, k - 1, axis=1)[:, k - 1] if len(c) >= k else np.full(len(part), np.inf)
         i, j = np.nonzero((d - off <= limit[:, None]) & ~own)
-        yield pd.DataFrame({"query_id": part["vec_id"].to_numpy()[i], "vec_id": c_ids[j], "digest": c["digest"].to_numpy()[j], "lower": (d - off)[i, j], "upper": upper[i, j]})
+        yield pd.DataFrame({"query_id": part["vec_id"].to_numpy()[i], "vec_id": c_ids[j], "mark": c["mark"].to_numpy()[j], "lower": (d - off)[i, j], "upper": upper[i, j]})
 
 
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -124,13 +124,13 @@ def _merged(k: int):
     return run
 
 
-def nearest(vectors: DataFrame, queries_where: Column, k: int = 10, candidate_block: int = 1024, query_block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, queries_where: Column, k: int = 10, candidate_block: int = 4096, query_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of vectors(vec_id, embedding) for the rows where queries_where (a
     condition on vec_id) holds."""
     x = F.col("embedding")
     fine = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     usable = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & fine)
-    coded = materialise(usable.mapInArrow(_quantised, _CODED), "codes")
+    coded = materialise(usable.mapInArrow(_quantised, _CODED).withColumn("mark", F.xxhash64("digest")), "codes")  # a row's name beside its id
     place = lambda name, keys, order, most, df: df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= most).drop(name)
     # Rows that repeat id and vector are candidates each, but k of them fill an answer; so k of other ids and k of the own one.
     candidates = place("n", ["digest"], ["vec_id"], 2 * k, place("n", ["digest", "vec_id"], ["scale"], k, coded.drop("embedding")))
@@ -139,22 +139,27 @@ def nearest(vectors: DataFrame, queries_where: Column, k: int = 10, candidate_bl
     c_blocks, q_blocks = max(1, -(-candidates.count() // candidate_block)), max(1, -(-queries.count() // query_block))
     of = lambda blocks, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    c = candidates.select("*", of(c_blocks, 0).alias("c_block"), each(q_blocks).alias("q_block"))
-    q = queries.select("*", each(c_blocks).alias("c_block"), of(q_blocks, 1).alias("q_block"))
+    slim = lambda df: df.drop("digest")
+    c = slim(candidates).select("*", of(c_blocks, 0).alias("c_block"), each(q_blocks).alias("q_block"))
+    q = slim(queries).select("*", each(c_blocks).alias("c_block"), of(q_blocks, 1).alias("q_block"))
 
     def run(key: tuple, cand: pd.DataFrame, quer: pd.DataFrame) -> pd.DataFrame:
         found = list(tile(quer, cand, k)) if len(cand) and len(quer) else []
         return pd.concat(found, ignore_index=True) if found else pd.DataFrame({n: pd.Series(dtype=t) for n, t in _PAIR.items()})
 
     keys = ["dim", "c_block", "q_block"]
-    tiles = materialise(c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, digest string, lower double, upper double"), "tiles")
+    tiles = materialise(c.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, mark long, lower double, upper double"), "tiles")
     kth = tiles.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("upper"))).where(F.col("n") == k).select("query_id", F.col("upper").alias("most"))
-    pairs = tiles.join(kth, "query_id", "left").where(F.col("most").isNull() | (F.col("lower") <= F.col("most"))).select("query_id", "vec_id", "digest")
+    pairs = tiles.join(kth, "query_id", "left").where(F.col("most").isNull() | (F.col("lower") <= F.col("most"))).select("query_id", "vec_id", "mark")
+    pairs = materialise(pairs, "survivors")
     # Survivors meet the vectors: the candidates' by id and digest (equal rows once), then the queries' in groups.
-    named = coded.select("vec_id", "digest", "dim", "embedding").dropDuplicates(["vec_id", "digest"])
+    wanted = materialise(pairs.select("vec_id", "mark").unionByName(queries.select("vec_id", "mark")).distinct(), "wanted")
+    named = coded.select("vec_id", "mark", "dim", "embedding").join(broadcast_if_small(wanted, wanted.count()), ["vec_id", "mark"], "left_semi")
+    named = materialise(named.dropDuplicates(["vec_id", "mark"]), "survivors-vectors")
+    forget(candidates, tiles, coded, wanted)
     part = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, -(-queries.count() // 256)))).cast("int")
-    asked = queries.select("vec_id", "digest").join(named, ["vec_id", "digest"]).select(F.col("vec_id").alias("asks"), F.col("embedding").alias("vector"), part("vec_id").alias("group"))
-    met = pairs.join(named, ["vec_id", "digest"]).select("query_id", "vec_id", "dim", "embedding", part("query_id").alias("part"))
+    asked = queries.select("vec_id", "mark").join(named, ["vec_id", "mark"]).select(F.col("vec_id").alias("asks"), F.col("embedding").alias("vector"), part("vec_id").alias("group"))
+    met = pairs.join(named, ["vec_id", "mark"]).select("query_id", "vec_id", "dim", "embedding", part("query_id").alias("part"))
     return met.groupBy("part").cogroup(asked.groupBy("group")).applyInPandas(_merged(k), "query_id long, rank int, vec_id long, score double")
 
 
