@@ -47,7 +47,7 @@ def byte_characters() -> list[str]:
 class Encoder:
     """ids and decoded texts as the tokenizer file gives them; keeps at most cache words (twice, in two generations)."""
 
-    def __init__(self, path: str, cache: int = 150_000):
+    def __init__(self, path: str, cache: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab: dict[str, int] = spec["model"]["vocab"]
@@ -59,9 +59,10 @@ class Encoder:
         for t, i in [*vocab.items(), *self.special.items()]:
             self.tokens[i] = t.encode()
         chars = byte_characters()
-        self.inner, self.last = (np.array([vocab[c + e] for c in chars], np.int64) for e in ("", end))
+        kind = np.uint32 if self.size**2 < 2**32 else np.int64  # of symbols and of keys of pairs
+        self.inner, self.last = (np.array([vocab[c + e] for c in chars], kind) for e in ("", end))
         pairs = [(vocab[a] * self.size + vocab[b], rank, vocab[a + b]) for rank, (a, b) in enumerate(spec["model"]["merges"])]
-        self.keys, self.ranks, self.merged = (np.array(x, np.int64) for x in zip(*sorted(pairs), strict=True))
+        self.keys, self.ranks, self.merged = (np.array(x, t) for x, t in zip(zip(*sorted(pairs), strict=True), (kind, np.int64, kind), strict=True))
         self.limit, self.young, self.old = cache, {}, {}
         self.decoded: dict[bytes, bytes] = {}
 
@@ -74,7 +75,7 @@ class Encoder:
         word = np.repeat(np.arange(len(pieces)), lengths)
         done_sym, done_word = [], []
         while len(sym):
-            key = sym[:-1] * self.size + sym[1:]
+            key = sym[:-1] * self.keys.dtype.type(self.size) + sym[1:]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             rank = np.full(len(sym), NONE)
             same = word[1:] == word[:-1]
@@ -104,25 +105,30 @@ class Encoder:
         out, cuts = sym.astype("<u4").tobytes(), cuts.tolist()
         return [out[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def forget(self) -> None:
-        """Empties the cache; a worker that goes on to other tasks then holds the vocabulary only."""
-        self.young, self.old, self.decoded = {}, {}, {}
-
     def learn(self, words: list[str]) -> None:
         """Puts the ids of words into the cache."""
         if len(self.young) + len(words) > self.limit:
             self.old, self.young, self.decoded = self.young, {}, {}
-        pieces, owner = [], []
-        for i, w in enumerate(words):
-            for p in (w,) if w.isalpha() else PIECES.findall(w):
-                pieces.append(p.encode(errors="replace"))
-                owner.append(i)
-        parts: list[list[bytes]] = [[] for _ in words]
-        if pieces:
-            for i, ids in zip(owner, self.merge(pieces), strict=True):
-                parts[i].append(ids)
-        for w, p in zip(words, parts, strict=True):
-            self.young[w] = p[0] if len(p) == 1 else b"".join(p)
+        # A word of letters is one piece; another one's pieces are words too, and most are known or learned with them.
+        whole, split = [], []
+        for w in words:
+            if w.isalpha():
+                whole.append(w)
+            else:
+                split.append((w, (w[:-1], w[-1]) if w[:-1].isalpha() else PIECES.findall(w)))
+        young, old = self.young, self.old
+        new = dict.fromkeys(whole)
+        for _, pieces in split:
+            for p in pieces:
+                if p not in young:
+                    if (ids := old.get(p)) is None:
+                        new[p] = None
+                    else:
+                        young[p] = ids
+        if new:
+            young.update(zip(new, self.merge([p.encode(errors="replace") for p in new]), strict=True))
+        for w, pieces in split:
+            young[w] = b"".join([young[p] for p in pieces])
 
     def words(self, text: str) -> list[str]:
         """The normalised words of a text without special tokens."""
@@ -144,12 +150,11 @@ class Encoder:
             if isinstance(p, list):
                 seen.update(p)
         new, young, old = [], self.young, self.old
-        for w in seen:
-            if w not in young:
-                if (ids := old.get(w)) is not None:
-                    young[w] = ids
-                else:
-                    new.append(w)
+        for w in seen.difference(young):
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+            else:
+                new.append(w)
         if new:
             self.learn(new)
             if self.young is not young:  # the generations have changed: what this batch needs is still in the old one
@@ -205,7 +210,6 @@ def round_trips(docs: DataFrame, path: str | None = None) -> DataFrame:
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
                     text_sha.append(hashlib.sha256(e.decode_words(words)).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        e.forget()
         give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actispark.llm.bpe import batches_of, encoder, tokenizer_path
-from actispark.llm.common import documents, give_back, materialise
+from actispark.llm.common import documents, forget, give_back, materialise
 
 END = 1
 
@@ -91,7 +91,6 @@ def pieces_of(docs: DataFrame, most: int, path: str | None = None) -> DataFrame:
                         crc.append(zlib.crc32(part))
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "row_id", "piece", "start", "length", "ids_crc32"])
-        e.forget()
         give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), "text")
@@ -130,7 +129,11 @@ def pack(pieces: DataFrame, count: int, capacity: tuple[int, int, int], group: i
 def pack_documents(docs: DataFrame, tokens: int = 4096, most_documents: int = 4096, most_attention: int = 4096**2, path: str | None = None, **how) -> DataFrame:
     """One row per piece of docs(doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = materialise(pieces_of(docs, tokens, path), "pieces")
-    return pack(pieces, pieces.count(), (tokens, most_documents, most_attention), **how).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    count, group = pieces.count(), how.pop("group", 8192)
+    packed = pack(pieces, count, (tokens, most_documents, most_attention), group, **how)
+    if count > group:  # what pack gives reads its own table then
+        forget(pieces)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op5_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
