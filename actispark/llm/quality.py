@@ -9,7 +9,7 @@ The limit is one law for hosts of all sizes: a line is boilerplate in more than
 host's n documents. It grows by a constant with each doubling, as the greatest count of chance repeats does, so a host of
 ten documents reaches it and a host of millions doesn't dilute it.
 
-Documents are scanned once into a table of counts and line hashes; keep_good looks up rejected and cut texts by a key.
+Documents are scanned once into a table of counts and line hashes.
 A common line of a large host is one key for a third of all rows: its documents are made distinct by (host, line, text)
 first, then counted by partial sums. The lines above limits are broadcast if their counted number is small, else joined by
 a shuffle that Spark splits where it is skewed.
@@ -26,11 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from actispark.llm.common import broadcast_if_small, documents, fresh, give_back, materialise, text_key
+from actispark.llm.common import broadcast_if_small, documents, forget, fresh, give_back, materialise, text_key
 
 #: Fixed values.
 SPACE = " \t\n\x0b\x0c\r"
@@ -109,12 +110,19 @@ def frequent_lines(scanned: DataFrame, base: float, per_doubling: float) -> Data
     return of_line.where(F.col("texts") > F.col("limit")).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
 
 
-def _judged(docs: DataFrame, base: float = 1.0, per_doubling: float = 1.0, keep_share: float = 0.3, keep_words: int = 10) -> DataFrame:
-    """judge's rows, and as cut the hashes of the frequent lines in the text (null: none)."""
+LIMITS = {"base": 1.0, "per_doubling": 1.0, "keep_share": 0.3, "keep_words": 10}
+
+
+def _scanned(docs: DataFrame, limits: dict) -> tuple[DataFrame, DataFrame]:
+    """The numbers and line hashes of every row, and the lines above their host's limit."""
     text = F.coalesce(F.col("text"), F.lit(""))
     inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), *text_key(), F.monotonically_increasing_id().alias("row_id"), text.alias("text"))
     scanned = materialise(inner.mapInArrow(_scan, _SCHEMA), "quality")
-    frequent = materialise(frequent_lines(scanned, base, per_doubling), "frequent-lines")
+    return scanned, materialise(frequent_lines(scanned, limits["base"], limits["per_doubling"]), "frequent-lines")
+
+
+def _judged(scanned: DataFrame, frequent: DataFrame, limits: dict) -> DataFrame:
+    """judge's rows, and as cut the hashes of the frequent lines in the text (null: none)."""
     lines = scanned.select("row_id", "host", F.inline("lines"))
     hit = lines.join(broadcast_if_small(frequent, frequent.count()), (F.col("line") == F.col("f_line")) & F.col("host").eqNullSafe(F.col("f_host")))
     removed = hit.groupBy("row_id").agg(F.sum("words").alias("n_removed_words"), F.collect_list("line").alias("cut"))
@@ -124,7 +132,7 @@ def _judged(docs: DataFrame, base: float = 1.0, per_doubling: float = 1.0, keep_
         scanned.drop("lines").join(removed, "row_id", "left").drop("row_id")
         .withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (rest >= keep_words) & (rest >= keep_share * F.col("n_words")))
+        .withColumn("kept", ~failed & (rest >= limits["keep_words"]) & (rest >= limits["keep_share"] * F.col("n_words")))
     )
 
 
@@ -132,7 +140,8 @@ def judge(docs: DataFrame, **limits) -> DataFrame:
     """One row per row of docs(doc_id, text, source): its numbers, base_failed, n_removed_words, kept, and the keys host,
     text_hash and text_crc. Depleted, and so rejected, is what has fewer than keep_words words, or less than keep_share of
     its words, outside of frequent lines."""
-    return _judged(docs, **limits).drop("cut")
+    limits = LIMITS | limits
+    return _judged(*_scanned(docs, limits), limits).drop("cut")
 
 
 def without_lines(text: str, cut: set[int]) -> str:
@@ -146,23 +155,56 @@ def _without_lines(text: pa.Array, cut: pa.Array) -> pa.Array:
     return pa.array([None if c is None else without_lines(t.as_py(), set(c)) for t, c in zip(text, cut.to_pylist(), strict=True)], pa.string())
 
 
-def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that judge keeps, without the frequent lines in text, and n_chars renewed where it exists. Verdict
-    and lines depend on host and text only, so rejected and cut texts are told by these."""
+def _verdicts(of_host: Broadcast, limits: dict):
+    """A column function of (text, host): whether the document stays, and its text if lines are cut from it. of_host holds
+    the frequent lines of each host."""
+
+    @F.arrow_udf(StructType([StructField("kept", BooleanType()), StructField("text", StringType())]))
+    def verdict(texts: pa.Array, hosts: pa.Array) -> pa.Array:
+        kept, new = [], []
+        for t, host in zip(texts, hosts.to_pylist(), strict=True):
+            text = t.as_py() or ""
+            (n_words, _, _, _, n_repeat), lines = measures(text)
+            cut = lines.keys() & of_host.value.get(host, set())
+            rest = n_words - sum(lines[h] for h in cut)
+            stays = n_words >= 10 and 100 * n_repeat <= 20 * n_words and rest >= limits["keep_words"] and rest >= limits["keep_share"] * n_words
+            kept.append(stays)
+            new.append(without_lines(text, cut) if stays and cut else None)
+        return pa.StructArray.from_arrays([pa.array(kept, pa.bool_()), pa.array(new, pa.string())], ["kept", "text"])
+
+    return verdict.asNondeterministic()  # or it would run once for the filter and once for the text
+
+
+def keep_good(docs: DataFrame, small: int = 200_000, **limits) -> DataFrame:
+    """The rows of docs that judge keeps, without the frequent lines in text, and n_chars renewed where it exists. If the
+    frequent lines are at most small (16 bytes each), they go to all tasks and each text is judged where it is read, so no
+    text is shuffled; else rejected and cut texts are looked up by host and text, on which verdict and lines depend."""
+    limits = LIMITS | limits
+    scanned, frequent = _scanned(docs, limits)
     host, hash_, crc, kept, cut, new = fresh(docs, "host", "text_hash", "text_crc", "kept", "cut", "new")
-    judged = _judged(docs, **limits).where(~F.col("kept") | F.col("cut").isNotNull())
-    changed = judged.groupBy("host", "text_hash", "text_crc").agg(F.first("kept").alias("kept"), F.first(F.when(F.col("kept"), F.col("cut"))).alias("cut"))
-    changed = materialise(changed.toDF(host, hash_, crc, kept, cut), "rejected-and-cut")
-    h, c = text_key()
-    on = (h == F.col(hash_)) & (c == F.col(crc)) & F.col("source").cast("string").eqNullSafe(F.col(host))
-    held = changed.agg(F.count("*") + F.coalesce(F.sum(F.size(F.coalesce(cut, F.array()))), F.lit(0))).first()[0]  # rows and what their lists hold
-    joined = docs.join(broadcast_if_small(changed, held, 100_000), on, "left").where(F.coalesce(kept, F.lit(True)))
-    whole = F.col(cut).isNull()
-    # Texts that stay whole don't go to Python.
-    joined = joined.withColumn(new, _without_lines(F.when(~whole, F.col("text")), F.col(cut)))
-    out = {"text": F.when(whole, F.col("text")).otherwise(F.col(new))}
+    if frequent.count() <= small:
+        of_host: dict[str | None, set[int]] = {}
+        for r in frequent.toLocalIterator():
+            of_host.setdefault(r["f_host"], set()).add(r["f_line"])
+        forget(scanned, frequent)
+        verdict = _verdicts(docs.sparkSession.sparkContext.broadcast(of_host), limits)
+        joined = docs.withColumn(new, verdict(F.col("text"), F.col("source").cast("string"))).where(F.col(f"{new}.kept"))
+        whole, text = F.col(f"{new}.text").isNull(), F.col(f"{new}.text")
+    else:
+        judged = _judged(scanned, frequent, limits).where(~F.col("kept") | F.col("cut").isNotNull())
+        changed = judged.groupBy("host", "text_hash", "text_crc").agg(F.first("kept").alias("kept"), F.first(F.when(F.col("kept"), F.col("cut"))).alias("cut"))
+        changed = materialise(changed.toDF(host, hash_, crc, kept, cut), "rejected-and-cut")
+        forget(scanned, frequent)
+        h, c = text_key()
+        on = (h == F.col(hash_)) & (c == F.col(crc)) & F.col("source").cast("string").eqNullSafe(F.col(host))
+        held = changed.agg(F.count("*") + F.coalesce(F.sum(F.size(F.coalesce(cut, F.array()))), F.lit(0))).first()[0]  # rows and what their lists hold
+        joined = docs.join(broadcast_if_small(changed, held, 100_000), on, "left").where(F.coalesce(kept, F.lit(True)))
+        whole = F.col(cut).isNull()
+        # Texts that stay whole don't go to Python.
+        joined, text = joined.withColumn(new, _without_lines(F.when(~whole, F.col("text")), F.col(cut))), F.col(new)
+    out = {"text": F.when(whole, F.col("text")).otherwise(text)}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.char_length(new).cast(docs.schema["n_chars"].dataType))
+        out["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return joined.select(*[out.get(x, F.col(f"`{x}`")).alias(x) for x in docs.columns])
 
 

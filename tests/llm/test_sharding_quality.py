@@ -119,6 +119,7 @@ def test_frequent_lines_deplete(spark):
 
 def test_stage_keeps_what_judge_keeps(documents):
     kept = {r["doc_id"] for r in quality.judge(documents).collect() if r["kept"]}
+    assert {r["doc_id"] for r in quality.keep_good(documents, small=-1).collect()} == kept
     out = quality.keep_good(documents)
     assert out.columns == documents.columns and {r["doc_id"] for r in out.collect()} == kept
 
@@ -126,6 +127,7 @@ def test_stage_keeps_what_judge_keeps(documents):
 def test_odd_quality(odd_documents, no_documents):
     assert sum(r["kept"] for r in quality.judge(odd_documents).collect()) == 2  # the two texts of thirteen words
     assert quality.judge(no_documents).count() == 0 == quality.keep_good(no_documents).count()
+    assert [sorted(map(str, quality.keep_good(odd_documents, small=n).collect())) for n in (-1, 100)][0] == sorted(map(str, quality.keep_good(odd_documents).collect()))
 
 
 def own(i, n=12):
@@ -143,6 +145,7 @@ def test_frequent_lines_are_cut(spark):
     docs = spark.createDataFrame([(d, t, s, len(t), f"x{d}") for d, t, s in rows], schema)
     out = quality.keep_good(docs)
     assert out.schema == docs.schema
+    assert sorted(map(str, out.collect())) == sorted(map(str, quality.keep_good(docs, small=0).collect()))  # the way for many lines
     got = {r["doc_id"]: r for r in out.collect()}
     assert set(got) == {d for d, _, _ in rows}
     want = {d: t for d, t, _ in rows}
