@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from actispark.llm import ann, bpe, conversations, langid, neardup, packing, pii, quality, runs, secrets, sharding, toxicity
+from actispark.llm import ann, bpe, conversations, langid, neardup, packing, pii, quality, repeats, runs, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_weak_supervision_pii": pii.op1_weak_supervision_pii,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_bpe_rounds": bpe.op10_bpe_rounds,
     "op11_streamed_repair": conversations.op11_streamed_repair,
     "op12_seed_extend_runs": runs.op12_seed_extend_runs,
+    "op13_run_length_index": repeats.op13_run_length_index,
 }
 ORACLE_SQL: dict[str, str] = {"op3_line_frequency": quality.SQL, "op6_block_matrix_join": ann.SQL, "op9_secret_scans": secrets.SQL}
