@@ -143,13 +143,21 @@ def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def bit_filter(keys: DataFrame, key: Column) -> Broadcast:
-    """Two bits a key of 2^FILTER_BITS: 8 MB, however many keys there are."""
+    """Two bits a key of 2^FILTER_BITS: 8 MB, however many keys there are. Words of 64 bits are put together by aggregation,
+    and 2^16 of them to one value each, so the driver gets few rows."""
     p = F.explode(F.array(*(F.shiftright(key, s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for s in (0, FILTER_BITS))))
     words = keys.select(p.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    bits[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return keys.sparkSession.sparkContext.broadcast(bits)
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).withColumn("block", F.shiftright("word", 16))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(1 << 16, np.int64)
+        out[part["word"].to_numpy() & 0xFFFF] = part["bits"].to_numpy()
+        return pd.DataFrame({"block": part["block"].iloc[:1], "bits": [out.tobytes()]})
+
+    bits = np.zeros((1 << FILTER_BITS - 22, 1 << 16), np.int64)
+    for r in words.groupBy("block").applyInPandas(pack, "block long, bits binary").collect():
+        bits[r["block"]] = np.frombuffer(r["bits"], np.int64)
+    return keys.sparkSession.sparkContext.broadcast(bits.ravel())
 
 
 def _scan(docs: DataFrame, columns: dict[str, str], allowed: Broadcast | None = None, by_name: bool = False) -> DataFrame:
