@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,13 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Has the driver's garbage collected, so that Spark's cleaner deletes the shuffle files of jobs that are over. Between
+    steps that each write a table, disk then holds one step's shuffles instead of all."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint where its counted rows are within limit; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= limit else df

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actispark.llm.common import documents, forget, give_back, materialise
+from actispark.llm.common import documents, drop_shuffles, forget, give_back, materialise
 
 LENGTH = 50  # bytes of a string
 ANCHOR = 16  # bytes of an anchor; 32 of the second hash's parts
@@ -160,8 +161,8 @@ def bit_filter(keys: DataFrame, key: Column) -> Broadcast:
     return keys.sparkSession.sparkContext.broadcast(bits.ravel())
 
 
-def _scan(docs: DataFrame, columns: dict[str, str], allowed: Broadcast | None = None, by_name: bool = False) -> DataFrame:
-    """columns of the pieces of docs(doc_id, text) whose anchor passes allowed, or whose name does, read with doc_id."""
+def _scan(docs: DataFrame, columns: dict[str, str], allowed: Broadcast | None = None, key: str = "anchor") -> DataFrame:
+    """columns of the pieces of docs(doc_id, text) that pass allowed by key: anchor, name, or name and doc_id together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -169,7 +170,7 @@ def _scan(docs: DataFrame, columns: dict[str, str], allowed: Broadcast | None =
                 p = Pieces(b, edges)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 if allowed is not None:
-                    p.keep(passes(allowed.value, p.name ^ ids[p.doc] if by_name else p.anchor))
+                    p.keep(passes(allowed.value, {"anchor": p.anchor, "name": p.name, "both": p.name ^ ids[p.doc]}[key]))
                 made = {
                     "anchor": lambda p=p: p.anchor, "name": lambda p=p: p.name, "doc_id": lambda p=p, ids=ids: ids[p.doc], "place": lambda p=p, edges=edges: (p.place - edges[p.doc]).astype(np.int32),
                     "strings": lambda p=p: p.strings.astype(np.int32), "piece": lambda p=p: p.texts(), "text_crc": lambda p=p, batch=batch: batch.column(2).to_numpy(zero_copy_only=False)[p.doc],
@@ -310,41 +311,59 @@ def _compare(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
     return seeker[["anchor", "name"]].assign(mask=mask)[mask != 0]
 
 
-def _split_strings(docs: DataFrame, hot: DataFrame) -> DataFrame:
+def _split_strings(have: DataFrame, hot: DataFrame) -> DataFrame:
     """anchor, name, mask as _compare gives them, for anchors with more pieces than a bucket takes: string by string."""
-    have = _scan(docs, {"anchor": "long", "name": "long", "doc_id": "long", "piece": "binary"}, bit_filter(hot, F.col("name").bitwiseXOR(F.col("first"))), by_name=True)
     pieces = have.withColumnRenamed("doc_id", "first").join(hot.select("anchor", "name", "first"), ["anchor", "name", "first"])
     at = F.explode(F.sequence(F.lit(0), F.octet_length("piece") - LENGTH))
     each = pieces.select("anchor", "name", "first", "piece", at.alias("at")).withColumn("string", F.expr(f"substring(piece, at + 1, {LENGTH})")).drop("piece")
-    each = materialise(each, "repeats-strings")
     least_first = each.groupBy("anchor", "string").agg(F.min("first").alias("earliest"))
     late = each.join(least_first, ["anchor", "string"]).where("earliest < first")
     return late.groupBy("anchor", "name").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
 
 
-def earlier_marks(docs: DataFrame, pieces: int = PIECES, split: int = HOT) -> DataFrame:
-    """doc_id, text_crc, marks of the texts in docs(doc_id, text) that hold strings of earlier documents; marks: an array of
-    (place, strings, mask) for pieces, mask WHOLE or a bit for each string that goes. pieces: of a bucket, about; split: pieces of
-    an anchor beyond which its strings are counted one by one."""
+def _masks(docs: DataFrame, unsure: DataFrame, pieces: int, split: int) -> list[DataFrame]:
+    """anchor, name, mask of unsure pieces of which some strings stand earlier, in a table for each way, and what they read."""
+    have = materialise(_scan(docs, {"anchor": "long", "name": "long", "doc_id": "long", "piece": "binary"}, bit_filter(unsure, F.col("name").bitwiseXOR(F.col("first"))), "both"), "repeats-pieces")
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(max(1, unsure.count() // pieces))).alias("bucket")
+    usual, hot = unsure.where(F.col("n") <= split), unsure.where(F.col("n") > split)
+    want = usual.select(bucket, "anchor", "name", "first", "lowest", "highest")
+    masks = [materialise(have.select(bucket, "*").groupBy("bucket").cogroup(want.groupBy("bucket")).applyInPandas(_compare, "anchor long, name long, mask long"), "repeats-masks")]
+    if not hot.isEmpty():
+        masks.append(materialise(_split_strings(have, hot), "repeats-masks"))
+    forget(have)
+    return masks
+
+
+def _late(docs: DataFrame, pieces: int, split: int) -> DataFrame:
+    """anchor, name, first, mask of the pieces that go from some document: from all but the first as a whole, from the first
+    by its mask."""
+    spark = docs.sparkSession
     count = _scan(docs, {"anchor": "long", "doc_id": "long"}).groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = materialise(count.where("low < high").select("anchor"), "repeats-anchors")
-    kinds = {"anchor": "long", "name": "long", "doc_id": "long", "text_crc": "long", "place": "int", "strings": "int"}
-    hits = materialise(_scan(docs, kinds, bit_filter(shared, F.col("anchor"))), "repeats-hits")
+    del count
+    drop_shuffles(spark)
+    named = _scan(docs, {"anchor": "long", "name": "long", "doc_id": "long"}, bit_filter(shared, F.col("anchor"))).groupBy("anchor", "name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    named = materialise(named, "repeats-names")
     forget(shared)
-    named = materialise(hits.groupBy("anchor", "name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "repeats-names")
+    drop_shuffles(spark)
     several = named.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("lowest"), F.max("first").alias("highest")).where("n > 1 and lowest < highest")
     unsure = materialise(named.join(several, "anchor").drop("last"), "repeats-unsure")
-    n = unsure.count()
-    masks = docs.sparkSession.createDataFrame([], "anchor long, name long, mask long")
-    if n:
-        usual, hot = unsure.where(F.col("n") <= split), unsure.where(F.col("n") > split)
-        bucket = F.pmod(F.xxhash64("anchor"), F.lit(max(1, n // pieces))).alias("bucket")
-        have = _scan(docs, {"anchor": "long", "name": "long", "doc_id": "long", "piece": "binary"}, bit_filter(usual, F.col("name").bitwiseXOR(F.col("first"))), by_name=True)
-        want = usual.select(bucket, "anchor", "name", "first", "lowest", "highest")
-        masks = have.select(bucket, "*").groupBy("bucket").cogroup(want.groupBy("bucket")).applyInPandas(_compare, "anchor long, name long, mask long")
-        if not hot.isEmpty():
-            masks = masks.unionByName(_split_strings(docs, hot))
-    late = named.join(masks.groupBy("anchor", "name").agg(F.bit_or("mask").alias("mask")), ["anchor", "name"], "left").where("first < last or mask is not null").drop("last")
+    del several
+    masks = _masks(docs, unsure, pieces, split)
+    drop_shuffles(spark)
+    late = materialise(named.join(reduce(DataFrame.unionByName, masks), ["anchor", "name"], "left").where("first < last or mask is not null").drop("last"), "repeats-late")
+    forget(named, unsure, *masks)
+    drop_shuffles(spark)
+    return late
+
+
+def earlier_marks(docs: DataFrame, pieces: int = PIECES, split: int = HOT) -> DataFrame:
+    """doc_id, text_crc, marks of the texts in docs(doc_id, text) that hold strings of earlier documents; marks: an array of
+    (place, strings, mask) for pieces, mask WHOLE or a bit for each string that goes. pieces: of a bucket, about; split: pieces of
+    an anchor beyond which its strings are counted one by one."""
+    late = _late(docs, pieces, split)
+    kinds = {"anchor": "long", "name": "long", "doc_id": "long", "text_crc": "long", "place": "int", "strings": "int"}
+    hits = _scan(docs, kinds, bit_filter(late, F.col("name")), "name")
     marked = hits.join(late, ["anchor", "name"]).where("doc_id > first or mask is not null")
     mark = F.struct("place", "strings", F.when(F.col("doc_id") > F.col("first"), F.lit(WHOLE)).otherwise(F.col("mask")).cast("long").alias("mask"))
     return marked.groupBy("doc_id", "text_crc").agg(F.collect_list(mark).alias("marks"))
