@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actispark.functions.scalars import DIAGNOSES, safe_div
+from actispark.sources import store
 
 #: The diagnosis codes on the positive and the negative side of each comparison.
 SCENARIOS = (((3,), (0,)), ((3, 2), (0,)), ((2,), (0,)), ((3, 2, 1), (0,)), ((0,), (1,)))
@@ -46,6 +47,27 @@ def diagnosis_summary(subjects: DataFrame, sheet: DataFrame) -> DataFrame:
     return counts.crossJoin(per)  # one row each
 
 
+def with_diagnoses(subjects: DataFrame, updates: DataFrame) -> DataFrame:
+    """subjects with the new codes of updates, as diagnosis_updates gives them; columns stay as they are."""
+    new = updates.where(F.col("action") == "update").select(F.col("subject").alias("_s"), "new_code")
+    at = subjects.join(new, F.col("code") == F.col("_s"), "left")
+    kept = F.coalesce(F.col("new_code"), F.col("diagnosis_code")).cast(subjects.schema["diagnosis_code"].dataType).alias("diagnosis_code")
+    return at.select(*[kept if c == "diagnosis_code" else F.col(f"`{c}`") for c in subjects.columns])
+
+
+def import_diagnoses(path: str, sheet: DataFrame) -> DataFrame:
+    """Brings the subjects table in path (see store) up to sheet and returns diagnosis_summary's row of what was done. A new
+    version is written only if a code changes, so a second run changes nothing, and a run that failed is run again."""
+    spark = sheet.sparkSession
+    subjects = store.current(spark, path)
+    if subjects is None:
+        raise FileNotFoundError(path)
+    done = diagnosis_summary(subjects, sheet).collect()  # one row
+    if done[0]["updated"]:
+        store.put_version(with_diagnoses(subjects, diagnosis_updates(subjects, sheet)), path)
+    return spark.createDataFrame(done)
+
+
 def quantile(ordered: Column, q: float) -> Column:
     """The q quantile of a sorted array, between its neighbours by distance."""
     place = (F.size(ordered) - 1) * q
@@ -259,6 +281,15 @@ def _kendall(pairs: DataFrame, digits: int) -> DataFrame:
     return rows.mapInPandas(run, "feature string, n long, r double, p double")
 
 
+def _with_p(digits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # on a row a pair
+        for b in batches:
+            p = [None if pd.isna(r) else round(t_test_p(min(1.0, max(-1.0, r)), int(n)), digits) for r, n in zip(b["r"], b["n"], strict=True)]
+            yield b.assign(p=[None if v is None or math.isnan(v) else v for v in p], r=b["r"].round(digits))
+
+    return run
+
+
 def covariate_correlations(long: DataFrame, method: str = "pearson", digits: int = 4) -> DataFrame:
     """feature, n, r, p (rounded) of long(feature, value, covariate) over pairs without nulls, of three pairs or more. Ranks
     and crossed pairs come from counts of distinct pairs and bins of values, so no task holds a feature."""
@@ -275,9 +306,46 @@ def covariate_correlations(long: DataFrame, method: str = "pearson", digits: int
     sums = pairs.join(F.broadcast(means), "feature").groupBy("feature").agg(F.sum(c).alias("n"), F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"), F.sum(c * dy * dy).alias("yy"))
     r = safe_div("xy", F.sqrt(F.col("xx") * F.col("yy")))  # null for a constant
 
-    def p_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # on a row a feature
-        for b in batches:
-            p = [None if pd.isna(r) else round(t_test_p(min(1.0, max(-1.0, r)), int(n)), digits) for r, n in zip(b["r"], b["n"], strict=True)]
-            yield b.assign(p=[None if v is None or math.isnan(v) else v for v in p], r=b["r"].round(digits))
+    return sums.where(F.col("n") >= 3).select("feature", "n", r.alias("r")).mapInPandas(_with_p(digits), "feature string, n long, r double, p double")
+
 
-    return sums.where(F.col("n") >= 3).select("feature", "n", r.alias("r")).mapInPandas(p_values, "feature string, n long, r double, p double")
+def all_correlations(df: DataFrame, features: list[str], covariates: list[str], method: str = "pearson", digits: int = 4) -> DataFrame:
+    """covariate, feature, n, r, p of every feature with every covariate, over the rows where both are numbers. Pearson's sums
+    are products of matrices, a block of rows at a time, so the table is read once (and once for the columns' means, from
+    which the sums are taken) however many pairs there are; ranks go by pairs in one long table."""
+    names = {f"{i}:{j}": (c, f) for i, c in enumerate(covariates) for j, f in enumerate(features)}
+    number = lambda c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"))
+    if method == "pearson":
+        got = _pearson_blocks(df.select(*[number(c).alias(f"x{i}") for i, c in enumerate(covariates)], *[number(f).alias(f"y{j}") for j, f in enumerate(features)]), len(covariates), len(features), digits)
+    else:
+        pair = lambda i, j: F.struct(F.lit(f"{i}:{j}").alias("feature"), number(features[j]).alias("value"), number(covariates[i]).alias("covariate"))
+        got = covariate_correlations(df.select(F.inline(F.array(*[pair(i, j) for i in range(len(covariates)) for j in range(len(features))]))), method, digits)
+    label = df.sparkSession.createDataFrame([(k, c, f) for k, (c, f) in names.items()], "_k string, covariate string, _f string")
+    return got.join(F.broadcast(label), F.col("feature") == F.col("_k")).select("covariate", F.col("_f").alias("feature"), "n", "r", "p")  # a row a pair
+
+
+def _pearson_blocks(table: DataFrame, n_x: int, n_y: int, digits: int) -> DataFrame:
+    """feature (numbers i:j), n, r, p of columns x0 ... and y0 ..."""
+    means = np.array([v or 0.0 for v in table.agg(*[F.avg(c) for c in table.columns]).first()])
+    kinds = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, n_x, n_y))
+        for b in batches:
+            for a in range(0, len(b), 4096):
+                v = b.iloc[a : a + 4096].to_numpy(float) - means
+                known = np.isfinite(v)
+                v, known = np.where(known, v, 0.0), known.astype(float)
+                (x, y), (mx, my) = (np.split(m, [n_x], axis=1) for m in (v, known))
+                total += np.stack([mx.T @ my, x.T @ my, mx.T @ y, (x * x).T @ my, mx.T @ (y * y), x.T @ y])
+        i, j = np.divmod(np.arange(n_x * n_y), n_y)
+        yield pd.DataFrame({"feature": [f"{a}:{b}" for a, b in zip(i, j, strict=True)]} | {k: total[m].ravel() for m, k in enumerate(kinds)})
+
+    sums = table.mapInPandas(block, "feature string, " + ", ".join(f"{k} double" for k in kinds)).groupBy("feature").agg(*[F.sum(k).alias(k) for k in kinds])
+    n = F.col("n")
+    left = lambda a, b, both: F.greatest(F.col(both) - F.col(a) * F.col(b) / n, F.lit(0.0))
+    xx, yy = left("sx", "sx", "sxx"), left("sy", "sy", "syy")
+    # what rounding leaves of a constant isn't a spread
+    flat = (xx <= 1e-12 * F.col("sxx")) | (yy <= 1e-12 * F.col("syy"))
+    r = F.when(~flat, safe_div(F.col("sxy") - F.col("sx") * F.col("sy") / n, F.sqrt(xx * yy)))
+    return sums.where(n >= 3).select("feature", n.cast("long").alias("n"), r.alias("r")).mapInPandas(_with_p(digits), "feature string, n long, r double, p double")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from actispark.functions.scalars import REST_QUALITY, SLEEP_QUALITY, seconds_of, with_sleep_ratios
+from actispark.operators import clinical
 from actispark.operators.nights import diary_metrics, diary_timeline, with_norms
 
 METRICS = ("tib", "sol", "sol_norm", "waso", "waso_norm", "wasf", "tst", "wb", "awk5plus", "awk5plus_norm", "se", "se_norm", "sf")
@@ -170,3 +171,34 @@ def subject_matrix(df: DataFrame, features: list[str], identity: list[str], days
     wide = numbered.groupBy(subject).pivot("day_no", list(range(1, days + 1))).agg(F.struct(*[F.first(f).alias(f) for f in features]).alias("v"))
     wide = wide.select(subject, *[F.col(f"`{i}`")[f].alias(f"day{i}.{f}") for i in range(1, days + 1) for f in features])
     return first.join(wide, subject)
+
+
+def subject_days(df: DataFrame, features: list[str], identity: list[str], subject: str = "subject", date: str = "date", row: str = "row") -> DataFrame:
+    """A row per subject and feature: identity of the subject's first row, days (the feature's values in the order of
+    number_days, nulls with them), and sd, mad, range, iqr, cv over them. However many days a subject has, the table has the
+    same columns; widen_days makes a sheet of it."""
+    missing = {subject, date, *features, *identity} - set(df.columns)
+    if missing:
+        raise ValueError(f"missing columns: {sorted(missing)}")
+    numbered = number_days(df, subject, date, row).select(F.col(subject).alias("subject"), "day_no", *[F.col(f"`{c}`") for c in identity], *[F.col(f"`{f}`").cast("double").alias(f) for f in features if f not in identity])
+    long = numbered.unpivot(["subject", "day_no"], features, "feature", "value")
+    days = long.groupBy("subject", "feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("day_no", "value"))), lambda d: d["value"]).alias("days"))
+    stats = clinical.day_statistics(long)
+    first = numbered.where(F.col("day_no") == 1).select("subject", *[F.col(f"`{c}`") for c in identity])
+    return first.join(days, "subject").join(stats, ["subject", "feature"])
+
+
+def melted_days(table: DataFrame, identity: list[str]) -> DataFrame:
+    """subject, identity, feature, day, value of subject_days."""
+    return table.select("subject", *[F.col(f"`{c}`") for c in identity], "feature", F.posexplode("days").alias("day", "value")).withColumn("day", F.col("day") + 1)
+
+
+def widen_days(table: DataFrame, features: list[str], identity: list[str], days: int) -> DataFrame:
+    """The sheet of subject_days for a file: identity, dayN.feature for days days, then SD., MAD., Range., IQR. and CV. of each
+    feature. Raises where a subject has more days."""
+    most = table.agg(F.max(F.size("days"))).first()[0] or 0
+    if most > days:
+        raise ValueError(f"a subject has {most} days, more than {days}")
+    names = {"SD": "sd", "MAD": "mad", "Range": "range", "IQR": "iqr", "CV": "cv"}
+    wide = table.groupBy("subject", *identity).pivot("feature", features).agg(F.first(F.struct("days", *names.values())))
+    return wide.select("subject", *[F.col(f"`{c}`") for c in identity], *[F.get(F.col(f"`{f}`")["days"], F.lit(i)).alias(f"day{i + 1}.{f}") for i in range(days) for f in features], *[F.col(f"`{f}`")[k].alias(f"{n}.{f}") for f in sorted(features) for n, k in names.items()])

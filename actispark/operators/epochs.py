@@ -7,11 +7,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from actispark.functions.scalars import magnitude, z_angle
 
@@ -53,6 +54,67 @@ def assign_epochs(df: DataFrame, seconds: int, anchor: list[str], label_offset:
     return df.join(starts, anchor).withColumn("epoch", F.timestamp_micros((_micros("_start") + step).cast("long")).cast("timestamp_ntz")).drop("_start")
 
 
+def reanchored_epochs(df: DataFrame, seconds: int, key: str = "recording_id", label_offset: float = 0.0, order: tuple[str, ...] = ORDER, chunk_hours: float = 1.0) -> DataFrame:
+    """df with epoch: the start (plus label_offset) of its epoch, where an epoch ends with the first row that is seconds or
+    more after its start and the row after that starts the next, whatever lies between.
+
+    A recording is cut into chunks of time. What a chunk needs from those before it is the time that the running epoch waits
+    for, so a chunk is a function from that time to its own last one; it depends on the chunk's first row at or after that
+    time only, and is tabulated for the rows of its first seconds by doubling the links from each row to the next start. A
+    row a chunk is then followed through each recording, and each chunk marks its epochs. No task holds a recording."""
+    size = seconds * 1_000_000
+    spare = {c.lower() for c in df.columns}
+    if {"epoch", "_at", "_chunk", "_waits"} & spare:
+        raise ValueError("columns epoch, _at, _chunk and _waits are made here")
+    at = df.where(F.col("ts").isNotNull()).withColumn("_at", _micros("ts")).withColumn("_chunk", F.floor(F.col("_at") / round(chunk_hours * 3_600_000_000)))
+    kind, by = df.schema[key].dataType.simpleString(), list(order)
+
+    none = np.iinfo(np.int64).min  # waits for nothing: the next row starts an epoch
+
+    def table_of(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(rows["_at"].to_numpy())
+        n = len(t)
+        ends = np.searchsorted(t, t + size, side="left")  # the row that ends the epoch that starts here
+        last = np.where(ends + 1 < n, ends + 1, np.arange(n))  # the next start, and by doubling the last one
+        while (last[last] != last).any():
+            last = last[last]
+        after = np.where(ends[last] == n, t[last] + size, none)
+        most = int(np.searchsorted(t, t[0] + size, side="left")) + 2  # rows an epoch from before can hand over to
+        return pd.DataFrame({key: [group[0]], "_chunk": [group[1]], "times": [t[:most].tolist()], "after": [after[:most].tolist()], "final": [int(t[-1])]})
+
+    def follow(group: tuple, chunks: pd.DataFrame) -> pd.DataFrame:
+        waits, out = none, []
+        for c in chunks.sort_values("_chunk").itertuples(index=False):
+            out.append((c[1], waits))
+            times, after, final = np.asarray(c[2]), np.asarray(c[3]), c[4]
+            if waits == none:
+                waits = int(after[0])
+            elif waits <= final:
+                j = int(np.searchsorted(times, waits, side="left"))  # the row that ends the running epoch
+                waits = int(after[j + 1]) if j + 1 < len(times) else none
+        return pd.DataFrame(out, columns=["_chunk", "_waits"]).assign(**{key: [group[0]] * len(out)})[[key, "_chunk", "_waits"]]
+
+    tables = at.select(key, "_chunk", "_at").groupBy(key, "_chunk").applyInPandas(table_of, f"`{key}` {kind}, _chunk long, times array<long>, after array<long>, final long")
+    waits = tables.groupBy(key).applyInPandas(follow, f"`{key}` {kind}, _chunk long, _waits long")
+    fields = StructType([*at.schema.fields, StructField("epoch", LongType())])
+
+    def mark(group: tuple, rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(by, ignore_index=True, kind="stable")
+        t, wait = rows["_at"].to_numpy(), int(entry["_waits"].iloc[0])
+        starts, i = np.empty(len(t), np.int64), 0
+        if wait != none:
+            i = min(int(np.searchsorted(t, wait, side="left")) + 1, len(t))
+            starts[:i] = wait - size
+        while i < len(t):
+            j = min(int(np.searchsorted(t, t[i] + size, side="left")) + 1, len(t))
+            starts[i:j] = t[i]
+            i = j
+        return rows.assign(epoch=starts)
+
+    marked = at.groupBy(key, "_chunk").cogroup(waits.groupBy(key, "_chunk")).applyInPandas(mark, fields)
+    return marked.withColumn("epoch", F.timestamp_micros(F.col("epoch") + round(label_offset * 1e6)).cast("timestamp_ntz")).drop("_at", "_chunk")
+
+
 def decimate(df: DataFrame, keys: list[str], factor: int | Column, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Rows 0, factor, 2 factor ... of each group."""
     w = Window.partitionBy(*keys).orderBy(*order)

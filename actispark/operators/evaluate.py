@@ -108,8 +108,15 @@ def score_report(df: DataFrame, threshold: float = 0.5, file: str = "file", labe
 def tune_threshold(df: DataFrame, keys: list[str], label: str = "y_true", score: str = "y_prob", steps: int = 10_000) -> DataFrame:
     """keys, threshold, mcc: of 0, 1/steps ... the first threshold with the greatest Matthews correlation. A score counts
     at the thresholds it reaches, so rows are counted by the last of these, and sums run over at most steps rows a key."""
+    return _best_threshold(_threshold_counts(df, keys, label, score, steps), keys, steps)
+
+
+def _threshold_counts(df: DataFrame, keys: list[str], label: str, score: str, steps: int) -> DataFrame:
     last = F.least(F.greatest(F.floor(F.col(score) * steps + 1e-9), F.lit(-1)), F.lit(steps - 1)).cast("int")
-    counts = df.groupBy(*keys, last.alias("last")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+    return df.groupBy(*keys, last.alias("last")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+
+
+def _best_threshold(counts: DataFrame, keys: list[str], steps: int) -> DataFrame:
     w = Window.partitionBy(*keys)
     up = w.orderBy(F.col("last").desc()).rowsBetween(Window.unboundedPreceding, 0)
     at = counts.withColumns({"tp": F.sum("pos").over(up), "fp": F.sum("neg").over(up), "p": F.sum("pos").over(w), "n": F.sum("neg").over(w)})
@@ -124,13 +131,27 @@ def tune_threshold(df: DataFrame, keys: list[str], label: str = "y_true", score:
     return best.select(*keys, (F.col("b.first") / F.lit(float(steps))).alias("threshold"), F.col("b.mcc").alias("mcc"))
 
 
-def fold_thresholds(df: DataFrame, folds: int, fold: str = "fold", label: str = "y_true", score: str = "y_prob") -> DataFrame:
-    """fold, threshold, tuned on the rows of the other folds, with mean and median over the folds."""
-    others = df.withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where(F.col("_out") != F.col(fold))
-    tuned = tune_threshold(others, ["_out"], label, score).select(F.col("_out").alias(fold), "threshold")
+def fold_thresholds(df: DataFrame, folds: int, fold: str = "fold", label: str = "y_true", score: str = "y_prob", steps: int = 10_000) -> DataFrame:
+    """fold, threshold, tuned on the rows of the other folds, with mean and median over the folds. Rows are counted once by
+    fold and the last threshold they reach; what the others hold is all counts less the fold's own."""
+    counts = _threshold_counts(df, [fold], label, score, steps)
+    every = counts.groupBy("last").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    each = every.withColumn("_out", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))  # at most steps rows a fold
+    own = counts.select(F.col(fold).alias("_out"), "last", "pos", "neg")
+    less = lambda a, b: (F.col(a) - F.coalesce(F.col(b), F.lit(0))).alias(b)
+    others = each.join(own, ["_out", "last"], "left").select("_out", "last", less("_p", "pos"), less("_n", "neg")).where("pos + neg > 0")
+    tuned = _best_threshold(others, ["_out"], steps).select(F.col("_out").alias(fold), "threshold")
     return tuned.crossJoin(tuned.agg(F.avg("threshold").alias("mean_threshold"), F.percentile("threshold", F.lit(0.5)).alias("median_threshold")))  # one row
 
 
+def nested_thresholds(inner: DataFrame, outer: DataFrame, keys: list[str], label: str = "y_true", score: str = "y_prob") -> DataFrame:
+    """outer with threshold and y_pred: each key's threshold is tuned on its rows of inner (scores out of the inner folds,
+    which hold no row of the key's own test) and 0.5 where it has none there."""
+    tuned = tune_threshold(inner, keys, label, score).select(*keys, "threshold")  # a row a fold
+    at = outer.join(F.broadcast(tuned), keys, "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    return at.withColumn("y_pred", (F.col(score) >= F.col("threshold")).cast("int"))
+
+
 def binary_metrics(df: DataFrame, keys: list[str], label: str = "y_true", predicted: str = "y_pred", digits: int = 4) -> DataFrame:
     """keys, tp, fp, tn, fn, BACC, MCC, SEN, SPE, PRE, F1 and ACC."""
     at = df.groupBy(*keys).agg(*[c.alias(k) for k, c in _confusion(label, F.col(predicted) == 1).items()])

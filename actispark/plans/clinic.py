@@ -148,6 +148,22 @@ def kendall(spark, sf_dir):
     return C.covariate_correlations(clinical_long(spark, sf_dir).withColumn("covariate", F.col("age")), "kendall").select("feature", "n", "r")
 
 
+_PAIRED = " UNION ALL ".join(f"SELECT '{c}' covariate, feature, \"row\", value AS v, {c} x FROM long" for c in ("gender", "age"))
+
+
+@query("a24_pearson_all", f"""WITH {CLINICAL}, w AS ({_PAIRED}), c AS (SELECT covariate, feature, CASE WHEN feature <> 'l_tax' OR "row" % 5 <> 0 THEN v END v, x FROM w) SELECT covariate, feature, count(v) n, round(corr(v, x), 4) r FROM c GROUP BY ALL""")
+def pearson_all(spark, sf_dir):
+    """Every feature with both covariates, where every fifth tax is missing."""
+    at = clinical(spark, sf_dir).withColumn("l_tax", F.when(F.col("row") % 5 != 0, F.col("l_tax")))
+    return C.all_correlations(at, list(FEATURES), ["gender", "age"]).drop("p")
+
+
+@query("a25_spearman_all", f"""WITH {CLINICAL}, w AS ({_PAIRED}),
+r AS (SELECT covariate, feature, rank() OVER (PARTITION BY covariate, feature ORDER BY v) + (count(*) OVER (PARTITION BY covariate, feature, v) - 1) / 2 a, rank() OVER (PARTITION BY covariate, feature ORDER BY x) + (count(*) OVER (PARTITION BY covariate, feature, x) - 1) / 2 b FROM w) SELECT covariate, feature, count(*) n, round(corr(a, b), 4) r FROM r GROUP BY ALL""")
+def spearman_all(spark, sf_dir):
+    return C.all_correlations(clinical(spark, sf_dir), list(FEATURES), ["gender", "age"], "spearman").drop("p")
+
+
 @query("w16_number_days", f'WITH {CLINICAL} SELECT "row", subject, CAST(row_number() OVER (PARTITION BY subject ORDER BY date, "row") AS INT) day_no FROM clinical')
 def number_days(spark, sf_dir):
     return D.number_days(clinical(spark, sf_dir)).select("row", "subject", "day_no")
@@ -156,10 +172,23 @@ def number_days(spark, sf_dir):
 _NIGHTLY = ("tib", "sol", "waso", "wasf")
 
 
-@query("r4_subject_matrix", f"""SELECT * FROM (PIVOT (WITH {NIGHTS}, n AS (SELECT *, row_number() OVER w d, first_value(recording_id) OVER w r FROM nights WINDOW w AS (PARTITION BY subject ORDER BY date, night_id)),
-long AS ({" UNION ALL ".join(f"SELECT subject, r, d, '{f}' f, {f} v FROM n" for f in _NIGHTLY)}) SELECT subject, r AS recording_id, 'day' || d || '.' || f AS k, v FROM long) ON k USING first(v) GROUP BY subject, recording_id)""")
+R4 = f"""WITH {NIGHTS}, n AS (SELECT *, CAST(row_number() OVER w AS INT) d, first_value(recording_id) OVER w r FROM nights WINDOW w AS (PARTITION BY subject ORDER BY date, night_id)),
+long AS ({" UNION ALL ".join(f"SELECT subject, r AS recording_id, '{f}' feature, d AS day, CAST({f} AS DOUBLE) v FROM n" for f in _NIGHTLY)})"""
+
+
+def _subject_days(spark, sf_dir):
+    return D.subject_days(nights(spark, sf_dir), list(_NIGHTLY), ["recording_id"], row="night_id")
+
+
+@query("r4_subject_matrix", f"{R4} SELECT subject, recording_id, feature, day, v AS value FROM long")
 def subject_matrix(spark, sf_dir):
-    return D.subject_matrix(nights(spark, sf_dir), list(_NIGHTLY), ["recording_id"], row="night_id")
+    """The matrix as rows, since its width would follow from the data."""
+    return D.melted_days(_subject_days(spark, sf_dir), ["recording_id"])
+
+
+@query("r4_subject_statistics", f"""{R4} SELECT subject, recording_id, feature, count(*) AS n_days, round(stddev_pop(v), 6) sd, round(mad(v), 6) mad, round(max(v) - min(v), 6) AS range, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) iqr, round(CASE WHEN avg(v) <> 0 THEN stddev_pop(v) / avg(v) END, 6) cv FROM long GROUP BY ALL""")
+def subject_statistics(spark, sf_dir):
+    return rounded(_subject_days(spark, sf_dir).withColumn("n_days", F.size("days").cast("long")).drop("days"))
 
 
 AUC = """cnt AS (SELECT file, {s} s, sum(SLEEP) p, sum(1 - SLEEP) n FROM scores GROUP BY 1, 2), run AS (SELECT *, sum(n) OVER (PARTITION BY file ORDER BY s) - n b FROM cnt),

@@ -53,6 +53,14 @@ def assign_epochs(spark, sf_dir):
     return E.assign_epochs(samples(spark, sf_dir), 21_600, ["recording_id"], 15).select("recording_id", "line_no", "epoch")
 
 
+@query("w1_reanchored_epochs", f"""WITH RECURSIVE {SAMPLES}, s AS (SELECT recording_id, line_no, ts, row_number() OVER (PARTITION BY recording_id ORDER BY ts, line_no) i FROM samples), a AS (SELECT recording_id, ts, min(i) i FROM s GROUP BY ALL),
+e AS (SELECT s.recording_id, s.i, s.ts, a.i + 1 AS nxt FROM s ASOF LEFT JOIN a ON a.recording_id = s.recording_id AND a.ts >= s.ts + INTERVAL 6 HOUR),
+r AS (SELECT recording_id, i, ts, nxt FROM e WHERE i = 1 UNION ALL SELECT e.recording_id, e.i, e.ts, e.nxt FROM r JOIN e ON e.recording_id = r.recording_id AND e.i = r.nxt)
+SELECT s.recording_id, s.line_no, r.ts + INTERVAL 15 SECOND epoch FROM s ASOF JOIN r ON r.recording_id = s.recording_id AND r.i <= s.i""")
+def reanchored_epochs(spark, sf_dir):
+    return E.reanchored_epochs(samples(spark, sf_dir), 21_600, "recording_id", 15, chunk_hours=12).select("recording_id", "line_no", "epoch")
+
+
 @query("w2_decimate", f"""WITH {DAYS}, r AS (SELECT *, row_number() OVER (PARTITION BY recording_id, day_no ORDER BY ts, line_no) - 1 i FROM rows) SELECT recording_id, day_no, line_no FROM r WHERE i % 3 = 0""")
 def decimate(spark, sf_dir):
     return E.decimate(days(spark, sf_dir), ["recording_id", "day_no"], 3).select("recording_id", "day_no", "line_no")
