@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -61,9 +62,12 @@ def forget(*tables: DataFrame) -> None:
 
 def drop_shuffles(spark: SparkSession) -> None:
     """Has the driver's garbage collected, so that Spark's cleaner deletes the shuffle files of jobs that are over. Between
-    steps that each write a table, disk then holds one step's shuffles instead of all."""
-    gc.collect()
-    spark._jvm.System.gc()
+    steps that each write a table, disk then holds one step's shuffles instead of all. Twice, as a plan is let go in the
+    first round and its shuffles in the second."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,6 +1,6 @@
 """Removes what stood before: bytes of strings of 50 that also start in a document of a smaller doc_id.
 
-Anchors bring equal strings together. The anchor of a string is its 16-gram of the least hash, so equal strings have equal
+Anchors bring equal strings together. The anchor of a string is its 24-gram of the least hash, so equal strings have equal
 anchors; neighbouring strings that share one are a piece (at most 62 strings, 111 bytes). A piece is named by its anchor and
 a second hash. Anchors met in two documents or more are found by one count that combines on the map side, and a bit filter
 of fixed size lets only them through when the texts are read again. A named piece that stands in an earlier document goes as
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from actispark.llm.common import documents, drop_shuffles, forget, give_back, materialise
 
 LENGTH = 50  # bytes of a string
-ANCHOR = 16  # bytes of an anchor; 32 of the second hash's parts
+ANCHOR = 24  # bytes of an anchor; 32 of the second hash's parts
 MOST = 62  # strings of a piece, a bit each
 WHOLE = -1  # all strings of a piece
 FILTER_BITS = 26
@@ -59,14 +59,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def gram_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all grams of 16 and 32 bytes, by doubling."""
+    """Hashes of all grams of 24 and 32 bytes, by doubling."""
     h = mixed(b.astype(np.uint64) + np.uint64(1))
     grams = []
     for k in (1, 2, 4, 8, 16):
         h = h[:-k] * PRIMES[2] + h[k:]
         h = mixed(h) if k > 2 else h ^ h >> np.uint64(32)
         grams.append(h)
-    return grams[3], grams[4]
+    _, _, eight, sixteen, parts = grams
+    return mixed(sixteen[:-8] * PRIMES[2] + eight[16:]), parts
 
 
 def least(h: np.ndarray, w: int) -> np.ndarray:
