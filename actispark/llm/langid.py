@@ -225,18 +225,21 @@ class Field:
 
 
 def train(docs: DataFrame, sample: int = 400, sample_bytes: int = 4_000_000, sequences: int = 4_000, length: int = 32, lexicon: int = 300, seed: int = 0) -> Field | None:
-    """The field fitted on at most sample documents and sample_bytes of text a language of docs(doc_id, text, lang); None
-    where there are none."""
+    """The field fitted on at most sample documents and sample_bytes of text a language of docs(doc_id, text, lang), or on the
+    shortest of its texts where each is larger than that; None where there are none."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("h"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return None
     # Of a language's rows those with the least hashes; all but some four times as many are left out before the shuffle.
     near = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * sample / n))]), F.col("lang"))
-    order = Window.partitionBy("lang").orderBy("h")
+    # A text beyond the bound is passed over; only a language that has no other gives its shortest one whole.
+    size = F.octet_length("text")
+    fits = size <= sample_bytes
+    order = Window.partitionBy("lang").orderBy(fits.desc(), F.when(fits, F.lit(0)).otherwise(size), "h")
     drawn = rows.where((F.col("h") / 2.0**64 + 0.5) <= near)
     drawn = drawn.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample)
-    drawn = drawn.withColumn("sum", F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") <= sample_bytes)
+    drawn = drawn.withColumn("sum", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("sum") <= sample_bytes) | (F.col("i") == 1))
     texts = sorted((r["lang"], words_of(r["text"])) for r in drawn.select("lang", "text").collect())
     texts = [t for t in texts if t[1]]
     langs = sorted(counts)

@@ -34,7 +34,7 @@ BASE = ("email", "ip", "card", "phone")
 ADDED = ("email_words", "phone_local", "phone_part", "card_part", "ssn", "iban", "name")
 CODE = {k: i for i, k in enumerate(BASE + ADDED)}
 
-_LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -79,10 +79,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind's place, start, end), by kind, then start; leftmost and non-overlapping for each kind."""
     out, past = [], 0
     if "@" in text:
-        for m in _DOMAIN.finditer(text):  # what stands before an @ is looked at from there, so long words cost no more than once
-            before = text[past : m.start()]
-            if size := len(before) - len(before.rstrip(_LOCAL)):
-                out.append((0, m.start() - size, past := m.end()))
+        for m in _DOMAIN.finditer(text):  # looked at backwards from its @, so each character at most once
+            start = m.start()
+            while start > past and text[start - 1] in _LOCAL:
+                start -= 1
+            if start < m.start():
+                out.append((0, start, past := m.end()))
     if not _DIGIT.search(text):
         return out
     out += [(1, *m.span()) for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) < 4 and int(q or 0) <= 255 for p in m[0].split("."))]

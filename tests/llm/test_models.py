@@ -159,7 +159,13 @@ def test_sample_is_bounded(spark):
     """Equal rows, and one text that is larger than the bound."""
     rows = [(1, "the same text again and again", "en")] * 500 + [(2, "w " * 100_000, "en"), (3, "der die das und", "de")]
     field = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=50, sample_bytes=10_000)
-    assert field is None or set(field.langs) == {"en", "de"}
+    assert set(field.langs) == {"en", "de"}
+    big = [(i, "the of and that with from " * 4_000, "en") for i in range(30)] + [(100 + i, "der die das und mit von ist", "de") for i in range(30)] + [(200, "le la les et avec " * 900, "fr"), (201, "le la les et avec " * 2_000, "fr")]
+    short = [(300 + i, t, lang) for i, (t, lang) in enumerate([("the of and that with", "en"), ("der die das und mit", "de"), ("le la les et avec", "fr")])]
+    docs = spark.createDataFrame(big, "doc_id long, text string, lang string")
+    field = langid.train(docs, sample_bytes=10_000, sequences=600)  # each English and French text is larger than the bound
+    got = langid.identify(spark.createDataFrame(short, "doc_id long, text string, lang string"), field).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == ["en", "de", "fr"]
 
 
 def test_held_out_languages(spark, sf_dir, documents):

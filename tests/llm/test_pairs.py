@@ -48,6 +48,30 @@ def test_a_vector_shared_by_many_rows(spark):
         assert got[q] == near[:10], q
 
 
+@pytest.mark.parametrize("centres", [1, 5])
+def test_dense_clusters(spark, centres):
+    """Thousands of vectors within a thousandth of a point, or of five: few of them survive, and the nearest are right."""
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(centres, 24))
+    x = middle[np.arange(4096) % centres] + rng.normal(size=(4096, 24)) * 2e-4
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    coded = df.mapInArrow(ann._quantised(ann._centres(df)), ann._CODED).withColumn("mark", F.lit(0)).toPandas()
+    survivors = sum(len(t) for t in ann.tile(coded[coded["vec_id"] % 100 == 0], coded, 10))
+    assert survivors < 100 * 41
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, candidate_block=1024).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in range(0, 4096, 100):
+        d = ann.exact(np.repeat(x[q][None], 4096, 0), x)
+        assert got[q] == [i for i in np.lexsort((np.arange(4096), d)) if i != q][:10]
+
+
+def test_units_of_a_query_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(ann, "UNIT", 3)
+    monkeypatch.setattr(ann, "GROUP", 20)
+    test_nearest_with_ties_and_odd_vectors(spark)
+
+
 def test_quantisation_bounds():
     rng = np.random.default_rng(2)
     a, b = rng.normal(size=(20, 33)), rng.normal(size=(30, 33)) * 5

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -180,3 +181,14 @@ def test_gate_never_refuses_a_match(parts):
     text = "me" + "".join(parts)
     spans = [m.span() for m in pii._WEAK["email_words"].finditer(text)]
     assert [(c["start"], c["end"]) for c in pii.candidates(text, []) if c["kind"] == pii.CODE["email_words"]] == spans
+
+
+def test_many_handles_cost_once_each():
+    def seconds(n):
+        began = time.perf_counter()
+        pii.base_spans(" @a.b" * n)
+        return time.perf_counter() - began
+
+    seconds(1_000)
+    assert seconds(400_000) < 60 * max(seconds(20_000), 0.002)
+    assert pii.base_spans("x@y.z" + " @a.b" * 3 + " u_+@v.w.") == [(0, 0, 5), (0, 21, 28)]
