@@ -238,7 +238,23 @@ def shared_features(df: DataFrame, features: list[str], label: str, keep: list[s
         rows.unpersist()
 
 
-def scored(model: Model, rows: DataFrame) -> DataFrame:
+class Constant:
+    """What stands in for a model where there are no rows to fit, or rows of one class only."""
+
+    def __init__(self, p: float):
+        self.p = p
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("probability", array_to_vector(F.array(F.lit(1 - self.p), F.lit(self.p))))
+
+
+def fitted(rows: DataFrame, label: str, params: dict) -> Model | Constant:
+    """Trees of rows; the class itself where they have one only, one half where there are none."""
+    n, low, high = rows.agg(F.count("*"), F.min(label), F.max(label)).first()
+    return trees(label, **params).fit(rows) if n and low != high else Constant(float(low) if n else 0.5)
+
+
+def scored(model: Model | Constant, rows: DataFrame) -> DataFrame:
     """rows with y_prob, without what the model adds."""
     return model.transform(rows).withColumn("y_prob", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction", "_features")
 
@@ -318,12 +334,12 @@ def nested_validation(df: DataFrame, features: list[str], grid: dict[str, list],
     def one(o: int) -> tuple[tuple, DataFrame]:
         train = folded.where(F.col("outer") != o)
         with shared_features(train, features, label, [key, "inner"]) as (made, rows):
-            fits = {(s, i): trees(label, **p).fit(rows.where(F.col("inner") != i)) for s, p in enumerate(sets) for i in range(inner)}
+            fits = {(s, i): fitted(rows.where(F.col("inner") != i), label, p) for s, p in enumerate(sets) for i in range(inner)}
             out = reduce(DataFrame.unionByName, [scored(m, rows.where(F.col("inner") == i)).select(F.lit(s).alias("_set"), F.col("inner").alias("fold"), F.col(label).cast("int").alias("y_true"), "y_prob") for (s, i), m in fits.items()])
             got = binary_metrics(out.withColumn("y_pred", (F.col("y_prob") >= 0.5).cast("int")), ["_set", "fold"]).groupBy("_set").agg(F.avg(metric).alias("m")).collect()
             best = min(got, key=lambda r: (-r["m"], r["_set"]))
             tuned = tune_threshold(out.where(F.col("_set") == best["_set"]), ["_set"]).first()
-            final = trees(label, **sets[best["_set"]]).fit(rows)
+            final = fitted(rows, label, sets[best["_set"]])
         threshold = tuned["threshold"] if tuned else 0.5
         test = scored(final, made.transform(folded.where(F.col("outer") == o).withColumn(label, F.col(label).cast("double"))))
         rows = test.select("outer", key, F.col(label).cast("int").alias("y_true"), "y_prob", F.lit(threshold).alias("threshold"), (F.col("y_prob") >= threshold).cast("int").alias("y_pred"))
