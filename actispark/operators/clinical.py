@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -137,20 +137,38 @@ def control_covariates(df: DataFrame, key: str | list[str], features: list[str],
     return at.join(F.broadcast(sums.select("feature", b_g.alias("_bg"), b_a.alias("_ba"))), "feature").select(*keys, "feature", (dv - F.col("_bg") * dg - F.col("_ba") * da).alias("residual"))
 
 
-RANK_BINS = 256
+#: Bins of a column of a feature at most, rows of a bin about, and rows beyond which a bin is cut into bins again.
+RANK_BINS, BIN_ROWS, BIN_MOST = 256, 200_000, 1_000_000
 
 
-def _binned(counts: DataFrame, col: str, out: str) -> DataFrame:
-    """counts(feature, ...) with out: which of RANK_BINS ranges of col, cut at quantiles of the feature's rows here."""
-    edges = counts.groupBy("feature").agg(F.percentile_approx(col, F.array(*[F.lit(i / RANK_BINS) for i in range(1, RANK_BINS)]), 2000).alias("_e"))
-    edges = edges.select("feature", F.array_distinct("_e").alias("_e"))  # a row a feature
-    return counts.join(edges, "feature").withColumn(out, F.size(F.filter("_e", lambda e: e < F.col(col)))).drop("_e")
+def _bins_of(counts: DataFrame, *cols: str) -> dict[str, Column]:
+    """For each of cols the column that tells which range of it a row of counts(feature, ...) lies in. The ranges are cut at
+    quantiles of the feature's rows, found in one job (at most RANK_BINS numbers a feature and column), as many as rows ask
+    for; so all that use them see the same."""
+    marks = F.array(*[F.lit(i / RANK_BINS) for i in range(1, RANK_BINS)])
+    found = counts.groupBy("feature").agg(F.count("*").alias("n"), *[F.percentile_approx(c, marks, 2000).alias(f"q{i}") for i, c in enumerate(cols)]).collect()
 
+    def binned(col: str, place: int) -> Column:
+        edges = {r["feature"]: np.unique(np.asarray(r[f"q{place}"], float)[:: max(1, RANK_BINS // max(1, -(-r["n"] // BIN_ROWS)))] if r["n"] > BIN_ROWS else np.empty(0)) for r in found}
 
-def average_ranks(counts: DataFrame, col: str, out: str) -> DataFrame:
+        @F.pandas_udf("int")
+        def bin_of(feature: pd.Series, value: pd.Series) -> pd.Series:
+            out = np.zeros(len(value), np.int32)
+            for f in feature.unique():
+                own = (feature == f).to_numpy()
+                out[own] = np.searchsorted(edges[f], value.to_numpy(float)[own], side="left")
+            return pd.Series(out)
+
+        return bin_of("feature", F.col(col).cast("double"))
+
+    return {c: binned(c, i) for i, c in enumerate(cols)}
+
+
+def average_ranks(counts: DataFrame, col: str, out: str, bin_: Column | None = None) -> DataFrame:
     """feature, col, out: the mean rank of each distinct value of col among all pairs of its feature, from
     counts(feature, col, c). Running sums go within bins of the value, then over the bins."""
-    per = _binned(counts.groupBy("feature", col).agg(F.sum("c").alias("c")), col, "_b")
+    per = counts.groupBy("feature", col).agg(F.sum("c").alias("c"))
+    per = per.withColumn("_b", bin_ if bin_ is not None else _bins_of(per, col)[col])
     bins = per.groupBy("feature", "_b").agg(F.sum("c").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("feature").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inner = F.coalesce(F.sum("c").over(Window.partitionBy("feature", "_b").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -235,29 +253,37 @@ def kendall(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _crossed(counts: DataFrame) -> DataFrame:
     """feature, crossed: the crossed pairs of counts(feature, x, y, c). Values are dealt into bins; pairs of different bins in
-    both come from the bins' counts, others from within one bin of x, or of y, each a bounded group."""
-    at = _binned(_binned(counts, "x", "bx"), "y", "by")
-    schema = "feature string, crossed double"
-
-    def inside(first: str, second: str):
-        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"feature": [key[0]], "crossed": [crossings(rows[first].to_numpy(), rows[second].to_numpy(), rows["c"].to_numpy())]})
+    both come from the bins' counts, others from within one bin of x, or of y. A bin of one value has none, one of more than
+    BIN_MOST rows is cut into bins again as a feature of its own, and each other is a bounded group."""
+    schema, parts = "feature string, crossed double", []
+    level = counts.select(F.col("feature").alias("_of"), F.col("feature"), "x", "y", "c")
 
-        return run
+    def inside(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"feature": [key[0]], "crossed": [crossings(rows["x"].to_numpy(), rows["y"].to_numpy(), rows["c"].to_numpy())]})
 
     def between(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         m = np.zeros((RANK_BINS, RANK_BINS))
         m[rows["bx"], rows["by"]] = rows["c"]
         behind = np.zeros_like(m)  # what lies in later bins of x and earlier ones of y
         behind[:-1, 1:] = np.cumsum(np.cumsum(m[::-1], 0)[::-1], 1)[1:, :-1]
-        return pd.DataFrame({"feature": [key[0]], "crossed": [(m * behind).sum()]})
-
-    cells = at.groupBy("feature", "bx", "by").agg(F.sum("c").alias("c"))
-    parts = [
-        at.groupBy("feature", "bx").applyInPandas(inside("x", "y"), schema),
-        at.groupBy("feature", "by", "bx", "y").agg(F.sum("c").alias("c")).groupBy("feature", "by").applyInPandas(inside("bx", "y"), schema), cells.groupBy("feature").applyInPandas(between, schema),
-    ]
-    return reduce(DataFrame.unionByName, parts).groupBy("feature").agg(F.sum("crossed").alias("crossed"))
+        return pd.DataFrame({"feature": [key[1]], "crossed": [(m * behind).sum()]})
+
+    while True:
+        bins = _bins_of(level, "x", "y")
+        at = level.withColumns({"bx": bins["x"], "by": bins["y"]})
+        cells = at.groupBy("feature", "_of", "bx", "by").agg(F.sum("c").alias("c"))
+        parts.append(cells.groupBy("feature", "_of").applyInPandas(between, schema))
+        # within a bin of x pairs differ in y anyhow; within one of y, those of one bin of x are counted already
+        within_x = at.select("_of", F.concat_ws("/", "feature", F.lit("x"), "bx").alias("feature"), "x", "y", "c")
+        within_y = at.groupBy("_of", F.concat_ws("/", "feature", F.lit("y"), "by").alias("feature"), F.col("bx").cast("double").alias("x"), "y").agg(F.sum("c").alias("c"))
+        both = within_x.unionByName(within_y)
+        sizes = both.groupBy("feature").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).where("x0 < x1 and y0 < y1").select("feature", "n")
+        large = [r["feature"] for r in sizes.where(F.col("n") > BIN_MOST).collect()]  # few: each has BIN_MOST rows
+        small = both.join(F.broadcast(sizes.where(F.col("n") <= BIN_MOST).select("feature")), "feature", "left_semi")  # names of bins
+        parts.append(small.groupBy("_of", "feature").applyInPandas(inside, schema))
+        if not large:
+            return reduce(DataFrame.unionByName, parts).groupBy("feature").agg(F.sum("crossed").alias("crossed"))
+        level = both.join(F.broadcast(counts.sparkSession.createDataFrame([(f,) for f in large], "feature string")), "feature", "left_semi").select("_of", "feature", "x", "y", "c")
 
 
 def _kendall(pairs: DataFrame, digits: int) -> DataFrame:
@@ -281,7 +307,7 @@ def _kendall(pairs: DataFrame, digits: int) -> DataFrame:
     return rows.mapInPandas(run, "feature string, n long, r double, p double")
 
 
-def _with_p(digits: int):
+def _with_p(digits: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # on a row a pair
         for b in batches:
             p = [None if pd.isna(r) else round(t_test_p(min(1.0, max(-1.0, r)), int(n)), digits) for r, n in zip(b["r"], b["n"], strict=True)]
@@ -299,7 +325,8 @@ def covariate_correlations(long: DataFrame, method: str = "pearson", digits: int
     x, y, c = F.col("value").cast("double"), F.col("covariate").cast("double"), F.lit(1)
     if method == "spearman":
         counts = pairs.groupBy("feature", "value", "covariate").agg(F.count("*").alias("c"))
-        pairs = counts.join(average_ranks(counts, "value", "_x"), ["feature", "value"]).join(average_ranks(counts, "covariate", "_y"), ["feature", "covariate"])
+        bins = _bins_of(counts, "value", "covariate")
+        pairs = counts.join(average_ranks(counts, "value", "_x", bins["value"]), ["feature", "value"]).join(average_ranks(counts, "covariate", "_y", bins["covariate"]), ["feature", "covariate"])
         x, y, c = F.col("_x"), F.col("_y"), F.col("c")
     means = pairs.groupBy("feature").agg((F.sum(x * c) / F.sum(c)).alias("_mx"), (F.sum(y * c) / F.sum(c)).alias("_my"))
     dx, dy = x - F.col("_mx"), y - F.col("_my")

@@ -142,3 +142,21 @@ def test_all_pairs_are_each_pair(spark, method):
         for f in ("a.1", "c", "k", "t"):
             one = clinical.covariate_correlations(df.select(F.lit("f").alias("feature"), F.col(f"`{f}`").alias("value"), F.col(x).alias("covariate")), method, 6).first()
             assert got[x, f] == (one["n"], pytest.approx(one["r"], abs=2e-6), pytest.approx(one["p"], abs=2e-6)), (x, f)
+
+
+@pytest.mark.parametrize(("rows_a_bin", "most"), [(7, 40), (3, 15), (200_000, 1_000_000)])
+def test_bins_within_bins(spark, monkeypatch, rows_a_bin, most):
+    """Kendall's and Spearman's figures don't depend on how values are cut, nor on one value that half of the rows have."""
+    monkeypatch.setattr(clinical, "BIN_ROWS", rows_a_bin)
+    monkeypatch.setattr(clinical, "BIN_MOST", most)
+    draw = random.Random(9)
+    x = [draw.choice([5.0, 5.0, draw.randrange(40), draw.random() * 40]) for _ in range(300)]
+    y = [float(draw.choice([a, a + draw.gauss(0, 9), draw.randrange(12)])) for a in x]
+    long = spark.createDataFrame([("f", float(a), b) for a, b in zip(x, y, strict=True)] + [("g", b, float(a)) for a, b in zip(x, y, strict=True)], "feature string, value double, covariate double")
+    tau, p = clinical.kendall(np.array(x, float), np.array(y))
+    got = {r["feature"]: (r["n"], r["r"], r["p"]) for r in clinical.covariate_correlations(long, "kendall", 9).collect()}
+    assert got == {f: (300, pytest.approx(tau, abs=1e-8), pytest.approx(p, abs=1e-8)) for f in "fg"}
+    rank = lambda v: np.array([sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v])
+    rho = np.corrcoef(rank(x), rank(y))[0, 1]
+    got = {r["feature"]: r["r"] for r in clinical.covariate_correlations(long, "spearman", 9).collect()}
+    assert got == {f: pytest.approx(rho, abs=1e-8) for f in "fg"}
