@@ -11,9 +11,9 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert_same(registry.QUERIES[name](spark, sf_dir), registry.ORACLE_SQL[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - {"m4_cross_validate", "m5_random_search"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_query_runs(spark, sf_dir, name):
-    assert registry.QUERIES[name](spark, sf_dir).columns
+    assert registry.QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):
