@@ -8,7 +8,8 @@ a toxic document is of each category whose words it has, and the last model of t
 
 The models are fitted on at most ``sample`` labelled documents (a documented bound, chosen by a hash of the id) and a
 vocabulary of at most ``vocabulary`` words that are at least ``far`` standard deviations from chance; all documents are
-then scored, whole, in one pass without a shuffle.
+then scored, whole, in one pass without a shuffle. Of several texts that have one labelled doc_id the least, by bytes, is the one
+that the models are fitted on.
 
 Defined results: null and empty texts have no words (a low, equal score each); a doc_id that has several labels counts with
 the largest; null labels are left out; repeated rows each give a row; very long texts are one row like others; further
@@ -167,7 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, vocabulary:
     """The chain fitted on at most sample of the documents that have labels(doc_id, toxic); None without both kinds."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # whichever order the rows come in
     rows = texts.select("doc_id", "toxic", "text").mapInArrow(_labelled_words, "doc_id long, toxic int, words array<string>").persist()
     n, positive = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < positive < n:

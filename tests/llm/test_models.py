@@ -192,3 +192,13 @@ def test_odd_languages(odd_documents, no_documents):
     assert sum(got.values()) == 10 and got["und"] == 3
     assert langid.train(no_documents) is None
     assert {r["lang_pred"] for r in langid.identify(odd_documents, None).collect()} == {"und"}
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark):
+    """Two texts under each id: whatever the partitions, the same one of them is learned from."""
+    bad, good = "vile nasty horrid words here", "kind calm gentle words here"
+    rows = [(i, f"{bad if i % 2 else good} {chr(97 + i % 7) * 3}") for i in range(200)] + [(i, f"other text entirely {'foul' if i % 3 else 'fair'}") for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    chains = [toxicity.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 7), (rows, 4))]
+    assert len({tuple(sorted(c.place)) for c in chains}) == 1
+    assert len({tuple(round(float(p[0]), 12) for p in c.probabilities([toxicity.words_of(bad)])) for c in chains}) == 1
