@@ -118,23 +118,34 @@ def feature_coverage(long: DataFrame, threshold: float = 0.9, keys: tuple[str, .
 
 
 def control_covariates(df: DataFrame, key: str | list[str], features: list[str], covariates: tuple[str, str] = ("gender", "age")) -> DataFrame:
-    """key (or keys), feature, residual: what least squares on the covariates leaves of each feature, nulls counted as 0. One
-    aggregation of centred products, then three equations a feature; where the covariates are constant or bound to each
-    other, the solution of least norm, on the features' few sums."""
+    """key (or keys), feature, residual: what least squares on the covariates leaves of each feature, nulls counted as 0.
+    The table is read for the columns' means, for sums of products around them (by blocks of rows, all pairs at once), and
+    for the residuals; then there are three equations a feature on its few sums, and where the covariates are constant or
+    bound to each other, the solution of least norm."""
     keys = [key] if isinstance(key, str) else key
     zero = df.select(*keys, *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(c) for c in (*covariates, *features)])
-    long = zero.unpivot([*keys, *covariates], features, "feature", "value")
+    x, y = list(covariates), [*covariates, *features]
+    table = zero.select(*[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(x)], *[F.col(f"`{c}`").alias(f"y{i}") for i, c in enumerate(y)])
+    means, sums = _pair_sums(table, len(x), len(y))
+    at = {tuple(map(int, r["feature"].split(":"))): r for r in sums.collect()}  # a row for a covariate and a feature
+
+    def left(i: int, j: int) -> float:
+        r = at[i, j]
+        return r["sxy"] - r["sx"] * r["sy"] / r["n"] if r["n"] else 0.0
+
+    gg, aa, ga = left(0, 0), left(1, 1), left(0, 1)
+    det, slopes = gg * aa - ga * ga, {}
+    for j, f in enumerate(features, 2):
+        gv, av = left(0, j), left(1, j)
+        if det > 1e-10 * gg * aa:
+            slopes[f] = (gv * aa - av * ga) / det, (av * gg - gv * ga) / det
+        else:  # least norm: along the only direction that varies
+            slopes[f] = (gv / (gg + aa), av / (gg + aa)) if gg + aa > 0 else (0.0, 0.0)
+    middle = dict(zip(y, means[len(x) :].tolist(), strict=True))
+    d = {c: F.col(f"`{c}`") - middle[c] for c in y}
     g, a = covariates
-    means = long.groupBy("feature").agg(F.avg(g).alias("_g"), F.avg(a).alias("_a"), F.avg("value").alias("_v"))
-    at = long.join(F.broadcast(means), "feature")  # a row for each of the given features
-    dg, da, dv = F.col(g) - F.col("_g"), F.col(a) - F.col("_a"), F.col("value") - F.col("_v")
-    sums = at.groupBy("feature").agg(F.sum(dg * dg).alias("gg"), F.sum(da * da).alias("aa"), F.sum(dg * da).alias("ga"), F.sum(dg * dv).alias("gv"), F.sum(da * dv).alias("av"))
-    det = F.col("gg") * F.col("aa") - F.col("ga") * F.col("ga")
-    full = det > 1e-10 * F.col("gg") * F.col("aa")
-    total = F.col("gg") + F.col("aa")  # least norm: along the only direction that varies
-    b_g = F.when(full, (F.col("gv") * F.col("aa") - F.col("av") * F.col("ga")) / det).when(total > 0, F.col("gv") / total).otherwise(0.0)
-    b_a = F.when(full, (F.col("av") * F.col("gg") - F.col("gv") * F.col("ga")) / det).when(total > 0, F.col("av") / total).otherwise(0.0)
-    return at.join(F.broadcast(sums.select("feature", b_g.alias("_bg"), b_a.alias("_ba"))), "feature").select(*keys, "feature", (dv - F.col("_bg") * dg - F.col("_ba") * da).alias("residual"))
+    residual = lambda f: d[f] - slopes[f][0] * d[g] - slopes[f][1] * d[a]
+    return zero.select(*[F.col(f"`{k}`") for k in keys], *[residual(f).alias(f) for f in features]).unpivot(keys, features, "feature", "residual")
 
 
 #: Bins of a column of a feature at most, rows of a bin about, and rows beyond which a bin is cut into bins again.
@@ -351,8 +362,9 @@ def all_correlations(df: DataFrame, features: list[str], covariates: list[str],
     return got.join(F.broadcast(label), F.col("feature") == F.col("_k")).select("covariate", F.col("_f").alias("feature"), "n", "r", "p")  # a row a pair
 
 
-def _pearson_blocks(table: DataFrame, n_x: int, n_y: int, digits: int) -> DataFrame:
-    """feature (numbers i:j), n, r, p of columns x0 ... and y0 ..."""
+def _pair_sums(table: DataFrame, n_x: int, n_y: int) -> tuple[np.ndarray, DataFrame]:
+    """The means of columns x0 ... and y0 ..., and feature (numbers i:j), n, sx, sy, sxx, syy, sxy: sums around the means over
+    the rows where xi and yj are numbers. A row a task and pair is summed up."""
     means = np.array([v or 0.0 for v in table.agg(*[F.avg(c) for c in table.columns]).first()])
     kinds = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
@@ -368,7 +380,12 @@ def _pearson_blocks(table: DataFrame, n_x: int, n_y: int, digits: int) -> DataFr
         i, j = np.divmod(np.arange(n_x * n_y), n_y)
         yield pd.DataFrame({"feature": [f"{a}:{b}" for a, b in zip(i, j, strict=True)]} | {k: total[m].ravel() for m, k in enumerate(kinds)})
 
-    sums = table.mapInPandas(block, "feature string, " + ", ".join(f"{k} double" for k in kinds)).groupBy("feature").agg(*[F.sum(k).alias(k) for k in kinds])
+    return means, table.mapInPandas(block, "feature string, " + ", ".join(f"{k} double" for k in kinds)).groupBy("feature").agg(*[F.sum(k).alias(k) for k in kinds])
+
+
+def _pearson_blocks(table: DataFrame, n_x: int, n_y: int, digits: int) -> DataFrame:
+    """feature (numbers i:j), n, r, p of columns x0 ... and y0 ..."""
+    _, sums = _pair_sums(table, n_x, n_y)
     n = F.col("n")
     left = lambda a, b, both: F.greatest(F.col(both) - F.col(a) * F.col(b) / n, F.lit(0.0))
     xx, yy = left("sx", "sx", "sxx"), left("sy", "sy", "syy")

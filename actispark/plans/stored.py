@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from actispark.operators import clinical as C
-from actispark.plans.base import query, subjects
+from actispark.plans.base import query, rounded, subjects, table
 from actispark.plans.clinic import SHEET, _epochs, _sheet
+from actispark.sources import readers as R
 from actispark.sources import store
 from actispark.sources.scratch import shared_dir
 
@@ -48,3 +49,14 @@ def import_diagnoses(spark, sf_dir):
     for _ in range(2):
         C.import_diagnoses(path, sheet)
     return store.current(spark, path).withColumn("version", F.lit(store.versions(spark, path)[-1]))
+
+
+@query("s9_s11_tables", """SELECT f.fmt, o_orderkey, o_orderpriority, round(o_totalprice, 6) o_totalprice FROM orders, (VALUES ('csv'), ('parquet')) f(fmt)""")
+def tables(spark, sf_dir):
+    """Orders written as sorted CSV and Parquet, and read again."""
+    orders, out = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), []
+    for fmt in ("csv", "parquet"):
+        path = f"{_place(spark, 'table')}.{fmt}"
+        R.write_table(orders, path, fmt, order=["o_orderpriority", "o_orderkey"])
+        out.append(R.read_table(spark, path, "o_orderkey long, o_orderpriority string, o_totalprice double").withColumn("fmt", F.lit(fmt)))
+    return rounded(out[0].unionByName(out[1]))
