@@ -202,3 +202,31 @@ def test_training_does_not_depend_on_the_order_of_rows(spark):
     chains = [toxicity.train(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 7), (rows, 4))]
     assert len({tuple(sorted(c.place)) for c in chains}) == 1
     assert len({tuple(round(float(p[0]), 12) for p in c.probabilities([toxicity.words_of(bad)])) for c in chains}) == 1
+
+
+def plain_language(field, text):
+    """The query's verdict by loops over all words: sums of scores, forward and backward sums, posteriors."""
+    words = langid.words_of(text)
+    if not words:
+        return "und", 0.0
+    e = [np.exp(field.w[langid.features([w], field.lexicon, field.zero)[0]].sum(0).astype(float)) for w in words]
+    a, start = np.exp(field.a), np.exp(field.start)
+    forward, backward = [start * e[0]], [np.ones(len(start))]
+    for x in e[1:]:
+        forward.append((forward[-1] / forward[-1].sum()) @ a * x)
+    for x in e[:0:-1]:
+        backward.insert(0, a @ (x * backward[0] / backward[0].sum()))
+    post = np.array([f * b / (f @ b) for f, b in zip(forward, backward, strict=True)])
+    best = int(post.sum(0).argmax())
+    return field.langs[best], post.sum(0)[best] / len(words)
+
+
+def test_whole_query_equals_plain_loops(spark, sf_dir, documents):
+    """Texts shorter and longer than a window of the chain."""
+    field = langid.train(documents.where(langid.fold() != 2))
+    got = {r["doc_id"]: r for r in langid.op8_crf_language(spark, sf_dir).collect()}
+    some = [r for r in documents.collect() if len(r["text"] or "") < 6_000]
+    assert len(some) > 150
+    for r in some:
+        lang, share = plain_language(field, r["text"])
+        assert got[r["doc_id"]]["lang_pred"] == lang and abs(got[r["doc_id"]]["score"] - share) < 1e-4, r["doc_id"]
