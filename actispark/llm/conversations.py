@@ -90,7 +90,6 @@ def backward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in batches:
         byte, place = np.empty(len(part), np.int16), np.empty(len(part), np.int64)
         for i, (conv, role, fault, gone) in enumerate(zip(part["conv_id"], part["role"], part["fault"], part["dropped"], strict=True)):
-            conv = None if conv is pd.NA or conv != conv else conv
             if conv != now:
                 now, after, at = conv, LAST, 0
             byte[i] = 0
@@ -120,7 +119,6 @@ def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in batches:
         out: list[tuple] = []
         for conv, turn, role, text, fault, gone, byte in zip(*(part[c] for c in ("conv_id", "turn", "role", "text", "fault", "dropped", "choice")), strict=True):
-            conv, turn = (None if v is pd.NA or v != v else v for v in (conv, turn))
             if conv != now:
                 end(out)
                 now, q = conv, START
@@ -154,7 +152,7 @@ class Report:
         self.low = self.high = None
         self.turns = 0
 
-    def add(self, edit: str, turn: int | None, role: str, text: str, was: str | None, fault: str | None) -> None:
+    def add(self, edit: str, turn: str | None, role: str, text: str, was: str | None, fault: str | None) -> None:
         self.audit += edit.encode()
         self.cost += {"D": 3, "I": 2, "K": 0, "R": 2}[edit] + (fault == "truncated" and edit != "D")
         if edit != "I":
@@ -163,8 +161,9 @@ class Report:
             if self.initial is not None and self.initial + was[:1] not in ("su", "ua", "au"):
                 self.illegal += 1
             self.initial = was[:1]
-            if turn is not None and turn != self.high:  # turns rise
-                self.low, self.high, self.turns = turn if self.low is None else self.low, turn, self.turns + 1
+            if turn is not None and int(turn) != self.high:  # turns rise
+                self.high, self.turns = int(turn), self.turns + 1
+                self.low = self.high if self.low is None else self.low
         if edit != "D":
             self.sha.update(b"" if self.first else b"\n")
             self.sha.update(f"{role}:{text}".encode())
@@ -194,10 +193,13 @@ def reports(edits: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _chosen(rows: DataFrame) -> DataFrame:
-    """rows with faults and choices, each partition's in order of conversation and turn."""
+    """rows with faults and choices, each partition's in order of conversation and turn. Ids and turns go to Python as texts,
+    as pandas would make floats of numbers among nulls."""
     down = ["conv_id", F.col("turn").desc_nulls_last(), F.col("role").desc(), F.col("text").desc(), F.col("copy").desc()]
-    schema = "conv_id {}, turn long, role string, text string, dropped boolean, copy int, fault string, choice short, from_end long".format(rows.schema["conv_id"].dataType.simpleString())
-    return with_faults(rows).sortWithinPartitions(*down).mapInPandas(backward, schema).sortWithinPartitions("conv_id", F.col("from_end").desc())
+    texts = [F.col(c).cast("string").alias(c) for c in ("conv_id", "turn")]
+    sent = with_faults(rows).sortWithinPartitions(*down).select(*texts, "role", "text", "dropped", "copy", "fault")
+    schema = "conv_id string, turn string, role string, text string, dropped boolean, copy int, fault string, choice short, from_end long"
+    return sent.mapInPandas(backward, schema).sortWithinPartitions("conv_id", F.col("from_end").desc())
 
 
 def _undamaged(conversations: DataFrame) -> DataFrame:
@@ -222,8 +224,8 @@ def repair_conversations(conversations: DataFrame) -> DataFrame:
                 at += 1
             yield part.assign(seq=np.array(seq, np.int64))
 
-    edits = _chosen(_undamaged(conversations)).mapInPandas(run, f"conv_id {kind}, edit string, turn long, role string, text string, was string, fault string, seq long")
-    return edits.select("conv_id", "seq", "edit", "turn", "role", "text", "was", "fault")
+    edits = _chosen(_undamaged(conversations)).mapInPandas(run, "conv_id string, edit string, turn string, role string, text string, was string, fault string, seq long")
+    return edits.select(F.col("conv_id").cast(kind).alias("conv_id"), "seq", "edit", F.col("turn").cast("long").alias("turn"), "role", "text", "was", "fault")
 
 
 def repair_reports(rows: DataFrame) -> DataFrame:
@@ -231,7 +233,8 @@ def repair_reports(rows: DataFrame) -> DataFrame:
     Dropped rows only name their conversation."""
     small_batches(rows.sparkSession)
     kind = rows.schema["conv_id"].dataType.simpleString()
-    return _chosen(rows).mapInPandas(lambda b: reports(forward(b)), f"conv_id {kind}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
+    found = _chosen(rows).mapInPandas(lambda b: reports(forward(b)), "conv_id string, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
+    return found.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
 def op11_streamed_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,3 +139,12 @@ def test_empty_and_all_dropped(spark):
     gone = next(i for i in range(1000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
     row = c.repair_reports(c.damage(spark.createDataFrame([(gone, 0, "user", "x")], SCHEMA))).first()
     assert tuple(row) == (gone, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+def test_large_numbers_among_nulls(spark):
+    """Ids and turns beyond what a float holds, beside null ones."""
+    big = 2**60 + 1
+    rows = [(None, None, "user", "a."), (None, big, "user", "b."), (big, big + 2, "user", "c."), (big, None, "user", "d."), (big, big, "assistant", "e."), (big + 1, 0, "user", "f."), (big, -(2**63), "system", "g.")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(1)
+    assert found(c.repair_reports(c.damage(df))) == [(*r[:1], min(r[1], 2**63 - 1), *r[2:]) for r in expected(rows)]
+    assert {r["turn"] for r in c.repair_conversations(df).collect()} >= {r[1] for r in rows}
