@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,6 +106,7 @@ def scenario_reports(table: DataFrame, grid: dict[str, list], n: int, outer: int
     diagnoses: features that are known for too few subjects or are all zero go, the others are filled with medians, and
     subjects are tested in outer folds whose model and threshold come from the other subjects."""
     names, parts = [c for c in table.columns if c not in ("subject", "diagnosis_code")], []
+    table = table.persist(StorageLevel.MEMORY_AND_DISK)  # a row a subject, read by every job of every scenario
     for positive, negative in scenarios:
         at = clinical.scenario_dataset(table, positive, negative)
         long = at.unpivot(["subject"], [F.col(f"`{c}`").alias(c) for c in names], "feature", "value")
@@ -113,5 +115,7 @@ def scenario_reports(table: DataFrame, grid: dict[str, list], n: int, outer: int
             continue
         _, rows = model.nested_validation(at, kept, grid, n, "subject", outer, inner, "target")
         kinds = [rows.select(F.lit("tuned").alias("kind"), "y_true", "y_pred"), rows.select(F.lit("default").alias("kind"), "y_true", (F.col("y_prob") >= 0.5).cast("int").alias("y_pred"))]
-        parts.append(evaluate.binary_metrics(reduce(DataFrame.unionByName, kinds), ["kind"]).select(F.lit(scenario_label(positive, negative)).alias("scenario"), F.lit(len(kept)).alias("n_features"), "*"))
+        metrics = evaluate.binary_metrics(reduce(DataFrame.unionByName, kinds), ["kind"]).select(F.lit(scenario_label(positive, negative)).alias("scenario"), F.lit(len(kept)).alias("n_features"), "*")
+        parts.append(table.sparkSession.createDataFrame(metrics.collect(), metrics.schema))  # two rows
+    table.unpersist()
     return reduce(DataFrame.unionByName, parts)

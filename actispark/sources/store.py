@@ -3,6 +3,9 @@ versions are swapped. A version counts once it has its _SUCCESS file, so a job t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +56,7 @@ def update_dataset(df: DataFrame, path: str, group: str = "group", label: str =
     group's mark follows last, so after a failure the same groups are done again. Null groups are one group."""
     spark = df.sparkSession
     labelled = df.where(F.col(label).isNotNull()).select(F.col(group).alias("_g")).distinct()
-    rows = df.join(labelled, F.col(group).eqNullSafe(F.col("_g")), "left_semi")
+    rows = df.join(labelled, F.col(group).eqNullSafe(F.col("_g")), "left_semi").persist(StorageLevel.MEMORY_AND_DISK)  # marked, then written
     was = current(spark, f"{path}/{MANIFEST}")
     now = group_marks(rows, group)
     if was is None:
@@ -75,6 +78,7 @@ def update_dataset(df: DataFrame, path: str, group: str = "group", label: str =
         files, where = _files(spark, f"{path}/{_folder(spark, group, r['group'])}")
         files.delete(where, True)
     put_version(plan, f"{path}/{MANIFEST}")
+    rows.unpersist()
     return current(spark, f"{path}/{MANIFEST}").select("group", "action", "rows")
 
 
@@ -83,7 +87,7 @@ def _folder(spark: SparkSession, column: str, value: str | None) -> str:
     return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(column, value)
 
 
-def dataset_at(spark: SparkSession, path: str, build=None, group: str = "group", label: str = "SLEEP") -> DataFrame:
+def dataset_at(spark: SparkSession, path: str, build: Callable[[], DataFrame] | None = None, group: str = "group", label: str = "SLEEP") -> DataFrame:
     """The training set in path; if there is none yet, build() makes it."""
     if not versions(spark, f"{path}/{MANIFEST}"):
         if build is None:
