@@ -105,17 +105,20 @@ def scenario_reports(table: DataFrame, grid: dict[str, list], n: int, outer: int
     """scenario, n_features, threshold kind (default: 0.5, tuned: each outer fold's own) and its metrics, for each comparison of
     diagnoses: features that are known for too few subjects or are all zero go, the others are filled with medians, and
     subjects are tested in outer folds whose model and threshold come from the other subjects."""
-    names, parts = [c for c in table.columns if c not in ("subject", "diagnosis_code")], []
+    names = [c for c in table.columns if c not in ("subject", "diagnosis_code")]
     table = table.persist(StorageLevel.MEMORY_AND_DISK)  # a row a subject, read by every job of every scenario
-    for positive, negative in scenarios:
+
+    def one(positive: tuple[int, ...], negative: tuple[int, ...]) -> DataFrame | None:
         at = clinical.scenario_dataset(table, positive, negative)
         long = at.unpivot(["subject"], [F.col(f"`{c}`").alias(c) for c in names], "feature", "value")
         kept = sorted(r["feature"] for r in clinical.feature_coverage(long, coverage).where("kept").collect())  # a row a feature
         if not kept:
-            continue
+            return None
         _, rows = model.nested_validation(at, kept, grid, n, "subject", outer, inner, "target")
         kinds = [rows.select(F.lit("tuned").alias("kind"), "y_true", "y_pred"), rows.select(F.lit("default").alias("kind"), "y_true", (F.col("y_prob") >= 0.5).cast("int").alias("y_pred"))]
         metrics = evaluate.binary_metrics(reduce(DataFrame.unionByName, kinds), ["kind"]).select(F.lit(scenario_label(positive, negative)).alias("scenario"), F.lit(len(kept)).alias("n_features"), "*")
-        parts.append(table.sparkSession.createDataFrame(metrics.collect(), metrics.schema))  # two rows
+        return table.sparkSession.createDataFrame(metrics.collect(), metrics.schema)  # two rows
+
+    parts = model.at_once(table.sparkSession, {scenario_label(p, m): lambda p=p, m=m: one(p, m) for p, m in scenarios}, 3)
     table.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [p for p in parts.values() if p is not None])
