@@ -9,11 +9,10 @@ full sets. At the threshold of 0.85 a pair misses all 32 bands of 5 with a proba
 Equal sets are one class first (exact copies cost one row). Links are found in two steps, so that no group makes all its
 pairs: (1) each class against two pivots of each of its bands, its first class and one by a hash, the same for all bands
 they are in; links become components; (2) bands that still hold several components are compared in full, in blocks of
-bounded size in rows and shingles, and a block reports a spanning forest of its links only. A large band whose members
-differ otherwise is first split by a further band: its members then meet only where they share both (a pair at 0.85 shares
-fewer than two of the 32 bands with a probability of 2e-7), and rows stay in proportion to members. Which way makes fewer
-rows is counted for each large band. A large band of near copies that are not all linked is compared in full: its rows grow
-with its size times its number of blocks, and no link is lost to a cap.
+bounded size in rows and shingles, and a block reports a spanning forest of its links only. Members of large bands meet by
+their rarest shingles instead of by their bands: of n shingles the rarest 15 % and one (at 0.85), by counts over these
+members, of which two similar sets share one for certain. So no link is lost, and a passage that all members share makes no
+group, as it isn't rare. What is left to compare in full are members that share a rare shingle and no component.
 
 Components come from alternating large and small stars, each step written to the shared folder. Keys that many rows share
 (a band, a pivot, a class of copies) are dealt over several tasks in every join; rows without shingles are kept apart.
@@ -29,15 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actispark.llm.common import broadcast_if_small, documents, forget, fresh, give_back, materialise, salted_join
+from actispark.llm.common import BROADCAST_ROWS, broadcast_if_small, documents, forget, fresh, give_back, materialise, salted_join
 
 BANDS, ROWS, MANTISSA = 32, 5, 10
 BUCKETS = BANDS * ROWS
 BLOCK = 512  # rows of a band that are compared in one piece, and shingles that they hold together
 BLOCK_SHINGLES = 1_000_000
+FEW = 16  # shingles of at most so many members are rare alike
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -279,28 +280,58 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs
 
 
-def split_bands(rows: DataFrame, keys_of: DataFrame, block: int, least: int) -> DataFrame:
-    """rows(key, cid, n, comp) with those of bands of more than least rows split by a further band, where that makes fewer
-    rows for the blocks. keys_of(cid, keys) has all bands' keys. What splitting would make is estimated from two of the
-    further bands; a split band's key is that of both bands, whichever came first."""
-    large = rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > least)
+def _prefix(n: int, percent: int) -> int:
+    """How many of its n shingles a set must show: what is as similar as percent shares one of them, whatever the order that
+    both are taken in, since it shares percent of n at least."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+def _rarest(percent: int, counted: Broadcast):
+    """The first shingles of each set by their count (those that aren't counted first), then by their value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value, count = counted.value
+        for b in batches:
+            keys, n = [np.zeros(0, np.int64)], []
+            for row in b["set"]:
+                x = row.values.to_numpy()
+                at = np.searchsorted(value, x).clip(max=max(len(value) - 1, 0))
+                often = np.where(value[at] == x, count[at], 0) if len(value) else np.zeros(len(x), np.int64)
+                keys.append(x[np.lexsort((x, often))[: _prefix(len(x), percent)]])
+                n.append(len(keys[-1]))
+            of = pa.array(np.repeat(np.arange(b.num_rows), n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *(b[c].take(of) for c in ("cid", "n", "comp"))], ["key", "cid", "n", "comp"])
+
+    return run
+
+
+def split_bands(rows: DataFrame, sets: DataFrame, threshold: float, least: int, small: int = BROADCAST_ROWS) -> DataFrame:
+    """rows(key, cid, n, comp) with those of bands of more than least rows split by shingles, which loses no link: a member
+    of such bands goes to the groups of its rarest shingles, of which all that is similar to it shares one, once for all its
+    bands. sets(cid, set) has the members' shingles. Counts of more than FEW are told to all tasks if they are at most small,
+    else joined; both ways give the same rows."""
+    percent = round(100 * threshold)
+    large = rows.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > least).select("key")
     large = materialise(large, "large-bands")
-    count = large.count()
-    if not count:
-        return rows
-    large = broadcast_if_small(large, count)
-    of = rows.join(large, "key").join(keys_of, "cid")
-    others = F.array_remove("keys", F.col("key"))
-    both = lambda other: F.col("key").bitwiseXOR(other).alias("both")
-    two = of.select("key", "rows", F.explode(F.slice(others, 1, 2)).alias("other")).groupBy("key", "rows", both(F.col("other"))).agg(F.count("*").alias("s"))
-    made = F.sum(F.col("s") * F.ceil(F.col("s") / block)) / 2 * (BANDS - 1)
-    split = two.groupBy("key", "rows").agg(made.alias("made")).where(F.col("made") < F.col("rows") * F.ceil(F.col("rows") / block)).select("key")
-    split = materialise(split, "split-bands")
-    if not split.count():
+    n = large.count()
+    if not n:
         return rows
-    split = broadcast_if_small(split, count)
-    parts = rows.join(split, "key", "left_semi").join(keys_of, "cid").select("cid", "n", "comp", "key", F.explode(others).alias("other"))
-    return rows.join(split, "key", "left_anti").unionByName(parts.select(both(F.col("other")).alias("key"), "cid", "n", "comp").distinct())
+    large = broadcast_if_small(large, n)
+    members = materialise(rows.join(large, "key", "left_semi").select("cid", "n", "comp").distinct(), "members")
+    whole = members.join(sets, "cid")
+    each = whole.select("cid", "n", "comp", F.explode("set").alias("key"))
+    counted = materialise(each.groupBy("key").agg(F.count("*").alias("often")).where(F.col("often") > FEW), "counted")
+    n = counted.count()
+    if n <= small:
+        table = counted.toArrow().sort_by("key")
+        told = rows.sparkSession.sparkContext.broadcast((table["key"].to_numpy(), table["often"].to_numpy()))
+        split = whole.select("cid", "n", "comp", "set").mapInArrow(_rarest(percent, told), "key long, cid long, n long, comp long")
+    else:
+        ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "key")))
+        taken = F.size("o") - F.floor((percent * F.size("o") + 99) / 100).cast("int") + 1
+        split = each.join(counted, "key", "left").groupBy("cid", "n", "comp").agg(ordered.alias("o"))
+        split = split.select(F.explode(F.slice("o", F.lit(1), taken)["key"]).alias("key"), "cid", "n", "comp")
+    return rows.join(large, "key", "left_anti").unionByName(split)
 
 
 def open_bands(rows: DataFrame) -> DataFrame:
@@ -329,7 +360,6 @@ def group_documents(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     )
     width = 2 * ROWS
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("registers", 1 + width * b, width)) for b in range(BANDS)])
-    keys_of = classes.select("cid", keys.alias("keys"))
     banded = classes.select("cid", "n", F.explode(keys).alias("key"))
     pivot = F.array_distinct(F.array(F.min("cid"), F.min_by("cid", F.xxhash64("cid", F.lit(11)))))
     tops = materialise(banded.groupBy("key").agg(F.count("*").alias("size"), pivot.alias("pivots")).where(F.col("size") > 1), "bands")
@@ -357,7 +387,7 @@ def group_documents(docs: DataFrame, threshold: float = 0.85) -> DataFrame:
     labelled = materialise(labelled, "labelled-bands")
     still = materialise(open_bands(labelled), "still-open")
     opened = materialise(salted_join(labelled, still.select("key"), ["key"], still.select("key", F.col("rows").alias("n")), ["cid"]), "open-rows")
-    parted = materialise(split_bands(opened, keys_of, BLOCK, 4 * BLOCK), "band-rows")
+    parted = materialise(split_bands(opened, sets, threshold, 4 * BLOCK), "band-rows")
     rows = blocked(parted, BLOCK, BLOCK_SHINGLES)
     dealt = lambda d: d.repartition(*map(F.col, _KEYS)).sortWithinPartitions(*_KEYS, "cid")
     near = dealt(rows.join(classes.select("cid", "registers"), "cid")).mapInArrow(_with_partner(threshold, least), "key long, i int, j int, block int, cid long, n long, comp long")

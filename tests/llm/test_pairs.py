@@ -162,18 +162,43 @@ def test_split_bands_find_the_same(spark, monkeypatch):
 
 
 def test_rows_of_a_large_band_grow_in_proportion(spark):
-    """One band with ever more distinct members that share further bands with some fifty others each."""
+    """One band with ever more members that share a passage, and some further shingles with some fifty others each."""
 
     def rows_made(n):
         ids = spark.range(n).select(F.col("id").alias("cid"))
         rows = ids.select(F.lit(1).cast("long").alias("key"), "cid", F.lit(100).cast("long").alias("n"), F.col("cid").alias("comp"))
-        keys = F.concat(F.array(F.lit(1).cast("long")), F.transform(F.sequence(F.lit(1), F.lit(neardup.BANDS - 1)), lambda b: F.xxhash64(b, F.pmod(F.xxhash64(b, "cid"), F.lit(n // 50)))))
-        return neardup.blocked(neardup.split_bands(rows, ids.select("cid", keys.alias("keys")), 64, 256), 64, 10**6).count()
+        passage = F.transform(F.sequence(F.lit(1), F.lit(70)), lambda i: F.xxhash64(i))
+        own = F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.xxhash64(i, F.when(i <= 20, F.pmod(F.xxhash64(i, "cid"), F.lit(n // 50))).otherwise(F.col("cid") + n)))
+        sets = ids.select("cid", F.concat(passage, own).alias("set"))
+        return neardup.blocked(neardup.split_bands(rows, sets, 0.85, 256), 64, 10**6).count()
 
     small, large = rows_made(4_000), rows_made(16_000)
     assert large < 4.5 * small and large < 16_000 * 16_000 / 64
 
 
+def test_split_bands_lose_nothing(spark):
+    """Whatever is similar shares a group, with counts told to all tasks and with counts joined, which give the same rows."""
+    rng = random.Random(12)
+    common = [rng.randrange(-(2**62), 2**62) for _ in range(60)]
+    sets = {}
+    for i in range(160):
+        own = [rng.randrange(-(2**62), 2**62) for _ in range(rng.randrange(30))]
+        sets[i] = set(common[: rng.randrange(40, 61)] + own)
+        sets[1000 + i] = set(rng.sample(sorted(sets[i]), len(sets[i]) - rng.randrange(9)))
+    sets |= {3000: {5}, 3001: {5, 6}}
+    rows = spark.createDataFrame([(k, i, len(s), i) for i, s in sets.items() for k in (1, 2)], "key long, cid long, n long, comp long")
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "cid long, set array<long>")
+    for threshold in (0.8, 0.85):
+        told, joined = (sorted((r["key"], r["cid"], r["n"], r["comp"]) for r in neardup.split_bands(rows, df, threshold, 50, small).collect()) for small in (10**6, 0))
+        assert told == joined and len(told) == len(set(told))
+        groups = collections.defaultdict(set)
+        for key, cid, *_ in told:
+            groups[cid].add(key)
+        similar = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= round(100 * threshold) * len(sets[a] | sets[b])]
+        assert len(similar) > 150 and all(groups[a] & groups[b] for a, b in similar)
+    assert neardup.split_bands(rows, df, 0.85, 1000).count() == rows.count()
+
+
 def test_hot_keys_are_dealt_and_joins_stay_whole(spark):
     left = spark.range(5_000).select(F.when(F.col("id") < 4_000, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     right = spark.range(4_990).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
