@@ -5,9 +5,10 @@ are boilerplate: they are cut out of the texts, and a document that keeps too fe
 copies of a text are one document: if each counted, every line of a text copied often enough would be boilerplate, and all
 copies would be rejected before near-duplicate removal could keep one.
 
-The limit is one law for hosts of all sizes: a line is boilerplate in more than ``base + per_doubling * log2(1 + n)`` of a
-host's n documents. It grows by a constant with each doubling, as the greatest count of chance repeats does, so a host of
-ten documents reaches it and a host of millions doesn't dilute it.
+The limit is one law for hosts of all sizes: a line is boilerplate in more than one in ``one_in`` of a host's n documents,
+and in more than ``base + per_doubling * log2(1 + n)`` of them. The first is a share that doesn't change as a host grows, so
+ordinary short lines stay in a host of millions; the second is the floor, which a host of ten documents reaches and which
+grows as the greatest count of chance repeats does, so a rare line of a middling host isn't taken for boilerplate.
 
 Documents are scanned once into a table of counts and line hashes.
 A common line of a large host is one key for a third of all rows: its documents are made distinct by (host, line, text)
@@ -101,16 +102,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def frequent_lines(scanned: DataFrame, base: float, per_doubling: float) -> DataFrame:
+def frequent_lines(scanned: DataFrame, base: float, per_doubling: float, one_in: float) -> DataFrame:
     """(f_host, f_line) of lines in more documents of their host than its limit."""
     n = F.count_distinct("text_hash")
-    of_host = materialise(scanned.groupBy(F.col("host").alias("of_host")).agg((base + per_doubling * F.log2(1 + n)).alias("limit")), "host-limits")
+    of_host = materialise(scanned.groupBy(F.col("host").alias("of_host")).agg(F.greatest(base + per_doubling * F.log2(1 + n), n / one_in).alias("limit")), "host-limits")
     of_line = scanned.select("host", "text_hash", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(n.alias("texts")).where(F.col("texts") > base)
     of_line = of_line.join(broadcast_if_small(of_host, of_host.count()), F.col("host").eqNullSafe(F.col("of_host")))
     return of_line.where(F.col("texts") > F.col("limit")).select(F.col("host").alias("f_host"), F.col("line").alias("f_line"))
 
 
-LIMITS = {"base": 1.0, "per_doubling": 1.0, "keep_share": 0.3, "keep_words": 10}
+LIMITS = {"base": 1.0, "per_doubling": 1.0, "one_in": 1000.0, "keep_share": 0.3, "keep_words": 10}
 
 
 def _scanned(docs: DataFrame, limits: dict) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +119,7 @@ def _scanned(docs: DataFrame, limits: dict) -> tuple[DataFrame, DataFrame]:
     text = F.coalesce(F.col("text"), F.lit(""))
     inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("host"), *text_key(), F.monotonically_increasing_id().alias("row_id"), text.alias("text"))
     scanned = materialise(inner.mapInArrow(_scan, _SCHEMA), "quality")
-    return scanned, materialise(frequent_lines(scanned, limits["base"], limits["per_doubling"]), "frequent-lines")
+    return scanned, materialise(frequent_lines(scanned, limits["base"], limits["per_doubling"], limits["one_in"]), "frequent-lines")
 
 
 def _judged(scanned: DataFrame, frequent: DataFrame, limits: dict) -> DataFrame:
@@ -222,7 +223,7 @@ repeated AS (SELECT id, count(DISTINCT i + k) AS n FROM again, range(0, 5) AS r(
 lines AS (SELECT id, l, {_NORMAL} AS line FROM (SELECT id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ 	-
 ]')),
 dup AS (SELECT id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY id),
-hosts AS (SELECT host, 1 + log2(1 + count(DISTINCT text)) AS most FROM d GROUP BY host),
+hosts AS (SELECT host, greatest(1 + log2(1 + count(DISTINCT text)), count(DISTINCT text) / 1000) AS most FROM d GROUP BY host),
 per_line AS (SELECT host, line, count(DISTINCT text) AS n FROM lines JOIN d USING (id) GROUP BY host, line),
 frequent AS (SELECT p.host, p.line FROM per_line p JOIN hosts h ON p.host IS NOT DISTINCT FROM h.host WHERE p.n > h.most),
 cut AS (SELECT l.id, sum(len(string_split(l.line, ' '))) AS n FROM lines l JOIN d USING (id) JOIN frequent f ON f.line = l.line AND f.host IS NOT DISTINCT FROM d.host GROUP BY l.id),

@@ -5,6 +5,7 @@ import re
 import zlib
 
 from compare import assert_same
+from pyspark.sql import functions as F
 
 from actispark.llm import quality, sharding
 
@@ -182,6 +183,24 @@ def test_limit_depends_on_host_size_alone(spark):
         assert cut == {i: 3 * (i <= most) for i in range(n)}
 
 
+def test_limit_is_a_stable_share_of_large_hosts(spark):
+    """Lines on 2 and on 0.5 in a thousand texts: of hosts of 40,000 and of 80,000 texts the first go and the second stay; a
+    host of 10 keeps its floor."""
+    hosts = {"small": 10, "large": 40_000, "larger": 80_000}
+    rows = None
+    for at, (host, n) in enumerate(hosts.items()):
+        i = F.col("id")
+        line = F.when(i % 500 == 0, "\nabove the share").when(i % 2000 == 1, "\nbelow the share").otherwise("")
+        line = F.concat(line, F.when(F.lit(n == 10) & (i < 5), "\nfive of ten").otherwise(""))
+        letters = F.translate(F.format_string("%07d", i + at * 10**6), "0123456789", "abcdefghij")
+        text = F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.concat(letters, F.char(k + 106))), " "), line)
+        of = spark.range(n).select((i + at * 10**6).alias("doc_id"), text.alias("text"), F.lit(host).alias("source"))
+        rows = of if rows is None else rows.unionByName(of)
+    cut = quality.judge(rows).where("n_removed_words > 0").select("doc_id", F.col("doc_id") % 10**6).collect()
+    want = {at * 10**6 + i for at, n in ((1, 40_000), (2, 80_000)) for i in range(0, n, 500)} | set(range(5))
+    assert {r["doc_id"] for r in cut} == want
+
+
 def test_huge_texts(huge_documents):
     got = {r["doc_id"]: r for r in quality.judge(huge_documents).collect()}
     assert len(got) == 9 and all(tuple(got[i][c] for c in quality._NUMBERS) == plain(r["text"]) for i, r in {r["doc_id"]: r for r in huge_documents.collect()}.items())
