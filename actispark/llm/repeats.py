@@ -46,7 +46,9 @@ WHOLE = -1  # all strings of a piece
 FILTER_BITS = 26
 PIECES = 16_384  # of a bucket, about
 HOT = 4_096  # pieces of an anchor beyond which it is split into strings
-SLICE = 400_000  # bytes of text worked on at once
+SLICE = 65_536  # bytes of text hashed at once, so that arrays of their hashes stay in a core's cache
+MARKED = 400_000  # bytes of text that marks are put on at once
+ROWS = 16_384  # of small batches that go to Spark together
 PRIMES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -58,16 +60,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def gram_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all grams of 24 and 32 bytes, by doubling."""
-    h = mixed(b.astype(np.uint64) + np.uint64(1))
-    grams = []
-    for k in (1, 2, 4, 8, 16):
-        h = h[:-k] * PRIMES[2] + h[k:]
-        h = mixed(h) if k > 2 else h ^ h >> np.uint64(32)
-        grams.append(h)
-    _, _, eight, sixteen, parts = grams
-    return mixed(sixteen[:-8] * PRIMES[2] + eight[16:]), parts
+def word_hashes(b: np.ndarray) -> np.ndarray:
+    """Hashes of all grams of 8 bytes, from which those of longer ones are made."""
+    return mixed(np.ndarray((len(b) - 7,), "<u8", b, strides=(1,)))
 
 
 def least(h: np.ndarray, w: int) -> np.ndarray:
@@ -80,16 +75,17 @@ def least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 class Pieces:
-    """Pieces of texts that lie one behind the other in b, with edges: place, number of strings, document, anchor, name."""
+    """Pieces of texts that lie one behind the other in b, with edges: place, number of strings, document, anchor, name.
+    Names are made when they are asked for, so those of pieces that were left out before cost nothing."""
 
     def __init__(self, b: np.ndarray, edges: np.ndarray) -> None:
         self.b, self.place = b, np.empty(0, np.int64)
-        self.strings = self.doc = self.place
-        self.anchor = self.name = np.empty(0, np.int64)
+        self.strings = self.doc = self.anchor = self.place
+        self.made, self.words = None, np.empty(0, np.uint64)
         if len(b) < LENGTH:
             return
-        grams, parts = gram_hashes(b)
-        low = least(grams, LENGTH - ANCHOR + 1)
+        self.words = h = word_hashes(b)
+        low = least(mixed((h[:-16] * PRIMES[2] + h[8:-8]) * PRIMES[2] + h[16:]), LENGTH - ANCHOR + 1)
         new = np.empty(len(low), bool)
         new[0] = True
         np.not_equal(low[1:], low[:-1], out=new[1:])
@@ -106,15 +102,28 @@ class Pieces:
             cuts = -(-many // MOST)
             k = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
             at, many, of = np.repeat(at, cuts) + MOST * k, np.minimum(MOST, np.repeat(many, cuts) - MOST * k), np.repeat(of, cuts)
-        last = at + many + LENGTH - 1 - 32
-        name = parts[at] * PRIMES[0] + mixed(parts[last]) + many.astype(np.uint64)
-        for step in (32, 64):
-            name = mixed(name) + parts[np.minimum(at + step, last)]
-        self.place, self.strings, self.doc = at, many, np.flatnonzero(ends)[of]
-        self.anchor, self.name = low[at].view(np.int64), mixed(name).view(np.int64)
+        self.place, self.strings, self.doc, self.anchor = at, many, np.flatnonzero(ends)[of], low[at].view(np.int64)
+
+    def parts(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the 32 bytes from these places on."""
+        h, out = self.words, self.words[at]
+        for k in (8, 16, 24):
+            out *= PRIMES[2]
+            out += h[at + k]
+        return mixed(out)
+
+    @property
+    def name(self) -> np.ndarray:
+        if self.made is None:
+            last = self.place + self.strings + LENGTH - 1 - 32
+            name = self.parts(self.place) * PRIMES[0] + mixed(self.parts(last)) + self.strings.astype(np.uint64)
+            for step in (32, 64):
+                name = mixed(name) + self.parts(np.minimum(self.place + step, last))
+            self.made = mixed(name).view(np.int64)
+        return self.made
 
     def keep(self, mask: np.ndarray) -> None:
-        for k in ("place", "strings", "doc", "anchor", "name"):
+        for k in ("place", "strings", "doc", "anchor", *["made"] * (self.made is not None)):
             setattr(self, k, getattr(self, k)[mask])
 
     def texts(self) -> pa.Array:
@@ -124,10 +133,10 @@ class Pieces:
         return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(self.b[at])])
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of a batch with the bytes of their texts, one behind the other, and their edges."""
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of a batch with the bytes of their texts, one behind the other, and their edges. most: bytes of a slice, besides a text."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = np.cumsum(size) // SLICE
+    part = np.cumsum(size) // most
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [batch.num_rows])).tolist()
     for a, z in zip(cuts, cuts[1:], strict=False):
         if z > a:
@@ -136,6 +145,19 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
             yield piece, np.frombuffer(text, np.uint8), np.concatenate(([0], np.cumsum(size[a:z])))
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, rows = [], 0
+    if rows:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     out = np.ones(len(key), bool)
     for shift in (0, FILTER_BITS):
@@ -165,18 +187,21 @@ def bit_filter(keys: DataFrame, key: Column) -> Broadcast:
 def _scan(docs: DataFrame, columns: dict[str, str], allowed: Broadcast | None = None, key: str = "anchor") -> DataFrame:
     """columns of the pieces of docs(doc_id, text) that pass allowed by key: anchor, name, or name and doc_id together."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch, b, edges in slices(whole, 1):
+            for batch, b, edges in slices(whole, 1, SLICE):
                 p = Pieces(b, edges)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 if allowed is not None:
-                    p.keep(passes(allowed.value, {"anchor": p.anchor, "name": p.name, "both": p.name ^ ids[p.doc]}[key]))
+                    p.keep(passes(allowed.value, p.anchor if key == "anchor" else p.name if key == "name" else p.name ^ ids[p.doc]))
                 made = {
                     "anchor": lambda p=p: p.anchor, "name": lambda p=p: p.name, "doc_id": lambda p=p, ids=ids: ids[p.doc], "place": lambda p=p, edges=edges: (p.place - edges[p.doc]).astype(np.int32),
                     "strings": lambda p=p: p.strings.astype(np.int32), "piece": lambda p=p: p.texts(), "text_crc": lambda p=p, batch=batch: batch.column(2).to_numpy(zero_copy_only=False)[p.doc],
                 }
                 yield pa.RecordBatch.from_arrays([pa.array(made[c]()) for c in columns], list(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from together(each(batches))
         give_back()
 
     rows = docs.where("doc_id is not null and octet_length(text) >= 50").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.col("text").cast("binary")).alias("text_crc"))
@@ -195,15 +220,17 @@ class RunIndex:
         ends = np.flatnonzero(t == 0)
         to_end = np.repeat(ends, np.diff(np.concatenate(([-1], ends)))) - np.arange(n)
         order, at50 = self._suffixes(t, to_end)
-        text_of = np.searchsorted(ends, order)
+        text_of = np.repeat(np.arange(n_texts, dtype=np.int32), np.diff(np.concatenate(([-1], ends))))[order]
         # intervals of suffixes that share LENGTH bytes
         new = np.concatenate(([True], at50[0][order][1:] != at50[0][order][:-1]))
         new[1:] |= at50[1][order][1:] != at50[1][order][:-1]
-        self.intervals = np.flatnonzero(new)
-        self.least_owner = np.minimum.reduceat(owner[text_of], self.intervals)
+        intervals = np.flatnonzero(new)
+        self.least_owner = np.minimum.reduceat(owner[text_of], intervals)
+        self.interval_of = np.repeat(np.arange(len(intervals), dtype=np.int32), np.diff(np.append(intervals, n)))  # of a row
         before = np.where(order > 0, t[order - 1], 0)
         head = np.concatenate(([True], before[1:] != before[:-1]))
         self.start = np.flatnonzero(head)
+        self.run_of = np.cumsum(head, dtype=np.int32) - np.int32(1)  # of a row
         self.byte = before[self.start]
         stop = np.append(self.start[1:], n)
         self.first_place, self.last_place = order[self.start], order[stop - 1]
@@ -270,7 +297,7 @@ class RunIndex:
         for step in range(int(size.max(initial=0))):
             on = np.flatnonzero(size > step)
             c, r, p, m = b[last[on] - step].astype(np.int64), row[on], place[on], match[on]
-            run = np.searchsorted(self.start, r, side="right") - 1
+            run = self.run_of[r]
             miss = np.flatnonzero(self.byte[run] != c)
             if len(miss):
                 self._jump(miss, c, r, p, m, run)
@@ -280,8 +307,7 @@ class RunIndex:
             match[on] = m = np.where(known, np.minimum(m + 1, LENGTH), 0)
             full = on[m >= LENGTH]
             if len(full):
-                interval = np.searchsorted(self.intervals, row[full], side="right") - 1
-                found = full[self.least_owner[interval] < owner[full]]
+                found = full[self.least_owner[self.interval_of[row[full]]] < owner[full]]
                 out[found] |= np.int64(1) << size[found] - 1 - step
         return out
 
@@ -389,7 +415,7 @@ def _marked(docs: DataFrame, make: Callable, schema: str, **how) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch, b, edges in slices(whole, 1):
+            for batch, b, edges in slices(whole, 1, MARKED):
                 marks = batch.column(2)
                 doc = pc.list_parent_indices(marks).to_numpy(zero_copy_only=False)
                 place, strings, mask = (pc.struct_field(pc.list_flatten(marks), k).to_numpy(zero_copy_only=False) for k in range(3))
@@ -413,14 +439,15 @@ def repeat_digests(docs: DataFrame, **how) -> DataFrame:
     """A row per row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def make(batch: pa.RecordBatch, b: np.ndarray, edges: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
-        out = []
-        for a, z in zip(edges.tolist(), edges[1:].tolist(), strict=False):
-            g = gone[a:z]
-            n = int(g.sum())
-            spans = int(g[0]) + int((g[1:] & ~g[:-1]).sum()) if n else 0
-            out.append((z - a, n, spans, hashlib.sha256((b[a:z][~g] if n else b[a:z]).tobytes()).hexdigest()))
-        kinds = [pa.int64()] * 3 + [pa.string()]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        first = gone.copy()  # bytes of each removed run
+        first[1:] &= ~gone[:-1]
+        begin = edges[:-1][edges[:-1] < len(b)]
+        first[begin] = gone[begin]
+        before, runs = (np.concatenate(([0], np.cumsum(x)))[edges] for x in (gone, first))
+        rest, cuts = memoryview(b[~gone]), (edges - before).tolist()
+        digests = [hashlib.sha256(rest[a:z]).hexdigest() for a, z in zip(cuts, cuts[1:], strict=False)]
+        numbers = [pa.array(np.diff(x), pa.int64()) for x in (edges, before, runs)]
+        return pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return _marked(docs, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", **how)
 

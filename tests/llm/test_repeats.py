@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from actispark.llm import repeats as r
@@ -103,3 +105,47 @@ def test_rest(spark):
     x = "".join(random.Random(3).choices("abc", k=80))
     got = r.remove_repeats(spark.createDataFrame([(1, x), (2, "pre" + x + "post")], SCHEMA)).orderBy("doc_id").collect()
     assert [bytes(g["rest"]) for g in got] == [x.encode(), b"prepost"]
+
+
+def test_pieces_hold_each_string_once_and_names_tell_them_apart():
+    texts = [(x or "").encode() for _, x in made(5)]
+    edges = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+    p = r.Pieces(np.frombuffer(b"".join(texts), np.uint8), edges)
+    seen, named = {}, {}
+    for place, strings, doc, anchor, name in zip(p.place - edges[p.doc], p.strings, p.doc, p.anchor, p.name, strict=True):
+        assert place == seen.get(doc, 0) and strings <= r.MOST
+        seen[doc] = place + strings
+        piece = texts[doc][place : place + strings + r.LENGTH - 1]
+        assert named.setdefault((anchor, name), piece) == piece
+    assert seen == {d: len(x) - r.LENGTH + 1 for d, x in enumerate(texts) if len(x) >= r.LENGTH}
+    assert len(set(named.values())) == len(named)  # and one piece has one name
+
+
+def test_names_of_pieces_left_out_are_not_made(monkeypatch):
+    text = np.frombuffer("".join(random.Random(6).choices("abcdef ", k=20_000)).encode(), np.uint8)
+    every, some = (r.Pieces(text, np.array([0, len(text)])) for _ in range(2))
+    few = np.arange(len(every.place)) % 100 == 0
+    asked, parts = [], r.Pieces.parts
+    monkeypatch.setattr(r.Pieces, "parts", lambda p, at: asked.append(len(at)) or parts(p, at))
+    some.keep(few)
+    assert (some.name == every.name[few]).all()
+    assert asked[:4] == [few.sum()] * 4
+
+
+def test_hashes_stay_in_a_cores_cache():
+    """Arrays of some MB each, made anew for every slice, took more than half of the time of a scan."""
+    text = "".join(random.Random(7).choices("abcdef ", k=5_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([text] * 400)], ["doc_id", "text"])
+    r.Pieces(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    tracemalloc.start()
+    for _, b, edges in r.slices(batch, 1, r.SLICE):
+        assert len(r.Pieces(b, edges).name)
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+
+
+def test_small_batches_go_together():
+    some = [pa.RecordBatch.from_arrays([pa.array(range(k), pa.int64())], ["x"]) for k in (0, 5, r.ROWS, 3, 0, 9)]
+    assert [b.num_rows for b in r.together(iter(some))] == [r.ROWS + 5, 12]
+    assert [x for b in r.together(iter(some)) for x in b.column(0).to_pylist()] == [x for b in some for x in b.column(0).to_pylist()]
+    assert not list(r.together(iter(some[:1])))
