@@ -14,8 +14,8 @@ LF-mapping; elsewhere it goes on at the nearest run end of that byte above or be
 match so far. Where a matching statistic reaches 50, its row's interval tells whether an earlier document has the string.
 
 An anchor with more pieces than a bucket may hold (the edge of a passage in a third of all documents) is split into its
-single strings, which are counted by their bytes; no bucket grows with an anchor. Joins of pieces that many documents share
-are split by Spark's handling of skew.
+single strings, which are counted by their bytes; no bucket grows with an anchor, and the pieces of a string that many have
+are dealt over several tasks. Joins of pieces that many documents share are split by Spark's handling of skew.
 
 Defined results: null texts are empty; texts below 50 bytes, and rows with a null doc_id, lose nothing and take nothing from
 others; rows that repeat a doc_id take nothing from each other; further columns are ignored; an empty table gives an empty
@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actispark.llm.common import documents, drop_shuffles, forget, give_back, materialise
+from actispark.llm.common import documents, drop_shuffles, forget, give_back, materialise, salted_join
 
 LENGTH = 50  # bytes of a string
 ANCHOR = 24  # bytes of an anchor; 32 of the second hash's parts
@@ -46,6 +46,7 @@ WHOLE = -1  # all strings of a piece
 FILTER_BITS = 26
 PIECES = 16_384  # of a bucket, about
 HOT = 4_096  # pieces of an anchor beyond which it is split into strings
+DEALT = 2_000  # pieces of a string that are looked up in one task
 SLICE = 65_536  # bytes of text hashed at once, so that arrays of their hashes stay in a core's cache
 MARKED = 400_000  # bytes of text that marks are put on at once
 ROWS = 16_384  # of small batches that go to Spark together
@@ -338,17 +339,34 @@ def _compare(have: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
     return seeker[["anchor", "name"]].assign(mask=mask)[mask != 0]
 
 
-def _split_strings(have: DataFrame, hot: DataFrame) -> DataFrame:
-    """anchor, name, mask as _compare gives them, for anchors with more pieces than a bucket takes: string by string."""
+def _strings(have: DataFrame, hot: DataFrame) -> DataFrame:
+    """anchor, name, first, at, string of the pieces of hot."""
     pieces = have.withColumnRenamed("doc_id", "first").join(hot.select("anchor", "name", "first"), ["anchor", "name", "first"])
     at = F.explode(F.sequence(F.lit(0), F.octet_length("piece") - LENGTH))
-    each = pieces.select("anchor", "name", "first", "piece", at.alias("at")).withColumn("string", F.expr(f"substring(piece, at + 1, {LENGTH})")).drop("piece")
-    least_first = each.groupBy("anchor", "string").agg(F.min("first").alias("earliest"))
-    late = each.join(least_first, ["anchor", "string"]).where("earliest < first")
-    return late.groupBy("anchor", "name").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    return pieces.select("anchor", "name", "first", "piece", at.alias("at")).withColumn("string", F.expr(f"substring(piece, at + 1, {LENGTH})")).drop("piece")
+
+
+def _common_strings(strings: DataFrame) -> DataFrame:
+    """anchor, string, earliest, n of the strings that stand more than once; the others have no earlier one."""
+    return strings.groupBy("anchor", "string").agg(F.min("first").alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def _late_strings(strings: DataFrame, common: DataFrame, dealt: int) -> DataFrame:
+    """The strings that also stand earlier. A string of more than dealt pieces goes to several tasks: Spark splits no join
+    of which one side comes from an aggregate by the same keys."""
+    return salted_join(strings, common.drop("n"), ["anchor", "string"], common.select("anchor", "string", "n"), ["name"], rows=dealt).where("earliest < first")
+
+
+def _split_strings(have: DataFrame, hot: DataFrame, dealt: int) -> DataFrame:
+    """anchor, name, mask as _compare gives them, for anchors with more pieces than a bucket takes: string by string."""
+    strings = _strings(have, hot)
+    common = materialise(_common_strings(strings), "repeats-strings")
+    masks = materialise(_late_strings(strings, common, dealt).groupBy("anchor", "name").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask")), "repeats-masks")
+    forget(common)
+    return masks
 
 
-def _masks(docs: DataFrame, unsure: DataFrame, pieces: int, split: int) -> list[DataFrame]:
+def _masks(docs: DataFrame, unsure: DataFrame, pieces: int, split: int, dealt: int) -> list[DataFrame]:
     """anchor, name, mask of unsure pieces of which some strings stand earlier, in a table for each way, and what they read."""
     have = materialise(_scan(docs, {"anchor": "long", "name": "long", "doc_id": "long", "piece": "binary"}, bit_filter(unsure, F.col("name").bitwiseXOR(F.col("first"))), "both"), "repeats-pieces")
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(max(1, unsure.count() // pieces))).alias("bucket")
@@ -356,12 +374,12 @@ def _masks(docs: DataFrame, unsure: DataFrame, pieces: int, split: int) -> list[
     want = usual.select(bucket, "anchor", "name", "first", "lowest", "highest")
     masks = [materialise(have.select(bucket, "*").groupBy("bucket").cogroup(want.groupBy("bucket")).applyInPandas(_compare, "anchor long, name long, mask long"), "repeats-masks")]
     if not hot.isEmpty():
-        masks.append(materialise(_split_strings(have, hot), "repeats-masks"))
+        masks.append(_split_strings(have, hot, dealt))
     forget(have)
     return masks
 
 
-def _late(docs: DataFrame, pieces: int, split: int) -> DataFrame:
+def _late(docs: DataFrame, pieces: int, split: int, dealt: int) -> DataFrame:
     """anchor, name, first, mask of the pieces that go from some document: from all but the first as a whole, from the first
     by its mask."""
     spark = docs.sparkSession
@@ -376,7 +394,7 @@ def _late(docs: DataFrame, pieces: int, split: int) -> DataFrame:
     several = named.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("lowest"), F.max("first").alias("highest")).where("n > 1 and lowest < highest")
     unsure = materialise(named.join(several, "anchor").drop("last"), "repeats-unsure")
     del several
-    masks = _masks(docs, unsure, pieces, split)
+    masks = _masks(docs, unsure, pieces, split, dealt)
     drop_shuffles(spark)
     late = materialise(named.join(reduce(DataFrame.unionByName, masks), ["anchor", "name"], "left").where("first < last or mask is not null").drop("last"), "repeats-late")
     forget(named, unsure, *masks)
@@ -384,11 +402,11 @@ def _late(docs: DataFrame, pieces: int, split: int) -> DataFrame:
     return late
 
 
-def earlier_marks(docs: DataFrame, pieces: int = PIECES, split: int = HOT) -> DataFrame:
+def earlier_marks(docs: DataFrame, pieces: int = PIECES, split: int = HOT, dealt: int = DEALT) -> DataFrame:
     """doc_id, text_crc, marks of the texts in docs(doc_id, text) that hold strings of earlier documents; marks: an array of
     (place, strings, mask) for pieces, mask WHOLE or a bit for each string that goes. pieces: of a bucket, about; split: pieces of
-    an anchor beyond which its strings are counted one by one."""
-    late = _late(docs, pieces, split)
+    an anchor beyond which its strings are counted one by one; dealt: pieces of a string that one task looks up."""
+    late = _late(docs, pieces, split, dealt)
     kinds = {"anchor": "long", "name": "long", "doc_id": "long", "text_crc": "long", "place": "int", "strings": "int"}
     hits = _scan(docs, kinds, bit_filter(late, F.col("name")), "name")
     marked = hits.join(late, ["anchor", "name"]).where("doc_id > first or mask is not null")

@@ -149,3 +149,27 @@ def test_small_batches_go_together():
     assert [b.num_rows for b in r.together(iter(some))] == [r.ROWS + 5, 12]
     assert [x for b in r.together(iter(some)) for x in b.column(0).to_pylist()] == [x for b in some for x in b.column(0).to_pylist()]
     assert not list(r.together(iter(some[:1])))
+
+
+def test_equals_brute_force_where_strings_are_dealt(spark):
+    rows = made(4)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert found(r.repeat_digests(df, split=0, dealt=2)) == brute(rows)
+
+
+def test_a_string_of_many_pieces_is_no_single_task(spark):
+    rows = [(1, k, k, 0, b"x" * r.LENGTH) for k in range(400)] + [(2, k, k, 3, b"%050d" % k) for k in range(9)]
+    strings = spark.createDataFrame(rows, "anchor long, name long, first long, at int, string binary")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        common = r._common_strings(strings)
+        assert [(c["anchor"], c["earliest"], c["n"]) for c in common.collect()] == [(1, 0, 400)]
+        late = r._late_strings(strings, common, 20).selectExpr("first", "spark_partition_id() as task").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(x["first"] for x in late) == list(range(1, 400))
+    assert max(sum(x["task"] == k for x in late) for k in range(16)) < 200
