@@ -34,26 +34,27 @@ def wear_detection(samples: DataFrame, fs: float, sd_limit: float = 0.013, range
     return worn.where(F.col("quarter") * step < F.col("_n") - step).select("recording_id", "day_no", "ts", "wear")
 
 
-def _rescore(df: DataFrame, rule) -> DataFrame:
-    """df(recording_id, day_no, ts, wear) with the worn runs that rule picks set to 0; rule sees size, prev and post: rows
-    of the run and of its neighbours (null at the ends). Windows only, on one exchange by recording and day."""
+def _rescore(df: DataFrame, rule, order: tuple[str, ...]) -> DataFrame:
+    """df(recording_id, day_no, wear and order's columns) with the worn runs that rule picks set to 0; rule sees size, prev
+    and post: rows of the run and of its neighbours (null at the ends). Rows are put in order once, to number the runs;
+    neighbours go by that number, since rows that order leaves tied may come otherwise in another sort. Windows only, on one
+    exchange by recording and day."""
     keys = ["recording_id", "day_no"]
-    day, block = Window.partitionBy(*keys).orderBy("ts"), Window.partitionBy(*keys, "block")
-    runs = islands(df, keys, ["ts"], "wear").withColumn("size", F.count("*").over(block))
-    runs = runs.withColumn("_p", F.lag("size").over(day)).withColumn("_q", F.lead("size").over(day))
-    whole = block.orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    runs = runs.withColumn("prev", F.first("_p").over(whole)).withColumn("post", F.last("_q").over(whole))
-    return runs.withColumn("wear", F.when((F.col("wear") == 1) & rule, 0).otherwise(F.col("wear"))).drop("block", "size", "_p", "_q", "prev", "post")
+    near = Window.partitionBy(*keys).orderBy("block")
+    runs = islands(df, keys, list(order), "wear").withColumn("size", F.count("*").over(Window.partitionBy(*keys, "block")))
+    runs = runs.withColumn("prev", F.first("size").over(near.rangeBetween(-1, -1))).withColumn("post", F.first("size").over(near.rangeBetween(1, 1)))
+    return runs.withColumn("wear", F.when((F.col("wear") == 1) & rule, 0).otherwise(F.col("wear"))).drop("block", "size", "prev", "post")
 
 
-def rescore_wear(df: DataFrame, passes: int = 3, last_day: bool = True) -> DataFrame:
+def rescore_wear(df: DataFrame, passes: int = 3, last_day: bool = True, order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Inner worn runs under 3 h with less than 80 % of both neighbours' length, or under 6 h with less than 30 %, count as
-    not worn, passes times; on a recording's last day also runs under 3 h after one of 1 h or more."""
+    not worn, passes times; on a recording's last day also runs under 3 h after one of 1 h or more. Where rows of a day share
+    a ts, order needs a further column, or which runs there are is open."""
     hours, around = F.col("size") * 0.25, (F.col("prev") + F.col("post")) * 0.25
     inner = (hours < 3) & (hours / around < 0.8) | (hours < 6) & (hours / around < 0.3)
     for _ in range(passes):
-        df = _rescore(df, F.coalesce(inner, F.lit(False)))
+        df = _rescore(df, F.coalesce(inner, F.lit(False)), order)
     if not last_day:
         return df
     df = df.withColumn("_d", F.max("day_no").over(Window.partitionBy("recording_id")))
-    return _rescore(df, F.coalesce((F.col("day_no") == F.col("_d")) & (hours < 3) & (F.col("prev") * 0.25 >= 1), F.lit(False))).drop("_d")
+    return _rescore(df, F.coalesce((F.col("day_no") == F.col("_d")) & (hours < 3) & (F.col("prev") * 0.25 >= 1), F.lit(False)), order).drop("_d")

@@ -192,12 +192,12 @@ def _rescored_sql(source: str, out: str, rule: str = INNER) -> str:
 
 @query("w7_rescore_wear", f"WITH {FLAGGED}, {_rescored_sql('flagged', 'w1')} SELECT * FROM w1")
 def rescore_wear(spark, sf_dir):
-    return wear.rescore_wear(_flagged(spark, sf_dir).drop("line_no"), passes=1, last_day=False).select("recording_id", "day_no", "ts", "wear")
+    return wear.rescore_wear(_flagged(spark, sf_dir), passes=1, last_day=False, order=E.ORDER).select("recording_id", "day_no", "ts", "wear")
 
 
 @query("w7_rescore_wear_last_day", f"WITH {FLAGGED}, {_rescored_sql('flagged', 'w1')}, {_rescored_sql('w1', 'w2')}, {_rescored_sql('w2', 'w3')}, {_rescored_sql('w3', 'w4', LAST)} SELECT * FROM w4")
 def rescore_wear_full(spark, sf_dir):
-    return wear.rescore_wear(_flagged(spark, sf_dir).drop("line_no")).select("recording_id", "day_no", "ts", "wear")
+    return wear.rescore_wear(_flagged(spark, sf_dir), order=E.ORDER).select("recording_id", "day_no", "ts", "wear")
 
 
 def _bins(spark, sf_dir):
