@@ -3,7 +3,7 @@
 Anchors bring equal strings together. The anchor of a string is its 24-gram of the least hash, so equal strings have equal
 anchors; neighbouring strings that share one are a piece (at most 62 strings, 111 bytes). A piece is named by its anchor and
 a second hash. Anchors met in two documents or more are found by one count that combines on the map side, and a bit filter
-of fixed size lets only them through when the texts are read again. A named piece that stands in an earlier document goes as
+that grows with their number lets only them through when the texts are read again. A named piece that stands in an earlier document goes as
 a whole, in every other. Only where an anchor has several pieces must their bytes be compared.
 
 That is done by a run-length index, a bucket of some thousand pieces at a time. Pieces that can be a source are sorted by
@@ -43,7 +43,8 @@ LENGTH = 50  # bytes of a string
 ANCHOR = 24  # bytes of an anchor; 32 of the second hash's parts
 MOST = 62  # strings of a piece, a bit each
 WHOLE = -1  # all strings of a piece
-FILTER_BITS = 26
+FILTER_BITS = 26, 30  # of a filter by the power of two: 8 MB at least, 128 MB at most
+KEY_BITS = 6  # a key has this many bits of a filter or more, which lets one other key in twelve through at most
 PIECES = 16_384  # of a bucket, about
 HOT = 4_096  # pieces of an anchor beyond which it is split into strings
 DEALT = 2_000  # pieces of a string that are looked up in one task
@@ -159,18 +160,25 @@ def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def filter_power(keys: int) -> int:
+    """The filter's bits for so many keys, as a power of two. Beyond the most it lets more through, and nothing is lost."""
+    least, most = FILTER_BITS
+    return min(max(least, (KEY_BITS * keys - 1).bit_length()), most)
+
+
 def passes(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    out = np.ones(len(key), bool)
-    for shift in (0, FILTER_BITS):
-        p = key >> shift & (1 << FILTER_BITS) - 1
+    out, power = np.ones(len(key), bool), (64 * len(bits)).bit_length() - 1
+    for shift in (0, power):
+        p = key >> shift & (1 << power) - 1
         out &= (bits[p >> 6] >> (p & 63) & 1).astype(bool)
     return out
 
 
 def bit_filter(keys: DataFrame, key: Column) -> Broadcast:
-    """Two bits a key of 2^FILTER_BITS: 8 MB, however many keys there are. Words of 64 bits are put together by aggregation,
-    and 2^16 of them to one value each, so the driver gets few rows."""
-    p = F.explode(F.array(*(F.shiftright(key, s).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for s in (0, FILTER_BITS))))
+    """Two bits a key. keys: a table that is written, so that it is counted and read at no cost. Words of 64 bits are put
+    together by aggregation, and 2^16 of them to one value each, which come to the driver a partition at a time."""
+    power = filter_power(keys.count())
+    p = F.explode(F.array(*(F.shiftright(key, s).bitwiseAND(F.lit((1 << power) - 1)) for s in (0, power))))
     words = keys.select(p.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
     words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).withColumn("block", F.shiftright("word", 16))
 
@@ -179,10 +187,12 @@ def bit_filter(keys: DataFrame, key: Column) -> Broadcast:
         out[part["word"].to_numpy() & 0xFFFF] = part["bits"].to_numpy()
         return pd.DataFrame({"block": part["block"].iloc[:1], "bits": [out.tobytes()]})
 
-    bits = np.zeros((1 << FILTER_BITS - 22, 1 << 16), np.int64)
-    for r in words.groupBy("block").applyInPandas(pack, "block long, bits binary").collect():
+    bits = np.zeros((1 << power - 22, 1 << 16), np.int64)
+    for r in words.groupBy("block").applyInPandas(pack, "block long, bits binary").toLocalIterator():
         bits[r["block"]] = np.frombuffer(r["bits"], np.int64)
-    return keys.sparkSession.sparkContext.broadcast(bits.ravel())
+    shared = keys.sparkSession.sparkContext.broadcast(bits.ravel())
+    drop_shuffles(keys.sparkSession)
+    return shared
 
 
 def _scan(docs: DataFrame, columns: dict[str, str], allowed: Broadcast | None = None, key: str = "anchor") -> DataFrame:
@@ -411,7 +421,11 @@ def earlier_marks(docs: DataFrame, pieces: int = PIECES, split: int = HOT, dealt
     hits = _scan(docs, kinds, bit_filter(late, F.col("name")), "name")
     marked = hits.join(late, ["anchor", "name"]).where("doc_id > first or mask is not null")
     mark = F.struct("place", "strings", F.when(F.col("doc_id") > F.col("first"), F.lit(WHOLE)).otherwise(F.col("mask")).cast("long").alias("mask"))
-    return marked.groupBy("doc_id", "text_crc").agg(F.collect_list(mark).alias("marks"))
+    marks = materialise(marked.groupBy("doc_id", "text_crc").agg(F.collect_list(mark).alias("marks")), "repeats-marks")  # its shuffles go before texts are shuffled
+    del hits, marked
+    forget(late)
+    drop_shuffles(docs.sparkSession)
+    return marks
 
 
 def removed(total: int, place: np.ndarray, strings: np.ndarray, mask: np.ndarray) -> np.ndarray:
